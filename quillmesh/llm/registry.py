@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import warc
 from .bpe_automaton import op8_bpe_codec
 from .packing import op5_packing
 from .token_counts import op6_token_counts
+from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_counts, op8_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_token_counts, op8_bpe_codec, op9_warc)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_warc": warc.oracle_sql()}
