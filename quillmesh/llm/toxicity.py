@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ from .shared import fold_of, table
 MAX_TRAINING_ROWS = 20_000
 MAX_PATTERNS = 50_000
 PREFIX_LENGTHS = range(3, 11)
-SIGNIFICANCE = 0.01
+SIGNIFICANCE = 1.0  # patterns expected to pass by chance
 LENGTH_POWERS = (0.0, 0.25, 0.5, 1.0)
 
 #: Look-alike letters (Cyrillic and Greek) and digit or symbol substitutions; fixed values.
@@ -71,6 +72,27 @@ def patterns_of(folded: str) -> set[str]:
     return out
 
 
+def signatures(folded: str) -> tuple[int, int]:
+    """Two min-hashes of a text's three-word shingles; near copies agree in one of them most of the time."""
+    words = folded.split()
+    shingles = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
+    return min(map(zlib.crc32, shingles)), min(zlib.crc32(x, 0x5EED) for x in shingles)
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One row of each group of near copies of the bounded sample, so that copies are not taken for evidence."""
+
+    def run(batches):
+        for b in batches:
+            pairs = [signatures(fold(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], [*b.schema.names, "s1", "s2"])
+
+    kept = sample.select("_id", "_text", "y").mapInArrow(run, f"_id {sample.schema['_id'].dataType.simpleString()}, _text string, y int, s1 long, s2 long")
+    for s in ("s1", "s2"):
+        kept = kept.groupBy(s).agg(F.min(F.struct("_id", "_text", "y", *({"s1", "s2"} - {s}))).alias("r")).select(s, "r.*")
+    return kept.select("_id", "_text", "y")
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
@@ -100,21 +122,21 @@ class ToxicityModel:
         return self._automaton
 
     def weight(self, folded: str) -> float:
-        """Sum of the weights of matches that no exception phrase covers; a word counts once."""
+        """Sum of the weights of matches that no exception phrase covers; of a word's matches the longest counts."""
         automaton = self.automaton()
         if not len(automaton):
             return 0.0
-        hits: dict[int, float] = {}
+        hits: dict[int, tuple[int, float]] = {}
         covered: list[tuple[int, int]] = []
         for end, (size, w) in automaton.iter(folded):
             start = end - size + 1
             if w is None:
                 covered.append((start, end))
-            else:
-                hits[start] = max(w, hits.get(start, w))
+            elif start not in hits or hits[start][0] < size:
+                hits[start] = (size, w)
         if covered:
-            return sum(w for at, w in hits.items() if not any(a <= at < b for a, b in covered))
-        return sum(hits.values())
+            return sum(w for at, (_, w) in hits.items() if not any(x <= at < y for x, y in covered))
+        return sum(w for _, w in hits.values())
 
     def score(self, text: str | None) -> float:
         folded = fold(text)
@@ -135,24 +157,47 @@ def log_tail(k: int, n: int, p: float) -> float:
 
 
 def choose_lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, candidates: int) -> dict[str, float]:
-    """Patterns whose toxic share beats chance over all candidates, one per family of prefixes."""
+    """Patterns whose toxic share is beyond chance over all candidates, with their log odds.
+
+    A beginning that says no more than a longer pattern is left out, so "stu" does not stand beside
+    "stupid" when every hit of it is that word.
+    """
     if not toxic or not clean:
         return {}
-    base, found = toxic / (toxic + clean), []
+    base, found = toxic / (toxic + clean), {}
     for p, (t, c) in counts.items():
-        if t < 2 or t / (t + c) < max(0.8, base):
-            continue
-        tail = log_tail(t, t + c, base)
-        if tail + math.log(max(1, candidates)) < math.log(SIGNIFICANCE):
-            found.append((round(tail, 6), -len(p), p, t, c))
-    chosen: dict[str, float] = {}
-    seen: set[str] = set()  # every beginning of a chosen pattern
-    for _, _, p, t, c in sorted(found):
-        if p in seen or any(p[:k] in chosen for k in range(1, len(p))):
-            continue
-        chosen[p] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        seen.update(p[:k] for k in range(1, len(p) + 1))
-    return chosen
+        if t >= 2 and t / (t + c) >= min(0.5, 3 * base) and log_tail(t, t + c, base) + math.log(max(1, candidates)) < math.log(SIGNIFICANCE):
+            found[p] = (t, c)
+    same: dict[tuple[str, int, int], str] = {}
+    for p in sorted(found, key=lambda p: (len(p), p)):
+        same[(p[: PREFIX_LENGTHS[0] + 1], *found[p])] = p  # the longest of a chain with equal counts
+    kept = set(same.values())
+    return {p: log_odds(t, c, toxic, clean) for p, (t, c) in found.items() if p in kept}
+
+
+def log_odds(t: float, c: float, toxic: int, clean: int) -> float:
+    return math.log((t + 0.5) / (c + 0.5)) - math.log(toxic / clean)
+
+
+def refine(words: dict[str, tuple[int, int]], model: "ToxicityModel", toxic: int, clean: int) -> tuple[dict[str, float], list[str]]:
+    """Weights of single words below a matched beginning, and exception phrases.
+
+    A word's counts are shrunk towards the share of the beginning it extends; words that clean
+    documents use like any other get weight 0. A pair of words around a match is an exception when
+    clean documents use it (three times at least) no less than chance.
+    """
+    single: dict[str, float] = {}
+    phrases: list[str] = []
+    prior_odds = toxic / clean
+    for p, (t, c) in words.items():
+        if p.count(" ") == 2:
+            odds = math.exp(model.weight(p)) * prior_odds
+            share = odds / (1 + odds)
+            w = math.log((t + 2 * share) / (c + 2 * (1 - share))) - math.log(prior_odds)
+            single[p] = w if w > 0.5 else 0.0
+        elif c >= 3 and log_odds(t, c, toxic, clean) < 0.5:
+            phrases.append(p)
+    return single, sorted(phrases)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
@@ -188,7 +233,7 @@ def _pair_counts(sample: DataFrame, emit, schema: str) -> DataFrame:
 
 def fit_toxicity(sample: DataFrame) -> ToxicityModel:
     """Fit on a bounded frame of (id, text, y). Without both classes every document scores low."""
-    sample = sample.persist()
+    sample = without_copies(sample).persist()
     try:
         sizes = {r["y"]: r["count"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect()}
         toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -203,7 +248,10 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
         counts = {r["p"]: (r["t"], r["c"]) for r in _pair_counts(sample, lambda s: patterns_of(s) & names, schema).collect()}
         model.weights = choose_lexicon(counts, toxic, clean, tried)
         if model.weights:
-            model.exceptions = _exceptions(sample, model, schema)
+            words = {r["p"]: (r["t"], r["c"]) for r in _around_matches(sample, model, schema).orderBy(F.desc(F.col("t") + F.col("c")), "p").limit(MAX_PATTERNS).collect()}
+            single, model.exceptions = refine(words, model, toxic, clean)
+            model.weights |= single
+            model._automaton = None
         rows = [(r["w"], r["n"], r["y"]) for r in _weights(sample, model).collect()]
         w, n, y = (np.array(c, dtype=float) for c in zip(*rows))
         fits = [(fit_logistic(w / np.maximum(1, n) ** a, y), a) for a in LENGTH_POWERS]
@@ -213,12 +261,14 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
         sample.unpersist()
 
 
-def _exceptions(sample: DataFrame, model: ToxicityModel, schema: str) -> list[str]:
-    """Words and word pairs around a match that clean documents use at least as much as toxic ones."""
+def _around_matches(sample: DataFrame, model: ToxicityModel, schema: str) -> DataFrame:
+    """Document counts of matched words, and of the word pairs they stand in."""
 
     def around(folded: str) -> set[str]:
-        words = folded.split()
         out: set[str] = set()
+        if not model.weight(folded):
+            return out
+        words = folded.split()
         for i, w in enumerate(words):
             s = f" {w} "
             if model.weight(s):
@@ -229,9 +279,7 @@ def _exceptions(sample: DataFrame, model: ToxicityModel, schema: str) -> list[st
                     out.add(f" {w} {words[i + 1]} ")
         return out
 
-    quick = model.weight
-    found = _pair_counts(sample, lambda s: around(s) if quick(s) else set(), schema).filter("c >= 3 and c >= t")
-    return sorted(r["p"] for r in found.orderBy(F.desc("c"), "p").limit(MAX_PATTERNS).collect() if r["p"] not in model.weights)
+    return _pair_counts(sample, around, schema).filter("t + c >= 2")
 
 
 def _weights(sample: DataFrame, model: ToxicityModel) -> DataFrame:

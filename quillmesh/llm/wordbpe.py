@@ -88,7 +88,7 @@ class WordEncoder:
     ``limit`` chunks and half as many words.
     """
 
-    def __init__(self, splitter: Splitter, encode_word, limit: int = 500_000):
+    def __init__(self, splitter: Splitter, encode_word, limit: int = 1_000_000):
         self.splitter = splitter
         self.word_ids = Memo(lambda w: b"".join(i.to_bytes(4, "little") for i in encode_word(w)), limit // 2)
         self.chunk_ids = Memo(self._chunk, limit)
