@@ -5,11 +5,12 @@ from __future__ import annotations
 from . import warc
 from .bpe_automaton import op8_bpe_codec
 from .quality import op2_quality
+from .secrets_cnn import op10_secrets
 from .toxicity import op7_toxicity
 from .packing import op5_packing
 from .token_counts import op6_token_counts
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op2_quality, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc)}
+QUERIES = {f.__name__: f for f in (op2_quality, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc, op10_secrets)}
 
 SQL: dict[str, str] = {"op9_warc": warc.oracle_sql()}
