@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import topk, warc
 from .bpe_automaton import op8_bpe_codec
 from .quality import op2_quality
 from .secrets_cnn import op10_secrets
+from .topk import op3_topk
 from .toxicity import op7_toxicity
 from .packing import op5_packing
 from .token_counts import op6_token_counts
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op2_quality, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_topk, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc, op10_secrets)}
 
-SQL: dict[str, str] = {"op9_warc": warc.oracle_sql()}
+SQL: dict[str, str] = {"op3_topk": topk.oracle_sql(), "op9_warc": warc.oracle_sql()}
