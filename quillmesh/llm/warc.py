@@ -126,7 +126,7 @@ def write_records(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES)
         if rows:
             yield flush()
 
-    records.mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    records.mapInArrow(run, CHUNK_SCHEMA).write.parquet(path)
 
 
 def parse_head(data: bytes) -> tuple[dict[str, str], int]:
