@@ -9,10 +9,11 @@ from .rp_forest import op1_embedding_neardup
 from .secrets_cnn import op10_secrets
 from .topk import op3_topk
 from .toxicity import op7_toxicity
+from .jaccard_join import op4_jaccard_join
 from .packing import op5_packing
 from .token_counts import op6_token_counts
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_quality, op3_topk, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_quality, op3_topk, op4_jaccard_join, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc, op10_secrets)}
 
 SQL: dict[str, str] = {"op3_topk": topk.oracle_sql(), "op9_warc": warc.oracle_sql()}
