@@ -1,11 +1,75 @@
-"""Corpus pipeline (stages are filled in as the operators land)."""
+"""Corpus pipeline: quality, toxicity, near-duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of ``documents``; all stages but the
+last return these columns. The stages' decisions take effect: rejected documents and further copies
+go, secrets are replaced by a mark. SQL cannot express the stages; tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmesh.llm.jaccard_join import jaccard_components
+from quillmesh.llm.labelled import labelled_sample
+from quillmesh.llm.packing import pack_power_of_two
+from quillmesh.llm.quality import MAX_TRAINING_ROWS as QUALITY_ROWS
+from quillmesh.llm.quality import fit_quality, score_quality
+from quillmesh.llm.secrets_cnn import fit_secrets, redact
+from quillmesh.llm.shared import table, written
+from quillmesh.llm.toxicity import MAX_TRAINING_ROWS as TOXICITY_ROWS
+from quillmesh.llm.toxicity import fit_toxicity, score_toxicity
+
+QUALITY_LEAST = 0.3
+TOXICITY_MOST = 0.7
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least QUALITY_LEAST."""
+    model = fit_quality(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 5, 0, QUALITY_ROWS))
+    return score_quality(docs, model, score_col="_score").filter(F.col("_score") >= QUALITY_LEAST).select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below TOXICITY_MOST."""
+    model = fit_toxicity(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1, TOXICITY_ROWS))
+    return score_toxicity(docs, model, score_col="_score").filter(F.col("_score") < TOXICITY_MOST).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest id, once.
+
+    Documents without words and those with a null id are groups of their own.
+    """
+    groups = jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
+    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found in their texts replaced by a mark."""
+    clean = redact(docs, fit_secrets(docs))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
+    return clean.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two length with their token ids."""
+    return pack_power_of_two(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
