@@ -106,11 +106,8 @@ def frequency_levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         mask = np.uint64(len(counts) - 1)
         for b in batches:
-            held = []
             for s in shingle_sets(b.column(0), words):
-                held.append((s & mask).astype(np.int64))
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+                counts[(s & mask).astype(np.int64)] += 1  # two shingles of a set in one place count once
         yield from _slices(counts)
 
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
@@ -177,9 +174,9 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     """Fixed-size filter of the ids in column ``id``; a false hit costs work, never a wrong result."""
 
     def run(batches):
-        seen = np.zeros(1 << BLOOM_BITS, dtype=np.uint32)
+        seen = np.zeros(1 << BLOOM_BITS, dtype=bool)
         for b in batches:
-            seen[_places(b.column(0).to_numpy())] = 1
+            seen[_places(b.column(0).to_numpy())] = True
         yield from _slices(seen)
 
     bits = np.zeros(1 << BLOOM_BITS, dtype=bool)

@@ -45,12 +45,12 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.searchsorted(starts, bounds)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), before
-    spots = np.flatnonzero(solid)
-    word = np.cumsum(first[spots]) - 1
-    at = spots - starts[word]
+    spots = np.flatnonzero(solid).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+    heads = np.flatnonzero(first[spots])
+    at = spots - np.repeat(starts.astype(spots.dtype), np.diff(np.append(heads, len(spots))))
     with np.errstate(over="ignore"):
-        values = _BYTE[_LOWER[data[spots]]] * _powers(int(at.max()) + 1)[at]
-        heads = np.flatnonzero(first[spots])
+        values = _BYTE[_LOWER[data[spots]]]
+        values *= _powers(int(at.max()) + 1)[at]
         return mix(np.add.reduceat(values, heads)), before
 
 
@@ -61,7 +61,7 @@ def shingle_sets(column: pa.Array, k: int):
     null texts and texts without words have none.
     """
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    part = 1 << 25  # bytes at a time, so that temporary arrays stay small
+    part = 1 << 20  # bytes at a time, so that temporary arrays stay small
     n, i = len(column), 0
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
     raw = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None and n else np.zeros(0, np.uint8)
