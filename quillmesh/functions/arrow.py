@@ -16,22 +16,35 @@ DECLARED = (re.compile(rb"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([\w.:-]+)"""),
 MISREAD = re.compile("Ã[\u0080-¿]|Â[\u0080-¿]|â€|�")
 
 
-@F.pandas_udf("string")
+def arrow_function(kind: str):
+    """Like ``pandas_udf``, but made at the first call, so that importing needs no session."""
+
+    def wrap(f):
+        def call(*columns):
+            return F.pandas_udf(f, kind)(*columns)
+
+        call.__doc__ = f.__doc__
+        return call
+
+    return wrap
+
+
+@arrow_function("string")
 def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def url_join(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else urljoin(b or "", x) for b, x in zip(base, link)], dtype=object)
 
@@ -65,6 +78,6 @@ def decode_page(raw: bytes | None) -> str | None:
     return unicodedata.normalize("NFC", best[2].lstrip("﻿"))
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def decode_html(s: pd.Series) -> pd.Series:
     return pd.Series([decode_page(None if x is None else bytes(x)) for x in s], dtype=object)

@@ -91,7 +91,7 @@ def normalize_doi_strict(c) -> Column:
 
 def extract_dois(c, unique: bool = True) -> Column:
     """Normalised DOIs of a text in order."""
-    found = F.filter(F.transform(F.regexp_extract_all(unescape_basic(c), F.lit(DOI_PATTERN), F.lit(0)), normalize_doi), lambda d: d != "")
+    found = F.filter(F.transform(F.regexp_extract_all(unescape_basic(c), F.lit(DOI_PATTERN), F.lit(0)), lambda t: normalize_doi(t)), lambda d: d != "")
     return F.array_distinct(found) if unique else found
 
 
@@ -139,7 +139,7 @@ def compact_title_key(c) -> Column:
 
 def split_terms(c, signs: str = ";,|") -> Column:
     """Cleaned distinct terms of a delimited text, in order."""
-    parts = F.transform(F.split(text_of(c), rf"\s*[{signs}]\s*"), clean_text)
+    parts = F.transform(F.split(text_of(c), rf"\s*[{signs}]\s*"), lambda t: clean_text(t))
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_function
 from ..functions.scores import pdf_priority
 from ..functions.text import arxiv_base, arxiv_id, clean_text, doi_url, extract_dois, nonempty, normalize_doi, pubmed_id, split_terms, text_of, year_text
 from ..sources.records import canonicalize
@@ -75,14 +76,18 @@ def parse_page(html: str | None) -> dict:
     return {"title": p.title.strip(), "metas": [{"key": k, "content": v} for k, v in p.metas], "links": p.links, "jsonld": [x.strip() for x in p.jsonld if x.strip()]}
 
 
-@F.pandas_udf(PAGE_PARTS)
+@arrow_function(PAGE_PARTS)
 def page_parts(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_page(x) for x in html], columns=["title", "metas", "links", "jsonld"])
 
 
 def meta_values(parts: Column, *names: str) -> Column:
     """Contents of the metas with these names: by order of names, then of the page."""
-    return F.flatten(F.array(*[F.transform(F.filter(parts["metas"], lambda m, n=n: m["key"] == n), lambda m: m["content"]) for n in names]))
+
+    def named(name: str) -> Column:
+        return F.transform(F.filter(parts["metas"], lambda m: m["key"] == name), lambda m: m["content"])
+
+    return F.flatten(F.array(*map(named, names)))
 
 
 def meta_first(parts: Column, names) -> Column:
@@ -110,7 +115,7 @@ def pdf_links(parts: Column, base: Column) -> Column:
     return _pdf_links(parts["links"], base)
 
 
-@F.pandas_udf("array<struct<url:string,source:string,license:string,oa_status:string>>")
+@arrow_function("array<struct<url:string,source:string,license:string,oa_status:string>>")
 def _pdf_links(links: pd.Series, base: pd.Series) -> pd.Series:
     out = []
     for rows, b in zip(links, base):
@@ -180,7 +185,7 @@ def jsonld_nodes(text: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(f"array<struct<{JSONLD_ARTICLE.replace(' ', ':').replace(',:', ',')}>>")
+@arrow_function(f"array<struct<{JSONLD_ARTICLE.replace(' ', ':').replace(',:', ',')}>>")
 def jsonld_records(scripts: pd.Series) -> pd.Series:
     return pd.Series([[n for s in (x if x is not None else ()) for n in jsonld_nodes(s)] for x in scripts], dtype=object)
 

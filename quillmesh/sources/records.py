@@ -34,7 +34,7 @@ def canonicalize(df: DataFrame) -> DataFrame:
     for c in ("title", "year", "journal", "volume", "issue", "pages", "metadata_source"):
         out[c] = clean_text(out[c])
     out["abstract"], out["doi"] = clean_abstract(out["abstract"]), normalize_doi(out["doi"])
-    out["authors"] = F.filter(F.transform(out["authors"], clean_text), lambda x: x != "")
+    out["authors"] = F.filter(F.transform(out["authors"], lambda t: clean_text(t)), lambda x: x != "")
     for c in ("keywords", "keywords_source", "concepts", "concepts_source", "enrichment_sources", "metadata_warnings", "notes"):
         out[c] = distinct_ci(out[c])
     origin = F.coalesce(nonempty(out["metadata_source"]), F.lit("input"))
@@ -185,7 +185,7 @@ def arxiv_hits(feeds: DataFrame, xml: str = "xml", source: str = "arxiv") -> Dat
     """Search hits of Atom feeds: one row per entry, in order; titles over several lines included."""
     entries = F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<entry>.*?</entry>"), F.lit(0))).alias("pos", "e")
     part = lambda tag: clean_text(F.regexp_extract("e", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))
-    names = F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<name>(.*?)</name>"), F.lit(1)), clean_text)
+    names = F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<name>(.*?)</name>"), F.lit(1)), lambda t: clean_text(t))
     return feeds.select(entries).select(part("title").alias("title"), F.array_join(F.slice(names, 1, 3), "; ").alias("authors"), F.coalesce(F.substring(part("published"), 1, 4).try_cast("int"), F.lit(0)).alias("year"), F.lit("arXiv").alias("venue"), part("arxiv:doi").alias("doi"), F.lit(0).alias("citations"), F.lit(source).alias("source"), part("id").alias("oa_url"), F.col("pos").cast("long").alias("pos"))
 
 
