@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_folder, new_folder
+from .shared import Scratch, drop_folder, new_folder
 
 MAX_ROUNDS = 60
 
@@ -25,11 +25,11 @@ def _with_min(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("k")).drop("k")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) for every id on an edge (columns a, b); the component is its smallest id.
 
     Self-loops, repeated and reversed edges are allowed; ids without an edge to another id are not
-    returned. An empty table gives an empty result.
+    returned. An empty table gives an empty result. ``scratch`` takes over the result's folder.
     """
     spark = edges.sparkSession
     kind = edges.schema["a"].dataType
@@ -61,4 +61,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+    if scratch is not None:
+        scratch.paths.append(path)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())

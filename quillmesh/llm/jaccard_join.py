@@ -12,8 +12,10 @@ enumeration would cost more rows than scanning and verifying.
 
 The order comes from a sketch of document frequencies over all documents (fixed size, so it can be
 sent everywhere); it decides cost, never results. Lists are worked off in two passes that leave no link
-out: first every member meets one leader of its list, then only pairs from different components of the
-first pass meet. A list of a thousand near copies thus costs a thousand candidates, not half a million.
+out: first every member meets a few leaders of its list (the logarithm of its length), then only pairs
+from different components of the first pass meet. A list of a thousand near copies thus costs some ten
+thousand candidates, not half a million. Before any set is fetched, candidates are thinned by parity
+vectors: two sets differ in at least as many shingles as their vectors differ in bits.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import table, written
+from .shared import Scratch, table, written
 from .shingles import mix, shingle_sets
 
 WORDS, PERCENT = 3, 90
@@ -38,6 +40,8 @@ SLICE_BITS = 15
 BLOOM_BITS = 24
 VERIFY_COST = 32  # rows that scanning and verifying one set costs, against one row per subset
 LARGEST_LIGHT = 64
+MOST_LEADERS = 16
+LEAST_PARITY_BITS = 512
 
 
 def least_overlap(a, b, percent: int):
@@ -68,6 +72,28 @@ def prefix_length(n: int, percent: int) -> int:
     return n + ((-percent * n) // 100) + 1
 
 
+def parity_bits(n: int, percent: int) -> int:
+    """Length of a set's parity vector: a power of two, several times the greatest allowed difference."""
+    return max(LEAST_PARITY_BITS, 1 << (4 * n * (100 - percent) // percent).bit_length())
+
+
+def parity_vector(shingles: np.ndarray, percent: int) -> bytes:
+    """Bit i: whether an odd number of shingles falls on i. Shorter vectors are folds of longer ones."""
+    bits = parity_bits(len(shingles), percent)
+    at = (mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Lower bound of the symmetric difference of two sets by their parity vectors."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _merged_slices(parts: DataFrame, combine) -> dict[int, np.ndarray]:
     """Combine sparse slices (slice, places, values) of all partitions; the result has a fixed size."""
 
@@ -130,7 +156,7 @@ def subset_signatures(shingles: np.ndarray, percent: int, below: int) -> list[in
 
 
 def signatures(docs: DataFrame, levels, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, n, d1, d2, prefix, subsets, overlaps) per document, in one narrow pass."""
+    """(id, n, d1, d2, prefix, subsets, overlaps, parity) per document, in one narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
     below = light_boundary(percent)
     least_heavy = min(partner_sizes(below, percent))  # lighter sets never link with a heavy one
@@ -138,7 +164,7 @@ def signatures(docs: DataFrame, levels, id_col: str, text_col: str, words: int,
     def run(batches):
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         for b in batches:
-            n, d1, d2, prefix, subsets, overlaps = [], [], [], [], [], []
+            n, d1, d2, prefix, subsets, overlaps, parity = [], [], [], [], [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
                 x = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8")
@@ -152,17 +178,19 @@ def signatures(docs: DataFrame, levels, id_col: str, text_col: str, words: int,
                     few = s[rank <= edge]
                     order = np.lexsort((few, rank[rank <= edge]))[:need]
                     prefix.append(few[order].astype(np.int64))
+                    parity.append(parity_vector(s, percent))
                 else:
                     prefix.append(None)
+                    parity.append(None)
                 found = subset_signatures(s, percent, below) if 0 < len(s) < below else []
                 subsets.append([x for _, xs in found for x in xs] or None)
                 overlaps.append([c for c, xs in found for _ in xs] or None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.int64())), pa.array(overlaps, pa.list_(pa.int32()))],
-                [id_col, "n", "d1", "d2", "prefix", "subsets", "overlaps"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.int64())), pa.array(overlaps, pa.list_(pa.int32())), pa.array(parity, pa.binary())],
+                [id_col, "n", "d1", "d2", "prefix", "subsets", "overlaps", "parity"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n long, d1 long, d2 long, prefix array<bigint>, subsets array<bigint>, overlaps array<int>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n long, d1 long, d2 long, prefix array<bigint>, subsets array<bigint>, overlaps array<int>, parity binary")
 
 
 def _needed(a, b, percent: int):
@@ -189,7 +217,20 @@ def _places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity vectors allow a link."""
+
+    @F.pandas_udf("boolean")
+    def close(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        allowed = n + m - 2 * least_overlap(n, m, percent)
+        return pd.Series([least_difference(p, q) <= d for p, q, d in zip(x, y, allowed)], dtype=bool)
+
+    left, right = (classes.select(F.col("rep").alias(r), F.col("n").alias(n), F.col("parity").alias(v)) for r, n, v in (("ra", "na", "va"), ("rb", "nb", "vb")))
+    met = pairs.join(left, F.col("a") == F.col("ra")).join(right, F.col("b") == F.col("rb"))
+    return met.filter(close("na", "nb", "va", "vb")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose documents' shingle sets link. Only sets of ids in pairs move."""
     spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -205,7 +246,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
     sets = source.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets, "shingle-sets")
+    sets = scratch.written(sets, "shingle-sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -230,11 +271,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     different texts under one id connect what they link with; null ids are their own component. Other
     columns are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col, words))  # 2**SKETCH_BITS bytes
-    signed = written(signatures(docs, levels, id_col, text_col, words, percent).withColumnRenamed(id_col, "id"), "jaccard-signatures")
+    signed = scratch.written(signatures(docs, levels, id_col, text_col, words, percent).withColumnRenamed(id_col, "id"), "jaccard-signatures")
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = written(usable.groupBy("d1", "d2").agg(F.min("id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "subsets", "overlaps"))), "jaccard-classes")
+    classes = scratch.written(usable.groupBy("d1", "d2").agg(F.min("id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "subsets", "overlaps", "parity"))), "jaccard-classes")
 
     # light sets: a star per shared subset
     subsets = classes.filter(F.col("subsets").isNotNull()).select("rep", "n", F.explode(F.arrays_zip("subsets", "overlaps")).alias("s"))
@@ -243,38 +284,43 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     light = subsets.join(heads, (F.col("sig") == F.col("k")) & (F.col("c") == F.col("kc"))).filter((F.col("head") != F.col("rep")) & (_needed("hn", "n", percent) <= F.col("c")))
     light = light.select(F.col("rep").alias("a"), F.col("head").alias("b"))
 
-    # heavy sets: inverted lists of the first shingles
-    lists = classes.filter(F.col("prefix").isNotNull()).select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    leaders = lists.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("token", "rep"), "rep", "n", "pos")).alias("lead")).filter("many > 1")
-    leaders = leaders.select(F.col("token").alias("k"), F.col("lead.rep").alias("lr"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp"))
-    shared = written(lists.join(leaders, F.col("token") == F.col("k")).drop("k"), "jaccard-lists")
+    # heavy sets: inverted lists of the first shingles, those of two members or more
+    lists = classes.filter(F.col("prefix").isNotNull()).select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    many = lists.groupBy("token").agg(F.count("*").cast("int").alias("many")).filter("many > 1").withColumnRenamed("token", "k")
+    shared = scratch.written(lists.join(many, F.col("token") == F.col("k")).drop("k"), "jaccard-lists")
 
     def possible(n1: str, p1: str, n2: str, p2: str):
         """Length and position bounds for a pair that meets first at these positions."""
-        need = _needed(n1, n2, percent)
-        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (1 + F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) - 1 >= need)
-
-    first = shared.filter((F.col("rep") != F.col("lr")) & possible("n", "pos", "ln", "lp"))
-    first = written(first.select(F.greatest("rep", "lr").alias("a"), F.least("rep", "lr").alias("b")).distinct(), "jaccard-candidates")
-    edges = written(_verified(first, docs, id_col, text_col, words, percent).union(light), "jaccard-links")
-    parts = connected_components(edges)
+        shorter_tail = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
+        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (shorter_tail >= _needed(n1, n2, percent))
+
+    place = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("token", "rep"), "rep"))
+    leaders = shared.withColumn("place", place).filter(F.col("place") <= MOST_LEADERS).filter(F.col("place") <= F.ceil(F.log2("many")))
+    leaders = leaders.select(F.col("token").alias("k"), F.col("rep").alias("lr"), F.col("n").alias("ln"), F.col("pos").alias("lp"))
+    first = shared.join(leaders, (F.col("token") == F.col("k")) & (F.col("rep") != F.col("lr")) & possible("n", "pos", "ln", "lp"))
+    first = first.select(F.greatest("rep", "lr").alias("a"), F.least("rep", "lr").alias("b")).distinct()
+    first = scratch.written(_close(first, classes, percent), "jaccard-candidates")
+    edges = scratch.written(_verified(first, docs, scratch, id_col, text_col, words, percent).union(light), "jaccard-links")
+    parts = connected_components(edges, scratch)
 
     marked = shared.select("token", "rep", "n", "pos").join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    marked = written(marked, "jaccard-marked-lists")
+    marked = scratch.written(marked, "jaccard-marked-lists")
     mixed = marked.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select(F.col("token").alias("k"))
     marked = marked.join(mixed, F.col("token") == F.col("k"), "left_semi")
     other = marked.select(F.col("token").alias("t2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("part").alias("q2"))
     second = marked.join(other, (F.col("token") == F.col("t2")) & (F.col("rep") > F.col("r2")) & (F.col("part") != F.col("q2")) & possible("n", "pos", "n2", "p2"))
     second = second.select(F.col("rep").alias("a"), F.col("r2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = written(second, "jaccard-candidates")
+    second = scratch.written(_close(second, classes, percent), "jaccard-candidates")
     if second.limit(1).count():
-        more = written(_verified(second, docs, id_col, text_col, words, percent), "jaccard-links")
-        parts = connected_components(edges.union(more)) if more.limit(1).count() else parts
+        more = scratch.written(_verified(second, docs, scratch, id_col, text_col, words, percent), "jaccard-links")
+        parts = connected_components(edges.union(more), scratch) if more.limit(1).count() else parts
 
     by_class = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = by_class.select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "d1", "d2").join(by_class, (F.col("n") > 0) & F.col("id").isNotNull() & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    result = written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-components")
+    scratch.drop()
+    return result
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import table, written
+from .shared import Scratch, table, written
 
 COSINE = 0.9
 TREES = 10
@@ -192,11 +192,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     are null, zero, empty or hold null or non-finite components link with nothing. Rows that repeat
     an id are one vector (the smallest). Vectors are compared with those of equal dimension.
     """
-    spark = vectors.sparkSession
-    everything = written(usable_vectors(vectors).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding")), "vectors")
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
+    everything = scratch.written(usable_vectors(vectors).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding")), "vectors")
     usable = everything.filter(F.col("embedding").isNotNull())
     classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
-    classes = written(classes, "vector-classes")
+    classes = scratch.written(classes, "vector-classes")
     total = classes.count()
     shapes = [r["d"] for r in classes.select(F.size("embedding").alias("d")).distinct().limit(64).collect()]
 
@@ -227,7 +227,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["rep", "size", "embedding", "leaves"])
 
     routed = classes.select("rep", "size", "embedding").mapInArrow(route, f"rep long, size long, embedding {kind}, leaves array<bigint>")
-    routed = written(routed, "routed-vectors")
+    routed = scratch.written(routed, "routed-vectors")
     # leaves that exceed a block: at most SAMPLE_ROWS / LEAST_SAMPLE_LEAF leaves a tree exist at all
     counts = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().filter(F.col("count") > 1)
     counts = counts.select(F.col("leaf").alias("k"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
@@ -246,14 +246,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
             (ids, links), (a, b) = compare_leaf(leaf_id, group["rep"].to_numpy(), group["size"].to_numpy(), _rows_matrix(group["embedding"]), codes, side, cosine)
         return pa.table({"a": np.concatenate([ids, a]), "links": pa.array(np.concatenate([links, np.zeros(len(a), np.int64)])), "b": pa.array([None] * len(ids) + b.tolist(), pa.int64())})
 
-    found = written(task.groupBy("leaf", "first", "second").applyInArrow(compare, "a long, links long, b long"), "vector-links")
+    found = scratch.written(task.groupBy("leaf", "first", "second").applyInArrow(compare, "a long, links long, b long"), "vector-links")
     links = found.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.filter(F.col("b").isNotNull()).select("a", "b"))
+    parts = connected_components(found.filter(F.col("b").isNotNull()).select("a", "b"), scratch)
     by_class = classes.select("h1", "h2", "rep", "size").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = by_class.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     joined = everything.select("vec_id", "h1", "h2", F.col("embedding").isNotNull().alias("good")).join(by_class, F.col("good") & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     component = F.coalesce("c", "vec_id")
-    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    result = joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    result = written(result, "vector-components")
+    scratch.drop()
+    return result
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
