@@ -1,10 +1,599 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each applies operators of this library to whole tables, with SQL to compare."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scores as S
+from .functions import text as T
+from .operators import enrich as E
+from .operators import extract as X
+from .operators import incremental as I
+from .operators import network as N
+from .operators import reports as P
+from .operators import resolve as R
+from .operators import search as Q
+from .operators import sinks as K
+from .operators import tasks as H
+from .plans import runs
+from .sources import derived as D
+from .sources import records as M
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL for the same rows."""
+
+    def wrap(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+LIT, RANK, NOTES = D.LIT_SQL, D.RANK_SQL, D.NOTES_SQL
+#: Full DOI normal form of the derived spellings, in DuckDB's regular expressions.
+DOI = r"lower(regexp_replace(regexp_replace(regexp_replace(doi, '^https?://(dx\.)?doi\.org/', '', 'i'), '^doi:\s*', '', 'i'), '\)?[.,;:]*$', ''))"
+TKEY = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
+VKEY = r"regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(title, 'C\(sp\s*3\s*\)', 'C(sp3)', 'gi'), 'C\s*sp\s*3', 'C(sp3)', 'gi'), 'S\s*H\s*2', 'SH2', 'gi')), '[^a-z0-9]+', '', 'g')"
+
+
+
+def word(text: str) -> str:
+    """Pattern for a whole word whose letters may be of any script, the same in Java and RE2."""
+    return rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{text})(?:$|[^\p{{L}}\p{{N}}_])"
+
+
+RULES = (
+    N.Rule("of", "function word", (word("of"),)),
+    N.Rule("the", "function word", (word("the"),)),
+    N.Rule("romance que", "romance", (word("que"), word("qui"))),
+    N.Rule("german article", "germanic", (word("und"), word("der"))),
+    N.Rule("licence", "legal", ("licensed under", "all rights reserved")),
+    N.Rule("cta", "web", ("subscribe", "cookie")),
+)
+_RULE_SQL = "rules(rule_no, name, category, pattern) as (values " + ", ".join(f"({i}, '{r.name}', '{r.category}', '{'|'.join(r.patterns)}')" for i, r in enumerate(RULES)) + ")"
+TERMS = (
+    f"{LIT}, {_RULE_SQL}, terms as (select pos, rule_no, name, category, case when regexp_matches(title, pattern, 'i') then 'title' else 'abstract' end as source_field, title, doi, abstract, pattern "
+    "from lit, rules where regexp_matches(title, pattern, 'i') or regexp_matches(abstract, pattern, 'i'))"
+)
+
+
+def lit(spark, sf):
+    return D.lit_records(spark, sf)
+
+
+def hits(spark, sf):
+    return lit(spark, sf).select("pos", "doi", "title", F.array_join(F.slice("authors", 1, 3), "; ").alias("authors"), T.int_or_zero("year").alias("year"), F.col("journal").alias("venue"), F.col("citations").cast("int").alias("citations"), "source", "src_rank", F.col("url").alias("oa_url"))
+
+
+def articles(spark, sf):
+    return M.canonicalize(lit(spark, sf).withColumn("citation_count", F.col("citations")).drop("citations", "source", "src_rank", "k"))
+
+
+def terms(spark, sf):
+    return N.tag_terms(lit(spark, sf), RULES, ("title", "abstract"))
+
+
+# --- search -------------------------------------------------------------------------------------
+
+_BEST = f"""best as (select * from (select *, {DOI} as nd, coalesce(try_cast(year as int), 0) as y, coalesce(nullif({DOI}, ''), 'row:' || pos) as key,
+  row_number() over (partition by coalesce(nullif({DOI}, ''), 'row:' || pos) order by coalesce(citations, 0) desc, pos) as n, min(pos) over (partition by coalesce(nullif({DOI}, ''), 'row:' || pos)) as slot from lit) where n = 1)"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["search_topk"](spark, sf_dir)
+
+
+@query(f"""with {LIT}, {_BEST}, {RANK}, top as (select *, row_number() over (order by citations desc nulls last, y desc, src_rank, slot) as number from best order by number limit 30)
+select cast(number as int) as number, slot as pos, title, nd as doi, cast(y as int) as year, journal as venue, cast(citations as int) as citations, coalesce(r.name, '') as rank_name
+from top left join (select regexp_replace(lower(name), '^the\\s+', '') as jk, name from ranks union select a.alias, r.name from aliases a join ranks r on regexp_replace(lower(r.name), '^the\\s+', '') = a.name
+  where a.alias not in (select regexp_replace(lower(name), '^the\\s+', '') from ranks)) r on lower(journal) = r.jk""")
+def search_topk(spark, sf):
+    top = runs.federated_search([hits(spark, sf)], 30, *D.rank_tables(spark))
+    return top.select("number", "pos", "title", T.normalize_doi("doi").alias("doi"), "year", "venue", "citations", F.coalesce("rank_name", F.lit("")).alias("rank_name"))
+
+
+@query(f"with {LIT}, {_BEST} select slot as pos, nd as doi, cast(citations as int) as citations, title from best")
+def search_best_by_doi(spark, sf):
+    return R.best_by_doi(hits(spark, sf), T.normalize_doi("doi")).select("pos", T.normalize_doi("doi").alias("doi"), "citations", "title")
+
+
+@query(f"""with {LIT}, a as (select *, {DOI} as nd, {TKEY} as tk from lit),
+u as (select *, row_number() over (partition by coalesce(nullif(nd, ''), 'row:' || pos) order by coalesce(citations, 0) desc, pos) as n, min(pos) over (partition by coalesce(nullif(nd, ''), 'row:' || pos)) as slot from a where nd <> ''),
+v as (select *, row_number() over (partition by coalesce(nullif(tk, ''), 'row:' || pos) order by pos) as n from a where nd = '')
+select slot as pos, nd as doi, title from u where n = 1 union all select pos, nd, title from v where n = 1""")
+def candidates_dedupe(spark, sf):
+    return R.dedupe_candidates(hits(spark, sf), T.normalize_doi("doi")).select("pos", T.normalize_doi("doi").alias("doi"), "title")
+
+
+@query(f"with {LIT}, s as (select *, row_number() over (partition by src_rank order by pos) as n from lit) select pos, source from s where n <= 15")
+def search_per_source_limit(spark, sf):
+    return Q.union_sources(hits(spark, sf), per_source=15).select("pos", "source")
+
+
+@query(f"with {LIT} select pos, year from lit where coalesce(try_cast(year as int), 0) = 0 or (cast(year as int) >= 2005 and cast(year as int) <= 2015)")
+def year_filter_open(spark, sf):
+    return lit(spark, sf).filter(Q.year_in_range("year", 2005, 2015)).select("pos", "year")
+
+
+@query(f"with {LIT} select pos, year from lit where coalesce(try_cast(year as int), 0) >= 2005")
+def year_filter_strict(spark, sf):
+    return lit(spark, sf).filter(Q.year_in_range("year", 2005, unknown_passes=False)).select("pos", "year")
+
+
+# --- text functions -----------------------------------------------------------------------------
+
+
+@query(f"with {LIT} select pos, {DOI} as doi from lit")
+def doi_normalize_full(spark, sf):
+    return lit(spark, sf).select("pos", T.normalize_doi("doi").alias("doi"))
+
+
+@query(f"with {LIT} select pos, lower(trim(doi)) as doi from lit")
+def doi_normalize_anchored(spark, sf):
+    return lit(spark, sf).select("pos", T.normalize_doi_anchored("doi").alias("doi"))
+
+
+@query(f"with {LIT} select pos, coalesce(nullif(regexp_extract(lower(trim(doi)), '(10\\.\\d{{4,}}/.*)$', 1), ''), lower(trim(doi))) as doi from lit")
+def doi_normalize_unanchored(spark, sf):
+    return lit(spark, sf).select("pos", T.normalize_doi_unanchored("doi").alias("doi"))
+
+
+@query(f"with {LIT} select pos, regexp_replace(regexp_replace(regexp_replace(doi, '^https?://(dx\\.)?doi\\.org/', '', 'i'), '^doi:\\s*', '', 'i'), '[.,;)\\]}}]+$', '') as doi from lit")
+def doi_normalize_casekeep(spark, sf):
+    return lit(spark, sf).select("pos", T.normalize_doi_casekeep("doi").alias("doi"))
+
+
+@query(f"with {LIT} select pos, lower(regexp_replace(regexp_replace(regexp_replace(doi, '^https?://(dx\\.)?doi\\.org/', '', 'i'), '^doi:\\s*', '', 'i'), '[.,;)\\]}}]+$', '')) as doi from lit")
+def doi_normalize_strict(spark, sf):
+    return lit(spark, sf).select("pos", T.normalize_doi_strict("doi").alias("doi"))
+
+
+@query(f"with {LIT}, e as (select pos, unnest(regexp_extract_all(doi || ' see ' || doi || ' and doi:10.5555/Ref.' || (pos % 3), '10\\.\\d{{4,9}}/[-._;()/:A-Za-z0-9%]+', 0)) as m from lit) select distinct pos, lower(regexp_replace(m, '\\)?[.,;:]*$', '')) as doi from e")
+def doi_extract_explode(spark, sf):
+    text = F.concat("doi", F.lit(" see "), "doi", F.lit(" and doi:10.5555/Ref."), F.col("pos") % 3)
+    return lit(spark, sf).select("pos", F.explode(T.extract_dois(text)).alias("doi"))
+
+
+@query(f"with {LIT} select pos, {TKEY} as title_key, {VKEY} as version_key from lit")
+def title_keys(spark, sf):
+    return lit(spark, sf).select("pos", T.title_key("title").alias("title_key"), T.compact_title_key("title").alias("version_key"))
+
+
+@query(f"with {LIT}, e as (select pos, unnest(list_transform(string_split_regex(title, '\\s*[;,|]\\s*'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))) as term from lit) select distinct pos, term from e where term <> ''")
+def terms_split_distinct(spark, sf):
+    return lit(spark, sf).select("pos", F.explode(T.split_terms("title")).alias("term"))
+
+
+@query(f"with {LIT} select pos, case when list_count(list_filter(keywords, lambda x: true)) = 0 then 0 when lower(keywords[1]) = lower(keywords[2]) then 1 else 2 end as n, keywords[1] as first_keyword from lit")
+def keywords_distinct_ci(spark, sf):
+    kw = T.distinct_ci("keywords")
+    return lit(spark, sf).select("pos", F.size(kw).alias("n"), F.get(kw, F.lit(0)).alias("first_keyword"))
+
+
+@query(f"with {LIT} select pos, regexp_extract(journal || ' published ' || year, '(18|19|20|21)\\d{{2}}', 0) as year, sha256(title) as title_sha256, sha1(title) as title_sha1 from lit")
+def year_and_hashes(spark, sf):
+    return lit(spark, sf).select("pos", T.year_text(F.concat("journal", F.lit(" published "), "year")).alias("year"), F.sha2("title", 256).alias("title_sha256"), F.sha1("title").alias("title_sha1"))
+
+
+@query(f"with {LIT} select pos, regexp_extract('https://pubmed.ncbi.nlm.nih.gov/' || (100000 + pos) || '/', '(\\d{{5,12}})', 1) as pmid, (2000 + pos % 25) || '.' || (10000 + pos % 80000) as arxiv_id from lit")
+def page_identifiers(spark, sf):
+    url = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.col("pos") + 100000, F.lit("/"))
+    text = F.concat(F.lit("see arXiv:"), F.col("pos") % 25 + 2000, F.lit("."), F.col("pos") % 80000 + 10000, F.lit("v2"))
+    return lit(spark, sf).select("pos", T.pubmed_id(url, text).alias("pmid"), T.arxiv_base(T.arxiv_id(url, text)).alias("arxiv_id"))
+
+
+@query(f"""with {LIT} select pos, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) like '%.pdf' or lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) like '%/pdf%' or regexp_extract(url, '\\?(.*)$', 1) like '%pdf%' as is_pdf,
+case when not regexp_matches(url, '^https?:') then 'unsupported URL scheme' when url like '%//blocked.example/%' then 'blocked source' else '' end as unsafe from lit""")
+def pdf_url_flags(spark, sf):
+    return lit(spark, sf).select("pos", T.looks_like_pdf("url").alias("is_pdf"), T.unsafe_reason("url", ("blocked.example",)).alias("unsafe"))
+
+
+@query(f"""with {LIT} select pos, lower('fam' || (pos % 23)) || coalesce(nullif(year, ''), 'noyear') || lower(coalesce(nullif(regexp_extract(title, '[A-Za-z0-9]+', 0), ''), cast(pos as varchar))) as key, 'Lee' || (pos % 5) as last_name from lit""")
+def citation_keys(spark, sf):
+    return lit(spark, sf).select("pos", T.citation_key("authors", "year", "title", "pos").alias("key"), T.last_name(F.get("authors", F.lit(1))).alias("last_name"))
+
+
+@query(f"""with {LIT} select pos, case when year = '' then '10' else 'Fam' || (pos % 23) || '_' || year end as stem, case when year = '' then substr(sha1(coalesce(nullif({DOI}, ''), nullif(title, ''), 'paper')), 1, 10) else 'journal' || (pos % 12) end as tail from lit""")
+def pdf_filenames(spark, sf):
+    name = T.pdf_filename("authors", "year", "journal", T.normalize_doi("doi"), "title")
+    known = F.col("year") != ""
+    return lit(spark, sf).select("pos", F.when(known, F.array_join(F.slice(F.split(name, "_"), 1, 2), "_")).otherwise("10").alias("stem"), F.when(known, F.split_part(name, F.lit("_"), F.lit(3))).otherwise(F.regexp_extract(name, r"_([0-9a-f]{10})\.pdf$", 1)).alias("tail"))
+
+
+# --- extraction ---------------------------------------------------------------------------------
+
+
+@query("select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, len(regexp_extract_all(html, '<meta ')) as n_tags from pages")
+def page_title_meta(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return pages.select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<meta "), F.lit(0))).cast("long").alias("n_tags"))
+
+
+@query()
+def page_parts_parsed(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    parts = pages.select("page_id", X.page_parts(F.col("html")).alias("p"))
+    return parts.select("page_id", F.col("p.title").alias("title"), F.size("p.metas").alias("n_metas"), F.size("p.links").alias("n_links"), F.size("p.jsonld").alias("n_scripts"))
+
+
+@query()
+def page_candidates(spark, sf):
+    found = X.initial_candidates(spark.read.parquet(f"{sf}/pages.parquet"), content="html")
+    return found.select("page_id", "branch", "found_at", "title", "doi", "metadata_source", "confidence")
+
+
+@query()
+def capture_run(spark, sf):
+    return runs.capture(spark.read.parquet(f"{sf}/pages.parquet").withColumnRenamed("html", "content")).select("pos", "title", "doi", "metadata_source", "confidence")
+
+
+@query()
+def html_decoded(spark, sf):
+    from .functions.arrow import decode_html
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return pages.select("page_id", F.length(decode_html(F.col("html").cast("binary"))).alias("n"))
+
+
+@query(f"with {LIT} select pos, string_agg(w, ' ' order by i) as abstract from (select pos, unnest(string_split(title, ' ')) as w, generate_subscripts(string_split(title, ' '), 1) as i from lit where title <> '' and not contains(title, chr(92)) and not contains(title, '\"')) group by pos")
+def inverted_index_rebuild(spark, sf):
+    words = lit(spark, sf).filter("title <> '' and not contains(title, chr(92)) and not contains(title, '\"')").select("pos", F.posexplode(F.split("title", " ", -1)).alias("i", "w"))
+    places = words.groupBy("pos", "w").agg(F.to_json(F.array_sort(F.collect_list("i"))).alias("at"))
+    index = places.groupBy("pos").agg(F.concat(F.lit('{"abstract_inverted_index":{'), F.array_join(F.collect_list(F.concat(F.lit('"'), "w", F.lit('":'), "at")), ","), F.lit("}}")).alias("j"))
+    return M.parsed(index, "j", "abstract_inverted_index MAP<STRING,VARIANT>").select("pos", M.inverted_abstract(F.col("w.abstract_inverted_index")).alias("abstract"))
+
+
+# --- merge --------------------------------------------------------------------------------------
+
+_MERGE = """
+g as (select *, max(confidence) over (partition by key order by pos rows between unbounded preceding and 1 preceding) as prev from keyed),
+m as (select *, prev is not null and confidence <= prev as ov from g),
+merged as (select min(pos) as pos, coalesce(arg_max(t, pos) filter (ov and t <> ''), arg_min(t, pos) filter (not ov and t <> ''), '') as title, coalesce(arg_max(url, pos) filter (ov and url <> ''), arg_min(url, pos) filter (not ov and url <> ''), '') as url,
+  coalesce(arg_max(citations, pos) filter (not ov and citations is not null), arg_min(citations, pos) filter (ov and citations is not null)) as citation_count, max(confidence) as confidence, count(*) as n_merged from m group by key)
+select * from merged"""
+_CLEAN = r"trim(regexp_replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"with {LIT}, keyed as (select *, {_CLEAN} as t, case when {DOI} <> '' then 'doi:' || {DOI} when {TKEY} <> '' then 'title:' || {TKEY} else 'row:' || pos end as key from lit), {_MERGE}")
+def dedupe_merge_doi(spark, sf):
+    return R.dedupe_articles(articles(spark, sf)).select("pos", "title", "url", "citation_count", "confidence", "n_merged")
+
+
+@query(f"with {LIT}, keyed as (select *, {_CLEAN} as t, case when {TKEY} <> '' then 'title:' || {TKEY} when {DOI} <> '' then 'doi:' || {DOI} else 'row:' || pos end as key from lit), {_MERGE}")
+def dedupe_merge_title(spark, sf):
+    return R.dedupe_articles(articles(spark, sf), "title").select("pos", "title", "url", "citation_count", "confidence", "n_merged")
+
+
+@query(f"with {LIT} select {DOI} as value, count(*) as n from lit where {DOI} <> '' group by 1 having count(*) > 1")
+def duplicate_groups(spark, sf):
+    return R.duplicate_groups(lit(spark, sf), T.normalize_doi("doi"))
+
+
+@query(f"with {LIT}, v as (select {VKEY} as version_key, {DOI} as doi from lit) select version_key, count(distinct doi) as n_dois, min(doi) as first_doi from v where version_key <> '' and doi <> '' group by 1 having count(distinct doi) > 1")
+def version_pairs(spark, sf):
+    return R.version_pairs(lit(spark, sf)).select("version_key", F.size("dois").cast("long").alias("n_dois"), F.get("dois", F.lit(0)).alias("first_doi"))
+
+
+# --- joins --------------------------------------------------------------------------------------
+
+_RANKED = """r as (select regexp_replace(lower(name), '^the\\s+', '') as jk, * from ranks), a as (select alias, r.* from aliases a join r on a.name = r.jk)"""
+
+
+def _rank_sql(first: str, second: str) -> str:
+    return f"""with {LIT}, {RANK}, {_RANKED} select pos, coalesce({first}.name, {second}.name) as rank_name, case when {first}.name is not null then {first}.tier else {second}.tier end as rank_tier,
+case when {first}.name is not null then {first}.impact_factor else {second}.impact_factor end as rank_if, case when coalesce({first}.name, {second}.name) is null then 'not_found' else 'offline' end as rank_source
+from lit left join r on lower(journal) = r.jk left join a on lower(journal) = a.alias"""
+
+
+@query(_rank_sql("a", "r"))
+def rank_lookup_alias_first(spark, sf):
+    return E.rank_lookup(lit(spark, sf), "journal", *D.rank_tables(spark)).select("pos", "rank_name", "rank_tier", "rank_if", "rank_source")
+
+
+@query(_rank_sql("r", "a"))
+def rank_lookup_direct_first(spark, sf):
+    return E.rank_lookup(lit(spark, sf), "journal", *D.rank_tables(spark), alias_first=False).select("pos", "rank_name", "rank_tier", "rank_if", "rank_source")
+
+
+@query(f"with {LIT}, {RANK} select distinct journal as name from lit where journal not in (select name from ranks)")
+def rank_missing_keys(spark, sf):
+    return E.missing_keys(lit(spark, sf).select(F.col("journal").alias("name")), D.rank_tables(spark)[0], "name")
+
+
+def _snapshot(spark, sf):
+    """A further source: half of the DOIs with other citation counts and gaps filled."""
+    rows = lit(spark, sf).filter("k % 2 = 1").select(T.normalize_doi("doi").alias("doi"), F.concat(F.lit("snapshot "), "k").alias("title"), (F.col("k") * 10).alias("citation_count"), F.lit(0.95).alias("confidence"), F.lit("10").alias("volume"), F.lit("crossref").alias("metadata_source"))
+    return M.canonicalize(rows.distinct())
+
+
+@query(f"""with {LIT} select pos, case when {_CLEAN} = '' and {DOI} <> '' and k % 2 = 1 then 'snapshot ' || k else {_CLEAN} end as title, case when {DOI} <> '' and k % 2 = 1 then k * 10 else citations end as citation_count,
+case when {DOI} <> '' and k % 2 = 1 then 0.95 else confidence end as confidence, case when {DOI} <> '' and k % 2 = 1 then '10' else '' end as volume from lit""")
+def enrich_by_doi(spark, sf):
+    return E.enrich(articles(spark, sf), by_doi=[_snapshot(spark, sf)]).select("pos", "title", "citation_count", "confidence", "volume")
+
+
+@query(f"""with {LIT}, l as (select {DOI} as d, arg_max('link ' || pos, pos) as title from lit where pos % 2 = 0 and {DOI} <> '' group by 1)
+select pos, case when l.title is not null then l.title else lit.title end as title, l.title is not null and l.title <> lit.title as changed from lit left join l on {DOI} = l.d""")
+def link_enrich(spark, sf):
+    rows = lit(spark, sf)
+    links = rows.filter("pos % 2 = 0").select("doi", F.concat(F.lit("link "), "pos").alias("title"), "pos")
+    return E.overlay(rows, links, "doi", ["title"], right_wins=True, last_by="pos").select("pos", "title", "changed")
+
+
+@query(f"""with {LIT}, items as (select 'K' || pos as item_key, case when pos % 5 = 2 then 'attachment' else 'journalArticle' end as item_type, {DOI} as d, pos % 8 = 0 as trashed from lit where pos % 2 = 0),
+f as (select d, count(*) as n, count_if(trashed) as t, min(item_key) as item_key from items where item_type <> 'attachment' and d <> '' group by 1)
+select pos, {DOI} as doi, case when {DOI} = '' then 'no_doi' when n is null then 'not_found' when n = 1 and t = 0 then 'unique' else 'ambiguous_or_trashed' end as link_status, case when n = 1 and t = 0 and {DOI} <> '' then item_key else '' end as parent_key from lit left join f on {DOI} = f.d""")
+def link_map_classify(spark, sf):
+    rows = lit(spark, sf)
+    library = rows.filter("pos % 2 = 0").select(F.concat(F.lit("K"), "pos").alias("item_key"), F.when(F.col("pos") % 5 == 2, "attachment").otherwise("journalArticle").alias("item_type"), "doi", (F.col("pos") % 8 == 0).alias("trashed"))
+    return H.classify_links(rows, library)
+
+
+# --- scores -------------------------------------------------------------------------------------
+
+
+@query(f"""with {LIT}, w as (select *, {TKEY} as tk, trim(regexp_replace(lower(abstract), '[^a-z0-9]+', ' ', 'g')) as ak from lit),
+s as (select *, (case when regexp_matches(abstract, '<[^>]+>') then 1 else 0 end) + (case when regexp_matches(abstract, '^[)\\]}}>;,.:]') or regexp_matches(abstract, '^[a-z][a-z-]*\\s') then 1 else 0 end)
+ + (case when tk <> '' and ak = tk then 1 when tk <> '' and starts_with(ak, tk || ' ') and length(ak) < length(tk) * 2 then 1 else 0 end)
+ + (case when regexp_matches(abstract, '\\b(?:privacy policy|cookie policy|subscribe to read|access through your institution|purchase this article|read the full article)\\b', 'i') then 1 else 0 end) as warnings from w)
+select pos, warnings, case abstract_source when 'html-meta:og:description' then 1 when '' then 0 else 2 end as priority, case when abstract = '' then null else least(length(abstract), 4000) / 20.0 + least(len(regexp_extract_all(abstract, '[.!?](?:\\s|$)')), 12) * 12 - 75 * warnings
+ + (case abstract_source when 'html-meta:citation_abstract' then 35 when 'crossref' then 25 when 'json-ld' then 15 when 'html-meta:og:description' then -35 else 0 end) end as score from s""")
+def abstract_quality(spark, sf):
+    rows = lit(spark, sf)
+    return rows.select("pos", F.size(S.abstract_warnings("abstract", "title", "abstract_source")).alias("warnings"), S.abstract_priority("abstract_source").alias("priority"), S.abstract_score("abstract", "title", "abstract_source").alias("score"))
+
+
+_SCORE = f"""scored as (select *, coalesce(try_cast(year as int), 0) as y, trim(regexp_replace(lower(title || ' ' || journal || ' ' || source || ' ' || url), '[^a-z0-9]+', ' ', 'g')) as mt from lit),
+points as (select *, (case when {DOI} <> '' then 30 else 0 end) + (case when url <> '' then 8 else 0 end) + least(coalesce(citations, 0), 500) / 20.0 + (case when y <> 0 then greatest(0, 8 - greatest(0, 2025 - y)) else 0 end)
+ + (case when contains(mt, 'arxiv') then 20 else 0 end) + (case when contains(mt, 'journal 1') or contains(mt, 'pubmed') then 8 else 0 end) - (case when contains(mt, 'journal 11') then 12 else 0 end) as score from scored)"""
+_VOCABULARY = {"priority_terms": ("arxiv",), "query_terms": (("first journals", ("journal 1", "pubmed"), 8),), "penalties": (("overview", ("journal 11",), (), 12),)}
+
+
+@query(f"with {LIT}, {_SCORE} select pos, cast(round(score, 3) as double) as score from points")
+def candidate_score(spark, sf):
+    score, _, _ = S.relevance(2025, fields=("title", "venue", "source", "oa_url"), **_VOCABULARY)
+    return hits(spark, sf).select("pos", score.cast("double").alias("score"))
+
+
+@query(f"""with {LIT}, {_SCORE}, d as (select *, row_number() over (partition by coalesce(nullif({TKEY}, ''), 'row:' || pos) order by round(score, 3) desc, y desc, title, pos) as n from points)
+select cast(row_number() over (order by round(score, 3) desc, y desc, title, pos) as int) as number, pos, title, cast(round(score, 3) as double) as score from d where n = 1 order by number limit 10""")
+def candidate_select(spark, sf):
+    picked = runs.discover(hits(spark, sf), 10, 2025, fields=("title", "venue", "source", "oa_url"), **_VOCABULARY)
+    return picked.select("number", "pos", "title", F.col("score").cast("double").alias("score"))
+
+
+@query(f"with {LIT} select pos, case pos % 3 when 0 then 'arXiv' when 1 then 'unpaywall' else 'publisher-pdf-link' end as source from lit")
+def pdf_candidate_best(spark, sf):
+    def c(source):
+        return F.struct(F.concat(F.lit("https://x.org/"), F.lit(source), F.col("pos")).alias("url"), F.lit(source).alias("source"))
+
+    offered = F.when(F.col("pos") % 3 == 0, F.array(c("publisher-pdf-link"), c("unpaywall"), c("arXiv"))).when(F.col("pos") % 3 == 1, F.array(c("publisher-pdf-link"), c("unpaywall"))).otherwise(F.array(c("publisher-pdf-link")))
+    return lit(spark, sf).select("pos", F.get(X.ordered_pdf_candidates(offered), F.lit(0))["source"].alias("source"))
+
+
+# --- network ------------------------------------------------------------------------------------
+
+
+@query(f"with {TERMS} select pos, name, category, source_field from terms")
+def term_tagging(spark, sf):
+    return terms(spark, sf).select("pos", "name", "category", "source_field")
+
+
+@query(f"with {TERMS} select pos, name, case source_field when 'title' then length(regexp_extract(title, '(?i)' || '(' || pattern || ')', 0)) else length(regexp_extract(abstract, '(?i)(' || pattern || ')', 0)) end > 0 as has_evidence from terms")
+def term_evidence(spark, sf):
+    return terms(spark, sf).select("pos", "name", (F.length("excerpt") > 0).alias("has_evidence"))
+
+
+@query(f"with {TERMS} select a.name as term_a, b.name as term_b, count(*) as n from terms a join terms b on a.pos = b.pos and a.name < b.name group by 1, 2")
+def term_cooccurrence(spark, sf):
+    return N.term_cooccurrence(terms(spark, sf))
+
+
+@query(f"with {TERMS} select name, count(*) as n, min(pos) as first_seen from terms group by name order by n desc, first_seen, min(rule_no) limit 15")
+def top_terms(spark, sf):
+    return N.top_terms(terms(spark, sf)).select("name", "n", "first_seen")
+
+
+@query(f"""with {TERMS}, rk as (select *, row_number() over (partition by category, name order by pos) as n, count(*) over (partition by category, name) as total from terms)
+select category, name, total as n_articles, string_agg(title, '|' order by pos) as articles from rk where n <= 12 group by 1, 2, 3""")
+def nodes_rollup(spark, sf):
+    return N.build_nodes(terms(spark, sf), lit(spark, sf)).select("category", "name", "n_articles", F.array_join("articles", "|").alias("articles"))
+
+
+@query(f"""with {LIT}, t as (select pos, unnest(['d' || (k % 5000), 'v' || (pos % 4999), 'j' || (pos // 12)]) as name from lit)
+select a.pos as source, b.pos as target, count(*) as n_shared from t a join t b on a.name = b.name and a.pos < b.pos group by 1, 2 having count(*) >= 2""")
+def relations_shared_terms(spark, sf):
+    names = F.array(F.concat(F.lit("d"), F.col("k") % 5000), F.concat(F.lit("v"), F.col("pos") % 4999), F.concat(F.lit("j"), F.expr("pos div 12")))
+    return N.shared_term_relations(lit(spark, sf).select("pos", F.explode(names).alias("name"))).select("source", "target", "n_shared")
+
+
+@query(f"with {TERMS}, n as (select name, count(*) as n from terms group by 1) select x.name as term_a, y.name as term_b, x.n as n_a, y.n as n_b from n x, n y where (x.name, y.name) in (('romance que', 'german article'), ('of', 'licence'))")
+def contrast_sides(spark, sf):
+    rules = spark.createDataFrame([("romance que", "german article", "families"), ("of", "licence", "style")], "term_a string, term_b string, note string")
+    return N.contrast_relations(terms(spark, sf), rules).select("term_a", "term_b", "n_a", "n_b")
+
+
+@query(f"with {LIT}, v as (select pos, {VKEY} as v, {DOI} as d from lit), w as (select *, min(pos) over (partition by v) as source, arg_min(d, pos) over (partition by v) as ld from v where v <> '') select source, pos as target from w where pos > source and d <> ld")
+def version_relations(spark, sf):
+    return N.version_relations(lit(spark, sf))
+
+
+@query(f"with {LIT}, v as (select pos, coalesce(nullif({VKEY}, ''), 'row:' || pos) as v, source = 'arxiv' as p from lit) select v as version_key, coalesce(min(pos) filter (not p), min(pos)) as \"primary\", count(*) as n_versions from v group by 1")
+def versions_folded(spark, sf):
+    return N.fold_versions(lit(spark, sf), F.col("source") == "arxiv")
+
+
+@query(f"with {TERMS} select case when source_field = 'title' then 'titled' when name = 'licence' then 'legal' else 'text only' end as role, count(*) as n from terms group by 1")
+def role_counts(spark, sf):
+    role = N.first_label([(F.col("source_field") == "title", "titled"), (F.col("name") == "licence", "legal")], "text only")
+    return terms(spark, sf).groupBy(role.alias("role")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {TERMS}, q(question, term) as (values ('q1', 'OF'), ('q1', 'licence'), ('q2', 'romance que')), h as (select distinct question, pos, {DOI} as d, title from terms join q on lower(q.term) = terms.name),
+i as (select question, coalesce(nullif(d, ''), lower(title)) as ident, min(pos) as pos, arg_min(d, pos) as doi, arg_min(title, pos) as title from h group by 1, 2), r as (select *, row_number() over (partition by question order by pos) as number from i)
+select question, cast(number as int) as number, doi, title from r where number <= 6""")
+def question_evidence(spark, sf):
+    q = spark.createDataFrame([("q1", "OF"), ("q1", "licence"), ("q2", "romance que")], "question string, term string")
+    return N.evidence_links(q, terms(spark, sf), lit(spark, sf), 6)
+
+
+# --- incremental --------------------------------------------------------------------------------
+
+_PLAN = f"""{LIT}, {NOTES}, dn as (select doi, count(*) as n, min(path) as path, arg_min(has_managed_block, path) as managed from notes group by 1), c as (select pos, {DOI} as d from lit), dup as (select d from c where d <> '' group by d having count(*) > 1),
+plan as (select pos, d as doi, case when d = '' then 'conflict_missing_doi' when d in (select d from dup) then 'duplicate_in_capture' when n > 1 then 'conflict_duplicate_vault_notes' when n is null then 'new' when not managed then 'update' else 'noop' end as action from c left join dn on c.d = dn.doi)"""
+
+
+def _plan(spark, sf):
+    return I.build_plan(lit(spark, sf), M.note_inventory(D.lit_notes(spark, sf)))
+
+
+@query(f"with {_PLAN} select pos, doi, action from plan")
+def plan_actions(spark, sf):
+    return _plan(spark, sf).select("pos", "doi", "action")
+
+
+@query(f"with {_PLAN} select action, count(*) as n from plan group by 1")
+def plan_counts(spark, sf):
+    return I.plan_counts(_plan(spark, sf))
+
+
+@query(f"with {_PLAN} select count(*) as items, cast(count_if(action like 'conflict%' or action like 'duplicate%') as bigint) as conflicts, count_if(action like 'conflict%' or action like 'duplicate%') = 0 as safe_to_apply from plan")
+def plan_summary(spark, sf):
+    return I.plan_summary(_plan(spark, sf))
+
+
+@query(f"with {NOTES} select distinct path, t as target from (select path, unnest(targets) as t from notes) where t not in (select title from notes)")
+def broken_links(spark, sf):
+    return I.broken_links(M.note_inventory(D.lit_notes(spark, sf)))
+
+
+@query(f"with {LIT}, {NOTES}, n as (select doi, count(*) as n from notes group by 1), w as (select distinct {DOI} as doi from lit where {DOI} <> '') select w.doi, coalesce(n, 0) as n_notes from w left join n on w.doi = n.doi where coalesce(n, 0) <> 1")
+def note_doi_unique(spark, sf):
+    return I.doi_uniqueness(lit(spark, sf), M.note_inventory(D.lit_notes(spark, sf)))
+
+
+@query(f"with {LIT}, {NOTES}, n as (select doi, count(*) as n, min(path) as path from notes group by 1 having count(*) = 1) select pos, n.doi, n.path from (select pos, {DOI} as nd from lit) l join n on l.nd = n.doi")
+def notes_for_articles(spark, sf):
+    return N.notes_holding_doi(lit(spark, sf), M.note_inventory(D.lit_notes(spark, sf)))
+
+
+@query(f"with {NOTES} select doi, count(*) as n_notes, min(path) as first_path from notes group by 1")
+def notes_index(spark, sf):
+    return M.notes_by_doi(M.note_inventory(D.lit_notes(spark, sf))).select("doi", "n_notes", F.get("paths", F.lit(0)).alias("first_path"))
+
+
+@query("""with b as (select doc_id as path, sha256(coalesce(text, '')) as h from documents where doc_id % 10 <> 1), a as (select doc_id as path, case when doc_id % 10 = 3 then 'x' else sha256(coalesce(text, '')) end as h from documents where doc_id % 10 <> 2)
+select coalesce(b.path, a.path) as path, case when b.h is null then 'added' when a.h is null then 'removed' else 'changed' end as change from b full join a on a.path = b.path where coalesce(b.h, '') <> coalesce(a.h, '')""")
+def snapshot_diff(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    after = docs.filter("path % 10 <> 2").withColumn("sha256", F.when(F.col("path") % 10 == 3, "x").otherwise(F.col("sha256")))
+    return I.diff_snapshots(docs.filter("path % 10 <> 1"), after).select("path", "change")
+
+
+# --- queue --------------------------------------------------------------------------------------
+
+_TASKS = """t as (select o_orderkey as pos, case when o_orderstatus = 'P' then 'pending' when o_orderstatus = 'F' then 'processed' else 'processing' end as state, case when o_orderkey % 50 = 7 then 'bogus' else 'pdf' end as type,
+ '10.1234/c.' || o_custkey as doi, 'title ' || o_orderkey as title, o_orderkey % 2 = 0 as old from orders),
+v as (select *, 'pdf|' || doi || '|' as task_key from t where type <> 'bogus'),
+o as (select * from (select *, row_number() over (partition by state, task_key order by pos) as n from v where old) where n = 1),
+locked as (select distinct task_key from o where state in ('processing', 'processed')),
+i as (select task_key, min(pos) as pos, arg_max(title, pos) as title from v where not old and task_key not in (select task_key from locked) group by 1),
+p as (select 'pending' as state, coalesce(q.task_key, i.task_key) as task_key, coalesce(q.pos, i.pos) as pos, coalesce(i.title, q.title) as title, case when q.task_key is null then 'added' when i.task_key is null then 'kept' else 'upgraded' end as outcome from (select * from o where state = 'pending') q full join i on q.task_key = i.task_key),
+merged as (select * from p union all select state, task_key, pos, title, 'kept' from o where state <> 'pending' union all select 'skipped', task_key, pos, title, 'skipped' from v where not old and task_key in (select task_key from locked))"""
+
+
+def _queue(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    t = o.select(F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "processed").otherwise("processing").alias("state"), F.when(F.col("o_orderkey") % 50 == 7, "bogus").otherwise("PDF").alias("type"), F.concat(F.lit("https://doi.org/10.1234/C."), "o_custkey").alias("doi"), F.lit("").alias("zoteroKey"), F.lit("").alias("status"), F.concat(F.lit("title "), "o_orderkey").alias("title"), F.col("o_orderkey").alias("pos"))
+    return H.merge_queue(t.filter("pos % 2 = 0"), t.filter("pos % 2 = 1"))
+
+
+@query(f"with {_TASKS} select state, task_key, pos, title, outcome from merged")
+def queue_merge(spark, sf):
+    return _queue(spark, sf).select("state", "task_key", "pos", "title", "outcome")
+
+
+@query(f"with {_TASKS} select state, count(*) as n from merged group by 1")
+def queue_counts(spark, sf):
+    return H.queue_counts(_queue(spark, sf))
+
+
+@query(f"with {LIT} select pos, {DOI} as doi, 'doi:' || {DOI} as item from lit where title <> '' and {DOI} <> ''")
+def handoff_tasks(spark, sf):
+    return H.handoff_tasks(lit(spark, sf).withColumn("pdf_url", F.col("url"))).select("pos", "doi", F.col("sourceItemId").alias("item"))
+
+
+# --- reports and sinks --------------------------------------------------------------------------
+
+
+@query(f"with {LIT} select count(*) as captured, cast(count_if({_CLEAN.replace('title', 'abstract')} <> '') as bigint) as with_abstract, cast(count_if({_CLEAN} <> '' and confidence >= 0.65) as bigint) as enriched, cast(count_if(confidence < 0.6) as bigint) as low_confidence, cast(count_if(confidence < 0.5) as bigint) as failed, cast(0 as bigint) as warnings from lit")
+def report_counters(spark, sf):
+    return P.run_counters(articles(spark, sf))
+
+
+@query(f"with {LIT} select case abstract_source when '' then 'unknown' else abstract_source end as source, count(*) as n from lit where abstract <> '' group by 1")
+def abstract_source_counts(spark, sf):
+    return P.abstract_source_counts(lit(spark, sf))
+
+
+@query(f"with {LIT}, e as (select unnest(keywords) as source from lit) select source, count(*) as n from e group by 1")
+def keyword_counts_exploded(spark, sf):
+    return P.list_source_counts(lit(spark, sf), "keywords")
+
+
+@query(f"""with {LIT} select 'status' as kind, case pdf_status when '' then 'unknown' else pdf_status end as value, count(*) as n from lit group by 1, 2 union all
+select 'source', case pdf_source when '' then 'none' else pdf_source end, count(*) from lit where pdf_status = 'downloaded' group by 1, 2 union all select 'error', pdf_error, count(*) from lit where pdf_error <> '' group by 1, 2""")
+def pdf_counts(spark, sf):
+    return P.pdf_counts(lit(spark, sf))
+
+
+@query(f"with {LIT} select count(*) as total_articles, cast(count_if(pdf_status = 'downloaded') as bigint) as downloaded, cast(count_if(pdf_status <> 'downloaded') as bigint) as failed from lit")
+def manifest_totals(spark, sf):
+    return P.pdf_manifest(lit(spark, sf))
+
+
+def _bib(name: str, value: str) -> str:
+    return f"case when {value} <> '' then '  {name} = {{' || replace(replace(replace({value}, '\\', '\\\\'), '{{', '\\{{'), '}}', '\\}}') || '}}' end"
+
+
+@query(f"""with {LIT} select pos, '@article{{' || lower('fam' || (pos % 23)) || coalesce(nullif(year, ''), 'noyear') || lower(coalesce(nullif(regexp_extract(title, '[A-Za-z0-9]+', 0), ''), cast(pos as varchar))) || ',' || chr(10) ||
+concat_ws(',' || chr(10), {_bib('title', 'title')}, {_bib('author', "authors[1] || ' and ' || authors[2]")}, {_bib('journal', 'journal')}, {_bib('year', 'year')}, {_bib('doi', 'doi')}, {_bib('url', 'url')}) || chr(10) || '}}' as entry from lit""")
+def bibtex_lines(spark, sf):
+    empty = {c: F.lit("") for c in ("volume", "issue", "pages", "source_page", "abstract")}
+    return lit(spark, sf).withColumns(empty).withColumn("number", F.col("pos")).select("pos", K.bibtex_entry().alias("entry"))
+
+
+@query(f"""with {LIT}, l as (select pos, ['TY  - JOUR'] || (case when title <> '' then ['T1  - ' || title] else [] end) || ['AU  - ' || authors[1], 'AU  - ' || authors[2], 'JO  - ' || journal] || (case when year <> '' then ['PY  - ' || year] else [] end)
+ || (case when doi <> '' then ['DO  - ' || doi] else [] end) || (case when url <> '' then ['UR  - ' || url] else [] end) || ['ER  - ', ''] as lines from lit) select pos, generate_subscripts(lines, 1) - 1 as i, unnest(lines) as line from l""")
+def ris_lines(spark, sf):
+    empty = {c: F.lit("") for c in ("volume", "issue", "pages", "source_page", "abstract")}
+    return lit(spark, sf).withColumns(empty).select("pos", F.posexplode(K.ris_lines()).alias("i", "line")).withColumn("i", F.col("i").cast("long"))
+
+
+@query()
+def markdown_entries(spark, sf):
+    return articles(spark, sf).withColumn("number", F.col("pos")).select("pos", K.markdown_entry().alias("entry"))
+
+
+@query(f"with {LIT} select '- ' || coalesce(nullif({_CLEAN}, ''), nullif({DOI}, ''), '(untitled)') || ': low confidence' as value from lit where confidence < 0.5")
+def failed_lines(spark, sf):
+    return K.failed_lines(articles(spark, sf))
+
+
+@query(f"with {LIT} select pos, trim(regexp_replace(authors[1] || ', ' || authors[2] || ' (' || coalesce(nullif(year, ''), 'n.d.') || '). ' || title || '. ' || journal || '.', '\\s+', ' ', 'g')) as apa from lit")
+def citations_apa(spark, sf):
+    return lit(spark, sf).select("pos", K.citation("apa").alias("apa"))
+
+
+@query("""with e as (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events) select k, count(*) as n from e group by 1""")
+def event_props_mapped(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))

@@ -47,7 +47,7 @@ def abstract_priority(source) -> Column:
 def pdf_priority(source) -> Column:
     s, out = F.lower(text_of(source)), None
     for part, rank in PDF_PRIORITY:
-        out = (out or F).when(F.contains(s, F.lit(part)), rank)
+        out = (F if out is None else out).when(F.contains(s, F.lit(part)), rank)
     return out.otherwise(90)
 
 

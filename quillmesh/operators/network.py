@@ -47,7 +47,7 @@ def tag_terms(df: DataFrame, rules, fields, key: str = "pos") -> DataFrame:
             at = F.regexp_instr(t, F.lit(r.pattern))
             start = F.greatest(at - BEFORE, F.lit(1))
             found = F.struct(F.lit(i).alias("rule_no"), F.lit(r.name).alias("name"), F.lit(r.category).alias("category"), F.lit(f).alias("source_field"), F.substring(t, start, F.lit(BEFORE + AFTER)).alias("excerpt"))
-            where = (where or F).when(t.rlike(r.pattern), found)
+            where = (F if where is None else where).when(t.rlike(r.pattern), found)
         hits.append(where)
     return df.select(key, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "h.*")
 
@@ -70,7 +70,7 @@ def first_label(cases, default: str) -> Column:
     """Label of the first condition that holds."""
     out = None
     for condition, label in cases:
-        out = (out or F).when(condition, label)
+        out = (F if out is None else out).when(condition, label)
     return out.otherwise(default) if out is not None else F.lit(default)
 
 
