@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 from .wordbpe import Memo, Splitter, chunks
 
 ARC_TABLE_LIMIT = 1_000_000
@@ -210,6 +210,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 
 def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

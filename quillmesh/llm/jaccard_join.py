@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, table, written
+from .shared import Scratch, small_batches, table, written
 from .shingles import mix, shingle_sets
 
 WORDS, PERCENT = 3, 90
@@ -272,6 +272,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     columns are not read. An empty table gives an empty result.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    small_batches(spark)
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col, words))  # 2**SKETCH_BITS bytes
     signed = scratch.written(signatures(docs, levels, id_col, text_col, words, percent).withColumnRenamed(id_col, "id"), "jaccard-signatures")
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())

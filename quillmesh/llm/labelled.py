@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold_of
+from .shared import fold_of, small_batches
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -15,6 +15,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     ``max_rows`` ids and labels are broadcast (16 bytes each), whatever the size of the tables; texts
     do not move. Null labels are left out; of conflicting labels of an id the larger counts.
     """
+    small_batches(docs.sparkSession)
     rule = fold_of(id_col, folds)
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (rule != held_out))
     drawn = known.groupBy(id_col).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_rows)

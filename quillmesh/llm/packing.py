@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 from .wordbpe import library_encoder
 
 WINDOW = 4096
@@ -37,6 +37,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, window: int = WINDOW
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     tail = end_id.to_bytes(4, "little")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import fold_of, table
+from .shared import fold_of, small_batches, table
 
 MAX_TRAINING_ROWS = 20_000
 FEATURES = 256
@@ -229,6 +229,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     One narrow pass; repeated rows score alike. A column named like ``score_col`` is replaced.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(texts.tolist()), dtype="float64")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, table, written
+from .shared import Scratch, small_batches, table, written
 
 COSINE = 0.9
 TREES = 10
@@ -193,6 +193,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     an id are one vector (the smallest). Vectors are compared with those of equal dimension.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
+    small_batches(spark)
     everything = scratch.written(usable_vectors(vectors).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding")), "vectors")
     usable = everything.filter(F.col("embedding").isNotNull())
     classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))

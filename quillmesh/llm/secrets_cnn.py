@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 MAX_SAMPLE_DOCUMENTS = 20_000
 MAX_FINDINGS = 6_000
@@ -222,6 +222,7 @@ def sample_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A candidate that a base assign or access finding covers, or a long hexadecimal one with letters
     and digits, is labelled a secret; any other is not.
     """
+    small_batches(docs.sparkSession)
     drawn = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_drawn")).distinct().orderBy(F.xxhash64("_drawn"), "_drawn").limit(MAX_SAMPLE_DOCUMENTS)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), F.col("_id") == F.col("_drawn"), "left_semi")
 
@@ -268,6 +269,7 @@ def scan_secrets(docs: DataFrame, net: CharCNN, id_col: str = "doc_id", text_col
     and empty texts have none. One narrow pass; repeated rows give repeated rows; other columns are
     not read.
     """
+    small_batches(docs.sparkSession)
     kind_of_id = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

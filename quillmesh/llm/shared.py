@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of at most BATCH_BYTES, so workers stay small.
+
+    Rows a batch are bounded by count only unless this is set; long texts then fill memory.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES or int(now.rstrip("bB")) <= 0:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: ``spark.checkpoint.dir``, or one of our own only where that is unset.
 

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, table
+from .shared import new_folder, small_batches, table
 from .wordbpe import library_encoder
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
@@ -78,6 +78,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
     empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, table
+from .shared import new_folder, small_batches, table
 
 CHUNK_BYTES = 64 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
@@ -204,6 +204,7 @@ def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     payloads and urls count as empty, so empty payloads can revisit each other too. Smaller payloads
     are always responses. An empty table gives an archive without records.
     """
+    small_batches(pages.sparkSession)
     write_records(with_record_types(pages, id_col, url_col, text_col, min_bytes), path, chunk_bytes)
 
 
