@@ -48,16 +48,30 @@ class Splitter:
         self.stand_in = {i: c for i, c in enumerate(byte_alphabet())}
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.added_pattern = re.compile("|".join(map(re.escape, self.added))) if self.added else None
-        self.spec = spec
+        self.spec, self.path, self._library = spec, path, None
 
     def words(self, chunk: str) -> list[str]:
-        """Pieces of a chunk, each in the byte stand-in alphabet."""
+        """Pieces of a chunk, each in the byte stand-in alphabet.
+
+        A chunk with code points that Python's Unicode tables do not know is split by the library,
+        whose tables may be newer.
+        """
+        if not chunk.isprintable() and any(unicodedata.category(c) == "Cn" for c in chunk):
+            return self._library_words(chunk)
         if not chunk.isascii():
             # lower-casing is per character: no final-sigma rule
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         out = self.pieces(chunk.lower())
         return [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.stand_in) for w in out]
 
+    def _library_words(self, chunk: str) -> list[str]:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        whole = self._library.normalizer.normalize_str(chunk)
+        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(whole)]
+
 
 class Memo(dict):
     """Bounded memo from chunk to value, in two generations.
