@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import holds, small_batches, table, worker_starts
 from .wordbpe import Memo, Splitter, chunks
 
 ARC_TABLE_LIMIT = 1_000_000
@@ -194,7 +194,9 @@ _built: dict[str, AutomatonTokenizer] = {}
 
 
 def tokenizer(path: str) -> AutomatonTokenizer:
+    worker_starts("automaton")
     if path not in _built:
+        holds("automaton", _built.clear)
         _built[path] = AutomatonTokenizer(path)
     return _built[path]
 

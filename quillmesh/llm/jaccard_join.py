@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, small_batches, table, written
+from .shared import Scratch, small_batches, table, worker_starts, written
 from .shingles import mix, shingle_sets
 
 WORDS, PERCENT = 3, 90
@@ -129,6 +129,7 @@ def frequency_levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     """log2 of the document frequency of shingles, by the low bits of their hash, over all documents."""
 
     def run(batches):
+        worker_starts()
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         mask = np.uint64(len(counts) - 1)
         for b in batches:

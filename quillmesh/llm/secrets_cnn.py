@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import small_batches, table, worker_starts
 
 MAX_SAMPLE_DOCUMENTS = 20_000
 MAX_FINDINGS = 6_000
@@ -303,6 +303,7 @@ def redact(docs: DataFrame, net: CharCNN, text_col: str = "text", mark: str = "[
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
+        worker_starts()
         return pd.Series([clean(t) for t in texts], dtype=object)
 
     return docs.withColumn(text_col, cleaned(F.col(text_col)))

@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What this worker process keeps between tasks, by owner: how to give it up.
+_HELD: dict[str, object] = {}
+
+
+def holds(owner: str, give_up) -> None:
+    _HELD[owner] = give_up
+
+
+def worker_starts(owner: str | None = None) -> None:
+    """Called by worker functions as they begin: what other operators keep in this process is given up.
+
+    Workers are reused, so an encoder's memo would otherwise stay through all later stages.
+    """
+    for name, give_up in list(_HELD.items()):
+        if name != owner:
+            give_up()
+            del _HELD[name]
+
+
 BATCH_BYTES = 8 * 1024 * 1024
 
 

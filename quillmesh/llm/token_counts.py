@@ -11,6 +11,7 @@ lookup joins reuse that partitioning or move (id, digest, size) only.
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ def tokenizer_digest(path: str) -> str:
     return h.hexdigest()
 
 
+def _size(encoder, text: str) -> int:
+    return len(encoder.id_bytes(text)) // 4
+
+
 _counters: dict[str, object] = {}
 
 
@@ -50,8 +55,8 @@ def counter(path: str):
             _counters[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             try:
-                encoder = library_encoder(path)
-                _counters[path] = lambda texts: [len(encoder.id_bytes(t)) // 4 for t in texts]
+                library_encoder(path)
+                _counters[path] = lambda texts: list(map(_size, repeat(library_encoder(path)), texts))
             except (ValueError, KeyError, TypeError):  # not a word-level file: whole texts go to the library
                 from tokenizers import Tokenizer
 

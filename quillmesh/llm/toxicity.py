@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import fold_of, small_batches, table
+from .shared import fold_of, small_batches, table, worker_starts
 
 MAX_TRAINING_ROWS = 20_000
 MAX_PATTERNS = 50_000
@@ -301,6 +301,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        worker_starts()
         return pd.Series([model.score(t) for t in texts], dtype="float64")
 
     return docs.withColumn(score_col, score(F.col(text_col)))

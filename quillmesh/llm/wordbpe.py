@@ -14,6 +14,8 @@ import unicodedata
 
 import regex
 
+from .shared import holds, worker_starts
+
 #: White space as the tokenizer's pattern sees it; ``str.split`` also cuts at U+001C to U+001F.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -132,7 +134,9 @@ _library: dict[str, WordEncoder] = {}
 
 def library_encoder(path: str) -> WordEncoder:
     """The encoder of this worker whose words are merged by the tokenizers library."""
+    worker_starts("library encoder")
     if path not in _library:
+        holds("library encoder", _library.clear)
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path).model
