@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 DECLARED = (re.compile(rb"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([\w.:-]+)"""), re.compile(rb"""(?i)<\?xml[^>]+encoding\s*=\s*["']([\w.:-]+)"""), re.compile(rb"""(?i)content-type[^>]+charset=([\w.:-]+)"""))
-MISREAD = re.compile("Ã[\u0080-¿]|Â[\u0080-¿]|â€|�")
+MISREAD = re.compile("Ã[\u0080-¿]|Â[\u0080-¿]|â€|�|[\ue000-\uf8ff]")
 
 
 def arrow_function(kind: str):

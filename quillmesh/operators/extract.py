@@ -213,7 +213,7 @@ def identifier_articles(pages: DataFrame, content: str = "content", source_page:
         F.when(F.col("arxiv_id") != "", F.array(F.struct(F.lit(5).alias("branch"), F.lit("").alias("doi"), F.lit("arxiv-page").alias("src"), F.lit(0.65).alias("conf")))).otherwise(F.array().cast("array<struct<branch:int,doi:string,src:string,conf:double>>")),
         F.transform("_dois", lambda d: F.struct(F.lit(6).alias("branch"), d.alias("doi"), F.lit("doi-regex").alias("src"), F.lit(0.55).alias("conf"))),
     )
-    first_line = F.substring(clean_text(F.element_at(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""), 1)), 1, 240)
+    first_line = F.substring(clean_text(F.get(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""), F.lit(0))), 1, 240)
     rows = made.select("*", F.posexplode_outer(kinds).alias("found_at", "k"))
     none = F.col("k").isNull()
     out = rows.select(

@@ -158,7 +158,7 @@ def pubmed_articles(docs: DataFrame, xml: str = "xml") -> DataFrame:
     x = lambda path: F.xpath_string(xml, F.lit(path))
     many = lambda path: F.xpath(xml, F.lit(path))
     doi = normalize_doi(x("//ArticleId[@IdType='doi']"))
-    names = F.transform(F.arrays_zip(many("//Author/ForeName/text()").alias("a"), many("//Author/LastName/text()").alias("b")), lambda p: F.concat_ws(" ", p["0"], p["1"]))
+    names = F.transform(F.arrays_zip(many("//Author/ForeName/text()").alias("a"), many("//Author/LastName/text()").alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
     pmid = x("//PMID")
     rows = docs.select(
         *[c for c in docs.columns if c != xml], x("//ArticleTitle").alias("title"), names.alias("authors"), F.regexp_extract(F.concat_ws(" ", x("//PubDate/Year"), x("//PubDate/MedlineDate")), r"\d{4}", 0).alias("year"),
