@@ -149,7 +149,7 @@ class TokenAutomaton:
 class AutomatonTokenizer:
     """Whole texts to ids and back; ids as space-joined decimals so that a chunk is one memo lookup."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 400_000):
         self.splitter = Splitter(path)
         model = self.splitter.spec["model"]
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):

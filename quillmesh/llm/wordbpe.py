@@ -18,6 +18,8 @@ from .shared import holds, worker_starts
 
 #: White space as the tokenizer's pattern sees it; ``str.split`` also cuts at U+001C to U+001F.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Signs that form a piece of their own behind a word.
+PLAIN_SIGNS = frozenset(".,;:!?")
 ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -56,8 +58,14 @@ class Splitter:
         """Pieces of a chunk, each in the byte stand-in alphabet.
 
         A chunk with code points that Python's Unicode tables do not know is split by the library,
-        whose tables may be newer.
+        whose tables may be newer. Plain words, with or without one sign behind them, need no pattern.
         """
+        body, sign = (chunk[:-1], chunk[-1]) if chunk[-1] in PLAIN_SIGNS else (chunk, "")
+        if body.isalpha() and (body.isascii() or ("İ" not in body and unicodedata.is_normalized("NFC", body))):
+            low = body.lower() if "Σ" not in body else body.replace("Σ", "σ").lower()
+            if not low.isascii():
+                low = low.encode("utf-8").decode("latin-1").translate(self.stand_in)
+            return [low, sign] if sign else [low]
         if not chunk.isprintable() and any(unicodedata.category(c) == "Cn" for c in chunk):
             return self._library_words(chunk)
         if not chunk.isascii():
@@ -104,7 +112,7 @@ class WordEncoder:
     ``limit`` chunks and half as many words.
     """
 
-    def __init__(self, splitter: Splitter, encode_word, limit: int = 1_000_000):
+    def __init__(self, splitter: Splitter, encode_word, limit: int = 400_000):
         self.splitter = splitter
         self.word_ids = Memo(lambda w: b"".join(i.to_bytes(4, "little") for i in encode_word(w)), limit // 2)
         self.chunk_ids = Memo(self._chunk, limit)
