@@ -327,3 +327,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def oracle_sql() -> str:
+    return r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as x from s),
+l as (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(id, c) as (select doc_id, doc_id from s union select l.a, r.c from r join l on l.b = r.id)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, m.c as component_id from s join (select id, min(c) as c from r group by id) m on m.id = s.doc_id
+"""

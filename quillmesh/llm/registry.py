@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import topk, warc
+from . import jaccard_join, rp_forest, topk, warc
 from .bpe_automaton import op8_bpe_codec
 from .quality import op2_quality
 from .rp_forest import op1_embedding_neardup
@@ -16,4 +16,9 @@ from .warc import op9_warc
 
 QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_quality, op3_topk, op4_jaccard_join, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc, op10_secrets)}
 
-SQL: dict[str, str] = {"op3_topk": topk.oracle_sql(), "op9_warc": warc.oracle_sql()}
+SQL: dict[str, str] = {
+    "op1_embedding_neardup": rp_forest.oracle_sql(),
+    "op3_topk": topk.oracle_sql(),
+    "op4_jaccard_join": jaccard_join.oracle_sql(),
+    "op9_warc": warc.oracle_sql(),
+}

@@ -262,3 +262,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def oracle_sql() -> str:
+    return """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) as s from v),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.9),
+r(id, c) as (select vec_id, vec_id from embeddings union select l.a, r.c from r join l on l.b = r.id),
+c as (select a, count(*) as k from l group by a)
+select m.id as vec_id, cast(coalesce(c.k, 0) as bigint) as n_links, m.c as component_id, m.id = m.c as kept from (select id, min(c) as c from r group by id) m left join c on c.a = m.id
+"""
