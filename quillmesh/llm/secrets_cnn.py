@@ -175,7 +175,7 @@ def train(codes: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128) -
     if 0 < t.sum() < len(t):
         from .toxicity import fit_logistic
 
-        net.slope, net.shift, _ = fit_logistic(z.astype(float), t)
+        net.slope, net.shift, _ = fit_logistic(z.astype(float), t, ridge=1e-2)
         p = net.probability(codes[back])
         # the highest threshold that still finds the wanted share of held-back secrets, never below one half
         net.threshold = float(max(0.5, np.quantile(p[t > 0], 1 - RECALL, method="lower")))

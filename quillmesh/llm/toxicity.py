@@ -200,9 +200,10 @@ def refine(words: dict[str, tuple[int, int]], model: "ToxicityModel", toxic: int
     return single, sorted(phrases)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, float, float]:
     """Slope, intercept and mean loss of a one-variable logistic fit by damped Newton steps."""
-    scale = float(np.abs(x).max()) or 1.0
+    scale = float(np.median(np.abs(x[y > 0]))) if (y > 0).any() else 1.0  # the usual size of a positive
+    scale = scale or 1.0
     z = np.column_stack([x / scale, np.ones_like(x)])
     w = np.zeros(2)
     penalty = np.diag([ridge, ridge * 1e-3])
