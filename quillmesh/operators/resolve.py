@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.scores import abstract_priority, abstract_score
-from ..functions.text import compact_title_key, distinct_ci, match_key, nonempty, normalize_doi, text_of, title_key
+from ..functions.text import compact_title_key, match_key, nonempty, normalize_doi, text_of, title_key
 
 LIST_FIELDS = ("keywords", "keywords_source", "concepts", "concepts_source", "enrichment_sources", "metadata_warnings", "notes")
 INCOMING_WINS = ("citation_count", "journal_rank")
@@ -31,6 +31,9 @@ def dedupe_articles(articles: DataFrame, mode: str = "doi", pos: str = "pos") ->
     Per field: ordinary values from the latest base that has one, else the earliest filler; citation
     counts and ranks from the latest incoming one; authors the longest list; confidence the greatest;
     lists united without repeats; the abstract of the best source and score.
+
+    All of it combines on the map side. Lists are united by their distinct values, so a group of any
+    size holds its vocabulary in memory, never its rows.
     """
     keyed = articles.withColumn("_key", F.coalesce(dedupe_key(mode), F.concat(F.lit("row:"), F.col(pos).cast("string"))))
     order = Window.partitionBy("_key").orderBy(pos)
@@ -40,7 +43,7 @@ def dedupe_articles(articles: DataFrame, mode: str = "doi", pos: str = "pos") ->
     # bases from the latest back, then fillers from the earliest on
     rank = F.when(over, -F.col(pos).cast("long")).otherwise(F.col(pos).cast("long"))
     marked = marked.withColumn("_rank", F.struct(F.when(over, 0).otherwise(1).alias("g"), rank.alias("r")))
-    out = []
+    out, united = [], []
     for f in articles.schema.fields:
         c, kind = F.col(f.name), f.dataType
         if f.name == pos:
@@ -53,12 +56,8 @@ def dedupe_articles(articles: DataFrame, mode: str = "doi", pos: str = "pos") ->
         elif f.name in ("abstract", "abstract_source"):
             better = F.struct((text_of("abstract") != "").alias("a"), abstract_priority("abstract_source").alias("p"), abstract_score("abstract", "title", "abstract_source").alias("s"), F.when(over, F.col(pos).cast("long")).otherwise(-F.col(pos).cast("long") - (1 << 40)).alias("o"))
             out.append(F.max_by(c, better).alias(f.name))
-        elif f.name in LIST_FIELDS:
-            rows = F.array_sort(F.collect_list(F.struct("_rank", c.alias("v"))))
-            out.append(distinct_ci(F.flatten(F.transform(rows, lambda x: x["v"]))).alias(f.name))
-        elif f.name == "pdf_candidates":
-            rows = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_rank", c.alias("v")))), lambda x: x["v"]))
-            out.append(dedupe_by_url(rows).alias(f.name))
+        elif f.name in LIST_FIELDS or f.name == "pdf_candidates":
+            united.append(f)
         elif f.name in INCOMING_WINS:
             late = F.struct(F.when(fill, 1).otherwise(0).alias("g"), F.when(fill, F.col(pos).cast("long")).otherwise(-F.col(pos).cast("long")).alias("r"))
             out.append(F.max_by(c, F.when(c.isNotNull(), late)).alias(f.name))
@@ -66,7 +65,29 @@ def dedupe_articles(articles: DataFrame, mode: str = "doi", pos: str = "pos") ->
             out.append(F.min_by(c, F.when(c.isNotNull(), F.col("_rank"))).alias(f.name))
         else:
             out.append(F.coalesce(F.min_by(c, F.when(text_of(c) != "", F.col("_rank"))), F.lit("")).alias(f.name))
-    return marked.groupBy("_key").agg(*out, F.count("*").alias("n_merged")).drop("_key")
+    merged = marked.groupBy("_key").agg(*out, F.count("*").alias("n_merged"))
+    for fields, identity in (([f for f in united if f.name != "pdf_candidates"], lambda v: F.lower(v)), ([f for f in united if f.name == "pdf_candidates"], lambda v: v["url"])):
+        if fields:
+            merged = merged.join(_united(marked, fields, identity), "_key", "left")
+    for f in united:
+        merged = merged.withColumn(f.name, F.coalesce(f.name, F.array().cast(f.dataType)))
+    return merged.select(*articles.columns, "n_merged")
+
+
+def _united(marked: DataFrame, fields, identity) -> DataFrame:
+    """(_key, field, ...): each field's distinct values in the order of their first row and place."""
+    def places(f, number: int) -> Column:
+        values = F.filter(F.coalesce(F.col(f.name), F.array().cast(f.dataType)), lambda v: v.isNotNull() & (identity(v) != ""))
+        return F.transform(values, lambda v, i: F.struct(F.lit(number).alias("field"), i.alias("i"), v.alias("v")))
+
+    rows = marked.select("_key", "_rank", F.explode(F.concat(*[places(f, k) for k, f in enumerate(fields)])).alias("e"))
+    rows = rows.select("_key", F.col("e.field").alias("field"), identity(F.col("e.v")).alias("_id"), F.struct("_rank", "e.i").alias("at"), F.col("e.v").alias("v"))
+    first = rows.groupBy("_key", "field", "_id").agg(F.min("at").alias("at"), F.min_by("v", "at").alias("v"))
+
+    def in_order(number: int) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == number, F.struct("at", "v")))), lambda x: x["v"])
+
+    return first.groupBy("_key").agg(*[in_order(k).alias(f.name) for k, f in enumerate(fields)])
 
 
 def dedupe_by_url(candidates: Column) -> Column:
