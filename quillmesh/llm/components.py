@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is written to the shared folder, so a lost executor costs one round at most and lineage
-stays short; nothing is gathered on the driver but a count and a checksum per round.
+stays short; nothing is gathered on the driver but whether work is left.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from .shared import Scratch, drop_folder, new_folder
 MAX_ROUNDS = 60
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every id points to one id and no id that is pointed to points on: nothing is left to do."""
+    sides = edges.groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "id").select("id", (F.col("n") > 1).alias("several"), F.lit(True).alias("source"), F.lit(False).alias("target"))
+    roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.lit(False).alias("several"), F.lit(False).alias("source"), F.lit(True).alias("target"))
+    per_id = sides.union(roots).groupBy("id").agg(F.max("several").alias("several"), (F.max("source") & F.max("target")).alias("both"))
+    return per_id.filter("several or both").limit(1).count() == 0
 
 
 def _with_min(pairs: DataFrame) -> DataFrame:
@@ -25,11 +28,13 @@ def _with_min(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("k")).drop("k")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, rounds: int | None = None) -> DataFrame:
     """(id, component) for every id on an edge (columns a, b); the component is its smallest id.
 
     Self-loops, repeated and reversed edges are allowed; ids without an edge to another id are not
     returned. An empty table gives an empty result. ``scratch`` takes over the result's folder.
+    After ``rounds``, where that is given, the work stops: equal components then still mean connected
+    ids, but ids of one component may have several.
     """
     spark = edges.sparkSession
     kind = edges.schema["a"].dataType
@@ -41,9 +46,9 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         return spark.read.schema(f"a {kind.simpleString()}, b {kind.simpleString()}").parquet(path), path
 
     now, path = keep(now)
-    before = _checksum(now)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
+    whole = _is_star_forest(now)
+    for _ in range(MAX_ROUNDS if rounds is None else rounds):
+        if whole:
             break
         # large star: every larger neighbour of u moves to the smallest of u and its neighbours
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
@@ -52,15 +57,16 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         down = large.filter(F.col("a") != F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
         small = _with_min(down)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u"), F.col("m"))).filter(F.col("a") != F.col("b")).distinct()
-        after_table, after_path = keep(small)
-        after = _checksum(after_table)
+        after, after_path = keep(small)
         drop_folder(spark, path)
-        now, path = after_table, after_path
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+        now, path = after, after_path
+        whole = _is_star_forest(now)
     if scratch is not None:
         scratch.paths.append(path)
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+    if whole:
+        return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+    if rounds is None:
+        raise RuntimeError(f"no star forest after {MAX_ROUNDS} rounds")
+    to = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+    roots = now.select(F.col("b").alias("id")).distinct().join(to.select("id"), "id", "left_anti")
+    return to.union(roots.select("id", F.col("id").alias("component")))

@@ -303,7 +303,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     first = first.select(F.greatest("rep", "lr").alias("a"), F.least("rep", "lr").alias("b")).distinct()
     first = scratch.written(_close(first, classes, percent), "jaccard-candidates")
     edges = scratch.written(_verified(first, docs, scratch, id_col, text_col, words, percent).union(light), "jaccard-links")
-    parts = connected_components(edges, scratch)
+    # two rounds tell most of what is connected; the rest meets once more below
+    parts = connected_components(edges, scratch, rounds=2)
 
     marked = shared.select("token", "rep", "n", "pos").join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     marked = scratch.written(marked, "jaccard-marked-lists")
@@ -314,8 +315,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     second = second.select(F.col("rep").alias("a"), F.col("r2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = scratch.written(_close(second, classes, percent), "jaccard-candidates")
     if second.limit(1).count():
-        more = scratch.written(_verified(second, docs, scratch, id_col, text_col, words, percent), "jaccard-links")
-        parts = connected_components(edges.union(more), scratch) if more.limit(1).count() else parts
+        edges = edges.union(scratch.written(_verified(second, docs, scratch, id_col, text_col, words, percent), "jaccard-links"))
+    parts = connected_components(edges, scratch)
 
     by_class = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = by_class.select("c1", "c2", F.coalesce("component", "rep").alias("component"))

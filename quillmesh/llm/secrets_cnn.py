@@ -124,7 +124,7 @@ class CharCNN:
         return pooled @ self.dense + self.bias, (cols, h, spots, filled, pooled)
 
     def logits(self, codes: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(codes[i : i + 2048])[0] for i in range(0, len(codes), 2048)]) if len(codes) else np.zeros(0)
+        return np.concatenate([self.forward(codes[i : i + 512])[0] for i in range(0, len(codes), 512)]) if len(codes) else np.zeros(0)
 
     def probability(self, codes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(codes) + self.shift, -30, 30)))

@@ -245,7 +245,9 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
         # candidates come from toxic documents; clean ones only count those
         pool = _pair_counts(sample.filter("y > 0"), patterns_of, schema).filter("t >= 2")
         tried = pool.count()
-        names = frozenset(r["p"] for r in pool.orderBy(F.desc("t"), "p").limit(MAX_PATTERNS).collect())
+        # fewer toxic documents than this are not beyond chance, even without clean ones
+        least = math.log(max(1, tried) / SIGNIFICANCE) / -math.log(toxic / (toxic + clean))
+        names = frozenset(r["p"] for r in pool.filter(F.col("t") > least).orderBy(F.desc("t"), "p").limit(MAX_PATTERNS).collect())
         counts = {r["p"]: (r["t"], r["c"]) for r in _pair_counts(sample, lambda s: patterns_of(s) & names, schema).collect()}
         model.weights = choose_lexicon(counts, toxic, clean, tried)
         if model.weights:
