@@ -310,8 +310,8 @@ def rank_missing_keys(spark, sf):
 
 
 def _snapshot(spark, sf):
-    """A further source: half of the DOIs with other citation counts and gaps filled."""
-    rows = lit(spark, sf).filter("k % 2 = 1").select(T.normalize_doi("doi").alias("doi"), F.concat(F.lit("snapshot "), "k").alias("title"), (F.col("k") * 10).alias("citation_count"), F.lit(0.95).alias("confidence"), F.lit("10").alias("volume"), F.lit("crossref").alias("metadata_source"))
+    """A further source that knows half of the DOIs, with other citation counts and gaps filled."""
+    rows = lit(spark, sf).select(F.when(F.col("k") % 2 == 1, T.normalize_doi("doi")).otherwise("").alias("doi"), F.concat(F.lit("snapshot "), "k").alias("title"), (F.col("k") * 10).alias("citation_count"), F.lit(0.95).alias("confidence"), F.lit("10").alias("volume"), F.lit("crossref").alias("metadata_source"))
     return M.canonicalize(rows.distinct())
 
 
@@ -321,20 +321,20 @@ def enrich_by_doi(spark, sf):
     return E.enrich(articles(spark, sf), by_doi=[_snapshot(spark, sf)]).select("pos", "title", "citation_count", "confidence", "volume")
 
 
-@query(f"""with {LIT}, l as (select {DOI} as d, arg_max('link ' || pos, pos) as title from lit where pos % 2 = 0 and {DOI} <> '' group by 1)
-select pos, case when l.title is not null then l.title else lit.title end as title, l.title is not null and l.title <> lit.title as changed from lit left join l on {DOI} = l.d""")
+@query(f"""with {LIT}, l as (select case when pos % 2 = 0 then {DOI} else '' end as d, arg_max('link ' || pos, pos) as title from lit group by 1)
+select pos, case when l.title is not null then l.title else lit.title end as title, l.title is not null and l.title <> lit.title as changed from lit left join l on {DOI} = l.d and l.d <> ''""")
 def link_enrich(spark, sf):
     rows = lit(spark, sf)
-    links = rows.filter("pos % 2 = 0").select("doi", F.concat(F.lit("link "), "pos").alias("title"), "pos")
+    links = rows.select(F.when(F.col("pos") % 2 == 0, F.col("doi")).otherwise("").alias("doi"), F.concat(F.lit("link "), "pos").alias("title"), "pos")
     return E.overlay(rows, links, "doi", ["title"], right_wins=True, last_by="pos").select("pos", "title", "changed")
 
 
-@query(f"""with {LIT}, items as (select 'K' || pos as item_key, case when pos % 5 = 2 then 'attachment' else 'journalArticle' end as item_type, {DOI} as d, pos % 8 = 0 as trashed from lit where pos % 2 = 0),
+@query(f"""with {LIT}, items as (select 'K' || pos as item_key, case when pos % 5 = 2 then 'attachment' else 'journalArticle' end as item_type, case when pos % 2 = 0 then {DOI} else '' end as d, pos % 8 = 0 as trashed from lit),
 f as (select d, count(*) as n, count_if(trashed) as t, min(item_key) as item_key from items where item_type <> 'attachment' and d <> '' group by 1)
 select pos, {DOI} as doi, case when {DOI} = '' then 'no_doi' when n is null then 'not_found' when n = 1 and t = 0 then 'unique' else 'ambiguous_or_trashed' end as link_status, case when n = 1 and t = 0 and {DOI} <> '' then item_key else '' end as parent_key from lit left join f on {DOI} = f.d""")
 def link_map_classify(spark, sf):
     rows = lit(spark, sf)
-    library = rows.filter("pos % 2 = 0").select(F.concat(F.lit("K"), "pos").alias("item_key"), F.when(F.col("pos") % 5 == 2, "attachment").otherwise("journalArticle").alias("item_type"), "doi", (F.col("pos") % 8 == 0).alias("trashed"))
+    library = rows.select(F.concat(F.lit("K"), "pos").alias("item_key"), F.when(F.col("pos") % 5 == 2, "attachment").otherwise("journalArticle").alias("item_type"), F.when(F.col("pos") % 2 == 0, F.col("doi")).otherwise("").alias("doi"), (F.col("pos") % 8 == 0).alias("trashed"))
     return H.classify_links(rows, library)
 
 
@@ -448,7 +448,7 @@ def question_evidence(spark, sf):
 
 # --- incremental --------------------------------------------------------------------------------
 
-_PLAN = f"""{LIT}, {NOTES}, dn as (select doi, count(*) as n, min(path) as path, arg_min(has_managed_block, path) as managed from notes group by 1), c as (select pos, {DOI} as d from lit), dup as (select d from c where d <> '' group by d having count(*) > 1),
+_PLAN = f"""{LIT}, {NOTES}, dn as (select doi, count(*) as n, min(path) as path, arg_min(has_managed_block, path) as managed from notes where doi is not null group by 1), c as (select pos, {DOI} as d from lit), dup as (select d from c where d <> '' group by d having count(*) > 1),
 plan as (select pos, d as doi, case when d = '' then 'conflict_missing_doi' when d in (select d from dup) then 'duplicate_in_capture' when n > 1 then 'conflict_duplicate_vault_notes' when n is null then 'new' when not managed then 'update' else 'noop' end as action from c left join dn on c.d = dn.doi)"""
 
 
@@ -476,27 +476,27 @@ def broken_links(spark, sf):
     return I.broken_links(M.note_inventory(D.lit_notes(spark, sf)))
 
 
-@query(f"with {LIT}, {NOTES}, n as (select doi, count(*) as n from notes group by 1), w as (select distinct {DOI} as doi from lit where {DOI} <> '') select w.doi, coalesce(n, 0) as n_notes from w left join n on w.doi = n.doi where coalesce(n, 0) <> 1")
+@query(f"with {LIT}, {NOTES}, n as (select doi, count(*) as n from notes where doi is not null group by 1), w as (select distinct {DOI} as doi from lit where {DOI} <> '') select w.doi, coalesce(n, 0) as n_notes from w left join n on w.doi = n.doi where coalesce(n, 0) <> 1")
 def note_doi_unique(spark, sf):
     return I.doi_uniqueness(lit(spark, sf), M.note_inventory(D.lit_notes(spark, sf)))
 
 
-@query(f"with {LIT}, {NOTES}, n as (select doi, count(*) as n, min(path) as path from notes group by 1 having count(*) = 1) select pos, n.doi, n.path from (select pos, {DOI} as nd from lit) l join n on l.nd = n.doi")
+@query(f"with {LIT}, {NOTES}, n as (select doi, count(*) as n, min(path) as path from notes where doi is not null group by 1 having count(*) = 1) select pos, n.doi, n.path from (select pos, {DOI} as nd from lit) l join n on l.nd = n.doi")
 def notes_for_articles(spark, sf):
     return N.notes_holding_doi(lit(spark, sf), M.note_inventory(D.lit_notes(spark, sf)))
 
 
-@query(f"with {NOTES} select doi, count(*) as n_notes, min(path) as first_path from notes group by 1")
+@query(f"with {NOTES} select doi, count(*) as n_notes, min(path) as first_path from notes where doi is not null group by 1")
 def notes_index(spark, sf):
     return M.notes_by_doi(M.note_inventory(D.lit_notes(spark, sf))).select("doi", "n_notes", F.get("paths", F.lit(0)).alias("first_path"))
 
 
-@query("""with b as (select doc_id as path, sha256(coalesce(text, '')) as h from documents where doc_id % 10 <> 1), a as (select doc_id as path, case when doc_id % 10 = 3 then 'x' else sha256(coalesce(text, '')) end as h from documents where doc_id % 10 <> 2)
+@query("""with b as (select doc_id as path, sha256(coalesce(text, '')) as h from documents), a as (select case when doc_id % 10 = 2 then -1 - doc_id else doc_id end as path, case when doc_id % 10 = 3 then 'x' else sha256(coalesce(text, '')) end as h from documents)
 select coalesce(b.path, a.path) as path, case when b.h is null then 'added' when a.h is null then 'removed' else 'changed' end as change from b full join a on a.path = b.path where coalesce(b.h, '') <> coalesce(a.h, '')""")
 def snapshot_diff(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    after = docs.filter("path % 10 <> 2").withColumn("sha256", F.when(F.col("path") % 10 == 3, "x").otherwise(F.col("sha256")))
-    return I.diff_snapshots(docs.filter("path % 10 <> 1"), after).select("path", "change")
+    before = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    after = before.select(F.when(F.col("path") % 10 == 2, -1 - F.col("path")).otherwise(F.col("path")).alias("path"), F.when(F.col("path") % 10 == 3, "x").otherwise(F.col("sha256")).alias("sha256"))
+    return I.diff_snapshots(before, after).select("path", "change")
 
 
 # --- queue --------------------------------------------------------------------------------------

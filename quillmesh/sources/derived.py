@@ -56,13 +56,13 @@ RANK_SQL = (
 
 
 def lit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes for every third record: some with a managed block, some DOIs in two notes, some dead links."""
-    lit = lit_records(spark, sf_dir).filter("pos % 3 = 0 or pos % 24 = 1").withColumn("doi", F.expr("concat('10.', cast(1000 + k % 9 as string), '/D.', cast(k as string))"))
+    """A note for every record: a third hold a DOI, some DOIs stand in two, half have a managed block, some links are dead."""
+    lit = lit_records(spark, sf_dir).withColumn("doi", F.expr("case when pos % 3 = 0 or pos % 24 = 1 then concat('10.', cast(1000 + k % 9 as string), '/D.', cast(k as string)) else 'none' end"))
     text = F.concat(F.lit("DOI "), F.col("doi"), F.lit("\n[[note "), F.col("pos") + 3, F.lit("|next]] [[dir/note "), F.col("pos") * 2, F.lit("#part]]"), F.when(F.col("pos") % 2 == 0, "\n<!-- managed:begin -->x<!-- managed:end -->").otherwise(""))
     return lit.select(F.concat(F.lit("vault/note "), F.col("pos"), F.lit(".md")).alias("path"), text.alias("text"))
 
 
 NOTES_SQL = (
-    "notes as (select 'vault/note ' || doc_id || '.md' as path, 'note ' || doc_id as title, '10.' || (1000 + (doc_id // 3) % 9) || '/d.' || (doc_id // 3) as doi, doc_id % 2 = 0 as has_managed_block, "
-    "['note ' || (doc_id + 3), 'note ' || (doc_id * 2)] as targets from documents where doc_id % 3 = 0 or doc_id % 24 = 1)"
+    "notes as (select 'vault/note ' || doc_id || '.md' as path, 'note ' || doc_id as title, case when doc_id % 3 = 0 or doc_id % 24 = 1 then '10.' || (1000 + (doc_id // 3) % 9) || '/d.' || (doc_id // 3) end as doi, doc_id % 2 = 0 as has_managed_block, "
+    "['note ' || (doc_id + 3), 'note ' || (doc_id * 2)] as targets from documents)"
 )
