@@ -13,6 +13,7 @@ one narrow pass over all whole texts.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import unicodedata
 import zlib
@@ -33,6 +34,9 @@ MAX_PATTERNS = 50_000
 PREFIX_LENGTHS = range(3, 11)
 SIGNIFICANCE = 1.0  # patterns expected to pass by chance
 LENGTH_POWERS = (0.0, 0.25, 0.5, 1.0)
+NEAR_COPY = 0.8  # shingle Jaccard from which a row is a copy
+SKETCH, BAND = 128, 4  # min-hashes of a row, and how many of them a bucket's key takes
+PROPOSED = 0.65  # estimate from which a pair is verified, four deviations below NEAR_COPY
 
 #: Look-alike letters (Cyrillic and Greek) and digit or symbol substitutions; fixed values.
 LOOK_ALIKES = {
@@ -72,25 +76,112 @@ def patterns_of(folded: str) -> set[str]:
     return out
 
 
-def signatures(folded: str) -> tuple[int, int]:
-    """Two min-hashes of a text's three-word shingles; near copies agree in one of them most of the time."""
+def shingles_of(folded: str) -> set[str]:
+    """Three-word shingles of a folded text; a shorter text is one shingle."""
     words = folded.split()
-    shingles = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
-    return min(map(zlib.crc32, shingles)), min(zlib.crc32(x, 0x5EED) for x in shingles)
+    return {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+
+
+def jaccard(a: set[str], b: set[str]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+_MULTIPLY, _ADD = np.random.default_rng(0x5EED).integers(1, 2**63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(shingles: set[str]) -> np.ndarray:
+    """SKETCH min-hashes; two sets agree in a share of them that estimates their Jaccard."""
+    h = np.fromiter((zlib.crc32(x.encode()) for x in shingles), np.uint64, len(shingles))
+    out = np.full(SKETCH, 2**32 - 1, np.uint64)
+    for i in range(0, len(h), 1024):
+        np.minimum(out, ((h[i : i + 1024, None] * _MULTIPLY + _ADD) >> np.uint64(32)).min(axis=0), out=out)
+    return out.astype("<u4")
+
+
+class CopyFinder:
+    """Greedy choice among rows in id order: a row goes only into an earlier kept row of its label.
+
+    Sketches propose pairs; ``known`` holds, by (row, kept row), whether the exact Jaccard suffices. A
+    pass names the pairs it lacks and goes on by the estimate, so passes repeat until none is lacking.
+    """
+
+    def __init__(self, labels: list[int], sketches: np.ndarray):
+        self.labels, self.sketches, self.known = labels, sketches, {}
+        bands = np.ascontiguousarray(sketches).view(np.dtype((np.void, 4 * BAND)))
+        self.keys = [[(y, i, k) for i, k in enumerate(row.tolist())] for y, row in zip(labels, bands)]
+
+    def choose(self) -> tuple[dict[int, int], list[tuple[int, int]]]:
+        """({row: the kept row it is a copy of}, pairs to verify)"""
+        buckets: dict[tuple, list[int]] = {}
+        copies, lacking = {}, []
+        for row, keys in enumerate(self.keys):
+            near = np.array(sorted({k for key in keys for k in buckets.get(key, ())}), dtype=np.int64)
+            into = None
+            if len(near):
+                alike = (self.sketches[near] == self.sketches[row]).mean(axis=1)
+                order = np.lexsort((near, -alike))
+                proposed = [(int(near[i]), float(alike[i])) for i in order if alike[i] >= PROPOSED]
+                into = next((k for k, _ in proposed if self.known.get((row, k))), None)
+                if into is None and (unknown := [(k, e) for k, e in proposed if (row, k) not in self.known]):
+                    likely = unknown[0][1] >= NEAR_COPY
+                    lacking += [(row, k) for k, _ in (unknown[:1] if likely else unknown)]
+                    into = unknown[0][0] if likely else None
+            if into is None:
+                for key in keys:
+                    buckets.setdefault(key, []).append(row)
+            else:
+                copies[row] = into
+        return copies, lacking
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
-    """One row of each group of near copies of the bounded sample, so that copies are not taken for evidence."""
+    """One row of each group of near copies of the bounded sample, so that copies are not taken for evidence.
 
-    def run(batches):
+    A row goes only if a kept row of the same label, with a smaller id, has a shingle Jaccard of
+    NEAR_COPY or more to it; that is computed on the whole shingle sets. Equal sets are met by digest.
+    Of each row the driver holds a sketch of fixed size, never the text. The result is persisted.
+    """
+    spark = sample.sparkSession
+
+    def sketched(batches):
+        for b in batches:
+            digests, sketches = [], []
+            for t in b.column(1).to_pylist():
+                shingles = shingles_of(fold(t))
+                digests.append(hashlib.blake2b("\n".join(sorted(shingles)).encode(), digest_size=16).digest())
+                sketches.append(sketch(shingles).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], [*b.schema.names, "digest", "sketch"])
+
+    def verified(batches):
         for b in batches:
-            pairs = [signatures(fold(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], [*b.schema.names, "s1", "s2"])
+            row, kept, text, other = (b.column(i).to_pylist() for i in range(4))
+            same = [jaccard(shingles_of(fold(s)), shingles_of(fold(t))) >= NEAR_COPY for s, t in zip(text, other)]
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(kept, pa.int64()), pa.array(same)], ["row", "kept", "same"])
 
-    kept = sample.select("_id", "_text", "y").mapInArrow(run, f"_id {sample.schema['_id'].dataType.simpleString()}, _text string, y int, s1 long, s2 long")
-    for s in ("s1", "s2"):
-        kept = kept.groupBy(s).agg(F.min(F.struct("_id", "_text", "y", *({"s1", "s2"} - {s}))).alias("r")).select(s, "r.*")
-    return kept.select("_id", "_text", "y")
+    rows = sample.select("_id", "_text", "y").mapInArrow(sketched, f"_id {sample.schema['_id'].dataType.simpleString()}, _text string, y int, digest binary, sketch binary")
+    rows = rows.groupBy("digest", "y").agg(F.min(F.struct("_id", "_text", "sketch")).alias("r")).select("digest", "y", "r.*").persist()
+    try:
+        known = rows.select("_id", "digest", "y", "sketch").orderBy("_id", "digest", "y").collect()
+        finder = CopyFinder([r["y"] for r in known], np.frombuffer(b"".join(bytes(r["sketch"]) for r in known), "<u4").reshape(len(known), SKETCH))
+        name = [(bytes(r["digest"]), r["y"]) for r in known]
+        copies, lacking = finder.choose()
+        while lacking:
+            pairs = spark.createDataFrame([(r, k, *name[r], name[k][0]) for r, k in lacking], "row long, kept long, digest binary, y int, other binary")
+            left = rows.join(F.broadcast(pairs), ["digest", "y"]).select("row", "kept", "_text", "other", "y")
+            right = rows.select(F.col("digest").alias("other"), "y", F.col("_text").alias("_other"))
+            both = left.join(right, ["other", "y"]).select("row", "kept", "_text", "_other")
+            finder.known |= {(r["row"], r["kept"]): r["same"] for r in both.mapInArrow(verified, "row long, kept long, same boolean").collect()}
+            copies, lacking = finder.choose()
+        if copies:
+            gone = spark.createDataFrame([name[r] for r in copies], "digest binary, y int")
+            kept = rows.join(F.broadcast(gone), ["digest", "y"], "left_anti").select("_id", "_text", "y").persist()
+        else:
+            kept = rows.select("_id", "_text", "y").persist()
+        kept.count()
+        return kept
+    finally:
+        rows.unpersist()
 
 
 @dataclass
@@ -234,7 +325,7 @@ def _pair_counts(sample: DataFrame, emit, schema: str) -> DataFrame:
 
 def fit_toxicity(sample: DataFrame) -> ToxicityModel:
     """Fit on a bounded frame of (id, text, y). Without both classes every document scores low."""
-    sample = without_copies(sample).persist()
+    sample = without_copies(sample)
     try:
         sizes = {r["y"]: r["count"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect()}
         toxic, clean = sizes.get(1, 0), sizes.get(0, 0)

@@ -252,6 +252,23 @@ def test_toxicity(spark):
         assert all(x.score < 0.7 for x in toxicity.score_toxicity(docs.limit(5), plain).collect())
 
 
+def test_toxicity_drops_verified_copies_only(spark):
+    r = random.Random(6)
+    words = lambda n: [f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(n)]
+    passage = " ".join(words(60))  # a hot passage in every text
+    base = words(200)
+    near = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in (20, 90, 160)]
+    texts = [(f"{passage} {' '.join(words(40))}", i % 2) for i in range(60)] + [(t, 0) for t in near] + [(near[0], 1), (near[0], 0)]
+    sample = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "_id long, _text string, y int")
+    sets = [toxicity.shingles_of(toxicity.fold(t)) for t, _ in texts]
+    want = []
+    for i, (_, y) in enumerate(texts):
+        if not any(texts[k][1] == y and toxicity.jaccard(sets[i], sets[k]) >= 0.8 for k in want):
+            want.append(i)
+    assert want == [*range(61), 63]
+    assert sorted(x._id for x in toxicity.without_copies(sample).collect()) == want
+
+
 def test_toxicity_exception_covers_match():
     model = toxicity.ToxicityModel({" clown ": 4.0}, [" clown fish "], 0.0, 1.0, -2.0)
     assert model.weight(toxicity.fold("the clown fish swims")) == 0 and model.weight(toxicity.fold("you clown!")) == 4.0
