@@ -1,8 +1,8 @@
 """Operator 10: secret scan, fixed patterns plus a character convolutional network.
 
 Three base patterns always count. Every other token-like run of a text is a candidate: the network
-reads the characters before it, the candidate itself and those after it, and adds the candidate when
-its calibrated probability reaches a threshold chosen under a recall constraint on held-back findings.
+reads the characters before it, the candidate itself and those after it (a long candidate in
+overlapping windows, of which the greatest counts), and adds the candidate when its calibrated probability reaches a threshold chosen under a recall constraint on held-back findings.
 
 The network is plain numpy: character embedding, one convolution, separate maxima over context and
 candidate, and a dense output. It is trained on labelled findings: candidates of a bounded sample of
@@ -28,6 +28,9 @@ MAX_FINDINGS = 6_000
 GENERATED = 3_000
 RECALL = 0.98
 BEFORE, BODY, AFTER = 24, 48, 8
+STEP = BODY // 2  # between the windows of a run longer than BODY
+LEAST_SHARED = 12  # characters of a secret from which a window of a longer run counts as holding it
+WINDOWS_AT_ONCE = 4_096
 SEED = 71
 KINDS = ("assign", "access", "hex", "network")
 
@@ -88,6 +91,17 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return row
 
 
+def window_spans(start: int, end: int) -> list[tuple[int, int]]:
+    """Pieces of a candidate that the network reads: itself, or overlapping ones over a longer run's whole length."""
+    if end - start <= BODY:
+        return [(start, end)]
+    return [(a, a + BODY) for a in (*range(start, end - BODY, STEP), end - BODY)]
+
+
+def shared(a: int, b: int, start: int, end: int) -> int:
+    return max(0, min(b, end) - max(a, start))
+
+
 @dataclass
 class CharCNN:
     """Parameters of the network with its calibration and threshold."""
@@ -189,6 +203,7 @@ def generated_findings(n: int = GENERATED) -> tuple[list[np.ndarray], list[int]]
     word = lambda a=3, b=9: "".join(r.choice(low) for _ in range(r.randint(a, b)))
     some = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
     prose = lambda: " ".join(word() for _ in range(6))
+    path = lambda a, b: (sep := r.choice("//._-")).join(word() + r.choice(("", "", "", str(r.randint(0, 99)))) for _ in range(r.randint(a, b))) + sep
     positives = (
         lambda: (f"{r.choice(('Authorization: Bearer ', 'bearer ', 'x-auth: ', 'key: ', 'credential '))}", some(low + up + dig, 24, 60)),
         lambda: (r.choice(("", "secret_key = ", "PRIVATE ", "aws ")), some(low + up + dig + "+/", 36, 44)),
@@ -209,10 +224,16 @@ def generated_findings(n: int = GENERATED) -> tuple[list[np.ndarray], list[int]]
     for i in range(n):
         kinds = positives if i % 2 else negatives
         lead, body = r.choice(kinds)()
-        before = f"{prose()} {lead}"
-        text = f"{before}{body} {prose()}"
-        rows.append(window(text, len(before), len(before) + len(body)))
-        y.append(i % 2)
+        # a sixth of the findings stand at the end or in the middle of a long run
+        head, tail = (path(3, 12), r.choice(("", "", "/" + path(2, 6)))) if i % 12 < 2 and not lead.startswith("+1") else ("", "")
+        before = f"{prose()} {'' if head else lead}"
+        text = f"{before}{head}{body}{tail} {prose()}"
+        start = len(before) + len(head)
+        for a, b in window_spans(len(before), start + len(body) + len(tail)):
+            held = shared(a, b, start, start + len(body))
+            if b - a < BODY or not i % 2 or not held or held >= LEAST_SHARED:
+                rows.append(window(text, a, b))
+                y.append(int(bool(i % 2 and held)))
     return rows, y
 
 
@@ -234,10 +255,13 @@ def sample_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue
                 found = base_spans(text)
                 for start, end in candidates(text):
-                    hits = [(k, s, e) for s, k, e in found if s < end and start < e]
-                    digits = any(k == 2 and text[s:e].isdigit() for k, s, e in hits)
-                    codes.append(window(text, start, end).astype("<i2").tobytes())
-                    y.append(int(bool(hits) and not (digits and len(hits) == 1)))
+                    for a, b in window_spans(start, end):
+                        hits = [(k, s, e) for s, k, e in found if s < b and a < e]
+                        if end - start > BODY and hits and all(shared(a, b, s, e) < LEAST_SHARED for _, s, e in hits):
+                            continue  # only the rim of a finding
+                        digits = any(k == 2 and text[s:e].isdigit() for k, s, e in hits)
+                        codes.append(window(text, a, b).astype("<i2").tobytes())
+                        y.append(int(bool(hits) and not (digits and len(hits) == 1)))
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array(y, pa.int32())], ["codes", "y"])
 
     found = texts.select("_text").mapInArrow(run, "codes binary, y int").distinct()
@@ -252,13 +276,32 @@ def fit_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return train(np.stack(rows).astype(np.int64), np.array(y, dtype=np.float32))
 
 
+def probabilities(text: str, spans: list[tuple[int, int]], net: CharCNN) -> np.ndarray:
+    """Greatest probability of each candidate's windows; of very long runs few windows are held at once."""
+    best, rows, owners = np.zeros(len(spans)), [], []
+
+    def score():
+        np.maximum.at(best, owners, net.probability(np.stack(rows).astype(np.int64)))
+        rows.clear()
+        owners.clear()
+
+    for i, span in enumerate(spans):
+        for a, b in window_spans(*span):
+            rows.append(window(text, a, b))
+            owners.append(i)
+            if len(rows) >= WINDOWS_AT_ONCE:
+                score()
+    if rows:
+        score()
+    return best
+
+
 def all_spans(text: str, net: CharCNN) -> list[tuple[int, int, int]]:
     """Base findings and the candidates the network adds, as (start, kind index, end)."""
     found = base_spans(text)
     left = [c for c in candidates(text) if not any(s < c[1] and c[0] < e for s, _, e in found)]
     if left:
-        p = net.probability(np.stack([window(text, a, b) for a, b in left]).astype(np.int64))
-        found = sorted(found + [(a, 3, b) for (a, b), q in zip(left, p) if q >= net.threshold])
+        found = sorted(found + [(a, 3, b) for (a, b), q in zip(left, probabilities(text, left, net)) if q >= net.threshold])
     return found
 
 
