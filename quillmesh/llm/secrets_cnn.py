@@ -2,7 +2,8 @@
 
 Three base patterns always count. Every other token-like run of a text is a candidate: the network
 reads the characters before it, the candidate itself and those after it (a long candidate in
-overlapping windows, of which the greatest counts), and adds the candidate when its calibrated probability reaches a threshold chosen under a recall constraint on held-back findings.
+overlapping windows, of which the greatest counts), and adds the candidate when its calibrated
+probability reaches a threshold chosen under a recall constraint on held-back findings.
 
 The network is plain numpy: character embedding, one convolution, separate maxima over context and
 candidate, and a dense output. It is trained on labelled findings: candidates of a bounded sample of
@@ -166,12 +167,19 @@ class CharCNN:
         return [dembed, cols.reshape(n * length, -1).T @ flat, flat.sum(0), pooled.T @ dz, np.float32(dz.sum())]
 
 
-def train(codes: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128) -> CharCNN:
-    """Train by Adam on most findings; calibrate and choose the threshold on the held-back quarter."""
+def train(codes: np.ndarray, y: np.ndarray, finding: np.ndarray, beyond: np.ndarray, epochs: int = 6, batch: int = 128) -> CharCNN:
+    """Train by Adam on most findings; calibrate and choose the threshold on the held-back quarter.
+
+    ``finding`` numbers the finding each window belongs to, ``beyond`` has the kind, from 1, of secrets
+    that no base pattern covers, else 0: only those are the network's to find, so the recall is
+    theirs, and holds for each kind. A finding is held back with all its windows and counts by the
+    greatest probability, as in a scan.
+    """
     rng = np.random.default_rng(SEED)
     net = CharCNN.fresh(rng)
-    order = rng.permutation(len(y))
-    back, fit = order[: len(y) // 4], order[len(y) // 4 :]
+    order = rng.permutation(int(finding.max()) + 1)
+    held = np.isin(finding, order[: len(order) // 4])
+    back, fit = np.flatnonzero(held), np.flatnonzero(~held)
     names = ("embed", "conv", "conv_bias", "dense", "bias")
     m = [np.zeros_like(np.asarray(getattr(net, k), dtype=np.float32)) for k in names]
     v = [np.zeros_like(x) for x in m]
@@ -190,14 +198,22 @@ def train(codes: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128) -
         from .toxicity import fit_logistic
 
         net.slope, net.shift, _ = fit_logistic(z.astype(float), t, ridge=1e-2)
-        p = net.probability(codes[back])
-        # the highest threshold that still finds the wanted share of held-back secrets, never below one half
-        net.threshold = float(max(0.5, np.quantile(p[t > 0], 1 - RECALL, method="lower")))
+    levels = []
+    for kind in np.unique(beyond[back][beyond[back] > 0]):
+        aim = back[beyond[back] == kind]
+        best = np.zeros(len(order))
+        np.maximum.at(best, finding[aim], net.probability(codes[aim]))
+        levels.append(np.quantile(best[np.unique(finding[aim])], 1 - RECALL, method="lower"))
+    # the highest threshold that still finds the wanted share of the held-back secrets
+    net.threshold = float(min(levels, default=net.threshold))
     return net
 
 
-def generated_findings(n: int = GENERATED) -> tuple[list[np.ndarray], list[int]]:
-    """Findings in public formats the base patterns do not all cover, and look-alikes that are no secrets."""
+def generated_findings(n: int = GENERATED) -> tuple[list[np.ndarray], list[int], list[int], list[int]]:
+    """Findings in public formats the base patterns do not all cover, and look-alikes that are no secrets.
+
+    Of each window: codes, label, number of its finding, kind of secret beyond the base patterns (0: none; one kind is any in a long run).
+    """
     r = random.Random(SEED)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda a=3, b=9: "".join(r.choice(low) for _ in range(r.randint(a, b)))
@@ -220,28 +236,45 @@ def generated_findings(n: int = GENERATED) -> tuple[list[np.ndarray], list[int]]
         lambda: ("", f"{word(4, 8)}.{word(4, 8)}{r.randint(0, 9)}"),
         lambda: ("", "".join(word(3, 6).title() for _ in range(r.randint(2, 3))) + r.choice(("", "2"))),
     )
-    rows, y = [], []
+    rows, y, finding, beyond = [], [], [], []
     for i in range(n):
         kinds = positives if i % 2 else negatives
-        lead, body = r.choice(kinds)()
+        kind = r.randrange(len(kinds))
+        lead, body = kinds[kind]()
         # a sixth of the findings stand at the end or in the middle of a long run
         head, tail = (path(3, 12), r.choice(("", "", "/" + path(2, 6)))) if i % 12 < 2 and not lead.startswith("+1") else ("", "")
         before = f"{prose()} {'' if head else lead}"
         text = f"{before}{head}{body}{tail} {prose()}"
         start = len(before) + len(head)
-        for a, b in window_spans(len(before), start + len(body) + len(tail)):
+        stop = start + len(body) + len(tail)
+        covered = any(s < stop and len(before) < e for s, _, e in base_spans(text))
+        for a, b in window_spans(len(before), stop):
             held = shared(a, b, start, start + len(body))
             if b - a < BODY or not i % 2 or not held or held >= LEAST_SHARED:
                 rows.append(window(text, a, b))
                 y.append(int(bool(i % 2 and held)))
-    return rows, y
+                finding.append(i)
+                beyond.append(0 if covered or not y[-1] else len(kinds) + 1 if head else kind + 1)
+    return rows, y, finding, beyond
+
+
+_KEY_PREFIX = re.compile(r"(?:^|[/._=+-])(?:gh[opsur]_|github_pat_|[rs]k_(?:live|test)_|xox[abeoprs]-|glpat-|AIza|eyJ)[A-Za-z0-9]", re.ASCII)
+_KEY_LEAD = re.compile(r"(?:bearer|basic|auth|authorization|credentials?|key|private|pass|pwd|secret|token|aws)[^A-Za-z0-9]*$", re.ASCII | re.IGNORECASE)
+_TURN = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+
+
+def looks_like_key(text: str, start: int, end: int) -> bool:
+    """True for a run that may be a key: a known prefix, a word for a key before it, or letters and digits mixed at random."""
+    s = text[start:end]
+    return bool(_KEY_PREFIX.search(s) or _KEY_LEAD.search(text[max(0, start - BEFORE) : start]) or any(len(_TURN.findall(x)) >= 5 for x in re.split(r"[/._=+-]+", s)))
 
 
 def sample_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(codes, y) of at most MAX_FINDINGS candidates of at most MAX_SAMPLE_DOCUMENTS documents, in hash order.
 
     A candidate that a base assign or access finding covers, or a long hexadecimal one with letters
-    and digits, is labelled a secret; any other is not.
+    and digits, is labelled a secret. Of the others those that look like a key are left out, as
+    nothing tells what they are; the rest is labelled no secret.
     """
     small_batches(docs.sparkSession)
     drawn = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_drawn")).distinct().orderBy(F.xxhash64("_drawn"), "_drawn").limit(MAX_SAMPLE_DOCUMENTS)
@@ -259,6 +292,8 @@ def sample_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         hits = [(k, s, e) for s, k, e in found if s < b and a < e]
                         if end - start > BODY and hits and all(shared(a, b, s, e) < LEAST_SHARED for _, s, e in hits):
                             continue  # only the rim of a finding
+                        if not hits and looks_like_key(text, a, b):
+                            continue
                         digits = any(k == 2 and text[s:e].isdigit() for k, s, e in hits)
                         codes.append(window(text, a, b).astype("<i2").tobytes())
                         y.append(int(bool(hits) and not (digits and len(hits) == 1)))
@@ -269,11 +304,13 @@ def sample_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def fit_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CharCNN:
-    rows, y = generated_findings()
+    rows, y, finding, beyond = generated_findings()
     for r in sample_findings(docs, id_col, text_col).collect():
         rows.append(np.frombuffer(bytes(r["codes"]), dtype="<i2"))
         y.append(r["y"])
-    return train(np.stack(rows).astype(np.int64), np.array(y, dtype=np.float32))
+        finding.append(finding[-1] + 1)
+        beyond.append(0)
+    return train(np.stack(rows).astype(np.int64), np.array(y, dtype=np.float32), np.array(finding), np.array(beyond))
 
 
 def probabilities(text: str, spans: list[tuple[int, int]], net: CharCNN) -> np.ndarray:
