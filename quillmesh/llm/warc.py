@@ -158,7 +158,7 @@ def read_records(spark: SparkSession, path: str, id_type: str = "long") -> DataF
                 if number == 0:
                     if current is not None:
                         raise ValueError(f"{current[0]}: its last chunk is missing")
-                    head, at = parse_head(bytes(data[: min(len(data), CHUNK_BYTES)]))
+                    head, at = parse_head(bytes(data))
                     if bytes(data[at : at + len(HTTP_HEAD)]) != HTTP_HEAD:
                         raise ValueError(f"{record}: unknown HTTP head")
                     data = data[at + len(HTTP_HEAD) :]

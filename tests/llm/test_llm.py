@@ -150,6 +150,14 @@ def test_warc_detects_change(spark):
         warc.read_records(spark, broken).collect()
 
 
+def test_warc_long_url(spark):
+    path, url = new_folder(spark, "warc"), "data:text/html;base64," + "QUJD" * 30_000
+    rows = [(1, url, "short"), (2, url + "x", "y" * 200_000), (3, url, "short"), (4, "u", "")]
+    warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r.page_id: r for r in warc.read_records(spark, path).collect()}
+    assert {i: (got[i].url, got[i].payload_bytes) for i in got} == {i: (u, len(h)) for i, u, h in rows}
+
+
 def test_warc_empty_and_repeated(spark):
     for rows, n in (([], 0), ([(1, "u", "x"), (1, "u", "x"), (2, "v", "x")], 3)):
         path = new_folder(spark, "warc")
