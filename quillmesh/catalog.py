@@ -416,6 +416,22 @@ def relations_shared_terms(spark, sf):
     return N.shared_term_relations(lit(spark, sf).select("pos", F.explode(names).alias("name"))).select("source", "target", "n_shared")
 
 
+_SETS = f"{TERMS}, s as (select pos, list_sort(list(distinct name)) as names from terms group by 1)"
+
+
+@query(f"with {_SETS} select pos, array_to_string(names, '|') as names from s")
+def relations_term_sets(spark, sf):
+    return N.term_sets(terms(spark, sf)).select("pos", F.array_join("names", "|").alias("names"))
+
+
+@query(f"""with {_SETS}, g as (select names, count(*) as n from s group by 1)
+select array_to_string(a.names, '|') as names_a, array_to_string(b.names, '|') as names_b, len(list_intersect(a.names, b.names)) as n_shared, a.n as n_a, b.n as n_b
+from g a join g b on a.names < b.names or (a.names = b.names and a.n > 1) where len(list_intersect(a.names, b.names)) >= 2""")
+def relations_term_set_links(spark, sf):
+    links = N.term_set_links(terms(spark, sf))
+    return links.select(F.array_join("names_a", "|").alias("names_a"), F.array_join("names_b", "|").alias("names_b"), F.size("shared_terms").cast("long").alias("n_shared"), "n_a", "n_b")
+
+
 @query(f"with {TERMS}, n as (select name, count(*) as n from terms group by 1) select x.name as term_a, y.name as term_b, x.n as n_a, y.n as n_b from n x, n y where (x.name, y.name) in (('romance que', 'german article'), ('of', 'licence'))")
 def contrast_sides(spark, sf):
     rules = spark.createDataFrame([("romance que", "german article", "families"), ("of", "licence", "style")], "term_a string, term_b string, note string")

@@ -96,6 +96,25 @@ def shared_term_relations(terms: DataFrame, key: str = "pos", least: int = 2, mo
     return a.join(b, "name").filter("source < target").groupBy("source", "target").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list("name")).alias("shared_terms")).filter(F.col("n_shared") >= least)
 
 
+def term_sets(terms: DataFrame, key: str = "pos") -> DataFrame:
+    """(key, names): the sorted set of an article's terms, a row per article with terms."""
+    return terms.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def term_set_links(terms: DataFrame, key: str = "pos", least: int = 2) -> DataFrame:
+    """(names_a, names_b, shared_terms, n_a, n_b) of term sets with at least ``least`` terms in common, names_a <= names_b.
+
+    Every pair of ``shared_term_relations`` is a pair of articles of linked sets, found by joining
+    ``term_sets``; a set is linked to itself when two articles have it. Rows are bounded by the sets
+    that occur, not by articles.
+    """
+    sets = term_sets(terms, key).groupBy("names").agg(F.count("*").alias("n")).filter(F.size("names") >= least)
+    each = sets.select("names", "n", F.explode("names").alias("name"))
+    a, b = each.select("name", F.col("names").alias("names_a"), F.col("n").alias("n_a")), each.select("name", F.col("names").alias("names_b"), F.col("n").alias("n_b"))
+    pairs = a.join(b, "name").filter("names_a < names_b or (names_a = names_b and n_a > 1)").groupBy("names_a", "names_b", "n_a", "n_b").agg(F.array_sort(F.collect_list("name")).alias("shared_terms"))
+    return pairs.filter(F.size("shared_terms") >= least).select("names_a", "names_b", "shared_terms", "n_a", "n_b")
+
+
 def term_cooccurrence(terms: DataFrame, key: str = "pos") -> DataFrame:
     """(term_a, term_b, n) of terms in the same article: bounded by the vocabulary, whatever the corpus."""
     names = terms.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("n"))

@@ -222,3 +222,14 @@ def test_stream(spark, tmp_path):
     q = stream.first_of_each_doi(events, "ts").writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("firsts").count() == 2
+
+
+def test_term_set_links_give_all_pairs(spark):
+    held = {1: "a b", 2: "a b", 3: "a b c", 4: "c", 5: "b c", 6: "a", 7: "d e", 8: "e"}
+    terms = spark.createDataFrame([(k, n) for k, v in held.items() for n in v.split()] + [(1, "a")], "pos long, name string")
+    sets: dict = {}
+    for r in network.term_sets(terms).collect():
+        sets.setdefault(tuple(r.names), []).append(r.pos)
+    got = {(min(i, j), max(i, j), tuple(r.shared_terms)) for r in network.term_set_links(terms).collect() for i in sets[tuple(r.names_a)] for j in sets[tuple(r.names_b)] if i != j}
+    assert got == {(r.source, r.target, tuple(r.shared_terms)) for r in network.shared_term_relations(terms).collect()}
+    assert got == {(i, j, tuple(sorted(set(held[i].split()) & set(held[j].split())))) for i in held for j in held if i < j and len(set(held[i].split()) & set(held[j].split())) >= 2}
