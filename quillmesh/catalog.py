@@ -443,6 +443,17 @@ def version_relations(spark, sf):
     return N.version_relations(lit(spark, sf))
 
 
+@query(f"with {TERMS}, r(term_a, term_b) as (values ('romance que', 'german article'), ('of', 'licence')) select distinct term_a, term_b, 'a' as side, pos from r join terms on name = term_a union all select distinct term_a, term_b, 'b', pos from r join terms on name = term_b")
+def contrast_members(spark, sf):
+    rules = spark.createDataFrame([("romance que", "german article", "families"), ("of", "licence", "style")], "term_a string, term_b string, note string")
+    return N.contrast_members(terms(spark, sf), rules).select("term_a", "term_b", "side", "pos")
+
+
+@query(f"with {LIT}, v as (select {VKEY} as version_key, pos, {DOI} as doi from lit) select * from v where version_key <> '' and version_key in (select version_key from v group by 1 having count(*) > 1)")
+def version_members(spark, sf):
+    return N.version_members(lit(spark, sf))
+
+
 @query(f"with {LIT}, v as (select pos, coalesce(nullif({VKEY}, ''), 'row:' || pos) as v, source = 'arxiv' as p from lit) select v as version_key, coalesce(min(pos) filter (not p), min(pos)) as \"primary\", count(*) as n_versions from v group by 1")
 def versions_folded(spark, sf):
     return N.fold_versions(lit(spark, sf), F.col("source") == "arxiv")

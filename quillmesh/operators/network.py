@@ -132,6 +132,23 @@ def contrast_relations(terms: DataFrame, contrasts: DataFrame, key: str = "pos")
     return left.join(n.withColumnRenamed("name", "term_b").withColumnRenamed("n", "n_b"), "term_b").select("term_a", "term_b", "note", "n_a", "n_b")
 
 
+def contrast_members(terms: DataFrame, contrasts: DataFrame, key: str = "pos") -> DataFrame:
+    """(term_a, term_b, note, side, key): the articles on each side of each contrast rule.
+
+    Every article of side a with every other one of side b is a contrast pair.
+    """
+    t = terms.select(key, "name").distinct()
+    sides = contrasts.select("term_a", "term_b", "note", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("term_a").alias("name")), F.struct(F.lit("b").alias("side"), F.col("term_b").alias("name")))).alias("s")).select("term_a", "term_b", "note", "s.*")
+    return t.join(F.broadcast(sides), "name").select("term_a", "term_b", "note", "side", key)
+
+
+def version_members(articles: DataFrame, key: str = "pos") -> DataFrame:
+    """(version_key, key, doi): all records of titles that two or more records share; any two are a version pair."""
+    a = articles.select(compact_title_key("title").alias("version_key"), key, normalize_doi("doi").alias("doi")).filter("version_key <> ''")
+    groups = a.groupBy("version_key").agg(F.count("*").alias("n")).filter("n > 1").select("version_key")
+    return a.join(groups, "version_key").select("version_key", key, "doi")
+
+
 def version_relations(articles: DataFrame, key: str = "pos") -> DataFrame:
     """(source, target): every further record of a title points to the first with another DOI."""
     a = articles.select(F.col(key).alias("k"), compact_title_key("title").alias("v"), normalize_doi("doi").alias("d")).filter("v <> ''")

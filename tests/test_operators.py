@@ -233,3 +233,13 @@ def test_term_set_links_give_all_pairs(spark):
     got = {(min(i, j), max(i, j), tuple(r.shared_terms)) for r in network.term_set_links(terms).collect() for i in sets[tuple(r.names_a)] for j in sets[tuple(r.names_b)] if i != j}
     assert got == {(r.source, r.target, tuple(r.shared_terms)) for r in network.shared_term_relations(terms).collect()}
     assert got == {(i, j, tuple(sorted(set(held[i].split()) & set(held[j].split())))) for i in held for j in held if i < j and len(set(held[i].split()) & set(held[j].split())) >= 2}
+
+
+def test_members_give_contrast_and_version_pairs(spark):
+    terms = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (3, "y"), (4, "z")], "pos long, name string")
+    rows = network.contrast_members(terms, spark.createDataFrame([("x", "y", "n")], "term_a string, term_b string, note string")).collect()
+    assert {(a.pos, b.pos) for a in rows for b in rows if a.side == "a" and b.side == "b" and a.pos != b.pos} == {(1, 2), (1, 3), (3, 2)}
+    articles = spark.createDataFrame([(1, "One title", "10.1/a"), (2, "One Title.", "10.1/b"), (3, "one title", "10.1/a"), (4, "other", "10.1/c"), (5, "", "")], "pos long, title string, doi string")
+    got = network.version_members(articles).collect()
+    assert {(a.pos, b.pos) for a in got for b in got if a.version_key == b.version_key and a.pos < b.pos} == {(1, 2), (1, 3), (2, 3)}
+    assert {r.pos: r.doi for r in got} == {1: "10.1/a", 2: "10.1/b", 3: "10.1/a"}
