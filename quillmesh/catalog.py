@@ -252,6 +252,12 @@ def inverted_index_rebuild(spark, sf):
     return M.parsed(index, "j", "abstract_inverted_index MAP<STRING,VARIANT>").select("pos", M.inverted_abstract(F.col("w.abstract_inverted_index")).alias("abstract"))
 
 
+@query(f"with {LIT} select pos, string_agg(w, ' ' order by i) as abstract from (select pos, unnest(string_split(abstract, ' ')) as w, generate_subscripts(string_split(abstract, ' '), 1) as i from lit) group by pos")
+def inverted_index_rebuild_text(spark, sf):
+    index = M.parsed(M.inverted_index(lit(spark, sf), "abstract"), "j", "abstract_inverted_index MAP<STRING,VARIANT>")
+    return index.select("pos", M.inverted_abstract(F.col("w.abstract_inverted_index")).alias("abstract"))
+
+
 # --- merge --------------------------------------------------------------------------------------
 
 _MERGE = """

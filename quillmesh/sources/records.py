@@ -104,6 +104,17 @@ def parsed(df: DataFrame, c: str, schema: str) -> DataFrame:
     return df.withColumn("w", F.from_json(c, schema))
 
 
+def inverted_index(df: DataFrame, text: str, key: str = "pos") -> DataFrame:
+    """(key, j): JSON with the word → positions map of each whole text, words split at single spaces.
+
+    Keys are unique. A text moves once, by key; its words are gathered where it lies.
+    """
+    words = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).repartition(key).select(key, F.posexplode(F.split("_text", " ", -1)).alias("i", "w"))
+    places = words.groupBy(key, "w").agg(F.array_sort(F.collect_list("i")).alias("at"))
+    index = F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("abstract_inverted_index")
+    return places.groupBy(key).agg(F.to_json(F.struct(index)).alias("j"))
+
+
 def inverted_abstract(index) -> Column:
     """Text of a word → positions map by rising position; of words at one position the first wins.
 
@@ -112,7 +123,8 @@ def inverted_abstract(index) -> Column:
     lists = F.transform(F.map_entries(col(index)), lambda e: F.struct(F.try_variant_get(e["value"], "$", "array<int>").alias("at"), e["key"].alias("word")))
     spots = F.flatten(F.transform(F.filter(lists, lambda e: e["at"].isNotNull()), lambda e: F.transform(e["at"], lambda p: F.struct(p.alias("p"), e["word"].alias("word")))))
     spots = F.array_sort(F.filter(spots, lambda s: s["p"].isNotNull()), lambda a, b: a["p"] - b["p"])
-    kept = F.filter(spots, lambda s, i: (i == 0) | (F.get(spots, i - 1)["p"] != s["p"]))
+    # as a lambda's variable the sorted list is made once, not again for each word
+    kept = F.transform(F.array(spots), lambda all: F.filter(all, lambda s, i: (i == 0) | (F.get(all, i - 1)["p"] != s["p"])))[0]
     return F.coalesce(F.array_join(F.transform(kept, lambda s: s["word"]), " "), F.lit(""))
 
 

@@ -243,3 +243,10 @@ def test_members_give_contrast_and_version_pairs(spark):
     got = network.version_members(articles).collect()
     assert {(a.pos, b.pos) for a in got for b in got if a.version_key == b.version_key and a.pos < b.pos} == {(1, 2), (1, 3), (2, 3)}
     assert {r.pos: r.doi for r in got} == {1: "10.1/a", 2: "10.1/b", 3: "10.1/a"}
+
+
+def test_inverted_index_of_whole_texts(spark):
+    texts = ["", " ", 'say "x" and \\ y\n\tz say', "a  b a " * 400, "long " * 3000 + "end", "é \u2028 \x1f 'q'"]
+    index = records.inverted_index(spark.createDataFrame(list(enumerate(texts)), "pos long, text string"), "text")
+    got = records.parsed(index, "j", "abstract_inverted_index MAP<STRING,VARIANT>").select("pos", records.inverted_abstract(F.col("w.abstract_inverted_index")).alias("t")).collect()
+    assert {r.pos: r.t for r in got} == dict(enumerate(texts))
