@@ -10,34 +10,40 @@ rare ones first, linked sets meet in the list of one of their first shingles, an
 bounds thin the candidates before the sets are intersected. The boundary is the size at which
 enumeration would cost more rows than scanning and verifying.
 
-The order comes from a sketch of document frequencies over all documents (fixed size, so it can be
-sent everywhere); it decides cost, never results. Lists are worked off in two passes that leave no link
-out: first every member meets a few leaders of its list (the logarithm of its length), then only pairs
-from different components of the first pass meet. A list of a thousand near copies thus costs some ten
-thousand candidates, not half a million. Before any set is fetched, candidates are thinned by parity
-vectors: two sets differ in at least as many shingles as their vectors differ in bits.
+The order comes from a sketch of document frequencies over all documents (its size grows with the
+text up to a bound, so it can be sent everywhere); it decides cost, never results. Lists are worked off
+in two passes that leave no link out: first every member meets a few leaders of its list (the logarithm
+of its length), then only pairs from different components of the first pass meet. Short lists are
+joined. Long ones are cut into classes of size, of which only equal and neighbouring ones can link, and
+these into blocks; pairs of blocks are compared in place, and only pairs that pass become rows. Before
+any set is fetched, candidates are thinned by parity vectors: two sets differ in at least as many
+shingles as their vectors differ in bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .components import connected_components
 from .shared import Scratch, small_batches, table, worker_starts, written
 from .shingles import mix, shingle_sets
 
 WORDS, PERCENT = 3, 90
-SKETCH_BITS = 21
+SKETCH_BITS = range(21, 25)  # least and most (exclusive) size of the frequency sketch, as a power of two
+BLOOM_BITS = range(20, 27)
 SLICE_BITS = 15
-BLOOM_BITS = 24
+SHORT_LIST = 16  # members up to which a list is joined with itself
+BLOCK_ROWS = 1_024
+TILE_ROWS = 256
 VERIFY_COST = 32  # rows that scanning and verifying one set costs, against one row per subset
 LARGEST_LIGHT = 64
 MOST_LEADERS = 16
@@ -94,6 +100,11 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def sized_bits(wanted: int, allowed: range) -> int:
+    """Power of two that holds ``wanted`` places, within the allowed sizes."""
+    return min(max(int(wanted).bit_length(), allowed[0]), allowed[-1])
+
+
 def _merged_slices(parts: DataFrame, combine) -> dict[int, np.ndarray]:
     """Combine sparse slices (slice, places, values) of all partitions; the result has a fixed size."""
 
@@ -127,17 +138,19 @@ SLICE_SCHEMA = "slice int, places binary, values binary"
 
 def frequency_levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     """log2 of the document frequency of shingles, by the low bits of their hash, over all documents."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = sized_bits(size // 64, SKETCH_BITS)
 
     def run(batches):
         worker_starts()
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        counts = np.zeros(1 << bits, dtype=np.uint32)
         mask = np.uint64(len(counts) - 1)
         for b in batches:
             for s in shingle_sets(b.column(0), words):
                 counts[(s & mask).astype(np.int64)] += 1  # two shingles of a set in one place count once
         yield from _slices(counts)
 
-    levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    levels = np.zeros(1 << bits, dtype=np.uint8)
     for s, part in _merged_slices(docs.select(text_col).mapInArrow(run, SLICE_SCHEMA), np.add).items():
         levels[s << SLICE_BITS : (s + 1) << SLICE_BITS] = part
     return levels
@@ -163,7 +176,8 @@ def signatures(docs: DataFrame, levels, id_col: str, text_col: str, words: int,
     least_heavy = min(partner_sizes(below, percent))  # lighter sets never link with a heavy one
 
     def run(batches):
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
+        worker_starts()
+        mask = np.uint64(len(levels.value) - 1)
         for b in batches:
             n, d1, d2, prefix, subsets, overlaps, parity = [], [], [], [], [], [], []
             for s in shingle_sets(b.column(1), words):
@@ -199,23 +213,23 @@ def _needed(a, b, percent: int):
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Fixed-size filter of the ids in column ``id``; a false hit costs work, never a wrong result."""
+def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
+    """Filter of 2**bits places for the ids in column ``id``; a false hit costs work, never a wrong result."""
 
     def run(batches):
-        seen = np.zeros(1 << BLOOM_BITS, dtype=bool)
+        seen = np.zeros(1 << bits, dtype=bool)
         for b in batches:
-            seen[_places(b.column(0).to_numpy())] = True
+            seen[_places(b.column(0).to_numpy(), bits)] = True
         yield from _slices(seen)
 
-    bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
+    out = np.zeros(1 << bits, dtype=bool)
     for s, part in _merged_slices(ids.mapInArrow(run, SLICE_SCHEMA), np.maximum).items():
-        bits[s << SLICE_BITS : (s + 1) << SLICE_BITS] = part > 0
-    return np.packbits(bits)
+        out[s << SLICE_BITS : (s + 1) << SLICE_BITS] = part > 0
+    return np.packbits(out)
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -231,15 +245,93 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.filter(close("na", "nb", "va", "vb")).select("a", "b")
 
 
+def size_class(n: str, percent: int):
+    """Class of a set size, as a column: sizes that can link lie in the same or in neighbouring classes."""
+    if percent >= 100:
+        return F.col(n).cast("int")
+    return F.floor(F.log(F.col(n)) / F.lit(log(100 / percent) * (1 + 1e-9))).cast("int")
+
+
+def _folded(vectors: list, size: int) -> np.ndarray:
+    """Parity vectors as rows of 64-bit words, longer ones folded to ``size`` bytes."""
+    rows = (np.bitwise_xor.reduce(np.frombuffer(v, dtype=np.uint8).reshape(-1, size), axis=0) for v in vectors)
+    return np.array(list(rows), dtype=np.uint8).reshape(-1, size).view(np.uint64)
+
+
+def compare_blocks(rep, n, pos, part, guest, parity, second, alone: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks of one list cell, or of one block with itself, that may link.
+
+    Two members meet if their components differ, one of them is at home in the cell, and length,
+    position and parity bounds allow a link. Members are sorted by component and compared in tiles,
+    so tiles of one component are passed over.
+    """
+    order = np.lexsort((rep, part))
+    rep, n, pos, part, guest, second = (x[order] for x in (rep, n, pos, part, guest, second))
+    size = min(map(len, parity))
+    words = _folded([parity[i] for i in order], size)
+    left, right = (np.arange(len(rep)),) * 2 if alone else (np.flatnonzero(~second), np.flatnonzero(second))
+    found_a, found_b = [], []
+    for i in range(0, len(left), TILE_ROWS):
+        x = left[i : i + TILE_ROWS]
+        for j in range(i if alone else 0, len(right), TILE_ROWS):
+            y = right[j : j + TILE_ROWS]
+            if part[x[0]] == part[x[-1]] == part[y[0]] == part[y[-1]]:
+                continue
+            nx, ny = n[x][:, None], n[y][None, :]
+            need = least_overlap(nx, ny, percent)
+            ok = (part[x][:, None] != part[y][None, :]) & ~(guest[x][:, None] & guest[y][None, :])
+            ok &= (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(nx - pos[x][:, None], ny - pos[y][None, :]) >= need)
+            if alone and i == j:
+                ok &= x[:, None] < y[None, :]
+            if not ok.any():
+                continue
+            differ = np.zeros(ok.shape, dtype=np.uint32)
+            for w in range(words.shape[1]):
+                differ += np.bitwise_count(words[x, w][:, None] ^ words[y, w][None, :])
+            a, b = np.nonzero(ok & (differ <= nx + ny - 2 * need))
+            found_a.append(rep[x[a]])
+            found_b.append(rep[y[b]])
+    none = np.zeros(0, dtype=np.int64)
+    a, b = np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def _close_in_long_lists(marked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs from different components that meet in a long list and may link.
+
+    A list is cut into cells by size class; a member is at home in its class and a guest in the next.
+    A cell of many members is dealt out as pairs of blocks.
+    """
+    vectors = classes.select(F.col("rep").alias("r"), "parity")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.lit(False).alias("guest")), F.struct(F.lit(1).alias("up"), F.lit(True).alias("guest"))))
+    members = marked.select("token", "rep", "n", "pos", "part", both.alias("s"))
+    members = members.select("token", (size_class("n", percent) + F.col("s.up")).alias("cell"), F.col("s.guest").alias("guest"), "rep", "n", "pos", "part")
+    cells = members.groupBy("token", "cell").agg(F.count("*").alias("many"), F.min("part").alias("x"), F.max("part").alias("y"), F.min("guest").alias("deserted"))
+    cells = cells.filter("x <> y and not deserted").select(F.col("token").alias("t"), F.col("cell").alias("c"), F.ceil(F.col("many") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = members.join(cells, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c"))).join(vectors, F.col("rep") == F.col("r"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = placed.select("token", "cell", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "n", "pos", "part", "guest", "parity")
+
+    def compare(group: pa.Table) -> pa.Table:
+        first, second = group["first"][0].as_py(), group["second"][0].as_py()
+        rep, n, pos, part, own = (group[c].to_numpy().astype(np.int64) for c in ("rep", "n", "pos", "part", "own"))
+        a, b = compare_blocks(rep, n, pos, part, np.asarray(group["guest"]).astype(bool), group["parity"].to_pylist(), own != first, first == second, percent)
+        return pa.table({"a": a, "b": b})
+
+    return task.groupBy("token", "cell", "first", "second").applyInArrow(compare, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose documents' shingle sets link. Only sets of ids in pairs move."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    bloom = spark.sparkContext.broadcast(_bloom(ids))  # 2**BLOOM_BITS bits
+    ids = scratch.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
+    bits = sized_bits(8 * ids.count(), BLOOM_BITS)
+    bloom = spark.sparkContext.broadcast(_bloom(ids, bits))  # a full filter only moves more sets
 
     def run(batches):
+        worker_starts()
         for b in batches:
-            at = _places(b.column(0).to_numpy(zero_copy_only=False))
+            at = _places(b.column(0).to_numpy(zero_copy_only=False), bits)
             hit = (bloom.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
             part = b.filter(pa.array(hit.astype(bool)))
             sets = [s.tobytes() for s in shingle_sets(part.column(1), words)]
@@ -264,17 +356,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str,
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) per row of ``docs``.
+    """(id, n_shingles, component_id) per row of ``docs``; ids are integers.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets; the component
     is the smallest id reachable by links. Documents without words, or with a null text, have an empty
     set, link with nothing and are their own component. Rows that repeat an id are one node, so
     different texts under one id connect what they link with; null ids are their own component. Other
-    columns are not read. An empty table gives an empty result.
+    columns are not read. An empty table gives an empty result; ids of another type raise a TypeError.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    if not isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{id_col}: ids must be integers, not {docs.schema[id_col].dataType.simpleString()}")
+    with Scratch(docs.sparkSession) as scratch:
+        return _components(docs, scratch, words, percent, id_col, text_col)
+
+
+def _components(docs: DataFrame, scratch: Scratch, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
     small_batches(spark)
-    levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col, words))  # 2**SKETCH_BITS bytes
+    levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col, words))  # 2**24 bytes at most
     signed = scratch.written(signatures(docs, levels, id_col, text_col, words, percent).withColumnRenamed(id_col, "id"), "jaccard-signatures")
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
     classes = scratch.written(usable.groupBy("d1", "d2").agg(F.min("id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "subsets", "overlaps", "parity"))), "jaccard-classes")
@@ -302,28 +401,27 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     first = shared.join(leaders, (F.col("token") == F.col("k")) & (F.col("rep") != F.col("lr")) & possible("n", "pos", "ln", "lp"))
     first = first.select(F.greatest("rep", "lr").alias("a"), F.least("rep", "lr").alias("b")).distinct()
     first = scratch.written(_close(first, classes, percent), "jaccard-candidates")
-    edges = scratch.written(_verified(first, docs, scratch, id_col, text_col, words, percent).union(light), "jaccard-links")
-    # two rounds tell most of what is connected; the rest meets once more below
-    parts = connected_components(edges, scratch, rounds=2)
+    links = scratch.written(_verified(first, docs, scratch, id_col, text_col, words, percent).union(light), "jaccard-links")
+    parts = connected_components(links, scratch)
 
-    marked = shared.select("token", "rep", "n", "pos").join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    marked = scratch.written(marked, "jaccard-marked-lists")
+    marked = shared.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", "pos", "many", F.coalesce("component", "rep").alias("part"))
     mixed = marked.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select(F.col("token").alias("k"))
-    marked = marked.join(mixed, F.col("token") == F.col("k"), "left_semi")
-    other = marked.select(F.col("token").alias("t2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("part").alias("q2"))
-    second = marked.join(other, (F.col("token") == F.col("t2")) & (F.col("rep") > F.col("r2")) & (F.col("part") != F.col("q2")) & possible("n", "pos", "n2", "p2"))
-    second = second.select(F.col("rep").alias("a"), F.col("r2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = scratch.written(_close(second, classes, percent), "jaccard-candidates")
+    marked = scratch.written(marked.join(mixed, F.col("token") == F.col("k"), "left_semi"), "jaccard-marked-lists")
+    short = marked.filter(F.col("many") <= SHORT_LIST)
+    other = short.select(F.col("token").alias("t2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("part").alias("q2"))
+    second = short.join(other, (F.col("token") == F.col("t2")) & (F.col("rep") > F.col("r2")) & (F.col("part") != F.col("q2")) & possible("n", "pos", "n2", "p2"))
+    second = _close(second.select(F.col("rep").alias("a"), F.col("r2").alias("b")).distinct(), classes, percent)
+    second = second.union(_close_in_long_lists(marked.filter(F.col("many") > SHORT_LIST), classes, percent)).distinct()
+    second = scratch.written(second.join(first, ["a", "b"], "left_anti"), "jaccard-candidates")
     if second.limit(1).count():
-        edges = edges.union(scratch.written(_verified(second, docs, scratch, id_col, text_col, words, percent), "jaccard-links"))
-    parts = connected_components(edges, scratch)
+        more = scratch.written(_verified(second, docs, scratch, id_col, text_col, words, percent), "jaccard-links")
+        # the components so far are stars already
+        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)
 
     by_class = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = by_class.select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "d1", "d2").join(by_class, (F.col("n") > 0) & F.col("id").isNotNull() & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
-    result = written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-components")
-    scratch.drop()
-    return result
+    return written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-components")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_task: list[int | None] = [None]
 #: What this worker process keeps between tasks, by owner: how to give it up.
 _HELD: dict[str, object] = {}
 
@@ -20,12 +25,26 @@ def holds(owner: str, give_up) -> None:
 def worker_starts(owner: str | None = None) -> None:
     """Called by worker functions as they begin: what other operators keep in this process is given up.
 
-    Workers are reused, so an encoder's memo would otherwise stay through all later stages.
+    Workers are reused, so an encoder's memo would otherwise stay through all later stages. Memory that
+    earlier tasks freed goes back to the system, so the workers of one machine do not all keep their peak.
     """
     for name, give_up in list(_HELD.items()):
         if name != owner:
             give_up()
             del _HELD[name]
+    task = TaskContext.get()
+    if task is not None and task.taskAttemptId() != _task[0]:
+        _task[0] = task.taskAttemptId()
+        release_memory()
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it has no such call
+        pass
 
 
 BATCH_BYTES = 8 * 1024 * 1024
@@ -42,15 +61,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+_local_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``, or one of our own only where that is unset.
+    """Folder that all executors see: ``spark.checkpoint.dir``.
 
-    The fallback is for local tests, where driver and executors are one process tree.
+    Where that is unset, a local session, whose executors are the driver, gets a temporary folder; on
+    a cluster this raises, as no folder of one machine would do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quillmesh-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _local_dir:
+            _local_dir.append(tempfile.mkdtemp(prefix="quillmesh-"))
+        base = _local_dir[0]
     return base.rstrip("/")
 
 
@@ -70,11 +96,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 class Scratch:
-    """Written tables of one computation, deleted together when its result has been written too."""
+    """Written tables of one computation, deleted together when it ends, with its result written or not."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
     def written(self, df: DataFrame, label: str) -> DataFrame:
         path = new_folder(self.spark, label)
         df.write.parquet(path)

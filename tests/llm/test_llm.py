@@ -466,6 +466,31 @@ def test_jaccard_components(spark, words, percent):
     assert jaccard_join.jaccard_components(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("words,percent,block", [(3, 90, 16), (5, 80, 50), (3, 100, 16)])
+def test_jaccard_hot_lists(spark, monkeypatch, words, percent, block):
+    """Near copies of one passage that do not all link: their shingles head lists of many components."""
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    r = random.Random(percent)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(200):
+        c = base[: r.choice((60, 80, 90, 90))]
+        for _ in range(r.choice((0, 1, 1, 2, 3, 4, 6))):
+            c[r.randrange(len(c))] = f"x{r.randrange(3)}"
+        texts.append(" ".join(c))
+    sizes, label = brute_components(texts, words, percent)
+    got = {x.doc_id: x for x in jaccard_join.jaccard_components(docs_of(spark, texts), words, percent).collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i].component_id for i in range(len(texts))] == label
+    assert 5 < len(set(label)) < 195
+
+
+def test_jaccard_wants_integer_ids(spark):
+    with pytest.raises(TypeError):
+        jaccard_join.jaccard_components(spark.createDataFrame([("a", "x y z")], "doc_id string, text string"))
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (7, "a b c d"), (None, "a b c d"), (9, "x y z")], DOCS)
     rows = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_join.jaccard_components(df).collect())
