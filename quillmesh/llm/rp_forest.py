@@ -6,22 +6,28 @@ at dense ones, where most sampled pairs are near-duplicates already and a split
 Every vector is routed through every tree, vectors of a leaf are compared with each other in double
 precision, and verified links are united into components.
 
+Leaves that are still larger than a block get a tree of their own, fitted on a bounded sample of the
+leaf, so leaves stay small whatever the size of the table. Dense ones are dealt out as pairs of blocks.
+
 Identical vectors are one class with a count, so copies are compared once. A pair that shares several
 leaves is counted in the first of them only, so a leaf returns counts and a spanning set of edges
-instead of pairs. Leaves larger than a block are dealt out as pairs of blocks.
+instead of pairs.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .components import connected_components
-from .shared import Scratch, small_batches, table, written
+from .shared import Scratch, small_batches, table, worker_starts, written
 
 COSINE = 0.9
 TREES = 10
@@ -32,14 +38,21 @@ LEAST_SAMPLE_LEAF = 16
 DENSE_SHARE = 0.05
 BLOCK_ROWS = 2_048
 MAX_DEPTH = 24
+SUBTREE_SAMPLE = 16_384  # vectors a leaf's own tree is fitted on, about
+LEAST_SUBTREE_LEAF = 32
+SUBTREE_BLOCK = 65_536
+MAX_LEVELS = 3
+PLACES = 8_192  # numbers below a leaf that is split; the last two mark leaves that stay
+DENSE, SMALL = PLACES - 2, PLACES - 1
 SEED = 1905
 
 
 @dataclass
 class Tree:
-    """Nodes by number: direction (or none at a leaf), bounds of the spill zone, children, leaf id."""
+    """Nodes by number: row of its direction, bounds of the spill zone, children, leaf id (-1 at inner nodes)."""
 
     directions: np.ndarray
+    turn: np.ndarray
     low: np.ndarray
     high: np.ndarray
     left: np.ndarray
@@ -58,7 +71,7 @@ class Tree:
                 rows.append(at)
                 leaves.append(np.full(len(at), self.leaf[node]))
                 continue
-            p = x[at] @ self.directions[node]
+            p = x[at] @ self.directions[self.turn[node]]
             stack.append((self.left[node], at[p <= self.high[node]]))
             stack.append((self.right[node], at[p >= self.low[node]]))
         if not rows:
@@ -69,7 +82,8 @@ class Tree:
 def grow(sample: np.ndarray, rng, leaf_rows: int, first_leaf: int, overlap: float = OVERLAP, cosine: float = COSINE) -> Tree:
     """One tree over unit sample vectors; leaves are numbered from ``first_leaf``."""
     dim = sample.shape[1]
-    nodes: list[list] = [[None, 0.0, 0.0, -1, -1, -1]]
+    nodes: list[list] = [[-1, 0.0, 0.0, -1, -1, -1]]
+    directions: list[np.ndarray] = []
     stack = [(0, np.arange(len(sample)), 0)]
     leaves = first_leaf
     while stack:
@@ -90,12 +104,13 @@ def grow(sample: np.ndarray, rng, leaf_rows: int, first_leaf: int, overlap: floa
             nodes[node][5] = leaves
             leaves += 1
             continue
-        nodes[node][:5] = [direction, low, high, len(nodes), len(nodes) + 1]
+        nodes[node][:5] = [len(directions), low, high, len(nodes), len(nodes) + 1]
+        directions.append(direction)
         for side in (at[p <= high], at[p >= low]):
-            nodes.append([None, 0.0, 0.0, -1, -1, -1])
+            nodes.append([-1, 0.0, 0.0, -1, -1, -1])
             stack.append((len(nodes) - 1, side, depth + 1))
-    zero = np.zeros(dim, dtype=np.float32)
-    return Tree(np.stack([n[0] if n[0] is not None else zero for n in nodes]), *(np.array([n[k] for n in nodes]) for k in range(1, 6)))
+    kinds = (np.int32, np.float32, np.float32, np.int32, np.int32, np.int64)
+    return Tree(np.array(directions, dtype=np.float32).reshape(-1, dim), *(np.array([n[k] for n in nodes], dtype=t) for k, t in enumerate(kinds)))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -106,11 +121,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) with ``embedding`` null where it links with nothing; one row per id."""
+    """(vec_id, embedding) with ``embedding`` null where it links with nothing; one row per id, null ids left out."""
     x = F.col("embedding")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     good = x.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(x, lambda c: c != 0), F.lit(False))
-    return vectors.select("vec_id", F.when(good, x).alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return vectors.filter(F.col("vec_id").isNotNull()).select("vec_id", F.when(good, x).alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def _rows_matrix(column) -> np.ndarray:
@@ -118,6 +133,12 @@ def _rows_matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+@F.pandas_udf(BinaryType())
+def encoded(leaves: pd.Series) -> pd.Series:
+    """Leaf numbers as bytes, which cost nothing to carry and are read only where links are found."""
+    return pd.Series([np.asarray(x, dtype="<i8").tobytes() for x in leaves], dtype=object)
+
+
 def first_shared(codes_a: list[np.ndarray], codes_b: list[np.ndarray], this: int) -> np.ndarray:
     """Matrix: whether a and b share no leaf numbered below ``this``."""
     a, b = ([c[c < this] for c in codes] for codes in (codes_a, codes_b))
@@ -152,6 +173,7 @@ def compare_leaf(leaf: int, ids, sizes, x, codes, side, cosine: float):
     """Links and edges of one leaf, or of one pair of its blocks.
 
     ``side``: 0 for rows of the first block, 1 for the second; a block meets itself with all rows at 0.
+    ``codes`` holds the leaf numbers of each row as bytes.
     Returns (id, links) for rows with links and (id, smaller id) edges that span them.
     """
     u = unit(x)
@@ -167,7 +189,8 @@ def compare_leaf(leaf: int, ids, sizes, x, codes, side, cosine: float):
     if near.any():
         ra, cb = near.any(axis=1), near.any(axis=0)
         rows, cols = np.flatnonzero(ra), np.flatnonzero(cb)
-        fresh = near[np.ix_(rows, cols)] & first_shared([codes[i] for i in a[rows]], [codes[i] for i in b[cols]], leaf)
+        numbers = lambda at: [np.frombuffer(codes[int(i)].as_py(), dtype="<i8") for i in at]
+        fresh = near[np.ix_(rows, cols)] & first_shared(numbers(a[rows]), numbers(b[cols]), leaf)
         links[a[rows]] += fresh @ sizes[b[cols]]
         if not alone:
             links[b[cols]] += fresh.T @ sizes[a[rows]]
@@ -190,61 +213,127 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     ``n_links`` counts the other vectors with a cosine of at least ``cosine`` that the forest finds,
     ``component_id`` is the smallest id reachable by links, ``kept`` marks that vector. Vectors that
     are null, zero, empty or hold null or non-finite components link with nothing. Rows that repeat
-    an id are one vector (the smallest). Vectors are compared with those of equal dimension.
+    an id are one vector (the smallest); rows without an id link with nothing and stay as they are, a
+    row each, without a component. Vectors are compared with those of equal dimension, dimensions with
+    few vectors without a tree. Other columns are not read. An empty table gives an empty result.
     """
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
-    small_batches(spark)
-    everything = scratch.written(usable_vectors(vectors).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding")), "vectors")
-    usable = everything.filter(F.col("embedding").isNotNull())
-    classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
-    classes = scratch.written(classes, "vector-classes")
-    total = classes.count()
-    shapes = [r["d"] for r in classes.select(F.size("embedding").alias("d")).distinct().limit(64).collect()]
+    with Scratch(vectors.sparkSession) as scratch:
+        return _linked(vectors, scratch, cosine, trees)
+
 
+def fitted_forest(classes: DataFrame, cosine: float, trees: int) -> dict[int, list[Tree]]:
+    """Trees by dimension, for dimensions with more vectors than a leaf; their leaves are numbered through."""
+    shapes = classes.groupBy(F.size("embedding").alias("d")).count().filter(F.col("count") > LEAF_ROWS).collect()
     rng, forest, leaf = np.random.default_rng(SEED), {}, 0
-    for dim in sorted(shapes):
+    for dim, rows in sorted((r["d"], r["count"]) for r in shapes):
         drawn = classes.filter(F.size("embedding") == dim).select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).toArrow()
         sample = unit(_rows_matrix(drawn["embedding"])).astype(np.float32)
-        least = max(LEAST_SAMPLE_LEAF, int(LEAF_ROWS * min(1.0, len(sample) / max(1, total))))
+        least = max(LEAST_SAMPLE_LEAF, int(LEAF_ROWS * len(sample) / rows))
         forest[dim] = []
         for _ in range(trees):
             forest[dim].append(grow(sample, rng, least, leaf, cosine=cosine))
             leaf = int(forest[dim][-1].leaf.max()) + 1
-    shared_forest = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE_ROWS and the number of trees
+    return forest
+
+
+def routed(classes: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
+    """``classes`` (rep, size, embedding) with the numbers of each vector's leaves.
 
+    Vectors of a dimension without trees are all in one leaf, whose number is the dimension, negated.
+    """
+    shared_forest = classes.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE_ROWS and the number of trees
     kind = classes.schema["embedding"].dataType.simpleString()
 
     def route(batches):
+        worker_starts()
         for batch in batches:
-            found = [[] for _ in range(batch.num_rows)]
+            found: list[list[int]] = [[] for _ in range(batch.num_rows)]
             dims = np.diff(batch.column(2).offsets.to_numpy()) if batch.num_rows else np.zeros(0, int)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
+                grown = shared_forest.value.get(int(d))
+                if not grown:
+                    for r in at.tolist():
+                        found[r].append(-int(d))
+                    continue
                 x = unit(_rows_matrix(batch.column(2).take(pa.array(at)))).astype(np.float32)
-                for tree in shared_forest.value.get(int(d), ()):
+                for tree in grown:
                     rows, leaves = tree.route(x)
                     for r, k in zip(at[rows].tolist(), leaves.tolist()):
                         found[r].append(k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["rep", "size", "embedding", "leaves"])
 
-    routed = classes.select("rep", "size", "embedding").mapInArrow(route, f"rep long, size long, embedding {kind}, leaves array<bigint>")
-    routed = scratch.written(routed, "routed-vectors")
-    # leaves that exceed a block: at most SAMPLE_ROWS / LEAST_SAMPLE_LEAF leaves a tree exist at all
-    counts = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().filter(F.col("count") > 1)
+    return classes.select("rep", "size", "embedding").mapInArrow(route, f"rep long, size long, embedding {kind}, leaves array<bigint>")
+
+
+def deepened(rows: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
+    """``rows`` with every leaf of more than a block split by a tree of its own, fitted on a sample of it.
+
+    The first trees see one sample, so their leaves grow with the table; this goes on until no leaf is
+    large but dense ones, which stay whole. A leaf's number becomes its old one and a place below it.
+    Trees meet the rows of their leaf in blocks; no leaf is gathered in one task.
+    """
+    leaf_rows, sample_rows, least_leaf = LEAF_ROWS, SUBTREE_SAMPLE, LEAST_SUBTREE_LEAF
+    for level in range(MAX_LEVELS):
+        each = rows.select("rep", F.explode("leaves").alias("leaf"))
+        open_leaf = F.pmod("leaf", F.lit(PLACES)) != DENSE if level else F.lit(True)
+        large = each.groupBy("leaf").count().filter((F.col("count") > BLOCK_ROWS) & open_leaf)
+        large = scratch.written(large.select(F.col("leaf").alias("k"), F.col("count").alias("n")), "large-leaves")
+        if not large.limit(1).count():
+            break
+        members = rows.select("rep", "embedding", F.explode("leaves").alias("leaf")).join(large, F.col("leaf") == F.col("k")).drop("k")
+        drawn = members.filter(F.pmod(F.xxhash64("rep", "leaf"), F.lit(1 << 20)) * F.col("n") < F.lit(sample_rows << 20))
+
+        def fit(group: pa.Table) -> pa.Table:
+            leaf, n = group["leaf"][0].as_py(), group["n"][0].as_py()
+            sample = unit(_rows_matrix(group["embedding"])[np.argsort(group["rep"].to_numpy())]).astype(np.float32)
+            tree = grow(sample, np.random.default_rng([SEED, abs(leaf)]), max(least_leaf, int(leaf_rows * len(sample) / n)), 0, cosine=cosine)
+            return pa.table({"k": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "n": pa.array([n], pa.int64())})
+
+        trees = scratch.written(drawn.groupBy("leaf").applyInArrow(fit, "k long, tree binary, n long"), "subtrees")
+        blocks = F.ceil(F.col("n") / SUBTREE_BLOCK).cast("int")
+        dealt = members.select("leaf", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int").alias("block"), "rep", "embedding")
+        sent = trees.select("k", "tree", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
+
+        def split(left: pa.Table, right: pa.Table) -> pa.Table:
+            r, leaf, to = np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
+            if left.num_rows and right.num_rows:
+                leaf, tree = left["leaf"][0].as_py(), pickle.loads(right["tree"][0].as_py())
+                at, places = tree.route(unit(_rows_matrix(left["embedding"])).astype(np.float32))
+                r, to = left["rep"].to_numpy()[at], leaf * PLACES + (places if tree.leaf.max() > 0 else DENSE)
+                to = np.broadcast_to(to, r.shape)
+            return pa.table({"r": r, "l": np.full(len(r), leaf, dtype=np.int64), "to": to})
+
+        moved = dealt.groupBy("leaf", "block").cogroup(sent.groupBy("k", "b")).applyInArrow(split, "r long, l long, to long")
+        moved = each.join(moved, (F.col("rep") == F.col("r")) & (F.col("leaf") == F.col("l")), "left").select("rep", F.coalesce("to", F.col("leaf") * PLACES + SMALL).alias("leaf"))
+        leaves = moved.groupBy("rep").agg(F.collect_list("leaf").alias("leaves"))  # of one vector: trees times spill
+        rows = scratch.written(rows.drop("leaves").join(leaves, "rep"), "routed-vectors")
+    return rows
+
+
+def _linked(vectors: DataFrame, scratch: Scratch, cosine: float, trees: int) -> DataFrame:
+    small_batches(vectors.sparkSession)
+    everything = scratch.written(usable_vectors(vectors).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding")), "vectors")
+    usable = everything.filter(F.col("embedding").isNotNull())
+    classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    classes = scratch.written(classes, "vector-classes")
+    rows = scratch.written(routed(classes, fitted_forest(classes, cosine, trees)), "routed-vectors")
+    rows = deepened(rows, scratch, cosine)
+
+    # leaves that exceed a block are dealt out as pairs of blocks
+    counts = rows.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().filter(F.col("count") > 1)
     counts = counts.select(F.col("leaf").alias("k"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = routed.withColumn("leaf", F.explode("leaves")).join(F.broadcast(counts), F.col("leaf") == F.col("k"))
+    placed = rows.withColumn("codes", encoded("leaves")).select("rep", "size", "embedding", "codes", F.explode("leaves").alias("leaf")).join(counts, F.col("leaf") == F.col("k"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", "leaf"), F.col("blocks").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = placed.select("leaf", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "size", "embedding", F.transform("leaves", lambda v: v).alias("leaves"))
+    task = placed.select("leaf", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "size", "embedding", "codes")
 
     def compare(group: pa.Table) -> pa.Table:
-        leaf_id, first = group["leaf"][0].as_py(), group["first"][0].as_py()
-        codes = [np.array(c, dtype=np.int64) for c in group["leaves"].to_pylist()]
+        leaf, first, second = (group[c][0].as_py() for c in ("leaf", "first", "second"))
         side = (group["own"].to_numpy() != first).astype(np.int8)
         (ids, links), (a, b) = (np.zeros(0, np.int64),) * 2, (np.zeros(0, np.int64),) * 2
-        second = group["second"][0].as_py()
         if first == second or (0 < side.sum() < len(side)):
-            (ids, links), (a, b) = compare_leaf(leaf_id, group["rep"].to_numpy(), group["size"].to_numpy(), _rows_matrix(group["embedding"]), codes, side, cosine)
+            (ids, links), (a, b) = compare_leaf(leaf, group["rep"].to_numpy(), group["size"].to_numpy(), _rows_matrix(group["embedding"]), group["codes"], side, cosine)
         return pa.table({"a": np.concatenate([ids, a]), "links": pa.array(np.concatenate([links, np.zeros(len(a), np.int64)])), "b": pa.array([None] * len(ids) + b.tolist(), pa.int64())})
 
     found = scratch.written(task.groupBy("leaf", "first", "second").applyInArrow(compare, "a long, links long, b long"), "vector-links")
@@ -254,10 +343,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     by_class = by_class.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     joined = everything.select("vec_id", "h1", "h2", F.col("embedding").isNotNull().alias("good")).join(by_class, F.col("good") & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     component = F.coalesce("c", "vec_id")
-    result = joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
-    result = written(result, "vector-components")
-    scratch.drop()
-    return result
+    result = joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    nameless = vectors.filter(F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return written(result.union(nameless), "vector-components")
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
