@@ -115,11 +115,14 @@ class QualityModel:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; knots at the mean of each block, values rising from 0 to 1 at most."""
-    order = np.argsort(x, kind="stable")
+    """Pool adjacent violators; knots at the mean of each block, values rising from 0 to 1 at most.
+
+    Equal inputs are pooled first, so the result does not depend on the order of rows.
+    """
+    knots, group, many = np.unique(x, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []  # sum of y, count, sum of x
-    for xi, yi in zip(x[order], y[order]):
-        blocks.append([yi, 1.0, xi])
+    for xi, yi, n in zip(knots, np.bincount(group, weights=y), many):
+        blocks.append([yi, float(n), xi * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, c, t = blocks.pop()
             blocks[-1][0] += s
@@ -137,10 +140,14 @@ def _solve(a: np.ndarray, c: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def fit_quality(sample: DataFrame) -> QualityModel:
-    """Fit on a bounded frame of (id, text, y). With one class or no rows the score is its mean, or 0.5."""
+    """Fit on a bounded frame of (id, text, y). With one class or no rows the score is its mean, or 0.5.
+
+    Repeated rows count as often as they occur; null texts are empty ones.
+    """
 
     @F.pandas_udf("array<double>")
     def stats(texts: pd.Series) -> pd.Series:
+        worker_starts()
         return pd.Series(list(statistics_matrix(texts)) if len(texts) else [])
 
     y = (F.col("y") > 0).cast("double")
@@ -217,7 +224,8 @@ def fit_quality(sample: DataFrame) -> QualityModel:
                     yield pa.RecordBatch.from_arrays([pa.array(raw), b.column(1)], ["raw", "y"])
 
         pairs = rows.mapInArrow(outputs, "raw double, y double").collect()
-        knots, values = isotonic(np.array([r["raw"] for r in pairs]), np.array([r["y"] for r in pairs]))
+        # copies differ in the last digits of an output, by where they stand in a batch
+        knots, values = isotonic(np.array([r["raw"] for r in pairs]).round(9), np.array([r["y"] for r in pairs]))
         return QualityModel(basis, WIDTHS[k], weights, knots, values)
     finally:
         rows.unpersist()
@@ -226,7 +234,8 @@ def fit_quality(sample: DataFrame) -> QualityModel:
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` plus a score from 0 to 1 per whole text; null texts score as empty ones.
 
-    One narrow pass; repeated rows score alike. A column named like ``score_col`` is replaced.
+    One narrow pass; repeated rows score alike, an empty table gives none. Other columns are kept and
+    not read; one named like ``score_col`` is replaced.
     """
 
     small_batches(docs.sparkSession)
