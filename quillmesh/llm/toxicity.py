@@ -30,10 +30,9 @@ from .labelled import labelled_sample
 from .shared import fold_of, small_batches, table, worker_starts
 
 MAX_TRAINING_ROWS = 20_000
-MAX_PATTERNS = 50_000
 PREFIX_LENGTHS = range(3, 11)
 SIGNIFICANCE = 1.0  # patterns expected to pass by chance
-LENGTH_POWERS = (0.0, 0.25, 0.5, 1.0)
+LENGTH_POWERS = (0.125, 0.25, 0.5, 1.0)
 NEAR_COPY = 0.8  # shingle Jaccard from which a row is a copy
 SKETCH, BAND = 128, 4  # min-hashes of a row, and how many of them a bucket's key takes
 PROPOSED = 0.65  # estimate from which a pair is verified, four deviations below NEAR_COPY
@@ -58,13 +57,39 @@ class Folding(dict):
 FOLD = Folding()
 
 
+#: Characters without width, which would split a word.
+UNSEEN = {i: None for i in (0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF)}
+
+
+def _word(w: str) -> str:
+    """A word without the punctuation around it.
+
+    Of the signs @ $ ! at its edges those stand for letters that touch a letter, but for a final "!".
+    A leading "@" may also be a mark before a name, so such a word is given both ways.
+    """
+    if w.isalpha():
+        return w
+    if "@" not in w and "$" not in w and w[0] != "!":
+        return w.strip("!.,;:?")
+    w = w.strip(".,;:?")
+    rest = w.lstrip("@$!")
+    head, rest = w[: len(w) - len(rest)], rest.rstrip("!.,;:?")
+    body = rest.rstrip("@$")
+    if not body:
+        return ""
+    head, tail = head if body[0].isalpha() else "", rest[len(body) :] if body[-1].isalpha() else ""
+    return f"{body}{tail} {head}{body}{tail}" if head.startswith("@") else f"{head}{body}{tail}"
+
+
 def fold(text: str | None) -> str:
     """Folded text with a space at both ends, so that patterns can carry word boundaries.
 
-    A substitution sign inside a word stands for a letter; one beside a word ("no!") is punctuation.
+    Characters without width are dropped; a sign inside a word stands for a letter, see ``_word`` for
+    those at its edges.
     """
-    words = (text or "").split()
-    return f" {' '.join(w if w.isalpha() and w.isascii() else w.strip('!@$.,;:?') for w in words)} ".lower().translate(FOLD) if words else " "
+    text = text or ""
+    words = (text if text.isascii() else text.translate(UNSEEN)).split()
+    return f" {' '.join(map(_word, words))} ".lower().translate(FOLD) if words else " "
 
 
 def patterns_of(folded: str) -> set[str]:
@@ -145,6 +170,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
     spark = sample.sparkSession
 
     def sketched(batches):
+        worker_starts()
         for b in batches:
             digests, sketches = [], []
             for t in b.column(1).to_pylist():
@@ -226,7 +252,15 @@ class ToxicityModel:
             elif start not in hits or hits[start][0] < size:
                 hits[start] = (size, w)
         if covered:
-            return sum(w for at, (_, w) in hits.items() if not any(x <= at < y for x, y in covered))
+            # one sweep: the furthest end of the phrases that begin at or before a hit
+            total, end, k = 0.0, 0, 0
+            covered.sort()
+            for at in sorted(hits):
+                while k < len(covered) and covered[k][0] <= at:
+                    end, k = max(end, covered[k][1]), k + 1
+                if at >= end:
+                    total += hits[at][1]
+            return total
         return sum(w for _, w in hits.values())
 
     def score(self, text: str | None) -> float:
@@ -313,6 +347,7 @@ def _pair_counts(sample: DataFrame, emit, schema: str) -> DataFrame:
     """Sum (toxic, clean) document counts of what ``emit(folded, y)`` yields, combined per batch first."""
 
     def run(batches):
+        worker_starts()
         for b in batches:
             toxic, clean = Counter(), Counter()
             for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -324,7 +359,10 @@ def _pair_counts(sample: DataFrame, emit, schema: str) -> DataFrame:
 
 
 def fit_toxicity(sample: DataFrame) -> ToxicityModel:
-    """Fit on a bounded frame of (id, text, y). Without both classes every document scores low."""
+    """Fit on a bounded frame of (id, text, y). Without both classes every document scores low.
+
+    Repeated rows and near copies of one label count once; null texts are empty ones.
+    """
     sample = without_copies(sample)
     try:
         sizes = {r["y"]: r["count"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect()}
@@ -338,11 +376,12 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
         tried = pool.count()
         # fewer toxic documents than this are not beyond chance, even without clean ones
         least = math.log(max(1, tried) / SIGNIFICANCE) / -math.log(toxic / (toxic + clean))
-        names = frozenset(r["p"] for r in pool.filter(F.col("t") > least).orderBy(F.desc("t"), "p").limit(MAX_PATTERNS).collect())
+        # bounded by the sample: each toxic row of it brings at most its own words and beginnings
+        names = frozenset(r["p"] for r in pool.filter(F.col("t") > least).collect())
         counts = {r["p"]: (r["t"], r["c"]) for r in _pair_counts(sample, lambda s: patterns_of(s) & names, schema).collect()}
         model.weights = choose_lexicon(counts, toxic, clean, tried)
         if model.weights:
-            words = {r["p"]: (r["t"], r["c"]) for r in _around_matches(sample, model, schema).orderBy(F.desc(F.col("t") + F.col("c")), "p").limit(MAX_PATTERNS).collect()}
+            words = {r["p"]: (r["t"], r["c"]) for r in _around_matches(sample, model, schema).collect()}
             single, model.exceptions = refine(words, model, toxic, clean)
             model.weights |= single
             model._automaton = None
@@ -388,7 +427,8 @@ def _weights(sample: DataFrame, model: ToxicityModel) -> DataFrame:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` plus a score from 0 to 1 per whole text; null texts score as empty ones.
 
-    One narrow pass; repeated rows score alike. A column named like ``score_col`` is replaced.
+    One narrow pass; repeated rows score alike, an empty table gives none. Other columns are kept and
+    not read; one named like ``score_col`` is replaced.
     """
 
     small_batches(docs.sparkSession)
