@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import Scratch, table, written
 
 SCALE = 256
 TOP = 5
@@ -124,10 +124,18 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE)
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. All usable rows but
     the query's own are candidates; a query with fewer gets all of them. Vectors are compared with
-    those of equal dimension. An empty table, or no query, gives no rows.
+    those of equal dimension. An empty table, or no query, gives no rows. Rows that repeat an id are one
+    vector. Vectors so long that a product could leave 64 bits raise an OverflowError.
     """
-    base = written(integer_vectors(vectors, scale), "integer-vectors")
-    total = base.count()
+    with Scratch(vectors.sparkSession) as scratch:
+        return written(_searched(scratch.written(integer_vectors(vectors, scale), "integer-vectors"), is_query, k), "top-products")
+
+
+def _searched(base: DataFrame, is_query, k: int) -> DataFrame:
+    head = base.agg(F.count("*").alias("n"), F.max("norm").alias("longest")).first()
+    total = head["n"]
+    if total and head["longest"] ** 2 >= 2.0**62:
+        raise OverflowError("vectors are too long for products in 64 bits")
     wanted = max(1, min(MAX_BUCKETS, -(-total // max(LEAST_BLOCK_ROWS, min(BLOCK_ROWS, total // BLOCKS_WANTED)))))
     cuts = sorted(set(base.approxQuantile("norm", [i / wanted for i in range(1, wanted)], 0.25 / wanted))) if total and wanted > 1 else []
     rows_per_block = max(LEAST_BLOCK_ROWS, min(BLOCK_ROWS, total // BLOCKS_WANTED))
