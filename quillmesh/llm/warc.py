@@ -38,7 +38,7 @@ def one_line(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def record_head(kind: str, record_id: str, url: str | None, page_id, digest: str, payload_bytes: int, refers_to) -> bytes:
+def record_head(kind: str, record_id: str, url: str | None, page_id, digest: str, payload_bytes: int, refers_to, refers_url: str | None = None) -> bytes:
     """Header block of a record; for a revisit without a payload the length of the payload is kept too."""
     block = len(HTTP_HEAD) + (payload_bytes if kind == "response" else 0)
     lines = [
@@ -54,7 +54,7 @@ def record_head(kind: str, record_id: str, url: str | None, page_id, digest: str
         f"Content-Length: {block}",
     ]
     if kind == "revisit":
-        lines[4:4] = [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines[4:4] = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Target-URI: {one_line(refers_url)}", f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n"
 
 
@@ -67,9 +67,9 @@ def with_record_types(pages: DataFrame, id_col: str, url_col: str, text_col: str
     # one column each, so extra columns of the input cannot clash
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("payload"))
     keyed = base.withColumn("sha1", F.unhex(F.sha1("payload")))
-    small = keyed.select("page_id", "sha1", F.octet_length("payload").alias("n")).groupBy("page_id", "sha1").agg(F.first("n").alias("n"))
-    first = small.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_page"))
-    typed = small.join(first, "sha1", "left").select(F.col("page_id").alias("k_page"), F.col("sha1").alias("k_sha1"), "first_page")
+    small = keyed.select("page_id", "sha1", "url", F.octet_length("payload").alias("n")).groupBy("page_id", "sha1").agg(F.min("url").alias("url"), F.first("n").alias("n"))
+    first = small.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_page"), F.min_by("url", "page_id").alias("first_url"))
+    typed = small.join(first, "sha1", "left").select(F.col("page_id").alias("k_page"), F.col("sha1").alias("k_sha1"), "first_page", "first_url")
     joined = keyed.join(typed, F.col("page_id").eqNullSafe(F.col("k_page")) & (F.col("sha1") == F.col("k_sha1")))
     is_response = F.col("first_page").isNull() | F.col("page_id").eqNullSafe(F.col("first_page"))
     return joined.select(
@@ -80,6 +80,7 @@ def with_record_types(pages: DataFrame, id_col: str, url_col: str, text_col: str
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(is_response, "response").otherwise("revisit").alias("record_type"),
         F.when(~is_response, F.col("first_page")).alias("refers_to"),
+        F.when(~is_response, F.col("first_url")).alias("refers_url"),
     )
 
 
@@ -101,12 +102,12 @@ def write_records(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES)
             return out
 
         for batch in batches:
-            page, url, payload, sha1, size, kind, refers = batch.columns
+            page, url, payload, sha1, size, kind, refers, refers_url = batch.columns
             for k in range(batch.num_rows):
                 page_id, what = page[k].as_py(), kind[k].as_py()
                 record_id = uuid.uuid5(RECORD_SPACE, f"{page_id}/{archive}/{number}").urn
                 number += 1
-                head = record_head(what, record_id, url[k].as_py(), page_id, base64.b32encode(sha1[k].as_py()).decode(), size[k].as_py(), refers[k].as_py()) + HTTP_HEAD
+                head = record_head(what, record_id, url[k].as_py(), page_id, base64.b32encode(sha1[k].as_py()).decode(), size[k].as_py(), refers[k].as_py(), refers_url[k].as_py()) + HTTP_HEAD
                 body = memoryview(payload[k].as_buffer()) if what == "response" else memoryview(b"")
                 digest, at, chunk_no = hashlib.sha1(), 0, 0
                 while True:
