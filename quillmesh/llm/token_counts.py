@@ -1,8 +1,9 @@
 """Operator 6: token counts with a digest cache.
 
-Each text's content digest, together with the digest of the tokenizer (file bytes, library and its
-version), is looked up among stored counts. Only one text of each missing digest is encoded; its
-count is appended to the cache, and every document then reads its count from there.
+Each text's digest, after the normalising steps that provably leave its count alone, is looked up
+among stored counts, together with the digest of the tokenizer (file bytes, library and its version).
+Only one text of each missing digest is encoded; its count is appended to the cache, and every
+document then reads its count from there.
 
 Plan: one shuffle of texts, combined on the map side so that copies leave their task once; the
 lookup joins reuse that partitioning or move (id, digest, size) only.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_folder, small_batches, table
-from .wordbpe import library_encoder
+from .wordbpe import Splitter, library_encoder
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 
@@ -38,6 +39,25 @@ def tokenizer_digest(path: str) -> str:
     return h.hexdigest()
 
 
+def normalised(text, path: str):
+    """Column of a text's normal form: texts with equal forms have equal counts.
+
+    For files that begin with NFC, white space to one space and lower case: runs of ASCII white space
+    become one space, and ASCII texts lower case (beyond ASCII, lowering before NFC could change what
+    NFC composes). Texts that may hold an added token, which is matched before these steps, and texts
+    for other files stay as they are.
+    """
+    try:
+        added = Splitter(path).added
+    except (ValueError, KeyError, TypeError, UnicodeDecodeError):
+        return text
+    if any("<|" not in a for a in added):
+        return text
+    short = F.regexp_replace(text, r"[\t\n\x0B\f\r ]+", " ")
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(F.contains(text, F.lit("<|")), text).when(plain, F.lower(short)).otherwise(short)
+
+
 def _size(encoder, text: str) -> int:
     return len(encoder.id_bytes(text)) // 4
 
@@ -85,7 +105,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    keyed = docs.select(F.col(id_col), text.alias("_text"), F.unhex(F.sha2(normalised(text, tokenizer_path), 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
 
     def count(batches):
         tokens = counter(tokenizer_path)
