@@ -13,7 +13,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
     Ids are drawn in hash order, so the sample does not depend on how tables are laid out. At most
     ``max_rows`` ids and labels are broadcast (16 bytes each), whatever the size of the tables; texts
-    do not move. Null labels are left out; of conflicting labels of an id the larger counts.
+    do not move. Null labels and ids are left out; of conflicting labels of an id the larger counts;
+    rows of ``docs`` that repeat an id are all given. Either table may be empty.
     """
     small_batches(docs.sparkSession)
     rule = fold_of(id_col, folds)

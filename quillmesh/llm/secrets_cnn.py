@@ -281,6 +281,7 @@ def sample_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), F.col("_id") == F.col("_drawn"), "left_semi")
 
     def run(batches):
+        worker_starts()
         for b in batches:
             codes, y = [], []
             for text in b.column(0).to_pylist():
@@ -346,13 +347,14 @@ def scan_secrets(docs: DataFrame, net: CharCNN, id_col: str = "doc_id", text_col
     """Findings of every whole text: id, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and ``spans``.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and kind, comma-joined. Null
-    and empty texts have none. One narrow pass; repeated rows give repeated rows; other columns are
-    not read.
+    and empty texts have none. One narrow pass; repeated rows give repeated rows, an empty table none;
+    other columns are not read.
     """
     small_batches(docs.sparkSession)
     kind_of_id = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        worker_starts()
         for b in batches:
             counts, base, spans = ([], [], []), [], []
             for text in b.column(1).to_pylist():
