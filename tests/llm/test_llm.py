@@ -85,6 +85,15 @@ def test_token_counts_and_cache(spark, library):
     assert token_counts.token_counts(docs_of(spark, []), BPE, new_folder(spark, "cache")).count() == 0
 
 
+def test_token_counts_of_equal_normal_forms(spark, library, tmp_path):
+    texts = ["Some  Text\nhere", "some text here", "SOME\t\tTEXT \r\n HERE", "W\u030a\tX", "w\u030a x", "Été  une", "été une", "A<|endoftext|>  B", "a <|endoftext|> b", "a <|ENDOFTEXT|> b"]
+    cache = str(tmp_path / "cache")
+    got = {r.doc_id: r for r in token_counts.token_counts(docs_of(spark, texts), BPE, cache).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_tokens, got[i].n_bytes) == (len(library.encode(t, add_special_tokens=False).ids), len(t.encode()))
+    assert spark.read.parquet(cache).count() == len(texts) - 2
+
+
 def test_token_counts_other_vocabularies(spark):
     import sentencepiece
 
@@ -317,6 +326,28 @@ def test_toxicity_drops_verified_copies_only(spark):
     assert sorted(x._id for x in toxicity.without_copies(sample).collect()) == want
 
 
+def test_folding_at_word_edges():
+    folded = {t: toxicity.fold(t) for t in ("no! @john a$$ $tupid st\u200bupid 1d!ot (US$) !diot $100 @@@ mail@ ...",)}
+    assert next(iter(folded.values())).split() == ["no", "john", "ajohn", "ass", "stupid", "stupid", "idiot", "uss", "idiot", "ioo", "maila"]
+    assert toxicity.fold(None) == " " and toxicity.fold("   ") == " "
+
+
+def test_lexicon_equals_naive_matching():
+    r = random.Random(3)
+    words = ["ab", "abc", "abcd", "xy", "xyz", "q", "no", "yes"]
+    model = toxicity.ToxicityModel({" abc ": 1.5, " ab": 0.5, " xyz ": 2.0, " xy": -0.25, " abcd ": 0.0}, [" abc no ", " yes xyz "])
+    for _ in range(300):
+        text = f" {' '.join(r.choice(words) for _ in range(r.randrange(1, 12)))} "
+        hits = {}
+        for p, w in model.weights.items():
+            for i in range(len(text)):
+                if text.startswith(p, i) and len(p) > len(hits.get(i, ("", 0))[0]):
+                    hits[i] = (p, w)
+        covered = [(i, i + len(p) - 1) for p in model.exceptions for i in range(len(text)) if text.startswith(p, i)]
+        want = sum(w for i, (_, w) in hits.items() if not any(a <= i < b for a, b in covered))
+        assert model.weight(text) == pytest.approx(want)
+
+
 def test_toxicity_exception_covers_match():
     model = toxicity.ToxicityModel({" clown ": 4.0}, [" clown fish "], 0.0, 1.0, -2.0)
     assert model.weight(toxicity.fold("the clown fish swims")) == 0 and model.weight(toxicity.fold("you clown!")) == 4.0
@@ -341,6 +372,12 @@ def test_quality(spark):
         assert plain.score(["some text"])[0] == pytest.approx(want, abs=0.35)
 
 
+def test_isotonic_pools_ties():
+    x = np.array([0.0, 0.0, 0.0, 0.4, 0.4, 1.0])
+    results = {tuple(np.concatenate(quality.isotonic(x[p], np.array([0.0, 1, 0, 1, 0, 1])[p])).round(12)) for p in (np.random.default_rng(i).permutation(6) for i in range(20))}
+    assert len(results) == 1 and len(next(iter(results))) == 6
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(2)
     x = rng.normal(size=400)
@@ -400,6 +437,36 @@ def test_block_pairs_count_each_link_once(spark, monkeypatch):
     assert [got[i] for i in range(200)] == near.tolist()
 
 
+def test_embedding_many_lengths_and_null_ids(spark):
+    rows = []
+    for d in range(1, 81):
+        rows += [(2 * d, [1.0] * d), (2 * d + 1, [2.0] * d)]
+    rows += [(None, [1.0] * 3), (None, [3.0] * 3)]
+    got = rp_forest.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    named = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None}
+    assert named == {2 * d + k: (1, 2 * d, k == 0) for d in range(1, 81) for k in (0, 1)}
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)] * 2
+
+
+def test_deepened_forest(spark, monkeypatch):
+    for name, value in (("LEAF_ROWS", 40), ("SAMPLE_ROWS", 256), ("LEAST_SAMPLE_LEAF", 64), ("BLOCK_ROWS", 100), ("SUBTREE_SAMPLE", 300), ("SUBTREE_BLOCK", 150), ("LEAST_SUBTREE_LEAF", 8)):
+        monkeypatch.setattr(rp_forest, name, value)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1200, 16))
+    x[600:900] = x[:300] + rng.normal(size=(300, 16)) * 0.2
+    x[900:] = x[0] + rng.normal(size=(300, 16)) * 0.1  # a dense group
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], VECTORS)
+    got = {r.vec_id: r for r in rp_forest.near_duplicates(df).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.99 * near.sum()
+    label = components_of(len(x), np.argwhere(near[:901, :901]).tolist())
+    assert np.mean([got[i].component_id == label[i] for i in range(900)]) > 0.97
+
+
 @pytest.mark.parametrize("kind", ["unit", "lengths", "ties", "negative"])
 def test_exact_top_k(spark, kind):
     rng = np.random.default_rng(9)
@@ -428,6 +495,11 @@ def test_exact_top_k(spark, kind):
     assert set(got) == set(range(0, 400, 50))
 
 
+def test_top_k_refuses_products_beyond_64_bits(spark):
+    with pytest.raises(OverflowError):
+        topk.exact_top_k(spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], VECTORS), F.col("vec_id") == 0)
+
+
 def test_top_k_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (50, [1.0, 1.0, 1.0])], VECTORS)
     rows = topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()

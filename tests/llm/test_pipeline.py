@@ -45,6 +45,18 @@ def test_odd_documents(spark):
         assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_unlike_texts_under_one_id_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(7, long, 0.1), (7, other, 0.2), (7, other, 0.2), (3, long + " x", 0.3), (9, other + " y", 0.4), (5, "un like this text at all", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _score double").withColumn("_stays", F.lit(1)).withColumn("digest", F.lit(2))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._score) for r in kept.collect()) == [(3, 0.3), (5, 0.5), (7, 0.2)]
+    for stage in (corpus_pipeline.quality, corpus_pipeline.toxicity):
+        assert {r._score for r in stage(spark, docs, SF).collect()} <= {0.1, 0.2, 0.3, 0.4, 0.5}
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and rows.filter("length > 4096 or offset <> 0").count() == 0
