@@ -630,3 +630,6 @@ def citations_apa(spark, sf):
 @query("""with e as (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events) select k, count(*) as n from e group by 1""")
 def event_props_mapped(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+from . import catalog_documents, catalog_research  # noqa: E402, F401  these register further queries

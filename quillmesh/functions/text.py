@@ -270,3 +270,59 @@ def journal_key(c, strip_characters: bool = False) -> Column:
     """Lower-case lookup key without a leading "the "; optionally the character-set form of old data."""
     low = F.lower(F.trim(text_of(c)))
     return F.ltrim(low, F.lit("the ")) if strip_characters else F.regexp_replace(low, r"^the\s+", "")
+
+
+def library_uri(key, action: str = "select") -> Column:
+    """Link into the reference manager for an item key ("select" or "open-pdf"), '' without one."""
+    return F.when(text_of(key) != "", F.concat(F.lit(f"zotero://{action}/library/items/"), text_of(key))).otherwise("")
+
+
+def relative_path(path, base) -> Column:
+    """Path below a folder with "/" between its parts; paths elsewhere stay as they are."""
+    p, b = F.translate(text_of(path), "\\", "/"), F.concat(F.rtrim(F.translate(text_of(base), "\\", "/"), F.lit("/")), F.lit("/"))
+    return F.when(p.startswith(b), F.substring(p, F.length(b) + 1, F.length(p))).otherwise(p)
+
+
+#: Tier names of rank services in plain letters; fixed values, tried in this order.
+TIER_NAMES = (("1区", "Q1"), ("2区", "Q2"), ("3区", "Q3"), ("4区", "Q4"), ("中科院 Top", "CAS-Top"), ("新锐 Top", "XR-Top"), ("低风险", "LowRisk"), ("中风险", "MedRisk"), ("高风险", "HighRisk"), ("综合性期刊", "MULTI"))
+
+
+def plain_tier(c) -> Column:
+    out = text_of(c)
+    for name, by in TIER_NAMES:
+        out = F.replace(out, F.lit(name), F.lit(by))
+    return out
+
+
+def utc_text(c) -> Column:
+    """Timestamp as ISO 8601 in UTC to the second, with "Z"."""
+    local = F.to_utc_timestamp(col(c), F.current_timezone())
+    return F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def stamp_text(c) -> Column:
+    """Timestamp in the session's zone as a part of a file name."""
+    return F.date_format(col(c), "yyyyMMdd_HHmmss")
+
+
+def article_key(doi, title) -> Column:
+    """DOI, or the normalised lower-case title where there is none."""
+    return F.coalesce(nonempty(normalize_doi_strict(doi)), F.lower(normalize_text(title)))
+
+
+def note_filename(c, longest: int = 120) -> Column:
+    """File name of a note: characters that file systems refuse become spaces; "untitled.md" for nothing."""
+    name = collapse(F.regexp_replace(normalize_text(c), r"""[<>:"/\\|?*]""", " "))
+    name = F.regexp_replace(F.substring(F.regexp_replace(name, r"^[ .]+|[ .]+$", ""), 1, longest), r"[ .]+$", "")
+    return F.concat(F.coalesce(nonempty(name), F.lit("untitled")), F.lit(".md"))
+
+
+def note_front(title, kind, tags: tuple[str, ...]) -> Column:
+    """Front matter of a note: quoted title and type, tags as a list."""
+    lines = [F.lit("---"), F.concat(F.lit("title: "), yaml_quote(title)), F.concat(F.lit("type: "), yaml_quote(kind)), F.lit("tags:"), *[F.lit(f"  - {t}") for t in tags], F.lit("---"), F.lit("")]
+    return F.concat_ws("\n", *lines)
+
+
+def first_authors(authors, n: int = 3) -> Column:
+    """The first names of a list, joined by "; "."""
+    return F.array_join(F.slice(F.coalesce(col(authors), F.array().cast("array<string>")), 1, n), "; ")

@@ -39,7 +39,7 @@ def rank_lookup(df: DataFrame, journal: str, ranks: DataFrame, aliases: DataFram
 
 def rank_label() -> Column:
     """"[tier-level] IF=x" of a looked-up rank, '' when not found."""
-    factor = F.when(F.col("rank_if").isNotNull(), F.concat(F.lit(" IF="), F.format_number("rank_if", "0.0"))).otherwise("")
+    factor = F.when(F.col("rank_if").isNotNull(), F.concat(F.lit(" IF="), F.col("rank_if").cast("string"))).otherwise("")
     return F.when(F.col("rank_source") == "offline", F.concat(F.lit("["), F.col("rank_tier"), F.lit("-"), F.col("rank_level"), F.lit("]"), factor)).otherwise("")
 
 
@@ -157,3 +157,43 @@ def best_attempt(attempts: DataFrame, key: str) -> DataFrame:
 def downloaded_kind(content: Column) -> Column:
     """Whether bytes are a PDF, by their first four."""
     return F.when(F.hex(F.substring(content, 1, 4)) == "25504446", "downloaded").otherwise("skipped_non_pdf")
+
+
+def rank_rows(requested: DataFrame, ranks: DataFrame, aliases: DataFrame, kind: str = "kind", value: str = "value") -> DataFrame:
+    """A row per request (kind "journal" or "issn"): its rank and source, "not_found" where the table lacks it.
+
+    The table is by journal name; an ISSN is found where ``ranks`` has a column issn.
+    """
+    if "issn" in ranks.columns:
+        names = ranks.select(F.explode(F.split(F.lower("issn"), r"[;,\s]+")).alias("_i"), F.col("name").alias("_n")).filter("_i <> ''").groupBy("_i").agg(F.min("_n").alias("_n"))
+        asked = requested.join(names, (F.lower(kind) == "issn") & (F.lower(F.trim(value)) == F.col("_i")), "left")
+        asked = asked.withColumn("_journal", F.when(F.lower(kind) == "issn", F.col("_n")).otherwise(F.col(value))).drop("_i", "_n")
+    else:
+        asked = requested.withColumn("_journal", F.when(F.lower(kind) != "issn", F.col(value)))
+    return rank_lookup(asked, "_journal", ranks, aliases).drop("_journal")
+
+
+def rank_online_first(df: DataFrame, journal: str, online: DataFrame, ranks: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``df`` with ``tier``: the label of an online snapshot (journal, label), else that of the offline table."""
+    live = online.select(F.lower(F.trim("journal")).alias("_live"), "label").groupBy("_live").agg(F.max("label").alias("_label"))
+    both = rank_lookup(df, journal, ranks, aliases).join(live, F.lower(F.trim(journal)) == F.col("_live"), "left")
+    return both.withColumn("tier", F.coalesce(nonempty("_label"), rank_label())).select(*df.columns, "tier")
+
+
+def request_batches(requested: DataFrame, stored: DataFrame, key: str, size: int = 5, most: int = 20) -> DataFrame:
+    """(batch, keys) of what an online service is to be asked: the first distinct keys not stored, a few at a time."""
+    from pyspark.sql import Window
+
+    first = missing_keys(requested, stored, key).filter(text_of(key) != "").orderBy(key).limit(most)
+    placed = first.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
+    return placed.groupBy("batch").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+
+
+def stored_entries(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The cache (key, value, fetched_at) after a fetch: of each key the newest entry."""
+    return cache.unionByName(fetched).groupBy("key").agg(F.max_by("value", "fetched_at").alias("value"), F.max("fetched_at").alias("fetched_at"))
+
+
+def changed_rows(overlaid: DataFrame) -> DataFrame:
+    """One row (rows, changed) of an overlay."""
+    return overlaid.agg(F.count("*").alias("rows"), F.count_if("changed").alias("changed"))

@@ -25,7 +25,7 @@ class Rule:
 
     @property
     def pattern(self) -> str:
-        return "(?i)(?:" + "|".join(f"(?:{p})" for p in self.patterns) + ")"
+        return "(?iU)(?:" + "|".join(f"(?:{p})" for p in self.patterns) + ")"
 
 
 def tag_names(text, rules) -> Column:
@@ -33,23 +33,42 @@ def tag_names(text, rules) -> Column:
     return F.array_compact(F.array(*[F.when(text_of(text).rlike(r.pattern), r.name) for r in rules]))
 
 
-def tag_terms(df: DataFrame, rules, fields, key: str = "pos") -> DataFrame:
-    """(key, rule_no, name, category, source_field, excerpt): a row per article and matching rule.
+def tagged(texts: dict[str, Column], rules) -> Column:
+    """Array of (rule_no, name, category, source_field, excerpt): the rules that match, in their order.
 
-    Evidence is the first field with a match; the excerpt reaches from 90 characters before it to 140
-    after. One pass: the rules become one array expression.
+    ``texts``: column by field name, in the order in which fields are searched; evidence is the first
+    field with a match, of its match by the first pattern that has one. The excerpt reaches from 90
+    characters before it to 140 after. Rules of one name count once, by the first that matches.
+    Each rule tests a field once; excerpts are cut for the rules that match only.
     """
-    texts = {f: text_of(F.array_join(col(f), " ") if df.schema[f].dataType.simpleString().startswith("array") else col(f)) for f in fields}
+    fields, columns = F.array(*map(F.lit, texts)), F.array(*texts.values())
     hits = []
     for i, r in enumerate(rules):
         where = None
-        for f, t in texts.items():
-            at = F.regexp_instr(t, F.lit(r.pattern))
-            start = F.greatest(at - BEFORE, F.lit(1))
-            found = F.struct(F.lit(i).alias("rule_no"), F.lit(r.name).alias("name"), F.lit(r.category).alias("category"), F.lit(f).alias("source_field"), F.substring(t, start, F.lit(BEFORE + AFTER)).alias("excerpt"))
-            where = (F if where is None else where).when(t.rlike(r.pattern), found)
+        for k, t in enumerate(texts.values()):
+            where = (F if where is None else where).when(t.rlike(r.pattern), F.struct(F.lit(i).alias("rule_no"), F.lit(k + 1).alias("field_no")))
         hits.append(where)
-    return df.select(key, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "h.*")
+    table = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.category).alias("category"), F.array(*[F.lit(f"(?iU){p}") for p in r.patterns]).alias("patterns")) for r in rules])
+
+    def full(h: Column) -> Column:
+        rule, text = F.element_at(table, h["rule_no"] + 1), F.element_at(columns, h["field_no"])
+        pattern = F.get(F.filter(rule["patterns"], lambda p: F.regexp_instr(text, p) > 0), F.lit(0))
+        at, size = F.regexp_instr(text, pattern), F.length(F.regexp_substr(text, pattern))
+        start = F.greatest(at - BEFORE, F.lit(1))
+        excerpt = F.trim(F.substring(text, start, at - start + size + AFTER))
+        return F.struct(h["rule_no"].alias("rule_no"), rule["name"].alias("name"), rule["category"].alias("category"), F.element_at(fields, h["field_no"]).alias("source_field"), excerpt.alias("excerpt"))
+
+    out = F.transform(F.array_compact(F.array(*hits)), full)
+    if len({r.name.lower() for r in rules}) == len(rules):
+        return out
+    low = F.transform(out, lambda t: F.lower(t["name"]))
+    return F.filter(out, lambda t, i: F.array_position(low, F.lower(t["name"])) == i + 1)
+
+
+def tag_terms(df: DataFrame, rules, fields, key: str = "pos") -> DataFrame:
+    """(key, rule_no, name, category, source_field, excerpt): a row per article and matching rule, see ``tagged``."""
+    texts = {f: text_of(F.array_join(col(f), " ") if df.schema[f].dataType.simpleString().startswith("array") else col(f)) for f in fields}
+    return df.select(key, F.explode(tagged(texts, rules)).alias("h")).select(key, "h.*")
 
 
 def derived_terms(names, rules) -> Column:
@@ -170,11 +189,11 @@ def build_nodes(terms: DataFrame, articles: DataFrame, key: str = "pos", most: i
     gathered, so a frequent term's list never grows beyond ``most`` in memory.
     """
     rows = terms.join(articles.select(key, "title"), key).withColumn("low", F.lower("name"))
-    node = Window.partitionBy("category", "low")
     one = rows.groupBy("category", "low", key).agg(F.min_by("name", "rule_no").alias("name"), F.first("title").alias("title"))
-    ranked = one.withColumns({"n": F.row_number().over(node.orderBy(key)), "n_articles": F.count("*").over(node), "shown": F.first("name").over(node.orderBy(key))})
-    kept = ranked.filter(F.col("n") <= most)
-    return kept.groupBy("category", F.col("low").alias("name_key")).agg(F.first("shown").alias("name"), F.max("n_articles").alias("n_articles"), F.transform(F.array_sort(F.collect_list(F.struct(key, "title"))), lambda x: x["title"]).alias("articles"))
+    total = one.groupBy("category", "low").agg(F.count("*").alias("n_articles"), F.min_by("name", key).alias("name"))
+    ranked = one.withColumn("n", F.row_number().over(Window.partitionBy("category", "low").orderBy(key))).filter(F.col("n") <= most)
+    shown = ranked.groupBy("category", "low").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, "title"))), lambda x: x["title"]).alias("articles"))
+    return total.join(shown, ["category", "low"]).select("category", F.col("low").alias("name_key"), "name", "n_articles", "articles")
 
 
 def top_terms(terms: DataFrame, n: int = 15, key: str = "pos") -> DataFrame:

@@ -51,11 +51,15 @@ def front_matter(fields: dict[str, str]) -> Column:
 
 
 def citation(style: str) -> Column:
-    """One-line citation in a common style: apa, ieee or gbt7714."""
+    """One-line citation in a common style: apa, ieee, gbt7714, mla, chicago, vancouver or harvard."""
     names, year = F.array_join("authors", ", "), F.coalesce(nonempty(text_of("year")), F.lit("n.d."))
     forms = {
         "apa": F.concat(names, F.lit(" ("), year, F.lit("). "), text_of("title"), F.lit(". "), text_of("journal"), F.lit(".")),
         "ieee": F.concat(names, F.lit(', "'), text_of("title"), F.lit(',"'), F.lit(" "), text_of("journal"), F.lit(", "), year, F.lit(".")),
+        "mla": F.concat(names, F.lit('. "'), text_of("title"), F.lit('." '), text_of("journal"), F.lit(", "), year, F.lit(".")),
+        "chicago": F.concat(names, F.lit(". "), year, F.lit('. "'), text_of("title"), F.lit('." '), text_of("journal"), F.lit(".")),
+        "vancouver": F.concat(names, F.lit(". "), text_of("title"), F.lit(". "), text_of("journal"), F.lit(". "), year, F.lit(".")),
+        "harvard": F.concat(names, F.lit(", "), year, F.lit(". "), text_of("title"), F.lit(". "), text_of("journal"), F.lit(".")),
         "gbt7714": F.concat(names, F.lit(". "), text_of("title"), F.lit("[J]. "), text_of("journal"), F.lit(", "), year, F.lit(".")),
     }
     return collapse(forms[style])

@@ -66,3 +66,31 @@ NOTES_SQL = (
     "notes as (select 'vault/note ' || doc_id || '.md' as path, 'note ' || doc_id as title, case when doc_id % 3 = 0 or doc_id % 24 = 1 then '10.' || (1000 + (doc_id // 3) % 9) || '/d.' || (doc_id // 3) end as doi, doc_id % 2 = 0 as has_managed_block, "
     "['note ' || (doc_id + 3), 'note ' || (doc_id * 2)] as targets from documents)"
 )
+
+
+#: What research records say before the text of their document; picked by position.
+PHRASES = (
+    "A radical clock supports SH2 homolytic substitution.", "Reductive elimination from nickel is slow.", "Photoredox and Ni-catalyzed C(sp3)–C(sp3) coupling reaction.", "An enantioselective, chiral nickel complex gives high ee.",
+    "Palladium catalysis as a control experiment.", "NHPI esters undergo single-electron reduction.", "The heterogeneous electrode keeps the oxidation state; cyclic voltammetry shows it.", "Organonickel intermediate was isolated; DFT agrees.",
+    "Radical recombination and radical cross-coupling compete.", "Decarboxylation of a carboxylic acid ester.", "An overview without terms.", "Alkyl iodide and alkene react; Stern–Volmer data.",
+)
+
+
+def research_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lit_records`` with two phrases of chemistry before the abstract, some reviews, preprints and concepts."""
+    lit = lit_records(spark, sf_dir)
+    phrases = F.array(*map(F.lit, PHRASES))
+    pick = lambda step: F.element_at(phrases, (F.expr(f"({step}) % {len(PHRASES)} + 1")).cast("int"))
+    return lit.withColumns({
+        "abstract": F.concat_ws(" ", pick("pos"), pick("pos div 12"), "abstract"),
+        "title": F.when(F.expr("pos % 9 = 4"), F.concat(F.lit("Review: "), "title")).when(F.expr("pos % 9 = 5"), F.concat("title", F.lit(" amination"))).otherwise(F.col("title")),
+        "journal": F.when(F.expr("pos % 10 = 7"), "ChemRxiv").otherwise(F.col("journal")),
+        "concepts": F.when(F.expr("pos % 8 = 3"), F.array(F.lit("Alkyl radical"), F.lit("EPR"))).otherwise(F.array().cast("array<string>")),
+    })
+
+
+RESEARCH_SQL = (
+    "ph as (select [" + ", ".join(f"'{x}'" for x in PHRASES) + f"] as ph), research as (select lit.* replace (concat_ws(' ', ph[pos % {len(PHRASES)} + 1], ph[pos // 12 % {len(PHRASES)} + 1], abstract) as abstract, "
+    "case when pos % 9 = 4 then 'Review: ' || title when pos % 9 = 5 then title || ' amination' else title end as title, case when pos % 10 = 7 then 'ChemRxiv' else journal end as journal), "
+    "case when pos % 8 = 3 then ['Alkyl radical', 'EPR'] else [] end as concepts from lit, ph)"
+)

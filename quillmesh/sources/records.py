@@ -228,3 +228,58 @@ def europepmc_candidates(w: Column) -> Column:
     open_ = F.filter(w["resultList"]["result"], lambda r: (r["isOpenAccess"] == "Y") & (text_of(r["pmcid"]) != ""))
     made = F.transform(open_, lambda r: _candidate(F.concat(F.lit("https://europepmc.org/articles/"), r["pmcid"], F.lit("?pdf=render")), "europepmc", r["license"], F.lit("green")))
     return F.coalesce(made, F.array().cast(PDF_CANDIDATES))
+
+
+def journal_hits(records: DataFrame, record: str = "r") -> DataFrame:
+    """Search hits of parsed records of a Chinese periodical service (Title, Author, Year, PeriodicalName, Doi, ObjectId)."""
+    r = F.col(record)
+    link = F.when(text_of(r["Doi"]) != "", F.concat(F.lit("https://doi.org/"), text_of(r["Doi"]))).otherwise(F.concat(F.lit("https://d.wanfangdata.com.cn/periodical/"), text_of(r["ObjectId"])))
+    return records.select(
+        *[c for c in records.columns if c != record], text_of(r["Title"]).alias("title"), F.array_join(r["Author"], "; ").alias("authors"), F.coalesce(r["Year"].try_cast("int"), F.lit(0)).alias("year"), text_of(r["PeriodicalName"]).alias("venue"),
+        text_of(r["Doi"]).alias("doi"), F.lit(0).alias("citations"), F.lit("wanfang").alias("source"), link.alias("oa_url"),
+    )
+
+
+def arxiv_summaries(feeds: DataFrame, xml: str = "xml", longest: int = 200) -> DataFrame:
+    """``arxiv_hits`` with the first characters of each summary."""
+    entries = F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<entry>.*?</entry>"), F.lit(0))).alias("pos", "e")
+    summary = clean_text(F.regexp_extract("e", r"(?s)<summary[^>]*>(.*?)</summary>", 1))
+    title = clean_text(F.regexp_extract("e", r"(?s)<title[^>]*>(.*?)</title>", 1))
+    return feeds.select(entries).select(title.alias("title"), F.substring(summary, 1, longest).alias("summary"), F.col("pos").cast("long").alias("pos"))
+
+
+def crossref_hits(works: DataFrame, work: str = "w", year_from: int = 0, year_to: int = 0) -> DataFrame:
+    """Search hits of parsed works: journal articles with an abstract and a title, within the years.
+
+    Authors are given as "Family, G", the first three; a work without a type or an abstract field in
+    its schema is not tested for it.
+    """
+    w = F.col(work)
+    fields = works.schema[work].dataType.names
+    kept = works
+    if "type" in fields:
+        kept = kept.filter(w["type"] == "journal-article")
+    if "abstract" in fields:
+        kept = kept.filter(text_of(w["abstract"]) != "")
+    year = F.coalesce(F.get(F.get(w["published"]["date-parts"], F.lit(0)), F.lit(0)).cast("int"), F.lit(0))
+    people = F.transform(F.slice(F.coalesce(w["author"], F.array().cast(works.schema[work].dataType["author"].dataType)), 1, 3), lambda a: F.concat(text_of(a["family"]), F.lit(", "), F.substring(text_of(a["given"]), 1, 1)))
+    hits = kept.select(
+        *[c for c in works.columns if c != work], text_of(F.get(w["title"], F.lit(0))).alias("title"), F.array_join(people, "; ").alias("authors"), year.alias("year"), F.coalesce(F.get(w["container-title"], F.lit(0)), F.lit("N/A")).alias("venue"),
+        text_of(w["DOI"]).alias("doi"), F.coalesce(w["is-referenced-by-count"], F.lit(0)).cast("int").alias("citations"), F.lit("crossref").alias("source"), F.lit("").alias("oa_url"),
+    )
+    inside = F.lit(True)
+    if year_from > 0:
+        inside = inside & (F.col("year") >= year_from)
+    if year_to > 0:
+        inside = inside & (F.col("year") <= year_to)
+    return hits.filter((F.col("title") != "") & inside)
+
+
+def pubmed_hits(ids: DataFrame, summaries: DataFrame, summary: str = "d") -> DataFrame:
+    """Search hits of a two-step service: found ids (pos, id) looked up among summaries (id, struct), in found order."""
+    d = F.col(summary)
+    digits = F.substring(F.regexp_replace(text_of(d["pubdate"]), r"\D", ""), 1, 4)
+    return ids.join(summaries, "id").select(
+        "pos", "id", text_of(d["title"]).alias("title"), F.array_join(F.transform(F.slice(d["authors"], 1, 3), lambda a: a["name"]), "; ").alias("authors"), F.coalesce(digits.try_cast("int"), F.lit(0)).alias("year"), F.coalesce(nonempty(text_of(d["source"])), F.lit("N/A")).alias("venue"),
+        F.replace(text_of(d["elocationid"]), F.lit("doi: "), F.lit("")).alias("doi"), F.lit(0).alias("citations"), F.lit("pubmed").alias("source"), F.lit("").alias("oa_url"),
+    )
