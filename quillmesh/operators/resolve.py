@@ -32,8 +32,9 @@ def dedupe_articles(articles: DataFrame, mode: str = "doi", pos: str = "pos") ->
     counts and ranks from the latest incoming one; authors the longest list; confidence the greatest;
     lists united without repeats; the abstract of the best source and score.
 
-    All of it combines on the map side. Lists are united by their distinct values, so a group of any
-    size holds its vocabulary in memory, never its rows.
+    Rows move once, by key, as the running maximum needs a group in order: a group is sorted (and
+    spilled) in one task, never held. Lists are united by their distinct values, combined on the map
+    side, so a group of any size holds its vocabulary in memory, not its rows.
     """
     keyed = articles.withColumn("_key", F.coalesce(dedupe_key(mode), F.concat(F.lit("row:"), F.col(pos).cast("string"))))
     order = Window.partitionBy("_key").orderBy(pos)
@@ -98,10 +99,11 @@ def dedupe_by_url(candidates: Column) -> Column:
 
 def best_by_doi(hits: DataFrame, doi: Column, best: str = "citations", pos: str = "pos") -> DataFrame:
     """Per DOI the hit with the most citations (the earliest of equals) in the place of the first; others stay."""
-    keyed = hits.withColumn("_key", F.coalesce(nonempty(doi), F.concat(F.lit("row:"), F.col(pos).cast("string"))))
-    by_key = Window.partitionBy("_key")
-    ranked = keyed.withColumn("_n", F.row_number().over(by_key.orderBy(F.coalesce(F.col(best), F.lit(0)).desc(), pos))).withColumn("_slot", F.min(pos).over(by_key))
-    return ranked.filter("_n = 1").withColumn(pos, F.col("_slot")).drop("_key", "_n", "_slot")
+    key = F.coalesce(nonempty(doi), F.concat(F.lit("row:"), F.col(pos).cast("string")))
+    order = F.struct(F.coalesce(F.col(best), F.lit(0)).alias("b"), (-F.col(pos).cast("long")).alias("p"))
+    # one aggregate, combined on the map side: a DOI of any number of hits moves one row a task
+    one = hits.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*hits.columns), order).alias("_hit"), F.min(pos).alias("_slot"))
+    return one.select(*[F.col("_slot").alias(c) if c == pos else F.col(f"_hit.`{c}`").alias(c) for c in hits.columns])
 
 
 def dedupe_candidates(hits: DataFrame, doi: Column, pos: str = "pos") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import relevance
 from ..operators.enrich import enrich, open_access_candidates, rank_lookup
 from ..operators.extract import initial_candidates
+from ..operators.incremental import numbered
 from ..operators.network import build_nodes, shared_term_relations, tag_terms, top_terms
 from ..operators.resolve import dedupe_articles
 from ..operators.search import search_top, select_candidates, union_sources, year_in_range
@@ -16,8 +17,7 @@ from ..operators.search import search_top, select_candidates, union_sources, yea
 def capture(pages: DataFrame, key: str = "page_id", year_from: int = 0, year_to: int = 0, snapshots: dict | None = None) -> DataFrame:
     """Pages to merged articles: extract, merge by DOI, enrich from snapshots, merge again, filter years."""
     found = initial_candidates(pages, key)
-    # positions are unique and follow (key, branch, place) without numbering all rows in one task
-    ranked = found.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("branch", "found_at")).cast("long") + F.col(key).cast("long") * 100_000).drop("branch", "found_at", key)
+    ranked = numbered(found, key, "branch", "found_at").withColumn("pos", F.col("number").cast("long")).drop("branch", "found_at", key, "number")
     merged = dedupe_articles(ranked).drop("n_merged")
     if snapshots:
         merged = dedupe_articles(enrich(merged, **snapshots)).drop("n_merged")
