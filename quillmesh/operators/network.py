@@ -27,26 +27,35 @@ class Rule:
     def pattern(self) -> str:
         return "(?iU)(?:" + "|".join(f"(?:{p})" for p in self.patterns) + ")"
 
+    def found_in(self, text: Column, low: Column) -> Column:
+        """Whether a pattern matches; ``low`` is the text in lower case, in which plain letters are found faster."""
+        joined = "|".join(f"(?:{p})" for p in self.patterns)
+        if re.search(r"\\[A-Zp]|\(\?", joined.replace("(?:", "")):
+            return text.rlike(self.pattern)  # lowering the pattern would change what an escape or a group means
+        return low.rlike("(?U)(?:" + joined.lower() + ")")
+
 
 def tag_names(text, rules) -> Column:
     """Names of the rules that match, in rule order."""
     return F.array_compact(F.array(*[F.when(text_of(text).rlike(r.pattern), r.name) for r in rules]))
 
 
-def tagged(texts: dict[str, Column], rules) -> Column:
+def tagged(texts: dict[str, Column], rules, low: dict[str, Column] | None = None) -> Column:
     """Array of (rule_no, name, category, source_field, excerpt): the rules that match, in their order.
 
     ``texts``: column by field name, in the order in which fields are searched; evidence is the first
     field with a match, of its match by the first pattern that has one. The excerpt reaches from 90
     characters before it to 140 after. Rules of one name count once, by the first that matches.
-    Each rule tests a field once; excerpts are cut for the rules that match only.
+    Each rule tests a field once; excerpts are cut for the rules that match only. The texts should be
+    plain columns: an expression would be evaluated for each rule.
     """
     fields, columns = F.array(*map(F.lit, texts)), F.array(*texts.values())
+    lows = low or {f: F.lower(t) for f, t in texts.items()}
     hits = []
     for i, r in enumerate(rules):
         where = None
-        for k, t in enumerate(texts.values()):
-            where = (F if where is None else where).when(t.rlike(r.pattern), F.struct(F.lit(i).alias("rule_no"), F.lit(k + 1).alias("field_no")))
+        for k, (f, t) in enumerate(texts.items()):
+            where = (F if where is None else where).when(r.found_in(t, lows[f]), F.struct(F.lit(i).alias("rule_no"), F.lit(k + 1).alias("field_no")))
         hits.append(where)
     table = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.category).alias("category"), F.array(*[F.lit(f"(?iU){p}") for p in r.patterns]).alias("patterns")) for r in rules])
 
@@ -61,14 +70,21 @@ def tagged(texts: dict[str, Column], rules) -> Column:
     out = F.transform(F.array_compact(F.array(*hits)), full)
     if len({r.name.lower() for r in rules}) == len(rules):
         return out
-    low = F.transform(out, lambda t: F.lower(t["name"]))
-    return F.filter(out, lambda t, i: F.array_position(low, F.lower(t["name"])) == i + 1)
+    names = F.transform(out, lambda t: F.lower(t["name"]))
+    return F.filter(out, lambda t, i: F.array_position(names, F.lower(t["name"])) == i + 1)
+
+
+def once(c: Column) -> Column:
+    """The value as a generated column: expressions above read it, where a projected one would be computed in each."""
+    return F.explode(F.array(c))
 
 
 def tag_terms(df: DataFrame, rules, fields, key: str = "pos") -> DataFrame:
     """(key, rule_no, name, category, source_field, excerpt): a row per article and matching rule, see ``tagged``."""
     texts = {f: text_of(F.array_join(col(f), " ") if df.schema[f].dataType.simpleString().startswith("array") else col(f)) for f in fields}
-    return df.select(key, F.explode(tagged(texts, rules)).alias("h")).select(key, "h.*")
+    made = df.select(key, *[t.alias(f"_t_{f}") for f, t in texts.items()], *[F.lower(t).alias(f"_l_{f}") for f, t in texts.items()])
+    hits = tagged({f: F.col(f"_t_{f}") for f in texts}, rules, {f: F.col(f"_l_{f}") for f in texts})
+    return made.select(key, once(hits).alias("hits")).select(key, F.explode("hits").alias("h")).select(key, "h.*")
 
 
 def derived_terms(names, rules) -> Column:

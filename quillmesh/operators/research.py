@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compact_title_key, last_name, nonempty, normalize_doi, normalize_text, text_of
 from . import vocabulary as V
-from .network import first_label, tagged
+from .network import first_label, once, tagged
 
 FIELDS = ("title", "abstract", "keywords", "concepts")
 
@@ -103,8 +103,12 @@ def by_category(terms: str) -> Column:
 
 def analysis_records(articles: DataFrame, term_rules=V.TERM_RULES, evidence_rules=V.EVIDENCE_RULES, key: str = "pos") -> DataFrame:
     """One analysis per article: terms and evidence methods with excerpts, connectors, role, summary, limits."""
-    texts = field_texts(articles)
-    base = articles.withColumns({"_terms": tagged(texts, term_rules), "_methods": tagged(texts, evidence_rules), "_text": F.lower(F.concat_ws(" ", *texts.values()))})
+    found = field_texts(articles)
+    # texts become columns, so that the rules do not each normalise them again
+    base = articles.withColumns({f"_t_{f}": t for f, t in found.items()}).withColumns({f"_l_{f}": F.lower(f"_t_{f}") for f in found})
+    texts, low = ({f: F.col(f"_{k}_{f}") for f in found} for k in "tl")
+    base = base.select("*", once(F.struct(tagged(texts, term_rules, low).alias("terms"), tagged(texts, evidence_rules, low).alias("methods"))).alias("_found"))
+    base = base.withColumns({"_terms": F.col("_found.terms"), "_methods": F.col("_found.methods"), "_text": F.concat_ws(" ", *low.values())})
     base = base.withColumn("_names", F.transform("_terms", lambda t: t["name"]))
     base = base.withColumns({"_project": project_terms(F.col("_names"), F.col("_text")), "_title": normalize_text("title"), "_doi": normalize_doi("doi"), "_journal": text_of("journal")})
     names, title = F.col("_names"), F.lower("_title")
