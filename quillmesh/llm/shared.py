@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 
@@ -39,7 +38,6 @@ def worker_starts(owner: str | None = None) -> None:
 
 
 def release_memory() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
