@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -58,7 +59,7 @@ FOLD = Folding()
 
 
 #: Characters without width, which would split a word.
-UNSEEN = {i: None for i in (0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF)}
+UNSEEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
 def _word(w: str) -> str:
@@ -67,8 +68,6 @@ def _word(w: str) -> str:
     Of the signs @ $ ! at its edges those stand for letters that touch a letter, but for a final "!".
     A leading "@" may also be a mark before a name, so such a word is given both ways.
     """
-    if w.isalpha():
-        return w
     if "@" not in w and "$" not in w and w[0] != "!":
         return w.strip("!.,;:?")
     w = w.strip(".,;:?")
@@ -88,8 +87,8 @@ def fold(text: str | None) -> str:
     those at its edges.
     """
     text = text or ""
-    words = (text if text.isascii() else text.translate(UNSEEN)).split()
-    return f" {' '.join(map(_word, words))} ".lower().translate(FOLD) if words else " "
+    words = (text if text.isascii() else UNSEEN.sub("", text)).split()
+    return f" {' '.join([w if w.isalpha() else _word(w) for w in words])} ".lower().translate(FOLD) if words else " "
 
 
 def patterns_of(folded: str) -> set[str]:
