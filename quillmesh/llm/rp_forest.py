@@ -30,11 +30,11 @@ from .components import connected_components
 from .shared import Scratch, small_batches, table, worker_starts, written
 
 COSINE = 0.9
-TREES = 10
-OVERLAP = 0.16  # share of a node's vectors that go to both children
-LEAF_ROWS = 400
+TREES = 8
+OVERLAP = 0.14  # share of a node's vectors that go to both children
+LEAF_ROWS = 250
 SAMPLE_ROWS = 65_536
-LEAST_SAMPLE_LEAF = 16
+LEAST_SAMPLE_LEAF = 64  # leaves of more rows than a block are split further on their own
 DENSE_SHARE = 0.05
 BLOCK_ROWS = 2_048
 MAX_DEPTH = 24
