@@ -6,18 +6,22 @@ symbol and loops. The gadget of a merge ``a b -> ab`` takes every path that read
 that leads to where ``a b`` led. Applying all gadgets in rank order leaves a deterministic automaton
 over tokens in which each string has exactly one path, its BPE tokenization.
 
-A copy differs from its original by one arc, so states are stored as (original, removed arc, rank)
-and the automaton has one state per merge: linear in the vocabulary instead of quadratic. An arc for
-token ``t`` leaves a state unless the state, or one it was copied from, removed one of the tokens on
-``t``'s left spine while that token was the leftmost part of ``t`` still unmerged.
-
-Encoding a pre-split word follows arcs (memoised in a transition table) from the start state, the
-longest first, until the labels spell the word. Decoding emits the arc labels of the ids.
+A copy differs from its original by one arc, so during construction states are (original, removed
+arc, rank). Then the automaton is compiled: tokens are numbered by a walk over the tree of left parts,
+the latest merge first, so that what one removal closes (a token, and those that it begins and that
+are merged no earlier) is one interval of numbers. A state's transition table is the sorted list of
+its closed intervals, and an arc exists for every token outside of them.
+
+Encoding a pre-split word walks these tables only: a symbol table over the arc labels names the tokens
+that spell what follows, the state's intervals which of them have an arc. Decoding emits the arc labels
+of the ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,124 +30,154 @@ from pyspark.sql import functions as F
 from .shared import holds, small_batches, table, worker_starts
 from .wordbpe import Memo, Splitter, chunks
 
-ARC_TABLE_LIMIT = 1_000_000
+class TokenAutomaton:
+    """Tables of the compiled automaton.
 
+    ``symbols``: the arc labels symbol by symbol, nested, with the token of a whole label under "";
+    ``closed[state]``: starts and ends of the intervals of token numbers that have no arc there;
+    ``state_after``: where a token's arcs lead.
+    """
 
-class TokenAutomaton:
     def __init__(self, base: dict[str, int], merges: list[tuple[str, str]], vocab: dict[str, int]):
         """``base``: symbols without a merge; ``merges`` in rank order; ``vocab``: label to id."""
         # one state per gadget; state 0 is the start
-        self.copied_from, self.removed, self.at = [0], [-1], [-1]
+        copied_from, removed, at = [0], [-1], [-1]
         self.state_after: dict[int, int] = {i: 0 for i in base.values()}
-        self.left: dict[int, int] = {}
-        self.born: dict[int, int] = {i: -1 for i in base.values()}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        skipped = 0
+        left: dict[int, int] = {}
+        born: dict[int, int] = {i: -1 for i in base.values()}
+
+        def is_open(state: int, t: int) -> bool:
+            """Whether no copy on the way to ``state`` removed a left part of ``t`` while that stood alone."""
+            low, dies = {}, 1 << 60
+            while True:
+                low[t] = (born[t], dies)
+                if t not in left:
+                    break
+                dies, t = born[t], left[t]
+            while state:
+                hit = low.get(removed[state])
+                if hit and hit[0] < at[state] <= hit[1]:
+                    return False
+                state = copied_from[state]
+            return True
+
+        self.skipped = 0
         for rank, (x, y) in enumerate(merges):
             a, b, ab = vocab[x], vocab[y], vocab[x + y]
-            if a not in self.state_after or b not in self.state_after or ab in self.born or not self._open(self.state_after[a], b):
-                skipped += 1  # no path reads a and then b at this rank: the gadget adds nothing
+            if a not in self.state_after or b not in self.state_after or ab in born or not is_open(self.state_after[a], b):
+                self.skipped += 1  # no path reads a and then b at this rank: the gadget adds nothing
                 continue
             target = self.state_after[b]
-            self.copied_from.append(self.state_after[a])
-            self.removed.append(b)
-            self.at.append(rank)
-            self.state_after[a] = len(self.at) - 1
-            self.state_after[ab], self.left[ab], self.born[ab] = target, a, rank
-        self.skipped = skipped
-        self.spine_of = {t: self._spine(t) for t in self.born}
-        self._removals: dict[int, dict[int, list[int]]] = {}
-        self.arcs.clear()
+            copied_from.append(self.state_after[a])
+            removed.append(b)
+            at.append(rank)
+            self.state_after[a] = len(at) - 1
+            self.state_after[ab], left[ab], born[ab] = target, a, rank
         inverse = {i: s for s, i in vocab.items()}
-        self.label = {t: inverse[t] for t in self.born}
+        self.label = {t: inverse[t] for t in born}
         self.token = {s: t for t, s in self.label.items()}
         self.longest = max(map(len, self.token), default=0)
-
-    def _spine(self, t: int) -> list[tuple[int, int, int]]:
-        """(token, rank it is born at, rank it is merged away at) down the left spine of ``t``."""
-        out, dies = [], 1 << 60
-        while True:
-            out.append((t, self.born[t], dies))
-            if t not in self.left:
-                return out
-            dies, t = self.born[t], self.left[t]
-
-    def _removed_by(self, state: int) -> dict[int, list[int]]:
-        """Arcs removed along the copies that led to ``state``: token to ranks. Only for compiled tables."""
-        got: dict[int, list[int]] = {}
-        while state:
-            got.setdefault(self.removed[state], []).append(self.at[state])
-            state = self.copied_from[state]
-        return got
-
-    def _open(self, state: int, t: int) -> bool:
-        low = {x: (born, dies) for x, born, dies in self._spine(t)}
-        while state:
-            hit = low.get(self.removed[state])
-            if hit and hit[0] < self.at[state] <= hit[1]:
-                return False
-            state = self.copied_from[state]
-        return True
-
-    def arc(self, state: int, t: int) -> bool:
-        """Whether ``state`` has an arc for token ``t``; kept in the transition table."""
-        key = (state, t)
-        known = self.arcs.get(key)
-        if known is None:
-            if state not in self._removals:
-                if len(self._removals) > 20_000:
-                    self._removals.clear()
-                self._removals[state] = self._removed_by(state)
-            removals, known = self._removals[state], True
-            if removals:
-                for x, born, dies in self.spine_of[t]:
-                    if any(born < r <= dies for r in removals.get(x, ())):
-                        known = False
-                        break
-            if len(self.arcs) >= ARC_TABLE_LIMIT:
-                self.arcs.clear()
-            self.arcs[key] = known
-        return known
+        self._compile(copied_from, removed, at, left, born)
+
+    def _compile(self, copied_from, removed, at, left, born) -> None:
+        self.symbols: dict = {}
+        for label, t in self.token.items():
+            node = self.symbols
+            for c in label:
+                node = node.setdefault(c, {})
+            node[""] = t
+        begins: dict[int, list[int]] = {}
+        for t in sorted(left, key=born.__getitem__, reverse=True):
+            begins.setdefault(left[t], []).append(t)
+        self.number: dict[int, int] = {}
+        after: dict[int, int] = {}  # first number behind a token and all it begins
+        stack = [(t, False) for t in born if t not in left]
+        while stack:
+            t, done = stack.pop()
+            if done:
+                after[t] = len(self.number)
+                continue
+            self.number[t] = len(self.number)
+            stack.append((t, True))
+            stack += [(c, False) for c in reversed(begins.get(t, ()))]
+
+        def closes(state: int) -> tuple[int, int]:
+            x, end = removed[state], self.number[removed[state]] + 1
+            for c in begins.get(x, ()):
+                if born[c] < at[state]:
+                    break
+                end = after[c]
+            return self.number[x], end
+
+        one = [closes(s) if s else (0, 0) for s in range(len(at))]
+        self.closed: dict[int, tuple[array, array]] = {}
+        for state in set(self.state_after.values()):
+            found, s = [], state
+            while s:
+                found.append(one[s])
+                s = copied_from[s]
+            starts, ends = array("i"), array("i")
+            for start, end in sorted(found):
+                if ends and start <= ends[-1]:
+                    ends[-1] = max(ends[-1], end)
+                else:
+                    starts.append(start)
+                    ends.append(end)
+            self.closed[state] = starts, ends
 
     def encode(self, word: str, suffix: str = "") -> list[int]:
         """The one accepted path that spells ``word``; its last symbol carries ``suffix``.
 
-        Longest arcs are tried first. Each prefix has exactly one path, so a position that was
-        reached and left without success is never entered again and the walk stays linear.
+        From each place on, the tables name the arcs that spell what follows; longer ones are taken
+        first. A place that was left without success is never entered again, so the walk is linear.
         """
         if not word:
             return []
         whole = self.token.get(word + suffix)
         if whole is not None:
-            return [whole]  # each token in the automaton is its own tokenization
-        token, after, arc, longest = self.token, self.state_after, self.arc, self.longest
-        text, n = word + suffix, len(word)
+            return [whole]  # the arc of the start state, which has one for every token
+        symbols, after, closed, number, longest, n = self.symbols, self.state_after, self.closed, self.number, self.longest, len(word)
         dead: set[int] = set()
-        path: list[tuple[int, int, int]] = []  # (start, state there, length to try next)
+        left: list[tuple[int, list[tuple[int, int]]]] = []  # places on the path and the arcs not taken there
         ids: list[int] = []
-        at, state, size = 0, 0, n + 1  # size n + 1 - at stands for "up to the end, suffix included"
+        at, starts, ends = 0, (), ()
         while True:
-            left = n - at
-            size = min(size, left, longest)
-            while size > 0:
-                end = at + size
-                if end not in dead:
-                    t = token.get(text[at:] if end == n else text[at:end])
-                    if t is not None and arc(state, t):
+            arcs, node, k = [], symbols, at  # (end, token) of the open arcs that spell what follows, the longest last
+            for c in word[at : at + longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                k += 1
+                if k == n:
+                    for c in suffix:
+                        node = node.get(c)
+                        if node is None:
+                            break
+                    if node is None:
                         break
-                size -= 1
-            if size:
-                path.append((at, state, size - 1))
-                ids.append(t)
-                if end == n:
-                    return ids
-                at, state, size = end, after[t], n
-            else:
-                dead.add(at)
-                if not path:
-                    raise ValueError(f"the automaton has no path for {word!r}")
-                at, state, size = path.pop()
-                ids.pop()
+                t = node.get("")
+                if t is not None:
+                    x = number[t]
+                    place = bisect_right(starts, x)
+                    if not place or ends[place - 1] <= x:
+                        arcs.append((k, t))
+            while True:
+                if not arcs:
+                    dead.add(at)
+                    if not left:
+                        raise ValueError(f"the automaton has no path for {word!r}")
+                    at, arcs = left.pop()
+                    ids.pop()
+                    continue
+                end, t = arcs.pop()
+                if end not in dead:
+                    break
+            left.append((at, arcs))
+            ids.append(t)
+            if end == n:
+                return ids
+            at = end
+            starts, ends = closed[after[t]]
 
 
 class AutomatonTokenizer:
@@ -167,28 +201,36 @@ class AutomatonTokenizer:
     def _word(self, word: str) -> bytes:
         return b" ".join(b"%d" % i for i in self.automaton.encode(word, self.suffix))
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b" ".join(map(self.word_ids.__getitem__, self.splitter.words(chunk)))
-
-    def _plain(self, text: str) -> list[bytes]:
-        return [x for x in map(self.chunk_ids.__getitem__, chunks(text)) if x]
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """Ids of a chunk and the labels of these ids; a chunk is coded once, its ids decoded once."""
+        ids = b" ".join(map(self.word_ids.__getitem__, self.splitter.words(chunk)))
+        return ids, self.decode(ids)
 
-    def encode(self, text: str | None) -> bytes:
-        """Decimal ids joined by one space."""
-        if not text:
-            return b""
+    def _parts(self, text: str) -> list[tuple[bytes, bytes]]:
+        """(ids, labels) of the chunks of a text and of the added tokens in it, in order."""
         s, out, at = self.splitter, [], 0
         if s.added_pattern is not None and "<|" in text:
             for m in s.added_pattern.finditer(text):
-                out += self._plain(text[at : m.start()])
-                out.append(b"%d" % s.added[m.group()])
+                out += map(self.chunk_ids.__getitem__, chunks(text[at : m.start()]))
+                ids = b"%d" % s.added[m.group()]
+                out.append((ids, self.decode(ids)))
                 at = m.end()
-        return b" ".join(out + self._plain(text[at:] if at else text))
+        out += map(self.chunk_ids.__getitem__, chunks(text[at:] if at else text))
+        return [p for p in out if p[0]]
+
+    def encode(self, text: str | None) -> bytes:
+        """Decimal ids joined by one space."""
+        return b" ".join([p[0] for p in self._parts(text)]) if text else b""
 
     def decode(self, ids: bytes) -> bytes:
         """Arc labels of the ids, joined by one space as the library does without a decoder."""
         return b" ".join(map(self.emit.__getitem__, ids.split()))
 
+    def encode_decode(self, text: str | None) -> tuple[bytes, bytes]:
+        """``encode(text)`` and ``decode`` of it; labels of joined ids are the joined labels of the parts."""
+        parts = self._parts(text) if text else []
+        return b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+
 
 _built: dict[str, AutomatonTokenizer] = {}
 
@@ -206,7 +248,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     Returns id, ``ids`` (decimal ids joined by one space), ``decoded`` and ``n_tokens``. One narrow
     pass, no shuffle. Null and empty texts have no tokens and decode to an empty string; repeated
-    rows give repeated rows; other columns of ``docs`` are not read.
+    rows give repeated rows, an empty table none; other columns of ``docs`` are not read.
     """
     return _mapped(docs, tokenizer_path, id_col, text_col, digests=False)
 
@@ -220,8 +262,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, digests: boo
         for batch in batches:
             first, second, count = [], [], []
             for text in batch.column(1).to_pylist():
-                ids = t.encode(text)
-                out = t.decode(ids)
+                ids, out = t.encode_decode(text)
                 count.append(ids.count(b" ") + 1 if ids else 0)
                 first.append(hashlib.sha256(ids).hexdigest() if digests else ids.decode())
                 second.append(hashlib.sha256(out).hexdigest() if digests else out.decode())
