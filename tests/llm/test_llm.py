@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, exact round trips and edge cases."""
 
 import base64
+import functools
 import hashlib
 import random
 import re
@@ -43,12 +44,16 @@ def library():
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_automaton_equals_library(text):
-    lib = test_automaton_equals_library.lib = getattr(test_automaton_equals_library, "lib", None) or Tokenizer.from_file(BPE)
-    mine = bpe_automaton.tokenizer(BPE)
+    lib, mine, words = _coders()
     ids = lib.encode(text, add_special_tokens=False).ids
     assert mine.encode(text).decode() == " ".join(map(str, ids))
-    assert mine.decode(mine.encode(text)).decode() == lib.decode(ids, skip_special_tokens=False)
-    assert np.frombuffer(library_encoder(BPE).id_bytes(text), "<u4").tolist() == ids
+    assert mine.encode_decode(text)[1] == mine.decode(mine.encode(text)) == lib.decode(ids, skip_special_tokens=False).encode()
+    assert np.frombuffer(words.id_bytes(text), "<u4").tolist() == ids
+
+
+@functools.cache
+def _coders():
+    return Tokenizer.from_file(BPE), bpe_automaton.AutomatonTokenizer(BPE), library_encoder(BPE)
 
 
 def test_merge_gadgets_small():
@@ -372,6 +377,43 @@ def test_quality(spark):
         assert plain.score(["some text"])[0] == pytest.approx(want, abs=0.35)
 
 
+def test_quality_equals_plain_ridge(spark):
+    """The partition-summed fit against a ridge solved on all rows at once, scores row by row."""
+    r = random.Random(5)
+    rows = []
+    for i in range(240):
+        good = i % 2
+        text = " ".join(r.choice(("lorem", "ipsum", "dolor", "sit", "amet")) + ("." if r.random() < 0.1 else "") for _ in range(r.randrange(20, 60))) if good else " ".join(r.choice(("#", "1|2", "WIN!!!", "a", "zz9")) for _ in range(r.randrange(20, 60)))
+        rows.append((i, text, good))
+    df = spark.createDataFrame(rows, "_id long, _text string, y int").repartition(7)
+    model = quality.fit_quality(df)
+    x, y = quality.statistics_matrix([t for _, t, _ in rows]), np.array([float(g) for *_, g in rows])
+    basis = quality.Basis(x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0), model.basis.directions, model.basis.phases)
+    assert np.allclose(basis.mean, model.basis.mean) and np.allclose(basis.scale, model.basis.scale)
+    folds = np.array([q.f for q in df.select("_id", F.pmod(F.xxhash64("_id", F.lit("inner")), F.lit(quality.INNER_FOLDS)).alias("f")).orderBy("_id").collect()])
+
+    def ridge(z, t, strength):
+        penalty = np.full(z.shape[1], strength + 1e-9)
+        penalty[-1] = 2e-9
+        return np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ t)
+
+    tried = []
+    for width in quality.WIDTHS:
+        z = basis(x, width)
+        for strength in quality.RIDGES:
+            out = np.zeros(len(y))
+            for f in np.unique(folds):
+                out[folds == f] = z[folds == f] @ ridge(z[folds != f], y[folds != f], strength)
+            tried.append((((out - y) ** 2).sum(), width, strength, out))
+    _, width, strength, out = min(tried, key=lambda q: q[:3])
+    assert width == model.width
+    weights, (knots, values) = ridge(basis(x, width), y, strength), quality.isotonic(out.round(9), y)
+    texts = [t for _, t, _ in rows[:40]] + ["", None, "unlike anything 123 ###"]
+    raw = basis(quality.statistics_matrix(texts), width) @ weights
+    want = np.clip(0.999 * np.interp(raw, knots, values) + 0.001 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
+    assert np.allclose(model.score(texts), want, atol=2e-3)
+
+
 def test_isotonic_pools_ties():
     x = np.array([0.0, 0.0, 0.0, 0.4, 0.4, 1.0])
     results = {tuple(np.concatenate(quality.isotonic(x[p], np.array([0.0, 1, 0, 1, 0, 1])[p])).round(12)) for p in (np.random.default_rng(i).permutation(6) for i in range(20))}
@@ -404,6 +446,10 @@ def components_of(n, pairs):
     return label
 
 
+def rf_unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_embedding_near_duplicates(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(60, 16))
@@ -448,6 +494,24 @@ def test_embedding_many_lengths_and_null_ids(spark):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)] * 2
 
 
+def test_forest_recall_at_the_threshold():
+    """Pairs a little above the cosine, among many unlike vectors: nine in ten at least share a leaf of a tree."""
+    rng = np.random.default_rng(21)
+    x = rf_unit(rng.normal(size=(12_000, 64)))
+    noise = rng.normal(size=x.shape)
+    noise = rf_unit(noise - (noise * x).sum(1, keepdims=True) * x)
+    y = 0.903 * x + np.sqrt(1 - 0.903**2) * noise
+    sample, found = x.astype(np.float32), np.zeros(len(x), dtype=bool)
+    for _ in range(rp_forest.TREES):
+        tree = rp_forest.grow(sample, rng, rp_forest.LEAF_ROWS, 0)
+        leaves = [set() for _ in x]
+        for r, k in zip(*tree.route(sample)):
+            leaves[r].add(k)
+        for r, k in zip(*tree.route(y.astype(np.float32))):
+            found[r] |= k in leaves[r]
+    assert found.mean() >= 0.97
+
+
 def test_deepened_forest(spark, monkeypatch):
     for name, value in (("LEAF_ROWS", 40), ("SAMPLE_ROWS", 256), ("LEAST_SAMPLE_LEAF", 64), ("BLOCK_ROWS", 100), ("SUBTREE_SAMPLE", 300), ("SUBTREE_BLOCK", 150), ("LEAST_SUBTREE_LEAF", 8)):
         monkeypatch.setattr(rp_forest, name, value)
