@@ -33,7 +33,7 @@ from .wordbpe import Memo, Splitter, chunks
 class TokenAutomaton:
     """Tables of the compiled automaton.
 
-    ``symbols``: the arc labels symbol by symbol, nested, with the token of a whole label under "";
+    ``symbols``: the arc labels symbol by symbol: what may follow, and the token spelt so far or -1;
     ``closed[state]``: starts and ends of the intervals of token numbers that have no arc there;
     ``state_after``: where a token's arcs lead.
     """
@@ -81,11 +81,11 @@ class TokenAutomaton:
 
     def _compile(self, copied_from, removed, at, left, born) -> None:
         self.symbols: dict = {}
-        for label, t in self.token.items():
+        for label in sorted(self.token):  # a label comes behind those it begins with
             node = self.symbols
-            for c in label:
-                node = node.setdefault(c, {})
-            node[""] = t
+            for c in label[:-1]:
+                node = node.setdefault(c, ({}, -1))[0]
+            node[label[-1]] = (node.get(label[-1], ({}, -1))[0], self.token[label])
         begins: dict[int, list[int]] = {}
         for t in sorted(left, key=born.__getitem__, reverse=True):
             begins.setdefault(left[t], []).append(t)
@@ -138,44 +138,49 @@ class TokenAutomaton:
             return [whole]  # the arc of the start state, which has one for every token
         symbols, after, closed, number, longest, n = self.symbols, self.state_after, self.closed, self.number, self.longest, len(word)
         dead: set[int] = set()
-        left: list[tuple[int, list[tuple[int, int]]]] = []  # places on the path and the arcs not taken there
+        left: list = []  # places on the path with the tokens not tried there and the intervals of their state
         ids: list[int] = []
         at, starts, ends = 0, (), ()
         while True:
-            arcs, node, k = [], symbols, at  # (end, token) of the open arcs that spell what follows, the longest last
+            found, node, k = [], symbols, at  # (end, token) of what spells what follows, the longest last
             for c in word[at : at + longest]:
-                node = node.get(c)
-                if node is None:
+                step = node.get(c)
+                if step is None:
                     break
+                node, t = step
                 k += 1
-                if k == n:
+                if t >= 0:
+                    found.append((k, t))
+            else:
+                if k == n and suffix:
+                    if found and found[-1][0] == n:
+                        found.pop()
                     for c in suffix:
-                        node = node.get(c)
-                        if node is None:
+                        step = node.get(c)
+                        if step is None:
                             break
-                    if node is None:
-                        break
-                t = node.get("")
-                if t is not None:
-                    x = number[t]
-                    place = bisect_right(starts, x)
-                    if not place or ends[place - 1] <= x:
-                        arcs.append((k, t))
+                        node, t = step
+                    else:
+                        if t >= 0:
+                            found.append((n, t))
             while True:
-                if not arcs:
+                if not found:
                     dead.add(at)
                     if not left:
                         raise ValueError(f"the automaton has no path for {word!r}")
-                    at, arcs = left.pop()
+                    at, found, starts, ends = left.pop()
                     ids.pop()
                     continue
-                end, t = arcs.pop()
-                if end not in dead:
+                end, t = found.pop()
+                if end in dead:
+                    continue
+                place = bisect_right(starts, number[t])
+                if not place or ends[place - 1] <= number[t]:
                     break
-            left.append((at, arcs))
             ids.append(t)
             if end == n:
                 return ids
+            left.append((at, found, starts, ends))
             at = end
             starts, ends = closed[after[t]]
 
@@ -196,40 +201,43 @@ class AutomatonTokenizer:
             raise ValueError(f"{path}: labels are joined by one space, as for files without a decoder")
         self.emit = {str(i).encode(): s.encode() for s, i in vocab.items()} | {str(i).encode(): s.encode() for s, i in self.splitter.added.items()}
         self.word_ids = Memo(self._word, memo // 2)
+        # with a space behind each id and label, so that texts are plain concatenations
         self.chunk_ids = Memo(self._chunk, memo)
+        self.chunk_labels = Memo(lambda chunk: (out := self.decode(self.chunk_ids[chunk])) and out + b" ", memo // 2)
 
     def _word(self, word: str) -> bytes:
         return b" ".join(b"%d" % i for i in self.automaton.encode(word, self.suffix))
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids of a chunk and the labels of these ids; a chunk is coded once, its ids decoded once."""
-        ids = b" ".join(map(self.word_ids.__getitem__, self.splitter.words(chunk)))
-        return ids, self.decode(ids)
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.word_ids[w] + b" " for w in self.splitter.words(chunk)])
 
-    def _parts(self, text: str) -> list[tuple[bytes, bytes]]:
-        """(ids, labels) of the chunks of a text and of the added tokens in it, in order."""
-        s, out, at = self.splitter, [], 0
+    def _pieces(self, text: str):
+        """(chunks, id of the added token behind them or None) of a text, in order."""
+        s, at = self.splitter, 0
         if s.added_pattern is not None and "<|" in text:
             for m in s.added_pattern.finditer(text):
-                out += map(self.chunk_ids.__getitem__, chunks(text[at : m.start()]))
-                ids = b"%d" % s.added[m.group()]
-                out.append((ids, self.decode(ids)))
+                yield chunks(text[at : m.start()]), b"%d " % s.added[m.group()]
                 at = m.end()
-        out += map(self.chunk_ids.__getitem__, chunks(text[at:] if at else text))
-        return [p for p in out if p[0]]
+        yield chunks(text[at:] if at else text), None
 
     def encode(self, text: str | None) -> bytes:
         """Decimal ids joined by one space."""
-        return b" ".join([p[0] for p in self._parts(text)]) if text else b""
+        return self.encode_decode(text)[0]
 
     def decode(self, ids: bytes) -> bytes:
         """Arc labels of the ids, joined by one space as the library does without a decoder."""
         return b" ".join(map(self.emit.__getitem__, ids.split()))
 
     def encode_decode(self, text: str | None) -> tuple[bytes, bytes]:
-        """``encode(text)`` and ``decode`` of it; labels of joined ids are the joined labels of the parts."""
-        parts = self._parts(text) if text else []
-        return b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+        """``encode(text)`` and ``decode`` of it: a chunk is coded once, its ids decoded once."""
+        ids, labels = [], []
+        for found, added in self._pieces(text) if text else ():
+            ids += map(self.chunk_ids.__getitem__, found)
+            labels += map(self.chunk_labels.__getitem__, found)
+            if added is not None:
+                ids.append(added)
+                labels.append(self.decode(added) + b" ")
+        return b"".join(ids)[:-1], b"".join(labels)[:-1]
 
 
 _built: dict[str, AutomatonTokenizer] = {}
