@@ -283,3 +283,17 @@ def pubmed_hits(ids: DataFrame, summaries: DataFrame, summary: str = "d") -> Dat
         "pos", "id", text_of(d["title"]).alias("title"), F.array_join(F.transform(F.slice(d["authors"], 1, 3), lambda a: a["name"]), "; ").alias("authors"), F.coalesce(digits.try_cast("int"), F.lit(0)).alias("year"), F.coalesce(nonempty(text_of(d["source"])), F.lit("N/A")).alias("venue"),
         F.replace(text_of(d["elocationid"]), F.lit("doi: "), F.lit("")).alias("doi"), F.lit(0).alias("citations"), F.lit("pubmed").alias("source"), F.lit("").alias("oa_url"),
     )
+
+
+def read_ranks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(ranks, aliases) of a JSON file with "journals" (name to tier, level, if) and "_aliases" (alias to name); empty where there is no file."""
+    from pyspark.errors import AnalysisException
+
+    schema = "journals map<string,struct<tier:string,level:string,`if`:double>>, _aliases map<string,string>"
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        text = spark.createDataFrame([], "value string")
+    both = text.select(F.from_json("value", schema).alias("j"))
+    ranks = both.select(F.explode("j.journals").alias("name", "r")).select("name", F.col("r.tier").alias("tier"), F.col("r.level").alias("level"), F.col("r.if").alias("impact_factor"))
+    return ranks, both.select(F.explode("j._aliases").alias("alias", "name"))

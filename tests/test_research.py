@@ -196,6 +196,15 @@ def test_ranks(spark):
     assert enrich.changed_rows(over).first().asDict() == {"rows": 2, "changed": 1}
 
 
+def test_rank_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"journals": {"j one": {"tier": "JCR", "level": "Q1", "if": 2}}, "_aliases": {"j1": "j one"}}')
+    ranks, aliases = records.read_ranks(spark, str(tmp_path / "r.json"))
+    assert [tuple(r) for r in ranks.collect()] == [("j one", "JCR", "Q1", 2.0)] and [tuple(r) for r in aliases.collect()] == [("j1", "j one")]
+    looked = enrich.rank_lookup(spark.createDataFrame([("J1",)], "j string"), "j", ranks, aliases).select(enrich.rank_label().alias("t"))
+    assert looked.first().t == "[JCR-Q1] IF=2.0"
+    assert [d.count() for d in records.read_ranks(spark, str(tmp_path / "none.json"))] == [0, 0]
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "x int").repartition(5)
     assert sorted((r.x, r.number) for r in incremental.numbered(df, "x", parts=7).collect()) == [(i, i + 1) for i in range(1000)]
