@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -26,7 +27,9 @@ def worker_starts(owner: str | None = None) -> None:
 
     Workers are reused, so an encoder's memo would otherwise stay through all later stages. Memory that
     earlier tasks freed goes back to the system, so the workers of one machine do not all keep their peak.
+    An owner that goes on with what it holds does not look for garbage again.
     """
+    goes_on = owner in _HELD
     for name, give_up in list(_HELD.items()):
         if name != owner:
             give_up()
@@ -34,6 +37,8 @@ def worker_starts(owner: str | None = None) -> None:
     task = TaskContext.get()
     if task is not None and task.taskAttemptId() != _task[0]:
         _task[0] = task.taskAttemptId()
+        if not goes_on:
+            gc.collect()
         release_memory()
 
 
