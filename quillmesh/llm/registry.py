@@ -7,6 +7,7 @@ from .bpe_automaton import op8_bpe_codec
 from .quality import op2_quality
 from .rp_forest import op1_embedding_neardup
 from .secrets_cnn import op10_secrets
+from .spelling import op11_spelling
 from .topk import op3_topk
 from .toxicity import op7_toxicity
 from .jaccard_join import op4_jaccard_join
@@ -14,7 +15,7 @@ from .packing import op5_packing
 from .token_counts import op6_token_counts
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_quality, op3_topk, op4_jaccard_join, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_quality, op3_topk, op4_jaccard_join, op5_packing, op6_token_counts, op7_toxicity, op8_bpe_codec, op9_warc, op10_secrets, op11_spelling)}
 
 SQL: dict[str, str] = {
     "op1_embedding_neardup": rp_forest.oracle_sql(),
