@@ -22,7 +22,6 @@ shingles as their vectors differ in bits.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import combinations
 from math import comb, log
 
@@ -35,7 +34,7 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .components import connected_components
 from .shared import Scratch, small_batches, table, worker_starts, written
-from .shingles import mix, shingle_sets
+from .shingles import mix, set_digest, sets_with_digests, shingle_sets
 
 WORDS, PERCENT = 3, 90
 SKETCH_BITS = range(21, 25)  # least and most (exclusive) size of the frequency sketch, as a power of two
@@ -133,6 +132,8 @@ def _slices(counts: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(p, pa.binary()), pa.array(v, pa.binary())], ["slice", "places", "values"])
 
 
+_SEEDS = np.array([0, 1, 0xA0761D6478BD642F], dtype=np.uint64)
+
 SLICE_SCHEMA = "slice int, places binary, values binary"
 
 
@@ -156,11 +157,14 @@ def frequency_levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     return levels
 
 
-def subset_signatures(shingles: np.ndarray, percent: int, below: int) -> list[int]:
-    """Signatures of the fixed-size subsets of a light set; a subset's size is part of its signature."""
+def subset_signatures(shingles: np.ndarray, percent: int, below: int, seed: int = 1) -> list[tuple[int, list[int]]]:
+    """Signatures of the fixed-size subsets of a light set; a subset's size is part of its signature.
+
+    Two seeds give signatures that collide independently; together they stand for the subset.
+    """
     n, out = len(shingles), []
     with np.errstate(over="ignore"):
-        parts = mix(shingles + np.uint64(1))
+        parts = mix(shingles * _SEEDS[seed] + np.uint64(seed))
         whole = parts.sum(dtype=np.uint64)
         for c in subset_sizes(n, percent, below):
             gone = list(combinations(range(n), n - c))
@@ -170,7 +174,7 @@ def subset_signatures(shingles: np.ndarray, percent: int, below: int) -> list[in
 
 
 def signatures(docs: DataFrame, levels, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, n, d1, d2, prefix, subsets, overlaps, parity) per document, in one narrow pass."""
+    """(id, n, d1, d2, prefix, subsets, seconds, overlaps, parity) per document, in one narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
     below = light_boundary(percent)
     least_heavy = min(partner_sizes(below, percent))  # lighter sets never link with a heavy one
@@ -179,10 +183,10 @@ def signatures(docs: DataFrame, levels, id_col: str, text_col: str, words: int,
         worker_starts()
         mask = np.uint64(len(levels.value) - 1)
         for b in batches:
-            n, d1, d2, prefix, subsets, overlaps, parity = [], [], [], [], [], [], []
-            for s in shingle_sets(b.column(1), words):
+            n, d1, d2, prefix, subsets, seconds, overlaps, parity = [], [], [], [], [], [], [], []
+            for s, only in sets_with_digests(b.column(1), words):
                 n.append(len(s))
-                x = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8")
+                x = set_digest(s, only)
                 d1.append(int(x[0]))
                 d2.append(int(x[1]))
                 if len(s) >= least_heavy:
@@ -197,15 +201,18 @@ def signatures(docs: DataFrame, levels, id_col: str, text_col: str, words: int,
                 else:
                     prefix.append(None)
                     parity.append(None)
-                found = subset_signatures(s, percent, below) if 0 < len(s) < below else []
+                # one shingle links with its equal only, above one half, and equal sets are one class
+                light = (1 if percent > 50 else 0) < len(s) < below
+                found, again = (subset_signatures(s, percent, below, seed) if light else [] for seed in (1, 2))
                 subsets.append([x for _, xs in found for x in xs] or None)
+                seconds.append([x for _, xs in again for x in xs] or None)
                 overlaps.append([c for c, xs in found for _ in xs] or None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.int64())), pa.array(overlaps, pa.list_(pa.int32())), pa.array(parity, pa.binary())],
-                [id_col, "n", "d1", "d2", "prefix", "subsets", "overlaps", "parity"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.int64())), pa.array(seconds, pa.list_(pa.int64())), pa.array(overlaps, pa.list_(pa.int32())), pa.array(parity, pa.binary())],
+                [id_col, "n", "d1", "d2", "prefix", "subsets", "seconds", "overlaps", "parity"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n long, d1 long, d2 long, prefix array<bigint>, subsets array<bigint>, overlaps array<int>, parity binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n long, d1 long, d2 long, prefix array<bigint>, subsets array<bigint>, seconds array<bigint>, overlaps array<int>, parity binary")
 
 
 def _needed(a, b, percent: int):
@@ -321,12 +328,17 @@ def _close_in_long_lists(marked: DataFrame, classes: DataFrame, percent: int) ->
     return task.groupBy("token", "cell", "first", "second").applyInArrow(compare, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose documents' shingle sets link. Only sets of ids in pairs move."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets link. Only sets of classes in pairs move.
+
+    A class's set is that of a text of its smallest id with the class's digest, as an id may have several.
+    """
     spark = docs.sparkSession
-    ids = scratch.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
-    bits = sized_bits(8 * ids.count(), BLOOM_BITS)
-    bloom = spark.sparkContext.broadcast(_bloom(ids, bits))  # a full filter only moves more sets
+    reps = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    wanted = classes.select("rep", F.col("least").alias("i"), F.col("d1").alias("e1"), F.col("d2").alias("e2")).join(reps, F.col("rep") == F.col("k"), "left_semi")
+    wanted = scratch.written(wanted, "candidate-classes")
+    bits = sized_bits(8 * wanted.count(), BLOOM_BITS)
+    bloom = spark.sparkContext.broadcast(_bloom(wanted.select("i"), bits))  # a full filter only moves more sets
 
     def run(batches):
         worker_starts()
@@ -334,12 +346,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str,
             at = _places(b.column(0).to_numpy(zero_copy_only=False), bits)
             hit = (bloom.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
             part = b.filter(pa.array(hit.astype(bool)))
-            sets = [s.tobytes() for s in shingle_sets(part.column(1), words)]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets, x = [], []
+            for s, only in sets_with_digests(part.column(1), words):
+                sets.append(s.tobytes())
+                x.append(set_digest(s, only))
+            d = np.array(x, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sets, pa.binary())], ["id", "d1", "d2", "shingles"])
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
-    sets = source.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    sets = scratch.written(sets, "shingle-sets")
+    met = source.mapInArrow(run, "id long, d1 long, d2 long, shingles binary").join(wanted, (F.col("id") == F.col("i")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
+    sets = scratch.written(met.groupBy(F.col("rep").alias("id")).agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -363,6 +379,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     set, link with nothing and are their own component. Rows that repeat an id are one node, so
     different texts under one id connect what they link with; null ids are their own component. Other
     columns are not read. An empty table gives an empty result; ids of another type raise a TypeError.
+
+    Texts are compared by 64-bit hashes of their shingles, equal sets by 128-bit digests and equal
+    subsets by two 64-bit signatures; a set of one shingle by a digest of its words.
     """
     if not isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
         raise TypeError(f"{id_col}: ids must be integers, not {docs.schema[id_col].dataType.simpleString()}")
@@ -376,13 +395,21 @@ def _components(docs: DataFrame, scratch: Scratch, words: int, percent: int, id_
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col, words))  # 2**24 bytes at most
     signed = scratch.written(signatures(docs, levels, id_col, text_col, words, percent).withColumnRenamed(id_col, "id"), "jaccard-signatures")
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = scratch.written(usable.groupBy("d1", "d2").agg(F.min("id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "subsets", "overlaps", "parity"))), "jaccard-classes")
+    classes = usable.groupBy("d1", "d2").agg(F.min("id").cast("long").alias("least"), *(F.first(c).alias(c) for c in ("n", "prefix", "subsets", "seconds", "overlaps", "parity")))
+    classes = scratch.written(classes.withColumn("rep", F.monotonically_increasing_id()), "jaccard-classes")  # numbers are kept by writing them
+    # ids with several sets connect their classes
+    several = signed.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("x"), F.max(F.struct("n", "d1", "d2")).alias("y"))
+    several = scratch.written(several.filter("x <> y").select(F.col("id").alias("i")), "jaccard-several")
+    held = usable.join(several, F.col("id") == F.col("i"), "left_semi").select("id", F.col("d1").alias("c1"), F.col("d2").alias("c2")).distinct()
+    held = scratch.written(held.join(classes.select("d1", "d2", "rep"), (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).select("id", "rep"), "jaccard-held")
+    least = held.groupBy("id").agg(F.min("rep").alias("b")).withColumnRenamed("id", "i")
+    joint = held.join(least, F.col("id") == F.col("i")).select(F.col("rep").alias("a"), "b").filter("a <> b")
 
     # light sets: a star per shared subset
-    subsets = classes.filter(F.col("subsets").isNotNull()).select("rep", "n", F.explode(F.arrays_zip("subsets", "overlaps")).alias("s"))
-    subsets = subsets.select("rep", "n", F.col("s.subsets").alias("sig"), F.col("s.overlaps").alias("c"))
-    heads = subsets.groupBy("sig", "c").agg(F.min(F.struct("n", "rep")).alias("head"), F.count("*").alias("many")).filter("many > 1").select(F.col("sig").alias("k"), F.col("c").alias("kc"), F.col("head.n").alias("hn"), F.col("head.rep").alias("head"))
-    light = subsets.join(heads, (F.col("sig") == F.col("k")) & (F.col("c") == F.col("kc"))).filter((F.col("head") != F.col("rep")) & (_needed("hn", "n", percent) <= F.col("c")))
+    subsets = classes.filter(F.col("subsets").isNotNull()).select("rep", "n", F.explode(F.arrays_zip("subsets", "seconds", "overlaps")).alias("s"))
+    subsets = subsets.select("rep", "n", F.col("s.subsets").alias("sig"), F.col("s.seconds").alias("sig2"), F.col("s.overlaps").alias("c"))
+    heads = subsets.groupBy("sig", "sig2", "c").agg(F.min(F.struct("n", "rep")).alias("head"), F.count("*").alias("many")).filter("many > 1").select(F.col("sig").alias("k"), F.col("sig2").alias("k2"), F.col("c").alias("kc"), F.col("head.n").alias("hn"), F.col("head.rep").alias("head"))
+    light = subsets.join(heads, (F.col("sig") == F.col("k")) & (F.col("sig2") == F.col("k2")) & (F.col("c") == F.col("kc"))).filter((F.col("head") != F.col("rep")) & (_needed("hn", "n", percent) <= F.col("c")))
     light = light.select(F.col("rep").alias("a"), F.col("head").alias("b"))
 
     # heavy sets: inverted lists of the first shingles, those of two members or more
@@ -401,7 +428,7 @@ def _components(docs: DataFrame, scratch: Scratch, words: int, percent: int, id_
     first = shared.join(leaders, (F.col("token") == F.col("k")) & (F.col("rep") != F.col("lr")) & possible("n", "pos", "ln", "lp"))
     first = first.select(F.greatest("rep", "lr").alias("a"), F.least("rep", "lr").alias("b")).distinct()
     first = scratch.written(_close(first, classes, percent), "jaccard-candidates")
-    links = scratch.written(_verified(first, docs, scratch, id_col, text_col, words, percent).union(light), "jaccard-links")
+    links = scratch.written(_verified(first, classes, docs, scratch, id_col, text_col, words, percent).union(light).union(joint), "jaccard-links")
     parts = connected_components(links, scratch)
 
     marked = shared.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", "pos", "many", F.coalesce("component", "rep").alias("part"))
@@ -414,14 +441,18 @@ def _components(docs: DataFrame, scratch: Scratch, words: int, percent: int, id_
     second = second.union(_close_in_long_lists(marked.filter(F.col("many") > SHORT_LIST), classes, percent)).distinct()
     second = scratch.written(second.join(first, ["a", "b"], "left_anti"), "jaccard-candidates")
     if second.limit(1).count():
-        more = scratch.written(_verified(second, docs, scratch, id_col, text_col, words, percent), "jaccard-links")
+        more = scratch.written(_verified(second, classes, docs, scratch, id_col, text_col, words, percent), "jaccard-links")
         # the components so far are stars already
         parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)
 
-    by_class = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    by_class = by_class.select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "d1", "d2").join(by_class, (F.col("n") > 0) & F.col("id").isNotNull() & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
-    return written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-components")
+    placed = scratch.written(classes.select("rep", "least", F.col("d1").alias("c1"), F.col("d2").alias("c2")).join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")), "jaccard-parts")
+    names = placed.groupBy("part").agg(F.min("least").alias("name")).withColumnRenamed("part", "p")
+    by_class = placed.join(names, F.col("part") == F.col("p")).select("c1", "c2", "rep", "name")
+    out = signed.select("id", "n", "d1", "d2").join(by_class.drop("rep"), (F.col("n") > 0) & F.col("id").isNotNull() & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
+    # an empty text under an id that has others goes with them
+    of_several = least.join(by_class.select("rep", F.col("name").alias("joint")), F.col("b") == F.col("rep")).select("i", "joint")
+    out = out.join(of_several, F.col("id") == F.col("i"), "left")
+    return written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "joint", "id").alias("component_id")), "jaccard-components")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -667,3 +668,41 @@ def test_components(spark):
     got = {x.id: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(i, i) == label[i] for i in range(500))
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_do_not_collide(spark, n):
+    """A polynomial modulo a power of two gives a Thue-Morse word and its mirror one hash."""
+    word = _thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = jaccard_join.jaccard_components(docs_of(spark, [word, other, word[:200], other[:200], word.upper()])).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+
+def test_word_hashes_tell_words_apart():
+    """Words of all lengths around the steps of the hash, alone and inside texts that meet at part borders."""
+    words = ["a" * n for n in range(1, 600)] + ["a" * n + "b" for n in range(1, 600)] + ["\x00" * n for n in range(1, 40)]
+    got = [s.tolist()[0] for s in shingle_sets(pa.array(words), 3)]
+    assert len(set(got)) == len(words)
+    assert [s.tolist()[0] for s in shingle_sets(pa.array([" " + w.upper() + "\n" for w in words]), 3)] == got
+    joined = [s.tolist() for s in shingle_sets(pa.array([" ".join(words)]), 1)][0]
+    assert set(joined) == {s.tolist()[0] for s in shingle_sets(pa.array(words), 1)}
+
+
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_unlike_texts_under_one_id_keep_their_links(spark, words, percent):
+    rng = random.Random(words)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(70)) for _ in range(3))
+    rows = [(7, a), (7, b), (9, a + " x"), (10, b + " y"), (11, c), (12, c), (12, None), (13, c + " z"), (14, ""), (14, "p q"), (15, "p q"), (16, None)]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS), words, percent).collect()}
+    assert got == {(7, 7), (9, 7), (10, 7), (11, 11), (12, 11), (13, 11), (14, 14), (15, 14), (16, 16)}
+
+
+def test_sets_of_one_shingle(spark):
+    texts = ["a a a", "a a a a a", "A  a\ta\n", "a a", "a", "b", "a b", "ab", " a b", "b a"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, texts)).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (1, 3), 4: (1, 4), 5: (1, 5), 6: (1, 6), 7: (1, 7), 8: (1, 6), 9: (1, 9)}
