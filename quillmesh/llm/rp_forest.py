@@ -7,7 +7,11 @@ Every vector is routed through every tree, vectors of a leaf are compared with e
 precision, and verified links are united into components.
 
 Leaves that are still larger than a block get a tree of their own, fitted on a bounded sample of the
-leaf, so leaves stay small whatever the size of the table. Dense ones are dealt out as pairs of blocks.
+leaf, so leaves stay small whatever the size of the table. Dense ones are dealt out as pairs of blocks,
+and so is what MAX_LEVELS of trees, each of MAX_DEPTH splits at most, have not divided: no link is lost by
+it, but the comparisons in such a leaf grow with its square. Three levels divide a leaf by up to 8,192
+each, so they end at dense leaves only for tables below some 10**13 vectors. Large leaves whose vectors
+all share an earlier leaf, as copies of one vector do in each tree, are not compared again.
 
 Identical vectors are one class with a count, so copies are compared once. A pair that shares several
 leaves is counted in the first of them only, so a leaf returns counts and a spanning set of edges
@@ -34,11 +38,13 @@ TREES = 8
 OVERLAP = 0.14  # share of a node's vectors that go to both children
 LEAF_ROWS = 250
 SAMPLE_ROWS = 65_536
+SAMPLE_BYTES = 1 << 24  # of the sample of one dimension, and of all that the driver takes
 LEAST_SAMPLE_LEAF = 64  # leaves of more rows than a block are split further on their own
 DENSE_SHARE = 0.05
 BLOCK_ROWS = 2_048
 MAX_DEPTH = 24
 SUBTREE_SAMPLE = 16_384  # vectors a leaf's own tree is fitted on, about
+SUBTREE_BYTES = 1 << 26  # of a leaf's sample, and of a block of its rows
 LEAST_SUBTREE_LEAF = 32
 SUBTREE_BLOCK = 65_536
 MAX_LEVELS = 3
@@ -221,27 +227,50 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
         return _linked(vectors, scratch, cosine, trees)
 
 
-def fitted_forest(classes: DataFrame, cosine: float, trees: int) -> dict[int, list[Tree]]:
-    """Trees by dimension, for dimensions with more vectors than a leaf; their leaves are numbered through."""
+def fitted_forest(classes: DataFrame, cosine: float, trees: int) -> dict[int, list[Tree] | list[int]]:
+    """Trees by dimension, for dimensions with more vectors than a leaf; their leaves are numbered through.
+
+    Samples are drawn in one job and bounded by rows and bytes, all of them together by SAMPLE_BYTES:
+    the dimensions with most vectors come first. Of the others those with more vectors than a block
+    get numbers of leaves instead of trees: each holds all vectors of the dimension, and ``deepened``
+    fits its tree on an executor.
+    """
     shapes = classes.groupBy(F.size("embedding").alias("d")).count().filter(F.col("count") > LEAF_ROWS).collect()
-    rng, forest, leaf = np.random.default_rng(SEED), {}, 0
-    for dim, rows in sorted((r["d"], r["count"]) for r in shapes):
-        drawn = classes.filter(F.size("embedding") == dim).select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).toArrow()
-        sample = unit(_rows_matrix(drawn["embedding"])).astype(np.float32)
-        least = max(LEAST_SAMPLE_LEAF, int(LEAF_ROWS * len(sample) / rows))
-        forest[dim] = []
-        for _ in range(trees):
-            forest[dim].append(grow(sample, rng, least, leaf, cosine=cosine))
-            leaf = int(forest[dim][-1].leaf.max()) + 1
+    rng, forest, leaf, room, fitted = np.random.default_rng(SEED), {}, 0, SAMPLE_BYTES, {}
+    for dim, rows in sorted(((r["d"], r["count"]) for r in shapes), key=lambda r: (-r[1], r[0])):
+        share = min(rows, SAMPLE_ROWS, room // (4 * dim))
+        if share >= min(rows, 8 * LEAF_ROWS):
+            fitted[dim] = (rows, share)
+            room -= 4 * dim * share
+        elif rows > BLOCK_ROWS:
+            forest[dim] = [-(dim * trees + t) for t in range(trees)]
+    drawn: dict[int, tuple[list, list]] = {dim: ([], []) for dim in fitted}
+    if fitted:
+        # a row is drawn by its hash; a few more than wanted are taken and cut, so the sample's size holds
+        wanted = F.create_map(*[F.lit(x) for dim, (rows, share) in fitted.items() for x in (dim, min(1.0, 1.1 * share / rows + 64 / rows))])
+        hashed = classes.select("rep", "embedding", F.size("embedding").alias("d")).filter(F.col("d").isin(list(fitted)))
+        hashed = hashed.withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 30))).filter(F.col("h") < wanted[F.col("d")] * (1 << 30))
+        sample = hashed.select("d", "h", "rep", F.col("embedding").cast("array<float>").alias("embedding")).toArrow()
+        at = np.asarray(sample["d"])
+        for dim, (rows, share) in sorted(fitted.items()):
+            part = sample.take(pa.array(np.flatnonzero(at == dim)))
+            order = np.lexsort((np.asarray(part["rep"]), np.asarray(part["h"])))[:share]
+            x = unit(_rows_matrix(part["embedding"].combine_chunks().take(pa.array(order)))).astype(np.float32)
+            least = max(LEAST_SAMPLE_LEAF, int(LEAF_ROWS * len(x) / rows))
+            forest[dim] = []
+            for _ in range(trees):
+                forest[dim].append(grow(x, rng, least, leaf, cosine=cosine))
+                leaf = int(forest[dim][-1].leaf.max()) + 1
     return forest
 
 
-def routed(classes: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
+def routed(classes: DataFrame, forest: dict[int, list[Tree] | list[int]], trees: int = TREES) -> DataFrame:
     """``classes`` (rep, size, embedding) with the numbers of each vector's leaves.
 
-    Vectors of a dimension without trees are all in one leaf, whose number is the dimension, negated.
+    Vectors of a dimension without trees are all in one leaf, or in each leaf that the forest names; such
+    leaves have negative numbers.
     """
-    shared_forest = classes.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE_ROWS and the number of trees
+    shared_forest = classes.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE_BYTES and the number of trees
     kind = classes.schema["embedding"].dataType.simpleString()
 
     def route(batches):
@@ -252,9 +281,9 @@ def routed(classes: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 grown = shared_forest.value.get(int(d))
-                if not grown:
+                if not grown or isinstance(grown[0], int):
                     for r in at.tolist():
-                        found[r].append(-int(d))
+                        found[r].extend(grown or [-int(d) * trees])
                     continue
                 x = unit(_rows_matrix(batch.column(2).take(pa.array(at)))).astype(np.float32)
                 for tree in grown:
@@ -282,18 +311,22 @@ def deepened(rows: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
         if not large.limit(1).count():
             break
         members = rows.select("rep", "embedding", F.explode("leaves").alias("leaf")).join(large, F.col("leaf") == F.col("k")).drop("k")
-        drawn = members.filter(F.pmod(F.xxhash64("rep", "leaf"), F.lit(1 << 20)) * F.col("n") < F.lit(sample_rows << 20))
+        fits = F.floor(F.lit(SUBTREE_BYTES) / (8 * F.size("embedding")))
+        drawn = members.filter(F.pmod(F.xxhash64("rep", "leaf"), F.lit(1 << 20)) * F.col("n") < F.least(F.lit(sample_rows), fits) * (1 << 20))
 
         def fit(group: pa.Table) -> pa.Table:
             leaf, n = group["leaf"][0].as_py(), group["n"][0].as_py()
             sample = unit(_rows_matrix(group["embedding"])[np.argsort(group["rep"].to_numpy())]).astype(np.float32)
             tree = grow(sample, np.random.default_rng([SEED, abs(leaf)]), max(least_leaf, int(leaf_rows * len(sample) / n)), 0, cosine=cosine)
-            return pa.table({"k": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "n": pa.array([n], pa.int64())})
+            return pa.table({"k": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "n": pa.array([n], pa.int64()), "dim": pa.array([sample.shape[1]], pa.int32())})
+
+        trees = scratch.written(drawn.groupBy("leaf").applyInArrow(fit, "k long, tree binary, n long, dim int"), "subtrees")
+
+        def in_blocks(dim):
+            return F.ceil(F.col("n") / F.least(F.lit(SUBTREE_BLOCK), F.greatest(F.lit(1), F.floor(F.lit(SUBTREE_BYTES) / (8 * dim))))).cast("int")
 
-        trees = scratch.written(drawn.groupBy("leaf").applyInArrow(fit, "k long, tree binary, n long"), "subtrees")
-        blocks = F.ceil(F.col("n") / SUBTREE_BLOCK).cast("int")
-        dealt = members.select("leaf", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int").alias("block"), "rep", "embedding")
-        sent = trees.select("k", "tree", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
+        dealt = members.select("leaf", F.pmod(F.xxhash64("rep"), in_blocks(F.size("embedding")).cast("long")).cast("int").alias("block"), "rep", "embedding")
+        sent = trees.select("k", "tree", F.explode(F.sequence(F.lit(0), in_blocks(F.col("dim")) - 1)).alias("b"))
 
         def split(left: pa.Table, right: pa.Table) -> pa.Table:
             r, leaf, to = np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
@@ -317,11 +350,12 @@ def _linked(vectors: DataFrame, scratch: Scratch, cosine: float, trees: int) ->
     usable = everything.filter(F.col("embedding").isNotNull())
     classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
     classes = scratch.written(classes, "vector-classes")
-    rows = scratch.written(routed(classes, fitted_forest(classes, cosine, trees)), "routed-vectors")
+    rows = scratch.written(routed(classes, fitted_forest(classes, cosine, trees), trees), "routed-vectors")
     rows = deepened(rows, scratch, cosine)
 
-    # leaves that exceed a block are dealt out as pairs of blocks
-    counts = rows.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().filter(F.col("count") > 1)
+    # leaves that exceed a block are dealt out as pairs of blocks; a leaf whose rows all share an earlier one has no pair to count
+    counts = rows.select(F.explode("leaves").alias("leaf"), F.array_min("leaves").alias("first")).groupBy("leaf")
+    counts = counts.agg(F.count("*").alias("count"), F.min("first").alias("x"), F.max("first").alias("y")).filter((F.col("count") > 1) & ((F.col("x") != F.col("y")) | (F.col("x") == F.col("leaf"))))
     counts = counts.select(F.col("leaf").alias("k"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     placed = rows.withColumn("codes", encoded("leaves")).select("rep", "size", "embedding", "codes", F.explode("leaves").alias("leaf")).join(counts, F.col("leaf") == F.col("k"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", "leaf"), F.col("blocks").cast("long")).cast("int"))

@@ -32,34 +32,62 @@ QUERY_CHUNK = 8_192
 MAX_BUCKETS = 512
 COORDINATE_COSINE = 0.6
 FOCUS = 3
-EXACT = 2.0**53
+EXACT, WIDE = 2.0**53, 2.0**62
+BLOCK_BYTES, QUERY_BYTES = 1 << 24, 1 << 22  # of a block's vectors and of a chunk of queries
+LARGEST = 2.0**480  # components from which squares leave doubles
+LONG = np.iinfo(np.int64)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v, dim, norm): floor(scale * x) of the usable vectors, one row per id.
+    """(vec_id, v, dim, norm): floor(scale * x) of the usable vectors as whole doubles, one row per id.
 
-    Left out: null ids, null or empty vectors and those with null or non-finite components. Of rows
-    that repeat an id the smallest vector counts, so repeated rows change nothing.
+    Left out: null ids, null or empty vectors and those with null or non-finite components, or ones of
+    2**480 or more. Of rows that repeat an id the smallest vector counts, so repeated rows change nothing.
     """
     x = F.col("embedding")
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(LARGEST)))
     usable = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(finite)
-    ints = usable.select("vec_id", F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v"))
+    ints = usable.select("vec_id", F.transform(x, lambda c: whole(F.lit(scale) * c.cast("double"))).alias("v"))
     one = ints.groupBy("vec_id").agg(F.min("v").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     return one.select("vec_id", "v", F.size("v").alias("dim"), F.sqrt(square).alias("norm"))
 
 
+def whole(x):
+    """Floor of a double column as a double; from 2**53 on doubles are whole numbers already."""
+    return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _products(q: np.ndarray, v: np.ndarray, bound: float) -> np.ndarray:
-    """Exact integer products; doubles hold them while the bound stays below 2**53."""
+def _products(q: np.ndarray, v: np.ndarray, qnorms: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Exact integer products, those beyond 64 bits as the nearest 64-bit number.
+
+    Doubles hold products below 2**53, 64-bit integers most others; Python's integers take the rows
+    and columns that are longer.
+    """
+    bound = float(qnorms.max(initial=0)) * float(norms.max(initial=0))
     if bound < EXACT:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return q @ v.T
+        return (q @ v.T).astype(np.int64)
+    if bound < WIDE and max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) < WIDE:
+        return q.astype(np.int64) @ v.astype(np.int64).T
+    far_q, far_v = qnorms >= 2.0**31, norms >= 2.0**31
+    out = np.zeros((len(q), len(v)), dtype=np.int64)
+    near = np.ix_(~far_q, ~far_v)
+    out[near] = _products(q[~far_q], v[~far_v], qnorms[~far_q], norms[~far_v])
+    for rows, columns in ((far_q, np.ones(len(v), bool)), (~far_q, far_v)):
+        if rows.any() and columns.any():
+            exact = integers(q[rows]) @ integers(v[columns]).T
+            out[np.ix_(rows, columns)] = np.clip(exact, int(LONG.min), int(LONG.max)).astype(np.int64)
+    return out
+
+
+def integers(x: np.ndarray) -> np.ndarray:
+    """Whole doubles as Python's integers."""
+    return np.array([[int(c) for c in row] for row in x.tolist()], dtype=object).reshape(x.shape)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -96,7 +124,7 @@ def search_block(ids, v, norms, qids, q, qnorms, bounds, k):
         reach = np.searchsorted(-norms, -shortest, side="right")  # length pruning: a prefix of the block
         for part in range(0, len(by_length), 256):
             rows, far = by_length[part : part + 256], reach[part : part + 256]
-            scores = _products(q[rows], v[: far.max()], float(qnorms[rows].max()) * top)
+            scores = _products(q[rows], v[: far.max()], qnorms[rows], norms[: far.max()])
             for i, n, s in zip(rows, far, scores):
                 keep(i, np.arange(n), s[:n])
     if len(by_coordinate):
@@ -115,7 +143,7 @@ def search_block(ids, v, norms, qids, q, qnorms, bounds, k):
                 x = unit[left, f]
                 left = left[(x >= low - slack) & (x <= high + slack)]
             if len(left):
-                keep(i, left, _products(q[i : i + 1], v[left], float(qnorms[i]) * top)[0])
+                keep(i, left, _products(q[i : i + 1], v[left], qnorms[i : i + 1], norms[left])[0])
     return out
 
 
@@ -125,17 +153,16 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE)
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. All usable rows but
     the query's own are candidates; a query with fewer gets all of them. Vectors are compared with
     those of equal dimension. An empty table, or no query, gives no rows. Rows that repeat an id are one
-    vector. Vectors so long that a product could leave 64 bits raise an OverflowError.
+    vector. Products beyond 64 bits are given, and ranked, as the nearest 64-bit number. Blocks and
+    chunks of queries are bounded by rows and by bytes.
     """
     with Scratch(vectors.sparkSession) as scratch:
         return written(_searched(scratch.written(integer_vectors(vectors, scale), "integer-vectors"), is_query, k), "top-products")
 
 
 def _searched(base: DataFrame, is_query, k: int) -> DataFrame:
-    head = base.agg(F.count("*").alias("n"), F.max("norm").alias("longest")).first()
+    head = base.agg(F.count("*").alias("n"), F.max("dim").alias("widest")).first()
     total = head["n"]
-    if total and head["longest"] ** 2 >= 2.0**62:
-        raise OverflowError("vectors are too long for products in 64 bits")
     wanted = max(1, min(MAX_BUCKETS, -(-total // max(LEAST_BLOCK_ROWS, min(BLOCK_ROWS, total // BLOCKS_WANTED)))))
     cuts = sorted(set(base.approxQuantile("norm", [i / wanted for i in range(1, wanted)], 0.25 / wanted))) if total and wanted > 1 else []
     rows_per_block = max(LEAST_BLOCK_ROWS, min(BLOCK_ROWS, total // BLOCKS_WANTED))
@@ -144,12 +171,13 @@ def _searched(base: DataFrame, is_query, k: int) -> DataFrame:
         bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("norm")))
     base = base.withColumn("bucket", bucket)
     # a bucket count, its greatest length and its number of blocks: at most MAX_BUCKETS rows a dimension
+    held = F.greatest(F.lit(1), F.least(F.lit(rows_per_block), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))
     sizes = base.groupBy("bucket", "dim").agg(F.count("*").alias("n"), F.max("norm").alias("longest"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / rows_per_block).cast("int"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / held).cast("int"))
     n_queries = base.filter(is_query).count()
-    chunks = max(1, -(-n_queries // QUERY_CHUNK))
+    chunks = max(1, -(-n_queries // max(1, min(QUERY_CHUNK, QUERY_BYTES // (8 * (head["widest"] or 1))))))
 
-    seeds = base.orderBy(F.desc("norm"), "vec_id").limit(SEED_ROWS).select("vec_id", "v", "dim").toArrow()
+    seeds = base.orderBy(F.desc("norm"), "vec_id").limit(max(k + 1, min(SEED_ROWS, BLOCK_BYTES // (8 * (head["widest"] or 1))))).select("vec_id", "v", "dim").toArrow()
     seed_by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in sorted(set(seeds["dim"].to_pylist())):
         part = seeds.take(pa.array([i for i, x in enumerate(seeds["dim"].to_pylist()) if x == d]))
@@ -163,7 +191,8 @@ def _searched(base: DataFrame, is_query, k: int) -> DataFrame:
             bound = -math.inf
             if got is not None:
                 s, x = got[1], np.asarray(x)
-                scores = (s.astype(np.float64) @ x.astype(np.float64))[got[0] != i]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = (s @ x)[got[0] != i]
                 if len(scores) >= k and float(np.abs(s).max()) * float(np.abs(x).max()) * len(x) < EXACT:
                     bound = float(np.partition(scores, len(scores) - k)[len(scores) - k])
             out.append(bound)

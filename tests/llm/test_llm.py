@@ -495,6 +495,37 @@ def test_embedding_many_lengths_and_null_ids(spark):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)] * 2
 
 
+def test_embedding_dimensions_without_room_for_a_sample(spark, monkeypatch):
+    """Dimensions for whose sample the driver has no room grow all their trees on executors; links stay."""
+    for name, value in (("SAMPLE_BYTES", 4 * 8 * 2000), ("LEAF_ROWS", 60), ("BLOCK_ROWS", 200), ("SUBTREE_BYTES", 8 * 8 * 400)):
+        monkeypatch.setattr(rp_forest, name, value)
+    r = np.random.default_rng(8)
+    rows, pairs = [], []
+    for dim, n in ((8, 1500), (6, 1400), (5, 300)):
+        base = len(rows)
+        x = r.normal(size=(n, dim))
+        x[1::2] = x[::2] + 0.02 * r.normal(size=x[::2].shape)
+        rows += [(base + i, v.tolist()) for i, v in enumerate(x)]
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        a, b = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
+        pairs += [(base + i, base + j) for i, j in zip(a.tolist(), b.tolist())]
+    got = {x.vec_id: x.n_links for x in rp_forest.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert len(got) == len(rows) and sum(got.values()) >= 0.95 * 2 * len(pairs)
+    want = np.bincount(np.array(pairs).ravel(), minlength=len(rows))
+    assert all(got[i] <= want[i] for i in got)
+
+
+def test_dense_leaves_are_compared_once(spark, monkeypatch):
+    """Links within a large dense group are counted once, whichever trees' leaves hold it."""
+    monkeypatch.setattr(rp_forest, "BLOCK_ROWS", 64)
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(1, 16)) + 0.01 * r.normal(size=(400, 16)), r.normal(size=(700, 16))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = {y.vec_id: y.n_links for y in rp_forest.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)).collect()}
+    assert [got[i] for i in range(400)] == want[:400].tolist()
+
+
 def test_forest_recall_at_the_threshold():
     """Pairs a little above the cosine, among many unlike vectors: nine in ten at least share a leaf of a tree."""
     rng = np.random.default_rng(21)
@@ -560,9 +591,32 @@ def test_exact_top_k(spark, kind):
     assert set(got) == set(range(0, 400, 50))
 
 
-def test_top_k_refuses_products_beyond_64_bits(spark):
-    with pytest.raises(OverflowError):
-        topk.exact_top_k(spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], VECTORS), F.col("vec_id") == 0)
+def test_top_k_of_long_vectors(spark):
+    """Exact products of vectors of any length; beyond 64 bits the nearest 64-bit number."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 3))
+    x[7], x[11], x[20], x[21], x[33] = [1e7, -3.0, 2.0], [2.5e9, 1e9, 1.0], [-3e15, 1e4, 0.5], [4e17, 1.0, -1e30], [1e140, 0.0, 1.0]
+    x[40] = [2.0**480, 0, 0]
+    got = {}
+    for row in topk.exact_top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") < 40).collect():
+        got.setdefault(row.query_id, {})[row.rank] = (row.vec_id, row.score)
+    ints = [[int(c) for c in np.floor(256 * v)] for v in x]
+    assert set(got) == set(range(40))
+    for q in range(40):
+        scores = [min(max(sum(a * b for a, b in zip(ints[q], v)), -(2**63)), 2**63 - 1) for v in ints]
+        want = sorted((-s, i) for i, s in enumerate(scores) if i not in (q, 40))[:5]
+        assert [got[q][k + 1] for k in range(5)] == [(i, -s) for s, i in want], q
+
+
+def test_top_k_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 16 * 20)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 8 * 16 * 7)
+    x = np.random.default_rng(5).normal(size=(150, 16)).round(2)
+    rows = topk.exact_top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS), F.col("vec_id") % 3 == 0).collect()
+    ints = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 150, 3):
+        want = sorted((-int(s), i) for i, s in enumerate(ints @ ints[q]) if i != q)[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in rows if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
 def test_top_k_small_tables(spark):
