@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scores as S
 from .functions import text as T
+from .operators import containment as C
 from .operators import enrich as E
 from .operators import extract as X
 from .operators import incremental as I
@@ -20,6 +21,7 @@ from .operators import sinks as K
 from .operators import tasks as H
 from .plans import runs
 from .sources import derived as D
+from .sources import paged as G
 from .sources import records as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,8 +216,8 @@ def pdf_filenames(spark, sf):
 
 @query("select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, len(regexp_extract_all(html, '<meta ')) as n_tags from pages")
 def page_title_meta(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    return pages.select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<meta "), F.lit(0))).cast("long").alias("n_tags"))
+    parts = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html", X.page_parts(F.col("html")).alias("p"))
+    return parts.select("page_id", F.col("p.title").alias("title"), F.size(F.regexp_extract_all("html", F.lit("<meta "), F.lit(0))).cast("long").alias("n_tags"))
 
 
 def _unescaped(c: str) -> str:
@@ -263,12 +265,10 @@ def html_decoded(spark, sf):
     return pages.select("page_id", F.length(decode_html(F.col("html").cast("binary"))).alias("n"))
 
 
-@query(f"with {LIT} select pos, string_agg(w, ' ' order by i) as abstract from (select pos, unnest(string_split(title, ' ')) as w, generate_subscripts(string_split(title, ' '), 1) as i from lit where title <> '' and not contains(title, chr(92)) and not contains(title, '\"')) group by pos")
+@query(f"with {LIT} select pos, string_agg(w, ' ' order by i) as abstract from (select pos, unnest(string_split(title, ' ')) as w, generate_subscripts(string_split(title, ' '), 1) as i from lit) group by pos")
 def inverted_index_rebuild(spark, sf):
-    words = lit(spark, sf).filter("title <> '' and not contains(title, chr(92)) and not contains(title, '\"')").select("pos", F.posexplode(F.split("title", " ", -1)).alias("i", "w"))
-    places = words.groupBy("pos", "w").agg(F.to_json(F.array_sort(F.collect_list("i"))).alias("at"))
-    index = places.groupBy("pos").agg(F.concat(F.lit('{"abstract_inverted_index":{'), F.array_join(F.collect_list(F.concat(F.lit('"'), "w", F.lit('":'), "at")), ","), F.lit("}}")).alias("j"))
-    return M.parsed(index, "j", "abstract_inverted_index MAP<STRING,VARIANT>").select("pos", M.inverted_abstract(F.col("w.abstract_inverted_index")).alias("abstract"))
+    index = M.parsed(M.inverted_index(lit(spark, sf), "title"), "j", "abstract_inverted_index MAP<STRING,VARIANT>")
+    return index.select("pos", M.inverted_abstract(F.col("w.abstract_inverted_index")).alias("abstract"))
 
 
 @query(f"with {LIT} select pos, string_agg(w, ' ' order by i) as abstract from (select pos, unnest(string_split(abstract, ' ')) as w, generate_subscripts(string_split(abstract, ' '), 1) as i from lit) group by pos")
@@ -277,6 +277,27 @@ def inverted_index_rebuild_text(spark, sf):
     return index.select("pos", M.inverted_abstract(F.col("w.abstract_inverted_index")).alias("abstract"))
 
 
+# --- paged services ------------------------------------------------------------------------------
+
+
+@query(f"""with {LIT} select row_number() over (order by pos) - 1 as place, title, cast(year as int) as year, source, coalesce(citations, 0) as citations, {DOI} as doi
+from lit where source = 'openalex' and year <> '' and cast(year as int) between 2003 and 2015""")
+def service_hits(spark, sf):
+    """Hits of a recorded service, read page by page with the conditions in the request; every fifth page fails at first."""
+    from .operators.documents import write_files
+    from .sources.folders import shared_folder
+
+    service, asked = "https://service.example/works", {"year_from": 2003, "year_to": 2015, "source": "openalex"}
+    hits = lit(spark, sf).select("pos", "source", F.col("year").try_cast("int").alias("publication_year"), "title", "doi", F.col("citations").alias("cited_by_count"))
+    answered = hits.filter("source = 'openalex' and publication_year between 2003 and 2015")
+    folder = shared_folder(spark, "exchanges")
+    write_files(G.recorded_pages(answered, service, 20, asked=asked, failing_every=5), folder.removeprefix("file://").removeprefix("file:")).count()
+    G.register(spark)
+    read = spark.read.format("paged_hits").option("service", service).option("recorded", folder).option("page_size", 20).option("pages_per_partition", 2).option("pause", 0.01).load()
+    found = M.parsed(read.filter("source = 'openalex' and year >= 2003 and year <= 2015"), "payload", "title string, doi string, cited_by_count long")
+    return found.select(F.col("pos").alias("place"), "w.title", "year", "source", F.coalesce("w.cited_by_count", F.lit(0)).cast("long").alias("citations"), T.normalize_doi("w.doi").alias("doi"))
+
+
 # --- merge --------------------------------------------------------------------------------------
 
 _MERGE = """
@@ -538,6 +559,19 @@ def notes_for_articles(spark, sf):
     return N.notes_holding_doi(lit(spark, sf), M.note_inventory(D.lit_notes(spark, sf)))
 
 
+_NOTE_TEXTS = """texts as (select 'vault/note ' || doc_id || '.md' as path, 'note ' || doc_id || ' on ' || case when doc_id % 3 = 0 or doc_id % 24 = 1 then '10.' || (1000 + (doc_id // 3) % 9) || '/D.' || (doc_id // 3) else 'nothing' end || case when doc_id % 4 = 0 then '(x' else ' ' end || coalesce(text, '') as text from documents)"""
+
+
+@query(f"""with {LIT}, {_NOTE_TEXTS}, w as (select distinct {DOI} as doi from lit where {DOI} <> ''), h as (select w.doi, count(*) as n, min(path) as path from w join texts on contains(lower(texts.text), w.doi) group by 1)
+select pos, l.nd as doi, h.path from (select pos, {DOI} as nd from lit) l join h on l.nd = h.doi where h.n = 1""")
+def notes_holding_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    doi = F.when(F.expr("doc_id % 3 = 0 or doc_id % 24 = 1"), F.expr("concat('10.', 1000 + (doc_id div 3) % 9, '/D.', doc_id div 3)")).otherwise("nothing")
+    text = F.concat(F.lit("note "), F.col("doc_id"), F.lit(" on "), doi, F.when(F.col("doc_id") % 4 == 0, "(x").otherwise(" "), F.coalesce("text", F.lit("")))
+    notes = docs.select(F.concat(F.lit("vault/note "), F.col("doc_id"), F.lit(".md")).alias("path"), text.alias("text"))
+    return C.notes_containing_doi(lit(spark, sf), notes)
+
+
 @query(f"with {NOTES} select doi, count(*) as n_notes, min(path) as first_path from notes where doi is not null group by 1")
 def notes_index(spark, sf):
     return M.notes_by_doi(M.note_inventory(D.lit_notes(spark, sf))).select("doi", "n_notes", F.get("paths", F.lit(0)).alias("first_path"))
@@ -653,7 +687,7 @@ def citations_apa(spark, sf):
 
 @query("""with e as (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events) select k, count(*) as n from e group by 1""")
 def event_props_mapped(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    return M.parsed(spark.read.parquet(f"{sf}/events.parquet"), "props", "k long").groupBy(F.col("w.k").alias("k")).agg(F.count("*").alias("n"))
 
 
 from . import catalog_documents, catalog_research  # noqa: E402, F401  these register further queries

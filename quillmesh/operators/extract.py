@@ -134,44 +134,60 @@ JSONLD_ARTICLE = "title string, authors array<string>, date string, journal stri
 JSONLD_TYPES = ("scholarlyarticle", "article", "creativework")
 
 
-def _walk(node):
+def _walk(document):
     """Nodes of a JSON-LD document: those of a graph before the node that holds it."""
-    if isinstance(node, list):
-        for x in node:
-            yield from _walk(x)
-    elif isinstance(node, dict):
-        if "@graph" in node:
-            yield from _walk(node["@graph"])
-        yield node
+    stack = [(document, False)]
+    while stack:
+        node, done = stack.pop()
+        if isinstance(node, list):
+            stack.extend((x, False) for x in reversed(node))
+        elif isinstance(node, dict):
+            if done or "@graph" not in node:
+                yield node
+            else:
+                stack += [(node, True), (node["@graph"], False)]
 
 
 def _texts(value) -> list[str]:
-    if value is None:
-        return []
-    if isinstance(value, list):
-        return [t for x in value for t in _texts(x)]
-    if isinstance(value, dict):
-        name = value.get("name") or " ".join(x for x in (value.get("givenName"), value.get("familyName")) if x)
-        return [str(name)] if name else []
-    return [str(value)]
+    out, stack = [], [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, list):
+            stack.extend(reversed(x))
+        elif isinstance(x, dict):
+            name = x.get("name") or " ".join(y for y in (x.get("givenName"), x.get("familyName")) if isinstance(y, str) and y)
+            out += [str(name)] if name else []
+        elif x is not None:
+            out.append(str(x))
+    return out
 
 
 def _search(value, keys, accept) -> list[str]:
     """Depth-first texts under ``keys`` that are accepted."""
-    if isinstance(value, str):
-        return [value] if accept(value) else []
-    if isinstance(value, list):
-        return [t for x in value for t in _search(x, keys, accept)]
-    if isinstance(value, dict):
-        return [t for k in keys if k in value for t in _search(value[k], keys, accept)]
-    return []
+    out, stack = [], [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out += [x] if accept(x) else []
+        elif isinstance(x, list):
+            stack.extend(reversed(x))
+        elif isinstance(x, dict):
+            stack.extend(x[k] for k in reversed(keys) if k in x)
+    return out
 
 
-def jsonld_nodes(text: str) -> list[dict]:
+def _document(text: str):
+    """(document, fault): a script that is no JSON, or nested beyond what the parser takes, is a fault."""
     try:
-        document = json.loads(text)
-    except ValueError:
-        return []
+        return json.loads(text), ""
+    except RecursionError:
+        return None, "nested too deep"
+    except ValueError as e:
+        return None, f"no JSON: {e}"[:200]
+
+
+def jsonld_nodes(text: str) -> list[dict]:
+    document, _ = _document(text)
     out = []
     for node in _walk(document):
         kinds = " ".join(_texts(node.get("@type"))).lower()
@@ -190,6 +206,16 @@ def jsonld_records(scripts: pd.Series) -> pd.Series:
     return pd.Series([[n for s in (x if x is not None else ()) for n in jsonld_nodes(s)] for x in scripts], dtype=object)
 
 
+@arrow_function("array<struct<script:int,fault:string>>")
+def _script_faults(scripts: pd.Series) -> pd.Series:
+    return pd.Series([[{"script": i, "fault": f} for i, s in enumerate(x if x is not None else ()) if (f := _document(s)[1])] for x in scripts], dtype=object)
+
+
+def jsonld_faults(pages: DataFrame, key: str = "page_id", parts: str = "parts") -> DataFrame:
+    """(key, script, fault) of JSON-LD scripts that cannot be read; the page's other scripts and pages go on."""
+    return pages.select(key, F.explode(_script_faults(F.col(parts)["jsonld"])).alias("f")).select(key, "f.script", "f.fault")
+
+
 def jsonld_articles(pages: DataFrame, parts: str = "parts", source_page: str = "url") -> DataFrame:
     """Articles of the pages' JSON-LD scripts: one row per article node."""
     rows = pages.select(*[c for c in pages.columns if c != parts], F.posexplode(jsonld_records(F.col(parts)["jsonld"])).alias("node", "j"))

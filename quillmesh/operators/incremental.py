@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact_title_key, normalize_doi, wikilink_targets
+from ..sources.folders import shared_folder
 from ..sources.records import notes_by_doi
 from .resolve import duplicate_groups, version_pairs
 
@@ -73,20 +74,32 @@ def doi_uniqueness(capture: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def replace_block(text, block, begin: str = "<!-- managed:begin -->", end: str = "<!-- managed:end -->"):
-    """Text with its managed block replaced, or the block appended; doing it twice changes nothing."""
+    """Text with its managed block replaced, or the block appended; doing it twice changes nothing.
+
+    The block reaches from a begin mark to the next end mark, with no other begin mark between; end marks
+    that stand before every begin mark, and begin marks without an end, are ordinary text.
+    """
     t, made = F.coalesce(F.col(text), F.lit("")), F.concat(F.lit(begin + "\n"), F.col(block), F.lit("\n" + end))
-    at, stop = F.locate(begin, t), F.locate(end, t)
+    some = F.locate(begin, t)
+    stop = F.when(some > 0, F.position(F.lit(end), t, some + len(begin))).otherwise(0)
+    # the last begin mark before that end
+    at = stop - len(begin) + 1 - F.locate(begin[::-1], F.reverse(F.substring(t, F.lit(1), stop - 1)))
     inside = F.concat(F.substring(t, F.lit(1), at - 1), made, F.substring(t, stop + len(end), F.length(t)))
     added = F.concat(F.rtrim(F.regexp_replace(t, r"\s+$", "")), F.lit("\n\n"), made, F.lit("\n"))
-    return F.when((at > 0) & (stop > at), inside).otherwise(added)
+    return F.when(stop > 0, inside).otherwise(added)
 
 
 def numbered(df: DataFrame, *order, parts: int = 32) -> DataFrame:
     """``df`` with ``number``, from 1 in the given order, without gathering rows in one task.
 
-    Rows are dealt out by ranges of the order; counts of the ranges give each its first number.
+    Rows are dealt out by ranges of the order; counts of the ranges give each its first number. Both
+    readings must see the same ranges, so the dealt rows are written as a checkpoint, which Spark deletes
+    when nothing refers to it any more; a local session without a checkpoint folder gets a temporary one.
     """
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "numbered"))
+    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_before")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
