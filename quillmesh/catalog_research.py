@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import LIT, query
 from .operators import research as G
+from .operators import terms as M
 from .operators import vocabulary as V
 from .sources import derived as D
 
@@ -163,3 +164,30 @@ select k.category, coalesce(f.name, q.name, x.name) as name, coalesce(f.n_articl
 def research_nodes(spark, sf):
     n = G.nodes(analyses(spark, sf), G.concept_table(spark, V.QUESTIONS), G.concept_table(spark, V.EXPERIMENTS))
     return n.select("category", "name", "n_articles", F.array_join("questions", "|").alias("questions"), F.array_join("experiments", "|").alias("experiments"))
+
+
+# --- canonical terms ------------------------------------------------------------------------------
+
+
+def _re2(pattern: str, exact: bool) -> str:
+    """A rule's pattern for DuckDB, which knows no look-around."""
+    p = pattern.replace("(?<![A-Za-z])", "(?:^|[^A-Za-z])").replace("(?![A-Za-z])", "(?:$|[^A-Za-z])")
+    return p if exact else f"(?i:{p})"
+
+
+_CANONICAL = "[" + ", ".join(f"case when regexp_matches(txt, {_text('|'.join(_re2(p, r.exact) for p in r.patterns))}) then {_text(r.name)} end" for r in V.CANONICAL_RULES) + "]"
+_CANON = f"""cn as (select *, list_filter({_CANONICAL}, lambda x: x is not null) as names from (select *, concat_ws(chr(10), nullif(title, ''), nullif(abstract, ''), array_to_string(keywords, ' '), nullif(array_to_string(concepts, ' '), '')) as txt from research))"""
+
+
+@query(f"with {LIT}, {D.RESEARCH_SQL}, {_CANON} select pos, array_to_string(names, '|') as names from cn")
+def canonical_terms(spark, sf):
+    return M.with_canonical_terms(D.research_records(spark, sf)).select("pos", F.array_join("canonical_terms", "|").alias("names"))
+
+
+@query(f"""with {LIT}, {D.RESEARCH_SQL}, {_CANON}, kw as (select *, case when lower(keywords[1]) = lower(keywords[2]) then [keywords[1]] else keywords end as kws from cn)
+select pos, array_to_string(list_concat(kws, names), '|') as keywords, array_to_string(list_concat(concepts, names), '|') as concepts,
+case when len(names) > 0 then 'input|conservative-text-rules' else 'input' end as keywords_source,
+array_to_string(list_sort(list_distinct(list_concat(case when len(names) > 0 then ['conservative-text-rules'] else [] end, ['input', coalesce(nullif(abstract_source, ''), 'input')]))), '|') as sources from kw""")
+def terms_enriched(spark, sf):
+    found = M.enriched(D.research_records(spark, sf).drop("source", "src_rank", "k"))
+    return found.select("pos", *(F.array_join(c, "|").alias(c) for c in ("keywords", "concepts", "keywords_source")), F.array_join(F.array_sort("enrichment_sources"), "|").alias("sources"))

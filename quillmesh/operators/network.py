@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import folded, may_match
 from ..functions.text import col, compact_title_key, nonempty, normalize_doi, text_of
 
 BEFORE, AFTER = 90, 140
@@ -22,17 +23,24 @@ class Rule:
     name: str
     category: str
     patterns: tuple[str, ...]
+    exact: bool = False  # case counts, but where a pattern says otherwise
 
     @property
     def pattern(self) -> str:
-        return "(?iU)(?:" + "|".join(f"(?:{p})" for p in self.patterns) + ")"
+        return f"({'?U' if self.exact else '?iU'})(?:" + "|".join(f"(?:{p})" for p in self.patterns) + ")"
 
     def found_in(self, text: Column, low: Column) -> Column:
-        """Whether a pattern matches; ``low`` is the text in lower case, in which plain letters are found faster."""
+        """Whether a pattern matches; ``low`` is the text as ``folded`` gives it.
+
+        Patterns are tried where the text holds a literal that they need; plain letters are found faster in lower case.
+        """
         joined = "|".join(f"(?:{p})" for p in self.patterns)
-        if re.search(r"\\[A-Zp]|\(\?", joined.replace("(?:", "")):
-            return text.rlike(self.pattern)  # lowering the pattern would change what an escape or a group means
-        return low.rlike("(?U)(?:" + joined.lower() + ")")
+        if self.exact or re.search(r"\\[A-Zp]|\(\?", joined.replace("(?:", "")):
+            hit = text.rlike(self.pattern)  # lowering the pattern would change what an escape or a group means
+        else:
+            hit = low.rlike("(?U)(?:" + joined.lower() + ")")
+        first = may_match(low, self.patterns)
+        return hit if first is None else F.when(first, hit).otherwise(False)
 
 
 def tag_names(text, rules) -> Column:
@@ -50,14 +58,14 @@ def tagged(texts: dict[str, Column], rules, low: dict[str, Column] | None = None
     plain columns: an expression would be evaluated for each rule.
     """
     fields, columns = F.array(*map(F.lit, texts)), F.array(*texts.values())
-    lows = low or {f: F.lower(t) for f, t in texts.items()}
+    lows = low or {f: folded(t) for f, t in texts.items()}
     hits = []
     for i, r in enumerate(rules):
         where = None
         for k, (f, t) in enumerate(texts.items()):
             where = (F if where is None else where).when(r.found_in(t, lows[f]), F.struct(F.lit(i).alias("rule_no"), F.lit(k + 1).alias("field_no")))
         hits.append(where)
-    table = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.category).alias("category"), F.array(*[F.lit(f"(?iU){p}") for p in r.patterns]).alias("patterns")) for r in rules])
+    table = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.category).alias("category"), F.array(*[F.lit(f"({'?U' if r.exact else '?iU'}){p}") for p in r.patterns]).alias("patterns")) for r in rules])
 
     def full(h: Column) -> Column:
         rule, text = F.element_at(table, h["rule_no"] + 1), F.element_at(columns, h["field_no"])
@@ -82,7 +90,7 @@ def once(c: Column) -> Column:
 def tag_terms(df: DataFrame, rules, fields, key: str = "pos") -> DataFrame:
     """(key, rule_no, name, category, source_field, excerpt): a row per article and matching rule, see ``tagged``."""
     texts = {f: text_of(F.array_join(col(f), " ") if df.schema[f].dataType.simpleString().startswith("array") else col(f)) for f in fields}
-    made = df.select(key, *[t.alias(f"_t_{f}") for f, t in texts.items()], *[F.lower(t).alias(f"_l_{f}") for f, t in texts.items()])
+    made = df.select(key, *[t.alias(f"_t_{f}") for f, t in texts.items()], *[folded(t).alias(f"_l_{f}") for f, t in texts.items()])
     hits = tagged({f: F.col(f"_t_{f}") for f in texts}, rules, {f: F.col(f"_l_{f}") for f in texts})
     return made.select(key, once(hits).alias("hits")).select(key, F.explode("hits").alias("h")).select(key, "h.*")
 
@@ -119,16 +127,38 @@ def categories_map(terms: DataFrame, key: str = "pos") -> DataFrame:
 def shared_term_relations(terms: DataFrame, key: str = "pos", least: int = 2, most_articles: int | None = None) -> DataFrame:
     """(source, target, n_shared, shared_terms) of article pairs with at least ``least`` terms in common.
 
-    The output has a row per linked pair, so it is for vocabularies of specific terms; a term that
-    marks most of a corpus links most pairs. ``most_articles`` names a bound above which a term is
+    The output has a row per linked pair, so it is for vocabularies of specific terms: two terms that
+    mark most of a corpus link most pairs (``term_set_links`` gives the same between sets). ``most_articles`` names a bound above which a term is
     taken as unspecific (none by default: every term counts).
     """
     t = terms.select(key, "name").distinct()
     if most_articles is not None:
         common = t.groupBy("name").count().filter(F.col("count") > most_articles).select("name")
         t = t.join(common, "name", "left_anti")
-    a, b = t.select("name", F.col(key).alias("source")), t.select("name", F.col(key).alias("target"))
-    return a.join(b, "name").filter("source < target").groupBy("source", "target").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list("name")).alias("shared_terms")).filter(F.col("n_shared") >= least)
+    sets = t.groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    met = overlapping(sets.select(key, "names"), sets.select(F.col(key).alias("other"), F.col("names").alias("others")), least).filter(F.col(key) < F.col("other"))
+    return met.select(F.col(key).alias("source"), F.col("other").alias("target"), F.size("shared_terms").cast("long").alias("n_shared"), "shared_terms")
+
+
+def _keys(names: Column, least: int) -> Column:
+    """Join keys of a sorted set: its names, or its pairs of names if two or more must agree."""
+    if least < 2:
+        return F.transform(names, lambda x: F.struct(x.alias("x"), F.lit("").alias("y")))
+    pairs = F.transform(names, lambda x, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    return F.flatten(pairs)
+
+
+def overlapping(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
+    """Rows of ``left`` (with ``names``) and of ``right`` (with ``others``) whose sorted sets share ``least`` names, and ``shared_terms``.
+
+    From two names on sets meet on pairs of names, so a name that most sets hold joins only in combination
+    and, for two, what meets is what links. A pair of rows is given where its first common pair meets.
+    """
+    first = F.struct(F.get("shared_terms", F.lit(0)).alias("x"), (F.get("shared_terms", F.lit(1)) if least >= 2 else F.lit("")).alias("y"))
+    a = left.withColumn("_k", F.explode(_keys(F.col("names"), least)))
+    b = right.withColumn("_j", F.explode(_keys(F.col("others"), least)))
+    met = a.join(b, (F.col("_k.x") == F.col("_j.x")) & (F.col("_k.y") == F.col("_j.y"))).withColumn("shared_terms", F.array_intersect("names", "others"))
+    return met.filter((F.size("shared_terms") >= least) & (F.col("_k") == first)).drop("_k", "_j")
 
 
 def term_sets(terms: DataFrame, key: str = "pos") -> DataFrame:
@@ -144,10 +174,9 @@ def term_set_links(terms: DataFrame, key: str = "pos", least: int = 2) -> DataFr
     that occur, not by articles.
     """
     sets = term_sets(terms, key).groupBy("names").agg(F.count("*").alias("n")).filter(F.size("names") >= least)
-    each = sets.select("names", "n", F.explode("names").alias("name"))
-    a, b = each.select("name", F.col("names").alias("names_a"), F.col("n").alias("n_a")), each.select("name", F.col("names").alias("names_b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, "name").filter("names_a < names_b or (names_a = names_b and n_a > 1)").groupBy("names_a", "names_b", "n_a", "n_b").agg(F.array_sort(F.collect_list("name")).alias("shared_terms"))
-    return pairs.filter(F.size("shared_terms") >= least).select("names_a", "names_b", "shared_terms", "n_a", "n_b")
+    met = overlapping(sets.select("names", F.col("n").alias("n_a")), sets.select(F.col("names").alias("others"), F.col("n").alias("n_b")), least)
+    kept = met.filter("names < others or (names = others and n_a > 1)")
+    return kept.select(F.col("names").alias("names_a"), F.col("others").alias("names_b"), "shared_terms", "n_a", "n_b")
 
 
 def term_cooccurrence(terms: DataFrame, key: str = "pos") -> DataFrame:
@@ -204,11 +233,11 @@ def build_nodes(terms: DataFrame, articles: DataFrame, key: str = "pos", most: i
     Names agree in lower case; the first display name counts. Articles are ranked before they are
     gathered, so a frequent term's list never grows beyond ``most`` in memory.
     """
-    rows = terms.join(articles.select(key, "title"), key).withColumn("low", F.lower("name"))
-    one = rows.groupBy("category", "low", key).agg(F.min_by("name", "rule_no").alias("name"), F.first("title").alias("title"))
+    one = terms.select("category", F.lower("name").alias("low"), F.col(key), "rule_no", "name").groupBy("category", "low", key).agg(F.min_by("name", "rule_no").alias("name"))
     total = one.groupBy("category", "low").agg(F.count("*").alias("n_articles"), F.min_by("name", key).alias("name"))
     ranked = one.withColumn("n", F.row_number().over(Window.partitionBy("category", "low").orderBy(key))).filter(F.col("n") <= most)
-    shown = ranked.groupBy("category", "low").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, "title"))), lambda x: x["title"]).alias("articles"))
+    titled = ranked.select("category", "low", key).join(articles.select(key, "title"), key)
+    shown = titled.groupBy("category", "low").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, "title"))), lambda x: x["title"]).alias("articles"))
     return total.join(shown, ["category", "low"]).select("category", F.col("low").alias("name_key"), "name", "n_articles", "articles")
 
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import folded
 from ..functions.text import compact_title_key, last_name, nonempty, normalize_doi, normalize_text, text_of
 from . import vocabulary as V
-from .network import first_label, once, tagged
+from .network import first_label, once, overlapping, tagged
 
 FIELDS = ("title", "abstract", "keywords", "concepts")
 
@@ -105,7 +106,7 @@ def analysis_records(articles: DataFrame, term_rules=V.TERM_RULES, evidence_rule
     """One analysis per article: terms and evidence methods with excerpts, connectors, role, summary, limits."""
     found = field_texts(articles)
     # texts become columns, so that the rules do not each normalise them again
-    base = articles.withColumns({f"_t_{f}": t for f, t in found.items()}).withColumns({f"_l_{f}": F.lower(f"_t_{f}") for f in found})
+    base = articles.withColumns({f"_t_{f}": t for f, t in found.items()}).withColumns({f"_l_{f}": folded(F.col(f"_t_{f}")) for f in found})
     texts, low = ({f: F.col(f"_{k}_{f}") for f in found} for k in "tl")
     base = base.select("*", once(F.struct(tagged(texts, term_rules, low).alias("terms"), tagged(texts, evidence_rules, low).alias("methods"))).alias("_found"))
     base = base.withColumns({"_terms": F.col("_found.terms"), "_methods": F.col("_found.methods"), "_text": F.concat_ws(" ", *low.values())})
@@ -150,7 +151,7 @@ def relations(analyses: DataFrame, contrasts=V.CONTRASTS, least: int = 2, key: s
 
     Each row stands for all pairs of an article of class_a and another one of class_b, see
     ``relation_members``; a contrast leads from the articles of its first term to those of the second.
-    Rows are bounded by the classes that occur: sets of terms meet on terms, articles never meet.
+    Rows are bounded by the classes that occur: sets of terms meet on pairs of terms, articles never meet.
     """
     groups = relation_members(analyses, contrasts, key).groupBy("kind", "class").agg(F.count("*").alias("n"))
     none, empty = F.array().cast("array<string>"), F.lit("")
@@ -158,10 +159,10 @@ def relations(analyses: DataFrame, contrasts=V.CONTRASTS, least: int = 2, key: s
     versions = groups.filter("kind = 'version' and n > 1").select(
         F.lit("version_pair").alias("type"), "kind", F.col("class").alias("class_a"), F.col("class").alias("class_b"), none.alias("shared_terms"), empty.alias("contrast"), F.lit("high").alias("confidence"), F.lit(same).alias("version_note"), F.col("n").alias("n_a"), F.col("n").alias("n_b")
     )
-    each = groups.filter("kind = 'terms'").select("class", "n", F.explode(F.split("class", r"\|")).alias("name"))
-    a, b = (each.select("name", F.col("class").alias(f"class_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    met = a.join(b, "name").filter("class_a < class_b or (class_a = class_b and n_a > 1)").groupBy("class_a", "class_b", "n_a", "n_b").agg(F.array_sort(F.collect_list("name")).alias("shared_terms"))
-    shared = met.filter(F.size("shared_terms") >= least).select(F.lit("shared_mechanistic_or_method_terms").alias("type"), F.lit("terms").alias("kind"), "class_a", "class_b", "shared_terms", empty.alias("contrast"), F.lit("medium").alias("confidence"), empty.alias("version_note"), "n_a", "n_b")
+    sets = groups.filter("kind = 'terms'").select("class", "n", F.split("class", r"\|").alias("names"))
+    a, b = sets.select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), "names"), sets.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("names").alias("others"))
+    met = overlapping(a, b, least).filter("class_a < class_b or (class_a = class_b and n_a > 1)")
+    shared = met.select(F.lit("shared_mechanistic_or_method_terms").alias("type"), F.lit("terms").alias("kind"), "class_a", "class_b", "shared_terms", empty.alias("contrast"), F.lit("medium").alias("confidence"), empty.alias("version_note"), "n_a", "n_b")
     rules = analyses.sparkSession.createDataFrame(list(contrasts), "class_a string, class_b string")
     side = groups.filter("kind = 'term'")
     sides = rules.join(side.select(F.col("class").alias("class_a"), F.col("n").alias("n_a")), "class_a").join(side.select(F.col("class").alias("class_b"), F.col("n").alias("n_b")), "class_b")

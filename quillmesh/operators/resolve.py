@@ -32,14 +32,19 @@ def dedupe_articles(articles: DataFrame, mode: str = "doi", pos: str = "pos") ->
     counts and ranks from the latest incoming one; authors the longest list; confidence the greatest;
     lists united without repeats; the abstract of the best source and score.
 
-    Rows move once, by key, as the running maximum needs a group in order: a group is sorted (and
-    spilled) in one task, never held. Lists are united by their distinct values, combined on the map
-    side, so a group of any size holds its vocabulary in memory, not its rows.
+    No key is gathered or sorted by row. A record fills gaps, where others are bases, if no earlier one of its
+    key has its confidence or a higher one: first places by (key, confidence) are a map-side minimum, and
+    among them a running minimum from the highest confidence down leaves the fillers. Rows meet them by key and place, so one key
+    with most rows spreads; merged values are aggregates, combined on the map side. Lists are united by
+    their distinct values, so a group holds its vocabulary in memory, not its rows. What one task orders
+    is the distinct confidences of a key.
     """
     keyed = articles.withColumn("_key", F.coalesce(dedupe_key(mode), F.concat(F.lit("row:"), F.col(pos).cast("string"))))
-    order = Window.partitionBy("_key").orderBy(pos)
-    before = F.max("confidence").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = keyed.withColumn("_over", before.isNotNull() & (F.col("confidence") <= before)).withColumn("_first", before.isNull())
+    places = keyed.filter(F.col("confidence").isNotNull()).groupBy("_key", "confidence").agg(F.min(pos).alias("_p"))
+    higher = Window.partitionBy("_key").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
+    fillers = places.withColumn("_m", F.min("_p").over(higher)).filter("_p = _m").select(F.col("_key").alias("_k"), "_p")
+    marked = keyed.join(fillers, (F.col("_key") == F.col("_k")) & (F.col(pos) == F.col("_p")), "left")
+    marked = marked.withColumn("_over", F.col("_k").isNull() & F.col("confidence").isNotNull()).drop("_k", "_p")
     over, fill = F.col("_over"), ~F.col("_over")
     # bases from the latest back, then fillers from the earliest on
     rank = F.when(over, -F.col(pos).cast("long")).otherwise(F.col(pos).cast("long"))

@@ -87,3 +87,33 @@ CATEGORY_FOLDERS = {"mechanism": "Mechanisms", "method": "Methods", "catalyst":
 def rules_from(table: DataFrame) -> tuple[Rule, ...]:
     """Rules of a table (rule_no, name, category, patterns); vocabularies are small, so they are read to the driver."""
     return tuple(Rule(r["name"], r["category"], tuple(r["patterns"])) for r in table.select("rule_no", "name", "category", "patterns").orderBy("rule_no").collect())
+
+
+# Canonical terms as (name, patterns), in their order; the last value says that case counts.
+CANONICAL_RULES = (
+    Rule("photoelectrocatalysis", "canonical", (r"\bphotoelectrocatalysis\b",)),
+    Rule("photoelectrochemical catalysis", "canonical", (r"\bphotoelectrochemical catalysis\b",)),
+    Rule("photoredox catalysis", "canonical", (r"\bphotoredox catalysis\b",)),
+    Rule("electrochemistry", "canonical", (r"\belectrochemistr(?:y|ies)\b",)),
+    Rule("nickel catalysis", "canonical", (r"\bnickel catalysis\b", r"\bnickel[- ]cataly[sz]ed\b", r"\bNi[- ]cataly[sz]ed\b", r"\b(?:chiral\s+)?nickel catalyst\b")),
+    Rule("redox-active ester", "canonical", (r"(?i:\bredox[- ]active esters?\b)", r"\bRAEs?\b", r"(?i:\bNHPI esters?\b)", r"(?i:\bN[- ]hydroxyphthalimide esters?\b)"), True),
+    Rule("alkyl halide", "canonical", (r"\balkyl halides?\b",)),
+    Rule("alkyl bromide", "canonical", (r"\balkyl bromides?\b",)),
+    Rule("alkyl chloride", "canonical", (r"\balkyl chlorides?\b",)),
+    Rule("carboxylic acid", "canonical", (r"\bcarboxylic acids?\b",)),
+    Rule("single electron transfer", "canonical", (r"(?i:\bsingle[- ]electron transfer\b)", r"(?<![A-Za-z])SET(?![A-Za-z])"), True),
+    Rule("SH2", "canonical", (r"\bSH2\b", r"\bS\s+H\s+2\b"), True),
+    Rule("homolytic substitution", "canonical", (r"\bhomolytic substitution\b",)),
+    Rule("radical cross-coupling", "canonical", (r"\bradical cross[- ]coupling\b",)),
+    Rule("radical mechanism", "canonical", (r"\bradical mechanisms?\b",)),
+    Rule("cross-coupling", "canonical", (r"\bcross[- ]coupling\b",)),
+    Rule("C(sp3)-C(sp3) cross-coupling", "canonical", (r"\bC\s*\(\s*sp\s*3\s*\)\s*[-–—]\s*C\s*\(\s*sp\s*3\s*\)\s+cross[- ]coupling\b",)),
+    Rule("C(sp3) chemistry", "canonical", (r"\bC\s*\(\s*sp\s*3\s*\)\s+chemistry\b",)),
+    Rule("iron porphyrin", "canonical", (r"\biron porphyrin\b", r"\bFe porphyrin\b")),
+    Rule("cobalt catalyst", "canonical", (r"\bcobalt catalysts?\b",)),
+    Rule("iridium photocatalyst", "canonical", (r"\biridium photocatalysts?\b",)),
+    Rule("asymmetric catalysis", "canonical", (r"\basymmetric catalysis\b",)),
+    Rule("enantioselective", "canonical", (r"\benantioselective\b",)),
+    Rule("decarboxylative coupling", "canonical", (r"\bdecarboxylative coupling\b",)),
+    Rule("decarboxylative functionalization", "canonical", (r"\bdecarboxylative functionali[sz]ation\b",)),
+)

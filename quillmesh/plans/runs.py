@@ -9,7 +9,7 @@ from ..functions.scores import relevance
 from ..operators.enrich import enrich, open_access_candidates, rank_lookup
 from ..operators.extract import initial_candidates
 from ..operators.incremental import numbered
-from ..operators.network import build_nodes, shared_term_relations, tag_terms, top_terms
+from ..operators.network import build_nodes, tag_terms, term_set_links, term_sets, top_terms
 from ..operators.resolve import dedupe_articles
 from ..operators.search import search_top, select_candidates, union_sources, year_in_range
 
@@ -35,6 +35,10 @@ def discover(hits: DataFrame, count: int, year_now: int, **vocabulary) -> DataFr
 
 
 def network(articles: DataFrame, rules, fields=("title", "abstract"), key: str = "pos") -> dict[str, DataFrame]:
-    """Terms, nodes, article relations and top terms of a corpus."""
+    """Terms, nodes, relations and top terms of a corpus.
+
+    Relations are between sets of terms; ``sets`` says which articles have which, so that pairs of
+    articles follow by joining the two and no frequent term makes a product.
+    """
     terms = tag_terms(articles, rules, fields, key)
-    return {"terms": terms, "nodes": build_nodes(terms, articles, key), "relations": shared_term_relations(terms, key), "top_terms": top_terms(terms, key=key)}
+    return {"terms": terms, "nodes": build_nodes(terms, articles, key), "sets": term_sets(terms, key), "relations": term_set_links(terms, key), "top_terms": top_terms(terms, key=key)}
