@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import arrow as A
 from .functions import scores as S
 from .functions import text as T
 from .operators import containment as C
@@ -265,6 +266,56 @@ def html_decoded(spark, sf):
     return pages.select("page_id", F.length(decode_html(F.col("html").cast("binary"))).alias("n"))
 
 
+_MARKED = """marked as (select page_id, html, page_id % 6 as kind, case page_id % 6
+ when 0 then '<html><head><meta name="citation_title" content="Title ' || page_id || ' &amp; more"><meta name="citation_author" content="Ann Lee"><meta name="citation_doi" content="10.1000/M.' || page_id || '"></head><body>'
+ when 1 then '<html><head><script type="application/ld+json">{"@graph":[{"@type":"ScholarlyArticle","headline":"Node ' || page_id || '","identifier":{"value":"doi:10.1000/J.' || page_id || '"}}]}</script></head><body>'
+ when 2 then '<html><body>PMID: ' || (1000000 + page_id) || ' ' when 3 then '<html><body>arXiv:2101.' || (10000 + page_id) || 'v2 ' when 4 then '<html><body>see 10.1000/a.' || page_id || ' and 10.1000/a.' || page_id || ' ' else '' end || html as content from pages)"""
+
+
+@query(f"""with {_MARKED}, rows as (
+select page_id, 1 as branch, 0 as found_at, 'Title ' || page_id || ' & more' as title, '10.1000/m.' || page_id as doi, 'html-meta' as metadata_source, cast(0.88 as double) as confidence, '' as pmid, '' as arxiv_id from marked where kind = 0
+union all select page_id, 2, 0, 'Node ' || page_id, '10.1000/j.' || page_id, 'json-ld', 0.82, '', '' from marked where kind = 1
+union all select page_id, 4, 0, '', '', 'pubmed-page', 0.55, cast(1000000 + page_id as varchar), '' from marked where kind = 2
+union all select page_id, 5, 0, '', '', 'arxiv-page', 0.65, '', '2101.' || (10000 + page_id) from marked where kind = 3
+union all select page_id, 6, 0, '', '10.1000/' || case kind when 0 then 'm.' else 'j.' end || page_id, 'doi-regex', 0.55, '', '' from marked where kind in (0, 1)
+union all select page_id, 6, i, '', '10.1000/a.' || page_id, 'doi-regex', 0.55, '', '' from marked, (values (0), (1)) t(i) where kind = 4
+union all select page_id, 7, 0, {_FIRST_LINE}, '', 'plain-text', 0.25, '', '' from marked where kind = 5)
+select * from rows""")
+def page_branches(spark, sf):
+    """Every branch of the extraction: meta tags, JSON-LD, PubMed and arXiv numbers, DOIs in the text, plain text."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    n, k = F.col("page_id"), F.col("page_id") % 6
+    head = (
+        F.when(k == 0, F.format_string('<html><head><meta name="citation_title" content="Title %d &amp; more"><meta name="citation_author" content="Ann Lee"><meta name="citation_doi" content="10.1000/M.%d"></head><body>', n, n))
+        .when(k == 1, F.format_string('<html><head><script type="application/ld+json">{"@graph":[{"@type":"ScholarlyArticle","headline":"Node %d","identifier":{"value":"doi:10.1000/J.%d"}}]}</script></head><body>', n, n))
+        .when(k == 2, F.format_string("<html><body>PMID: %d ", n + 1000000)).when(k == 3, F.format_string("<html><body>arXiv:2101.%dv2 ", n + 10000))
+        .when(k == 4, F.format_string("<html><body>see 10.1000/a.%d and 10.1000/a.%d ", n, n)).otherwise("")
+    )
+    found = X.initial_candidates(pages.select("page_id", "url", F.concat(head, "html").alias("content")))
+    return found.select("page_id", "branch", "found_at", "title", "doi", "metadata_source", "confidence", "pmid", "arxiv_id")
+
+
+_ENCODED = r"""enc as (select page_id, case when page_id % 4 = 1 then 'gb18030' when page_id % 4 = 2 then 'utf_16_le' when page_id % 4 = 3 and regexp_full_match(html, '(?s)[\x00-\x7F\x{A0}-\x{FF}]*') then 'cp1252' else 'utf_8' end as encoding, html from pages)"""
+
+
+@query(f"""with {_ENCODED} select page_id, md5(nfc_normalize(case encoding when 'gb18030' then '<meta charset=gb18030>' when 'cp1252' then '<meta charset=cp1252>' when 'utf_16_le' then chr(65279) || '<html>' else '<html>' end || html)) as text_md5 from enc""")
+def pages_reencoded(spark, sf):
+    """Pages in other encodings, declared or with a byte order mark, and back: the text by its hash."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    k = F.col("page_id") % 4
+    name = F.when(k == 1, "gb18030").when(k == 2, "utf_16_le").when((k == 3) & F.col("html").rlike(r"(?s)^[\x00-\x7F\xA0-\xFF]*$"), "cp1252").otherwise("utf_8")
+    head = F.when(F.col("name").isin("gb18030", "cp1252"), F.format_string("<meta charset=%s>", "name")).when(F.col("name") == "utf_16_le", "\ufeff<html>").otherwise("<html>")
+    made = pages.withColumn("name", name).withColumn("content", A.encode_text(F.concat(head, "html"), F.col("name")))
+    return made.select("page_id", F.md5(A.decode_report("content")["text"]).alias("text_md5"))
+
+
+@query("select page_id, length(html) as n, 'a' || chr(233) || '<>' || chr(8364) || '&nosuch;' || chr(172) || 'ix;' as signs from pages")
+def html_references(spark, sf):
+    """Whole pages with every kind of character reference before them, decoded without Python."""
+    text = T.unescape_all(F.concat(F.lit("a&eacute;&#60;&gt;&#x80;&nosuch;&notix;"), F.replace("html", F.lit("&"), F.lit("&amp;"))))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", (F.length(text) - 17).cast("long").alias("n"), F.substring(text, 1, 17).alias("signs"))
+
+
 @query(f"with {LIT} select pos, string_agg(w, ' ' order by i) as abstract from (select pos, unnest(string_split(title, ' ')) as w, generate_subscripts(string_split(title, ' '), 1) as i from lit) group by pos")
 def inverted_index_rebuild(spark, sf):
     index = M.parsed(M.inverted_index(lit(spark, sf), "title"), "j", "abstract_inverted_index MAP<STRING,VARIANT>")

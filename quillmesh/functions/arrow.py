@@ -11,9 +11,11 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import functions as F
 
-BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 DECLARED = (re.compile(rb"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([\w.:-]+)"""), re.compile(rb"""(?i)<\?xml[^>]+encoding\s*=\s*["']([\w.:-]+)"""), re.compile(rb"""(?i)content-type[^>]+charset=([\w.:-]+)"""))
-MISREAD = re.compile("Ã[\u0080-¿]|Â[\u0080-¿]|â€|�|[\ue000-\uf8ff]")
+PRIVATE = re.compile("[\ue000-\uf8ff]")  # signs of no script, which misread pages hold
+#: What misread text looks like; fixed values.
+MISREAD = ("鈥", "Ã", "â€“", "â€”", "â€", "Â")
 
 
 def arrow_function(kind: str):
@@ -56,28 +58,77 @@ def codec_name(label: str | None) -> str | None:
         return None
 
 
-def encoding_candidates(raw: bytes) -> list[str]:
-    """Encodings to try, in order: byte order mark, declared in the first 64 KiB, then common ones."""
-    names = [name for mark, name in BOMS if raw.startswith(mark)]
-    for pattern in DECLARED:
-        names += [codec_name(m.decode("ascii", "ignore")) for m in pattern.findall(raw[:65536])]
-    names += ["utf-8", "utf-8-sig", "gb18030", "cp1252"]
+def declared_encodings(raw: bytes) -> list[str]:
+    """Encodings that the first 64 KiB declare, in order."""
+    names = (codec_name(m.decode("ascii", "ignore")) for pattern in DECLARED for m in pattern.findall(raw[:65536]))
     return list(dict.fromkeys(n for n in names if n))
 
 
-def decode_page(raw: bytes | None) -> str | None:
-    """Text of a page by the candidate with the fewest replacement and misread characters; composed."""
-    if raw is None:
-        return None
-    best = None
-    for order, name in enumerate(encoding_candidates(raw)):
+def encoding_candidates(raw: bytes) -> list[str]:
+    """Encodings to try, in order: byte order mark, declared ones, then common ones."""
+    marked = next(([codec_name(name)] for mark, name in BOMS if raw.startswith(mark)), [])
+    common = [codec_name(n) for n in ("utf-8", "utf-8-sig", "gb18030", "cp1252")]
+    return list(dict.fromkeys([*marked, *declared_encodings(raw), *common]))
+
+
+def decode_quality(text: str, name: str, declared: list[str]) -> tuple[int, int, int, int]:
+    """(cost, replaced, misread, undeclared): the less, the better, compared in this order.
+
+    The cost weighs replaced characters with 100 and misread ones with 20, adds one for an encoding that is
+    not among those declared, if any are, and five for a text whose beginning does not look like a page.
+    """
+    replaced, misread = text.count("\ufffd"), sum(text.count(m) for m in MISREAD) + len(PRIVATE.findall(text))
+    undeclared = int(bool(declared) and name not in declared)
+    head = text[:20_000].lower()
+    plain = 0 if any(x in head for x in ("<html", "<meta", "<!doctype html")) else 5
+    return replaced * 100 + misread * 20 + undeclared + plain, replaced, misread, undeclared
+
+
+def best_decoding(raw: bytes) -> tuple[tuple[int, int, int, int], str, str]:
+    """(quality, encoding, text) of the best candidate, the earliest of equals."""
+    declared, best = declared_encodings(raw), None
+    for name in encoding_candidates(raw):
         text = raw.decode(name, "replace")
-        cost = 100 * text.count("�") + 20 * len(MISREAD.findall(text)) + (0 if "<" in text or not raw else 1)
-        if best is None or (cost, order) < best[:2]:
-            best = (cost, order, text)
-    return unicodedata.normalize("NFC", best[2].lstrip("﻿"))
+        quality = decode_quality(text, name, declared)
+        if best is None or quality < best[0]:
+            best = (quality, name, text)
+    return best
+
+
+def decode_page(raw: bytes | None) -> str | None:
+    """Text of a page by the best of the candidate encodings; composed."""
+    return None if raw is None else unicodedata.normalize("NFC", best_decoding(raw)[2])
 
 
 @arrow_function("string")
 def decode_html(s: pd.Series) -> pd.Series:
     return pd.Series([decode_page(None if x is None else bytes(x)) for x in s], dtype=object)
+
+
+DECODED = "encoding string, cost int, replaced int, misread int, undeclared int, text string"
+
+
+@arrow_function(DECODED)
+def decode_report(s: pd.Series) -> pd.DataFrame:
+    """The chosen encoding, the four parts of its quality and the text; nulls for null content."""
+    rows = []
+    for x in s:
+        if x is None:
+            rows.append((None,) * 6)
+            continue
+        quality, name, text = best_decoding(bytes(x))
+        rows.append((name, *quality, unicodedata.normalize("NFC", text)))
+    return pd.DataFrame(rows, columns=["encoding", "cost", "replaced", "misread", "undeclared", "text"])
+
+
+@arrow_function("binary")
+def encode_text(text: pd.Series, name: pd.Series) -> pd.Series:
+    """Bytes of a text in the named encoding, marks included where the encoding has them; null if it cannot hold the text."""
+
+    def one(t, n):
+        try:
+            return None if t is None or n is None else t.encode(n)
+        except (UnicodeEncodeError, LookupError):
+            return None
+
+    return pd.Series([one(t, n) for t, n in zip(text, name)], dtype=object)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +41,53 @@ def unescape_basic(c) -> Column:
     return out
 
 
+def _char(number: Column) -> Column:
+    """The character of a code point, given as a number."""
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+
+def unescape_all(c) -> Column:
+    """Every character reference of HTML 5 decoded, as browsers and Python's ``html.unescape`` do, without Python.
+
+    A text is cut at its "&"; what follows one begins with a reference or stays as it is. A name that is
+    not known may begin with one of the old names that need no semicolon: the longest counts. Numbers that
+    stand for no character become U+FFFD or nothing, those of the C1 range what cp1252 has there. The names
+    come from Python's table of the standard.
+    """
+    text = text_of(c)
+    old = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    c1 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+    c1 = "".join(chr(0x80 + i) if s == "\ufffd" else s for i, s in enumerate(c1))
+
+    def resolved(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        tail = F.substring(p, F.length(ref) + 1, F.length(p))
+        digits = F.regexp_extract(ref, "^#(?:[xX]0*([0-9a-fA-F]*)|0*([0-9]*));?$", 1)
+        decimal = F.regexp_extract(ref, "^#0*([0-9]+);?$", 1)
+        hexadecimal = ref.rlike("^#[xX]")
+        long_ = F.when(hexadecimal, F.length(digits) > 6).otherwise(F.length(decimal) > 7)
+        number = F.when(long_, 0x110000).when(hexadecimal, F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10).cast("int")).otherwise(decimal.try_cast("int"))
+
+        def sign(n: Column) -> Column:
+            low = F.pmod(n, F.lit(65536))
+            nothing = n.between(0x1, 0x8) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n == 0xB) | low.isin(0xFFFE, 0xFFFF)
+            c1_sign = F.substring(F.lit(c1), n - 0x7F, F.lit(1))
+            return (
+                F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(n == 0xD, "\r").when(n.between(0x80, 0x9F), c1_sign).when(nothing, "").otherwise(_char(n))
+            )
+
+        named = table[ref]
+        begins = F.regexp_extract(ref, "^(" + "|".join(old) + ")", 1)
+        by_name = F.when(ref == "", "&").when(named.isNotNull(), named).when(begins != "", F.concat(table[begins], F.substring(ref, F.length(begins) + 1, F.length(ref)))).otherwise(F.concat(F.lit("&"), ref))
+        numeric = F.transform(F.array(number), sign)[0]
+        return F.concat(F.when(ref.startswith("#"), numeric).otherwise(by_name), tail)
+
+    parts = F.split(text, "&", -1)
+    made = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), resolved), ""))
+    return F.when(F.contains(text, F.lit("&")), made).otherwise(text)
+
+
 def collapse(c) -> Column:
     """White space, Unicode included, to one space; trimmed."""
     return F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " "))

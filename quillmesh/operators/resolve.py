@@ -39,11 +39,13 @@ def dedupe_articles(articles: DataFrame, mode: str = "doi", pos: str = "pos") ->
     their distinct values, so a group holds its vocabulary in memory, not its rows. What one task orders
     is the distinct confidences of a key.
     """
-    keyed = articles.withColumn("_key", F.coalesce(dedupe_key(mode), F.concat(F.lit("row:"), F.col(pos).cast("string"))))
+    # never null, and known not to be: else the join would test the whole expression of the key again
+    keyed = articles.withColumn("_key", F.coalesce(dedupe_key(mode), F.concat(F.lit("row:"), F.col(pos).cast("string")), F.lit("row:")))
     places = keyed.filter(F.col("confidence").isNotNull()).groupBy("_key", "confidence").agg(F.min(pos).alias("_p"))
     higher = Window.partitionBy("_key").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
     fillers = places.withColumn("_m", F.min("_p").over(higher)).filter("_p = _m").select(F.col("_key").alias("_k"), "_p")
-    marked = keyed.join(fillers, (F.col("_key") == F.col("_k")) & (F.col(pos) == F.col("_p")), "left")
+    # a shuffle, whatever the sizes: it deals rows out by key and place, and cleaned texts are made once, before it
+    marked = keyed.join(fillers.hint("shuffle_merge"), (F.col("_key") == F.col("_k")) & (F.col(pos) == F.col("_p")), "left")
     marked = marked.withColumn("_over", F.col("_k").isNull() & F.col("confidence").isNotNull()).drop("_k", "_p")
     over, fill = F.col("_over"), ~F.col("_over")
     # bases from the latest back, then fillers from the earliest on

@@ -67,6 +67,31 @@ def test_decode_page():
     assert A.decode_page(None) is None and A.decode_page(b"") == ""
 
 
+def test_decoding_compares_four_parts():
+    head = "<html>"
+    assert A.decode_quality(head + "x\ufffdÂ", "utf-8", []) == (120, 1, 1, 0)
+    assert A.decode_quality("x", "cp1252", ["utf-8"]) == (6, 0, 0, 1) and A.decode_quality("", "utf-8", ["utf-8"]) == (5, 0, 0, 0)
+    assert A.best_decoding("\ufeff<html>é".encode("utf-16-le"))[:2] == ((0, 0, 0, 0), "utf-16-le")
+    assert A.best_decoding(b"<meta charset=cp1252>caf\xe9")[1:] == ("cp1252", "<meta charset=cp1252>café")
+    assert A.best_decoding("<html>caf\u00e9 – x".encode())[1] == "utf-8"
+    # equal costs: fewer replaced characters decide, then the order
+    assert A.encoding_candidates(b"<?xml encoding='latin-1'?><meta charset=nosuch>") == ["iso8859-1", "utf-8", "utf-8-sig", "gb18030", "cp1252"]
+
+
+def test_character_references_equal_the_standard(spark):
+    import html
+    from html.entities import html5
+
+    r = random.Random(3)
+    names = sorted(html5)
+    bits = ["&", ";", "#", "x", "X", "0", "41", "128", "159", "129", "13", "0", "55296", "1114112", "99999999999", "xD", "x1F600", "x110000", "11", "65534", "x2FFFF", "64976", " ", "<", "a", "é", "&amp;lt;", "&notin", "&notit;", "&ampx", "&#", "&#x;", "&#;", "\t"]
+    texts = ["&" + n for n in names] + ["&" + n.rstrip(";") + "z" for n in names[::7]] + ["".join(r.choice(bits + ["&" + r.choice(names)]) for _ in range(r.randrange(1, 12))) for _ in range(1500)] + [f"&#{i};" for i in range(0, 260)] + ["", "no reference"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.unescape_all("t").alias("u")).collect()
+    wrong = [(x.t, x.u, html.unescape(x.t)) for x in rows if x.u != html.unescape(x.t)]
+    assert not wrong, wrong[:5]
+    assert spark.createDataFrame([(None,)], "t string").select(T.unescape_all("t").alias("u")).first().u == ""
+
+
 def test_page_extraction(spark):
     pages = spark.createDataFrame([(1, "https://a.org/p", PAGE), (2, "u", "plain first line\nmore"), (3, None, None)], "page_id long, url string, content string")
     got = {(r.page_id, r.metadata_source, r.doi): r for r in extract.initial_candidates(pages).collect()}
