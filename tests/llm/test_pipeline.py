@@ -1,5 +1,8 @@
 """The corpus pipeline: each stage against a plain version of its decision, and the whole run."""
 
+import subprocess
+import sys
+from pathlib import Path
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -60,3 +63,10 @@ def test_unlike_texts_under_one_id_and_clashing_names(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and rows.filter("length > 4096 or offset <> 0").count() == 0
+
+
+def test_entry_imports_without_the_vocabularies():
+    """Without the tokenizer files' package only the queries that need it fail, and only when they run."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); print('pipeline' in q, 'op5_packing' in q, 'search_topk' in q)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=120)
+    assert done.stdout.strip() == "True True True", done.stderr[-500:]
