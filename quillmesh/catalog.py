@@ -741,4 +741,4 @@ def event_props_mapped(spark, sf):
     return M.parsed(spark.read.parquet(f"{sf}/events.parquet"), "props", "k long").groupBy(F.col("w.k").alias("k")).agg(F.count("*").alias("n"))
 
 
-from . import catalog_documents, catalog_notes, catalog_research  # noqa: E402, F401  these register further queries
+from . import catalog_documents, catalog_notes, catalog_payloads, catalog_research  # noqa: E402, F401  these register further queries

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .catalog_research import _ASKED, _CLASSES, _LABELS, _METHODS, _NAMED, _NDOI, _NOTE, _PROJECT, _RR, _SUMMARY, _TERMS, _TR, _VKEY, _CONCEPTS, _ROLE, _ER, _tagged, _text, analyses
-from .operators import network_notes as W
+from .catalog_research import _ASKED, _CLASSES, _CONCEPTS, _ER, _NAMED, _NDOI, _NOTE, _PROJECT, _ROLE, _SUMMARY, _TERMS, _VKEY, _tagged, _text, analyses
 from .operators import documents as O
+from .operators import network_notes as W
 from .operators import research as G
 from .operators import vocabulary as V
 from .sources.folders import shared_folder
@@ -148,8 +148,8 @@ def node_note_blocks(spark, sf):
 _HEADS = ("Corpus", "Corpus roles", "Frequent terms", "Connectors", "Questions", "Experiments", "Relations")
 _NAMED_LINES = lambda i, entries: " union all ".join(f"select {i}, {n + 1}, 0, {_text(f'- [[{W.titled(e)}]]')}" for n, e in enumerate(entries))
 _INDEX = f"""{_TERMS}, {_ER}, {_tagged('ev', 'er')}, {_NAMED}, {_PROJECT}, {_CLASSES}, ar as (select nm.pos, {_NOTE} as note, coalesce(year, '') as year, {_NDOI} as doi, {_ROLE} as role, coalesce(nullif({_VKEY}, ''), nullif({_NDOI}, ''), '#' || nm.pos) as work from nm),
-wk as (select work, min(pos) as at, arg_min(pos, struct_pack(l := contains(doi, 'chemrxiv'), p := pos)) as main from ar group by 1),
-l1 as (select at, case when pos = main then 0 else pos + 1 end, case when pos = main then '- [[' || note || ']] - ' || year || ' - ' || chr(96) || doi || chr(96) || ' - ' || chr(96) || role || chr(96) else '  - version pair: [[' || note || ']] - ' || chr(96) || doi || chr(96) || ' - ' || chr(96) || role || chr(96) end from ar join wk using (work)),
+wk as (select work, min(pos) as place, arg_min(pos, struct_pack(l := contains(doi, 'chemrxiv'), p := pos)) as main from ar group by 1),
+l1 as (select place, case when pos = main then 0 else pos + 1 end, case when pos = main then '- [[' || note || ']] - ' || year || ' - ' || chr(96) || doi || chr(96) || ' - ' || chr(96) || role || chr(96) else '  - version pair: [[' || note || ']] - ' || chr(96) || doi || chr(96) || ' - ' || chr(96) || role || chr(96) end from ar join wk using (work)),
 l2 as (select row_number() over (order by role), 0, '- ' || chr(96) || role || chr(96) || ': ' || count(*) from ar group by role),
 l3 as (select * from (select row_number() over (order by count(*) desc, min(struct_pack(p := pos, r := rule_no))) as k, 0, '- [[' || name || ']]: ' || count(*) from te group by name) where k <= 15),
 pc as (select pos, unnest(project) as name, generate_subscripts(project, 1) as i from pt),
