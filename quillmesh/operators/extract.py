@@ -15,7 +15,7 @@ from ..functions.scores import pdf_priority
 from ..functions.text import arxiv_base, arxiv_id, clean_text, doi_url, extract_dois, nonempty, normalize_doi, pubmed_id, split_terms, text_of, year_text
 from ..sources.records import canonicalize
 
-PAGE_PARTS = "title string, metas array<struct<key:string,content:string>>, links array<map<string,string>>, jsonld array<string>"
+PAGE_PARTS = "title string, title_source string, metas array<struct<key:string,content:string>>, links array<map<string,string>>, jsonld array<string>"
 
 #: Meta names by field, the first that is present wins; fixed values.
 META_NAMES = {
@@ -37,11 +37,21 @@ KEYWORD_NAMES = ("citation_keywords", "keywords", "article:tag", "dc.subject")
 
 
 class _Page(HTMLParser):
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
+        self.page = page
         self.title, self.metas, self.links, self.jsonld = "", [], [], []
+        self.title_source, self._title_at = None, None
         self._in = None
 
+    def _place(self) -> int:
+        """Where in the page the current tag begins."""
+        line, column = self.getpos()
+        at = 0
+        for _ in range(line - 1):
+            at = self.page.index("\n", at) + 1
+        return at + column
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta":
@@ -52,6 +62,8 @@ class _Page(HTMLParser):
             self.links.append(a)
         elif tag == "title":
             self._in = "title"
+            if self._title_at is None:
+                self._title_at = self._place() + len(self.get_starttag_text())
         elif tag == "script" and "ld+json" in a.get("type", "").lower():
             self._in = "jsonld"
             self.jsonld.append("")
@@ -59,6 +71,8 @@ class _Page(HTMLParser):
     handle_startendtag = handle_starttag
 
     def handle_endtag(self, tag):
+        if tag == "title" and self._title_at is not None and self.title_source is None:
+            self.title_source = self.page[self._title_at : self._place()]
         if tag in ("title", "script"):
             self._in = None
 
@@ -70,15 +84,16 @@ class _Page(HTMLParser):
 
 
 def parse_page(html: str | None) -> dict:
-    p = _Page()
-    p.feed(html or "")
+    """Parts of a page. ``title`` has its character references decoded; ``title_source`` is the first title as it stands in the page."""
+    p = _Page(html or "")
+    p.feed(p.page)
     p.close()
-    return {"title": p.title.strip(), "metas": [{"key": k, "content": v} for k, v in p.metas], "links": p.links, "jsonld": [x.strip() for x in p.jsonld if x.strip()]}
+    return {"title": p.title.strip(), "title_source": p.title_source or "", "metas": [{"key": k, "content": v} for k, v in p.metas], "links": p.links, "jsonld": [x.strip() for x in p.jsonld if x.strip()]}
 
 
 @arrow_function(PAGE_PARTS)
 def page_parts(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(x) for x in html], columns=["title", "metas", "links", "jsonld"])
+    return pd.DataFrame([parse_page(x) for x in html], columns=["title", "title_source", "metas", "links", "jsonld"])
 
 
 def meta_values(parts: Column, *names: str) -> Column:

@@ -3,9 +3,11 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillmesh import catalog
 from quillmesh.functions import arrow as A
 from quillmesh.functions import text as T
 from quillmesh.operators import enrich, extract, incremental, network, reports, resolve, search, sinks, tasks
@@ -112,6 +114,25 @@ def test_arxiv_numbers_are_read_whole(spark):
     assert [r.got for r in got] == [r.want for r in got]
 
 
+@pytest.mark.parametrize("before", ["", "<html>\n<!-- a\nb -->\n<p>é & < b", "a & b\n\n"])
+@pytest.mark.parametrize("title", [" a&amp;&amp", "&quot;b&quot \n &lt c", "", "x < y &amp;amp;"])
+def test_first_title_as_it_stands(before, title):
+    page = f"{before}<TITLE >{title}</Title>\n<title>other</title>{'z' * 50}&am"
+    assert extract.parse_page(page)["title_source"] == title
+    assert extract.parse_page(f"{before}<title>{title}")["title_source"] == ""
+
+
+def test_parsed_titles_keep_references_that_are_cut_off(spark, tmp_path):
+    """Pages whose title ends inside a reference, against the query's SQL."""
+    titles = ["The&amp;&amp;&amp", "a &amp; b", "token = &quot;e1", " &lt;b&gt; ", ""]
+    made = [(i, "u", f"<html><head><title>{t}</title></head><body>x</body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(made, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["page_parts_parsed"](spark, str(tmp_path)).orderBy("page_id").collect()
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == duck.execute(f"select * from ({catalog.SQL['page_parts_parsed']}) order by page_id").fetchall()
+
+
 def fold(rows):
     """Reference fold of a group: the newer record is the base unless its confidence is higher."""
     acc = None
