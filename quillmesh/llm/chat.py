@@ -6,9 +6,11 @@ from the one before, what it adds is the new turn's span; where it does not, the
 history, which is reported. Two more renderings with one-letter texts in the turn's place show where in
 its span the text begins and ends: they differ in nothing else. Loss falls on the assistants' texts.
 
-Rows are sorted by conversation and turn within their partitions and worked off as a stream. What is
-kept of a conversation is bounded: prefixes grow to PREFIX_CHARS, beyond that a prefix is its first turn
-and its last TAIL_TURNS ones. The output has a row for each turn; its pieces joined are the formatted text.
+Rows are sorted by conversation and turn within their partitions and worked off as a stream. For a
+template that is declared ``local``, what is kept of a conversation is bounded: prefixes grow to
+PREFIX_CHARS, beyond that a prefix is its first turn and its last TAIL_TURNS ones. Any other template is
+given whole prefixes, however long. The output has a row for each turn; its pieces joined are the
+formatted text.
 """
 
 from __future__ import annotations
@@ -41,10 +43,14 @@ class Template:
 
     Texts and roles are escaped before the function sees them: a backslash is doubled, and one more goes
     behind the first sign of each control string, so that none is left and every text can be restored.
+
+    ``local`` declares that a turn only adds to the output, and that what it adds hangs on no turns but the
+    first and the last few before it. Only then a long conversation need not be held; rewriting is an error.
     """
 
     render: Callable[[Turns], str]
     controls: tuple[str, ...]
+    local: bool = False
 
     def __post_init__(self):
         firsts = {c[:1] for c in self.controls}
@@ -76,8 +82,8 @@ def _forgetful(turns: Turns) -> str:
 
 
 TEMPLATES = {
-    "instructions": Template(_instructions, ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[TEXT]", "[/ROLE]")),
-    "labelled": Template(_labelled, ("<|turn|>", "<|end|>")),
+    "instructions": Template(_instructions, ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[TEXT]", "[/ROLE]"), local=True),
+    "labelled": Template(_labelled, ("<|turn|>", "<|end|>"), local=True),
     "forgetful": Template(_forgetful, ("<|turn|>", "<|end|>")),
 }
 
@@ -145,21 +151,19 @@ class Walk:
         now = render([*self.turns, turn])
         seen = len(self.out) if now.startswith(self.out) else 0
         self.rewrites |= bool(self.out) and not seen
+        if self.rewrites and self.template.local:
+            raise ValueError("the template rewrites what it has written, so it is not local")
         found = _content(now, *(render([*self.turns, (turn[0], x)]) for x in "AB"), seen)
         begin = self.done - len(self.out)  # of ``now`` in the formatted text
-        if not seen and self.streams and found:  # what stands before the text cannot be told from history
-            seen = found[0]
-            begin = self.done - seen
         span = tuple(begin + x for x in found) if found and found[0] >= seen else (None, None)
         self.rows.append((self.number, role, self.done, begin + len(now), *span, self.rewrites, now[seen:]))
         self.number += 1
         self.turns.append(turn)
         self.roles.append(role)
         self.done, self.out = begin + len(now), now
-        if len(now) <= self.limit and not self.streams:
+        if not self.template.local or (len(now) <= self.limit and not self.streams):
             return []
-        ready = self.final_rows()
-        self.streams, self.rows = True, []
+        ready, self.rows, self.streams = self.rows, [], True
         if len(self.turns) > self.tail + 1:
             self.turns = [self.turns[0], *self.turns[-self.tail :]]
             self.out = render(self.turns)
@@ -167,7 +171,7 @@ class Walk:
 
     def final_rows(self) -> list[tuple]:
         """The rows still held. Where history was rewritten, places are those in the last output."""
-        if not self.rewrites or self.streams:
+        if not self.rewrites:
             return self.rows
         render, rows, at = self.template.render, [], 0
         for i, (role, (name, _)) in enumerate(zip(self.roles, self.turns)):
@@ -199,10 +203,13 @@ def format_conversations(
 
     ``piece`` is the turn's part of the formatted conversation, at start to end (code points); its text,
     escaped, is at content_start to content_end. ``loss`` marks the assistants' texts. ``rewrites`` says
-    that the template changed what it had written: within the prefix limit all rows of the conversation
-    say so, places are those in the whole conversation's rendering, and content is null where a text does
-    not show there; beyond the limit rows from the change on say so. Beyond the limit a template may look
-    back at no more than its first turn and ``tail_turns`` others.
+    that the template changed what it had written: all rows of the conversation say so, places are those in
+    the whole conversation's rendering, and content is null where a text does not show there.
+
+    Whether a conversation is held whole hangs on the template alone, never on its length. One that is
+    ``local`` looks back at no more than the first turn and ``tail_turns`` others, so prefixes beyond
+    ``prefix_chars`` are cut to these without a change of the result; one that is not is given every
+    prefix whole, which takes memory with the conversation and time with its turns times its length.
 
     Null texts and roles are empty. Turns go by number, equal ones by role and text; repeated rows are
     turns of their own; rows without an id are one conversation. An empty table gives no rows. Other

@@ -83,6 +83,29 @@ def test_rewritten_history_is_found(spark):
         assert [r.loss for r in mine] == [False, True, False, True]
 
 
+def _numbered(turns):
+    return "".join(f"<{i} of all {r}>{t}\n" for i, (r, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize("template", [chat.TEMPLATES["forgetful"], chat.Template(_numbered, ("<|",))])
+def test_length_does_not_change_the_result(spark, template):
+    """Templates that rewrite, or look back at every turn, give the same beyond the prefix limit."""
+    rows = [(c, i, ("user", "assistant")[i % 2], f"turn {i} " + ("thought</think>" if i % 4 == c else "") + "y" * i) for c in (1, 3) for i in range(30)]
+    df = spark.createDataFrame(rows, ROWS)
+    whole, long = (sorted(chat.format_conversations(df, template, **o).collect()) for o in ({}, {"prefix_chars": 100, "tail_turns": 2}))
+    assert whole == long
+    for conv in (1, 3):
+        assert "".join(r.piece for r in long if r.conv_id == conv) == template.render([(r, t) for c, _, r, t in rows if c == conv])
+
+
+@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_template_wrongly_declared_local(limit):
+    walk = chat.Walk(chat.Template(chat.TEMPLATES["forgetful"].render, ("<|turn|>", "<|end|>"), local=True), limit)
+    with pytest.raises(ValueError, match="not local"):
+        for turn in (("user", "q"), ("assistant", "a</think>b"), ("assistant", "c")):
+            walk.add(*turn)
+
+
 def test_template_that_drops_a_text():
     """Texts that a template leaves out have no place and no loss."""
     silent = chat.Template(lambda turns: "".join(f"<{r}:{t}>" for r, t in turns if r != "system"), ("<user:",))
