@@ -76,8 +76,8 @@ def records(spark, sf):
     return D.research_records(spark, sf)
 
 
-def analyses(spark, sf):
-    return G.analysis_records(records(spark, sf))
+def analyses(spark, sf, excerpts: bool = True):
+    return G.analysis_records(records(spark, sf), excerpts=excerpts)
 
 
 @query(f"with {_TERMS} select pos, name, category, source_field, excerpt from te")
@@ -162,7 +162,7 @@ x as (select coalesce(category, 'concept') as category, lower(concept) as low, m
 k as (select category, low from f union select category, low from q union select category, low from x)
 select k.category, coalesce(f.name, q.name, x.name) as name, coalesce(f.n_articles, 0) as n_articles, coalesce(q.ids, '') as questions, coalesce(x.ids, '') as experiments from k left join f using (category, low) left join q using (category, low) left join x using (category, low)""")
 def research_nodes(spark, sf):
-    n = G.nodes(analyses(spark, sf), G.concept_table(spark, V.QUESTIONS), G.concept_table(spark, V.EXPERIMENTS))
+    n = G.nodes(analyses(spark, sf, excerpts=False), G.concept_table(spark, V.QUESTIONS), G.concept_table(spark, V.EXPERIMENTS))
     return n.select("category", "name", "n_articles", F.array_join("questions", "|").alias("questions"), F.array_join("experiments", "|").alias("experiments"))
 
 

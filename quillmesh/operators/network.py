@@ -48,14 +48,14 @@ def tag_names(text, rules) -> Column:
     return F.array_compact(F.array(*[F.when(text_of(text).rlike(r.pattern), r.name) for r in rules]))
 
 
-def tagged(texts: dict[str, Column], rules, low: dict[str, Column] | None = None) -> Column:
+def tagged(texts: dict[str, Column], rules, low: dict[str, Column] | None = None, excerpts: bool = True) -> Column:
     """Array of (rule_no, name, category, source_field, excerpt): the rules that match, in their order.
 
     ``texts``: column by field name, in the order in which fields are searched; evidence is the first
     field with a match, of its match by the first pattern that has one. The excerpt reaches from 90
     characters before it to 140 after. Rules of one name count once, by the first that matches.
     Each rule tests a field once; excerpts are cut for the rules that match only. The texts should be
-    plain columns: an expression would be evaluated for each rule.
+    plain columns: an expression would be evaluated for each rule. Without ``excerpts`` these are null.
     """
     fields, columns = F.array(*map(F.lit, texts)), F.array(*texts.values())
     lows = low or {f: folded(t) for f, t in texts.items()}
@@ -69,11 +69,14 @@ def tagged(texts: dict[str, Column], rules, low: dict[str, Column] | None = None
 
     def full(h: Column) -> Column:
         rule, text = F.element_at(table, h["rule_no"] + 1), F.element_at(columns, h["field_no"])
+        known = (h["rule_no"].alias("rule_no"), rule["name"].alias("name"), rule["category"].alias("category"), F.element_at(fields, h["field_no"]).alias("source_field"))
+        if not excerpts:
+            return F.struct(*known, F.lit(None).cast("string").alias("excerpt"))
         pattern = F.get(F.filter(rule["patterns"], lambda p: F.regexp_instr(text, p) > 0), F.lit(0))
         at, size = F.regexp_instr(text, pattern), F.length(F.regexp_substr(text, pattern))
         start = F.greatest(at - BEFORE, F.lit(1))
         excerpt = F.trim(F.substring(text, start, at - start + size + AFTER))
-        return F.struct(h["rule_no"].alias("rule_no"), rule["name"].alias("name"), rule["category"].alias("category"), F.element_at(fields, h["field_no"]).alias("source_field"), excerpt.alias("excerpt"))
+        return F.struct(*known, excerpt.alias("excerpt"))
 
     out = F.transform(F.array_compact(F.array(*hits)), full)
     if len({r.name.lower() for r in rules}) == len(rules):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import folded
 from ..functions.text import compact_title_key, last_name, nonempty, normalize_doi, normalize_text, text_of
+from ..sources.folders import written_once
 from . import vocabulary as V
 from .network import first_label, once, overlapping, tagged
 
@@ -102,13 +103,13 @@ def by_category(terms: str) -> Column:
     return F.map_from_entries(F.transform(groups, lambda c: F.struct(c.alias("category"), names(c).alias("names"))))
 
 
-def analysis_records(articles: DataFrame, term_rules=V.TERM_RULES, evidence_rules=V.EVIDENCE_RULES, key: str = "pos") -> DataFrame:
-    """One analysis per article: terms and evidence methods with excerpts, connectors, role, summary, limits."""
+def analysis_records(articles: DataFrame, term_rules=V.TERM_RULES, evidence_rules=V.EVIDENCE_RULES, key: str = "pos", excerpts: bool = True) -> DataFrame:
+    """One analysis per article: terms and evidence methods with excerpts, unless told not to, connectors, role, summary, limits."""
     found = field_texts(articles)
     # texts become columns, so that the rules do not each normalise them again
     base = articles.withColumns({f"_t_{f}": t for f, t in found.items()}).withColumns({f"_l_{f}": folded(F.col(f"_t_{f}")) for f in found})
     texts, low = ({f: F.col(f"_{k}_{f}") for f in found} for k in "tl")
-    base = base.select("*", once(F.struct(tagged(texts, term_rules, low).alias("terms"), tagged(texts, evidence_rules, low).alias("methods"))).alias("_found"))
+    base = base.select("*", once(F.struct(tagged(texts, term_rules, low, excerpts).alias("terms"), tagged(texts, evidence_rules, low, excerpts).alias("methods"))).alias("_found"))
     base = base.withColumns({"_terms": F.col("_found.terms"), "_methods": F.col("_found.methods"), "_text": F.concat_ws(" ", *low.values())})
     base = base.withColumn("_names", F.transform("_terms", lambda t: t["name"]))
     base = base.withColumns({"_project": project_terms(F.col("_names"), F.col("_text")), "_title": normalize_text("title"), "_doi": normalize_doi("doi"), "_journal": text_of("journal")})
@@ -213,8 +214,9 @@ def nodes(analyses: DataFrame, question_concepts: DataFrame, experiment_concepts
 
     A concept's category is that of the label first met with its name, else "concept". The first
     ``most`` article titles are shown; counts come from a grouped aggregate, so a frequent term is no
-    hot task.
+    hot task. The analyses are computed once.
     """
+    analyses = written_once(analyses.select(key, "doi", "note_title", "terms", "project_relevance_terms", "evidence_methods"), "node-labels")
     rows = labels(analyses, key).withColumn("low", F.lower("name"))
     at = F.struct(key, "label_no")
     category = rows.groupBy("low").agg(F.min_by("category", at).alias("of_low"))

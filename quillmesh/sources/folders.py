@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/quillmesh/{label}-{uuid.uuid4().hex}"
 
 
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """The table written to a shared folder and read back, for what is read several times and dear to compute."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Files:
     """Names, renames and deletions in the file system of a path, through Spark's own connectors."""
 
