@@ -10,7 +10,7 @@ from .operators import documents as O
 from .operators import network_notes as W
 from .operators import research as G
 from .operators import vocabulary as V
-from .sources.folders import shared_folder
+from .sources.folders import written_once
 
 NETWORK = "Network of the corpus"
 QUESTIONS, EXPERIMENTS = W.default_questions(), W.default_experiments()
@@ -34,9 +34,7 @@ _LIMITS = (
 
 def stored(spark, sf):
     """The analyses, written once to the shared folder, as an index reads them several times."""
-    made, path = analyses(spark, sf), shared_folder(spark, "analyses")
-    made.write.parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+    return written_once(analyses(spark, sf), "analyses")
 
 
 def _front(title: str, kind: str, tag: str) -> str:
@@ -141,7 +139,7 @@ _NAME_FILE = r"""regexp_replace(trim(regexp_replace(name, '[<>:"/\\|?*]+', ' ',
 
 @query(f"""with {_NODES} select {_FOLDER} || '/' || {_NAME_FILE} || '.md' as path, concat_ws(chr(10), '- Network: [[{NETWORK}]]', '- Articles: ' || n_articles, '## Articles', shown, '## Questions', {_IDS('questions')}, '## Experiments', {_IDS('experiments')}) as block from nd""")
 def node_note_blocks(spark, sf):
-    n = G.nodes(analyses(spark, sf), G.concept_table(spark, V.QUESTIONS), G.concept_table(spark, V.EXPERIMENTS))
+    n = G.nodes(analyses(spark, sf, excerpts=False), G.concept_table(spark, V.QUESTIONS), G.concept_table(spark, V.EXPERIMENTS))
     return O.node_notes(n, NETWORK).select("path", "block")
 
 
