@@ -132,7 +132,7 @@ select 'version_pair' as type, class as class_a, class as class_b, '' as shared_
 union all select 'shared_mechanistic_or_method_terms', a.class, b.class, array_to_string(list_sort(list_intersect(a.names, b.names)), '|'), '', 'medium', a.n, b.n from sets a join sets b on (a.class < b.class or (a.class = b.class and a.n > 1)) and len(list_intersect(a.names, b.names)) >= 2
 union all select 'contrast_for_hypothesis_testing', class_a, class_b, '', class_a || ' vs ' || class_b, 'low', a.n, b.n from c join gs a on a.kind = 'term' and a.class = class_a join gs b on b.kind = 'term' and b.class = class_b""")
 def relations_all(spark, sf):
-    return G.relations(analyses(spark, sf)).select("type", "class_a", "class_b", F.array_join("shared_terms", "|").alias("shared_terms"), "contrast", "confidence", "n_a", "n_b")
+    return G.relations(analyses(spark, sf, excerpts=False)).select("type", "class_a", "class_b", F.array_join("shared_terms", "|").alias("shared_terms"), "contrast", "confidence", "n_a", "n_b")
 
 
 _CONCEPTS = lambda name, entries: f"{name}(id, concept_no, concept) as (values " + ", ".join(f"('{e[0]}', {i}, {_text(c)})" for e in entries for i, c in enumerate(e[-1])) + ")"

@@ -154,7 +154,8 @@ def relations(analyses: DataFrame, contrasts=V.CONTRASTS, least: int = 2, key: s
     ``relation_members``; a contrast leads from the articles of its first term to those of the second.
     Rows are bounded by the classes that occur: sets of terms meet on pairs of terms, articles never meet.
     """
-    groups = relation_members(analyses, contrasts, key).groupBy("kind", "class").agg(F.count("*").alias("n"))
+    # each kind reads the groups, and a filter on the kind would reach below them into the analyses
+    groups = written_once(relation_members(analyses, contrasts, key).groupBy("kind", "class").agg(F.count("*").alias("n")), "relation-groups")
     none, empty = F.array().cast("array<string>"), F.lit("")
     same = "same normalized title; treat as article/preprint version pair rather than independent evidence"  # fixed value
     versions = groups.filter("kind = 'version' and n > 1").select(

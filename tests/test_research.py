@@ -97,6 +97,28 @@ def test_relations_give_every_pair(analyses):
     assert got == want and len(want) >= 4
 
 
+def test_analyses_are_computed_once(spark, analyses):
+    """Relations and nodes read each analysis once, and excerpts are left out on demand."""
+    asked = research.concept_table(spark, vocabulary.QUESTIONS)
+    for column, make in (("version_group_key", research.relations), ("note_title", lambda a: research.nodes(a, asked, asked))):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(x, seen=seen):
+            seen.add(1)
+            return x
+
+        found = make(analyses.withColumn(column, F.udf(counted, "string")(column))).collect()
+        assert sorted(map(str, found)) == sorted(map(str, make(analyses).collect())) and seen.value == analyses.count()
+
+
+def test_tags_without_excerpts(spark):
+    texts = spark.createDataFrame([("Nickel and DFT",), ("none",)], "t string")
+    rows = texts.select(*(network.tagged({"title": F.col("t")}, vocabulary.TERM_RULES, excerpts=e).alias(n) for n, e in (("long", True), ("short", False)))).collect()
+    for r in rows:
+        assert [x[:-1] for x in r.long] == [x[:-1] for x in r.short] and all(x.excerpt is None for x in r.short)
+    assert len(rows[0].short) == 1
+
+
 def test_questions_experiments_nodes(spark, analyses):
     asked = research.concept_table(spark, vocabulary.QUESTIONS)
     rows = sorted(analyses.collect(), key=lambda r: r.pos)
