@@ -16,10 +16,9 @@ MAX_ROUNDS = 60
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether every id points to one id and no id that is pointed to points on: nothing is left to do."""
-    sides = edges.groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "id").select("id", (F.col("n") > 1).alias("several"), F.lit(True).alias("source"), F.lit(False).alias("target"))
-    roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.lit(False).alias("several"), F.lit(False).alias("source"), F.lit(True).alias("target"))
-    per_id = sides.union(roots).groupBy("id").agg(F.max("several").alias("several"), (F.max("source") & F.max("target")).alias("both"))
-    return per_id.filter("several or both").limit(1).count() == 0
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("source"), F.lit(0).alias("target")), F.struct(F.col("b").alias("id"), F.lit(0).alias("source"), F.lit(1).alias("target"))))
+    per_id = edges.select(ends.alias("e")).groupBy("e.id").agg(F.sum("e.source").alias("sources"), F.max("e.target").alias("target"))
+    return per_id.filter("sources > 1 or (sources > 0 and target > 0)").isEmpty()
 
 
 def _with_min(pairs: DataFrame) -> DataFrame:

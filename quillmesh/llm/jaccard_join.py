@@ -400,10 +400,12 @@ def _components(docs: DataFrame, scratch: Scratch, words: int, percent: int, id_
     # ids with several sets connect their classes
     several = signed.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("x"), F.max(F.struct("n", "d1", "d2")).alias("y"))
     several = scratch.written(several.filter("x <> y").select(F.col("id").alias("i")), "jaccard-several")
-    held = usable.join(several, F.col("id") == F.col("i"), "left_semi").select("id", F.col("d1").alias("c1"), F.col("d2").alias("c2")).distinct()
-    held = scratch.written(held.join(classes.select("d1", "d2", "rep"), (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).select("id", "rep"), "jaccard-held")
-    least = held.groupBy("id").agg(F.min("rep").alias("b")).withColumnRenamed("id", "i")
-    joint = held.join(least, F.col("id") == F.col("i")).select(F.col("rep").alias("a"), "b").filter("a <> b")
+    repeats = not several.isEmpty()
+    if repeats:
+        held = usable.join(several, F.col("id") == F.col("i"), "left_semi").select("id", F.col("d1").alias("c1"), F.col("d2").alias("c2")).distinct()
+        held = scratch.written(held.join(classes.select("d1", "d2", "rep"), (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).select("id", "rep"), "jaccard-held")
+        least = held.groupBy("id").agg(F.min("rep").alias("b")).withColumnRenamed("id", "i")
+        joint = held.join(least, F.col("id") == F.col("i")).select(F.col("rep").alias("a"), "b").filter("a <> b")
 
     # light sets: a star per shared subset
     subsets = classes.filter(F.col("subsets").isNotNull()).select("rep", "n", F.explode(F.arrays_zip("subsets", "seconds", "overlaps")).alias("s"))
@@ -428,7 +430,8 @@ def _components(docs: DataFrame, scratch: Scratch, words: int, percent: int, id_
     first = shared.join(leaders, (F.col("token") == F.col("k")) & (F.col("rep") != F.col("lr")) & possible("n", "pos", "ln", "lp"))
     first = first.select(F.greatest("rep", "lr").alias("a"), F.least("rep", "lr").alias("b")).distinct()
     first = scratch.written(_close(first, classes, percent), "jaccard-candidates")
-    links = scratch.written(_verified(first, classes, docs, scratch, id_col, text_col, words, percent).union(light).union(joint), "jaccard-links")
+    links = _verified(first, classes, docs, scratch, id_col, text_col, words, percent).union(light)
+    links = scratch.written(links.union(joint) if repeats else links, "jaccard-links")
     parts = connected_components(links, scratch)
 
     marked = shared.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", "pos", "many", F.coalesce("component", "rep").alias("part"))
@@ -449,9 +452,11 @@ def _components(docs: DataFrame, scratch: Scratch, words: int, percent: int, id_
     names = placed.groupBy("part").agg(F.min("least").alias("name")).withColumnRenamed("part", "p")
     by_class = placed.join(names, F.col("part") == F.col("p")).select("c1", "c2", "rep", "name")
     out = signed.select("id", "n", "d1", "d2").join(by_class.drop("rep"), (F.col("n") > 0) & F.col("id").isNotNull() & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
-    # an empty text under an id that has others goes with them
-    of_several = least.join(by_class.select("rep", F.col("name").alias("joint")), F.col("b") == F.col("rep")).select("i", "joint")
-    out = out.join(of_several, F.col("id") == F.col("i"), "left")
+    if repeats:  # an empty text under an id that has others goes with them
+        of_several = least.join(by_class.select("rep", F.col("name").alias("joint")), F.col("b") == F.col("rep")).select("i", "joint")
+        out = out.join(of_several, F.col("id") == F.col("i"), "left")
+    else:
+        out = out.withColumn("joint", F.lit(None).cast("long"))
     return written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "joint", "id").alias("component_id")), "jaccard-components")
 
 

@@ -6,6 +6,9 @@ from pathlib import Path
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from quillmesh.llm.jaccard_join import jaccard_components
+from quillmesh.llm.shared import Scratch
+
 from .test_llm import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +51,15 @@ def test_odd_documents(spark):
         assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_tables_for_repeated_ids_are_made_only_where_ids_repeat(spark, monkeypatch):
+    """Each further table costs the driver joins and exchanges, and so threads and memory."""
+    labels, written = [], Scratch.written
+    monkeypatch.setattr(Scratch, "written", lambda self, df, label: (labels.append(label), written(self, df, label))[1])
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_components(docs).select("doc_id", "component_id").collect()} == {(1, 1), (2, 1)}
+    assert "jaccard-signatures" in labels and "jaccard-held" not in labels
+
+
 def test_unlike_texts_under_one_id_and_clashing_names(spark):
     long = " ".join(f"w{i}" for i in range(40))
     other = " ".join(f"v{i}" for i in range(40))
